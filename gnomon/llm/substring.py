@@ -29,10 +29,10 @@ from gnomon.llm.common import U64, documents, materialise, mix, packed, prefix,
 CHUNK = 2_000_000  # bytes of text in a chunk
 ENTRIES = 1_000_000  # aimed-at entries of one bucket of hashes
 
-_CHUNK_SCHEMA = "chunk_id long, n long, ids binary, ends binary, nulls binary, text binary, state binary, best binary, gone binary, alive long"
+_CHUNK_SCHEMA = "chunk_id long, n long, ids binary, ends binary, nulls binary, text binary"
 _CHUNK_TYPES = [pa.int64() if c.endswith("long") else pa.binary() for c in _CHUNK_SCHEMA.split(", ")]
 _ASK_SCHEMA = "bucket int, chunk_id long, h1 binary, h2 binary, low binary, many binary"
-_REPLY_SCHEMA = "bucket int, chunk_id long, alive binary, earlier binary"
+_REPLY_SCHEMA = "bucket int, chunk_id long, alive binary, earlier binary, n_alive long"
 _DOC_SCHEMA = "doc_id long, n_words long, n_removed long, kept_sha256 string, longest long, kept string"
 
 
@@ -50,7 +50,7 @@ def pack_chunks(batches: Iterator[pa.RecordBatch], limit: int = CHUNK) -> Iterat
     def flush() -> pa.RecordBatch:
         nonlocal seq
         i, ends, nul = np.concatenate(ids), np.cumsum(np.concatenate(size)), np.concatenate(null)
-        row = [(part << 32) + seq, len(i), packed(i), packed(ends), packed(nul), squeeze.compress(b"".join(text)), b"", b"", b"", 0]
+        row = [(part << 32) + seq, len(i), packed(i), packed(ends), packed(nul), squeeze.compress(b"".join(text))]
         seq += 1
         for x in (ids, size, null, text):
             x.clear()
@@ -88,8 +88,9 @@ class Chunk:
         self.last = np.repeat(self.first[1:], self.counts)  # of each word, where its document's words end
         h = word_hashes(self.data, self.start, self.end)
         self.sums = (prefix(h), prefix(mix(h + U64(1))))
-        self.state = row["state"]
-        self.best = np.frombuffer(row["best"], np.int64) if row["best"] else np.zeros(len(self.ids), np.int64)
+        self.alive = np.zeros(len(self.start) + 1, bool)  # windows of the last level that repeat in another document
+        self.gone = np.zeros(len(self.start), bool)
+        self.best = np.zeros(len(self.ids), np.int64)
 
     def whole(self, length: int) -> np.ndarray:
         """Starts of all windows of that many words inside one document."""
@@ -115,8 +116,7 @@ class Chunk:
         n = lengths[level]
         if level == 0:
             return np.unique(self.anchors(n, lengths[1])[1]), n
-        alive = np.zeros(len(self.start) + 1, bool)
-        alive[: len(self.start)] = np.unpackbits(np.frombuffer(self.state, np.uint8), count=len(self.start)).astype(bool)
+        alive = self.alive
         if level == 1:
             at, where = self.anchors(lengths[0], n)
             return at[alive[where]], n
@@ -126,6 +126,7 @@ class Chunk:
     def distinct(self, at: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
         """(order, group of each ordered position, h1, h2, smallest doc_id, seen in several documents?)"""
         h1, h2 = (mix(spans(s, at, at + length)) for s in self.sums)
+        h2 &= U64(0xFFFFFFFF00000000)  # 96 bits in all travel
         order = np.lexsort((h2, h1))
         a, b = h1[order], h2[order]
         new = np.ones(len(a), bool)
@@ -136,22 +137,27 @@ class Chunk:
         return order, group, a[at0], b[at0], low, low != high
 
 
-def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[Chunk, dict]]:
+def _chunks(batches: Iterator[pa.RecordBatch], level: int, lengths: list[int], bits: int) -> Iterator[tuple[Chunk, dict]]:
+    """Chunks that have taken in the answers of all levels below ``level``."""
     for batch in batches:
         for row in batch.to_pylist():
-            yield Chunk(row), row
+            c = Chunk(row)
+            for k in range(level):
+                _learn(c, [x for x in row["replies"] or [] if x["level"] == k], k, lengths, bits)
+            yield c, row
 
 
 def _asks(level: int, lengths: list[int], bits: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for c, _ in _chunks(batches):
+        for c, _ in _chunks(batches, level, lengths, bits):
             _, _, h1, h2, low, many = c.distinct(*c.asked(level, lengths))
             bucket = (h1 >> U64(64 - bits)).astype(np.int32) if bits else np.zeros(len(h1), np.int32)
+            if not len(h1):
+                continue
             cut = np.flatnonzero(np.diff(bucket, prepend=-1))
-            rows = [(int(bucket[s]), c.id, packed(h1[s:e]), packed(h2[s:e]) if level else b"", packed(low[s:e]), packed(np.packbits(many[s:e]))) for s, e in zip(cut, [*cut[1:], len(h1)], strict=True)]
-            if rows:
-                kinds = [pa.int32(), pa.int64()] + [pa.binary()] * 4
-                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=[x.split()[0] for x in _ASK_SCHEMA.split(", ")])
+            rows = [(int(bucket[s]), c.id, packed(h1[s:e]), packed((h2[s:e] >> U64(32)).astype(np.uint32)) if level else b"", packed(low[s:e]), packed(np.packbits(many[s:e]))) for s, e in zip(cut, [*cut[1:], len(h1)], strict=True)]
+            kinds = [pa.int32(), pa.int64()] + [pa.binary()] * 4
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=[x.split()[0] for x in _ASK_SCHEMA.split(", ")])
 
     return run
 
@@ -160,7 +166,7 @@ def _answer(group: pa.Table) -> pa.Table:
     """All entries of one bucket of hashes -> two bits for each: in several documents? in a smaller one?"""
     rows = group.to_pylist()
     h1 = np.concatenate([np.frombuffer(r["h1"], U64) for r in rows])
-    h2 = np.concatenate([np.frombuffer(r["h2"], U64) for r in rows])
+    h2 = np.concatenate([np.frombuffer(r["h2"], np.uint32) for r in rows])
     low = np.concatenate([np.frombuffer(r["low"], np.int64) for r in rows])
     size = [len(r["low"]) // 8 for r in rows]
     many = np.concatenate([np.unpackbits(np.frombuffer(r["many"], np.uint8), count=n) for r, n in zip(rows, size, strict=True)]).astype(bool)
@@ -183,29 +189,27 @@ def _answer(group: pa.Table) -> pa.Table:
         "chunk_id": pa.array([r["chunk_id"] for r in rows], pa.int64()),
         "alive": pa.array([packed(np.packbits(alive[s:e])) for s, e in zip(cut, cut[1:], strict=False)], pa.binary()),
         "earlier": pa.array([packed(np.packbits(earlier[s:e])) for s, e in zip(cut, cut[1:], strict=False)], pa.binary()),
+        "n_alive": pa.array([int(alive[s:e].sum()) for s, e in zip(cut, cut[1:], strict=False)], pa.int64()),
     })
 
 
-def _learn(c: Chunk, row: dict, level: int, lengths: list[int], bits: int) -> np.ndarray:
-    """Take in a level's answers: the new state, and the words covered by windows seen in smaller documents."""
+def _learn(c: Chunk, replies: list[dict], level: int, lengths: list[int], bits: int) -> None:
+    """Take in one level's answers: which windows live on and, at the asked length, which words go."""
     at, n = c.asked(level, lengths)
     order, group, h1, _, low, _ = c.distinct(at, n)
     bucket = (h1 >> U64(64 - bits)).astype(np.int64) if bits else np.zeros(len(h1), np.int64)
     alive, earlier = np.zeros(len(h1), bool), np.zeros(len(h1), bool)
-    for x in row["replies"] or []:
+    for x in replies:
         s, e = np.searchsorted(bucket, [x["bucket"], x["bucket"] + 1])
         alive[s:e] = np.unpackbits(np.frombuffer(x["alive"], np.uint8), count=e - s)
         earlier[s:e] = np.unpackbits(np.frombuffer(x["earlier"], np.uint8), count=e - s)
-    state = np.zeros(len(c.start), bool)
-    state[at[order]] = alive[group]
-    hit = np.zeros(len(c.start), bool)
-    hit[at[order]] = earlier[group] | (c.ids[c.doc[at[order]]] > low[group])
-    c.state = packed(np.packbits(state))
+    c.alive = np.zeros(len(c.start) + 1, bool)
+    c.alive[at[order]] = alive[group]
+    if level == 1:
+        hit = earlier[group] | (c.ids[c.doc[at[order]]] > low[group])
+        c.gone = cover(at[order][hit], n, len(c.start))
     if level:
-        best = c.best.copy()
-        best[np.unique(c.doc[np.flatnonzero(state)])] = n
-        c.best = best
-    return hit
+        c.best[np.unique(c.doc[np.flatnonzero(c.alive)])] = n
 
 
 def cover(starts: np.ndarray, length: int, n: int) -> np.ndarray:
@@ -216,28 +220,10 @@ def cover(starts: np.ndarray, length: int, n: int) -> np.ndarray:
     return np.cumsum(edge[:-1]) > 0
 
 
-def _advance(level: int, lengths: list[int], bits: int):
-    names = [x.split()[0] for x in _CHUNK_SCHEMA.split(", ")]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for c, row in _chunks(batches):
-            hit = _learn(c, row, level, lengths, bits)
-            gone = packed(np.packbits(cover(np.flatnonzero(hit), lengths[1], len(c.start)))) if level == 1 else row["gone"]
-            row |= {"state": c.state, "best": packed(c.best), "gone": gone, "alive": int(np.unpackbits(np.frombuffer(c.state, np.uint8)).sum())}
-            yield pa.RecordBatch.from_arrays([pa.array([row[k]], t) for k, t in zip(names, _CHUNK_TYPES, strict=True)], names=names)
-
-    return run
-
-
 def _texts(level: int, lengths: list[int], bits: int, with_text: bool):
-    """The documents of chunks joined with the answers of level 1, or of chunks that hold them (level 0)."""
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for c, row in _chunks(batches):
-            if level:
-                gone = cover(np.flatnonzero(_learn(c, row, level, lengths, bits)), lengths[1], len(c.start))
-            else:
-                gone = np.unpackbits(np.frombuffer(row["gone"], np.uint8), count=len(c.start)).astype(bool)
+        for c, row in _chunks(batches, level, lengths, bits):
+            gone = c.gone
             removed = np.add.reduceat(np.append(gone, False).astype(np.int64), c.first[:-1]) * (c.counts > 0)
             null = np.frombuffer(row["nulls"], bool)
             sha, kept = [], []
@@ -286,24 +272,19 @@ def substring_dedup(docs: DataFrame, min_words: int = 13, grow: bool = False, wi
     total = chunks.agg(F.sum(F.expr("octet_length(text)"))).first()[0] or 0
     # about 3 bytes of text in a byte of the chunk, 6 bytes in a word, an anchor for 4 words
     bits = max(0, min(24, int(np.ceil(np.log2(max(1, total * 3 / 6 / 4 / ENTRIES))))))
-    level = 0
+    level, replies, asking = 0, None, chunks
     while True:
-        replies = (
-            chunks.mapInArrow(_asks(level, lengths, bits), _ASK_SCHEMA)
-            .groupBy("bucket").applyInArrow(_answer, _REPLY_SCHEMA)
-            .groupBy("chunk_id").agg(F.collect_list(F.struct("bucket", "alive", "earlier")).alias("replies"))
-        )
-        joined = chunks.drop("alive").join(replies, "chunk_id", "left")
-        if level == 1 and not grow:
-            out = joined.mapInArrow(_texts(level, lengths, bits, with_text), _DOC_SCHEMA)
-            break
-        chunks = materialise(joined.mapInArrow(_advance(level, lengths, bits), _CHUNK_SCHEMA), "none")
-        if level and not chunks.agg(F.sum("alive")).first()[0]:
-            out = chunks.mapInArrow(_texts(0, lengths, bits, with_text), _DOC_SCHEMA)
-            break
+        got = asking.mapInArrow(_asks(level, lengths, bits), _ASK_SCHEMA).groupBy("bucket").applyInArrow(_answer, _REPLY_SCHEMA)
+        got = materialise(got.withColumn("level", F.lit(level)))
+        replies = got if replies is None else replies.unionByName(got)
         level += 1
-        if level >= len(lengths):
+        own = replies.groupBy("chunk_id").agg(F.collect_list(F.struct("level", "bucket", "alive", "earlier")).alias("replies"))
+        asking = chunks.join(own, "chunk_id", "left")
+        if level == len(lengths):
+            if not grow or not got.filter("n_alive > 0").limit(1).count():
+                break
             lengths = [*lengths, 2 * lengths[-1]]
+    out = asking.mapInArrow(_texts(level, lengths, bits, with_text), _DOC_SCHEMA)
     out = out.withColumn("doc_id", F.when(F.col("doc_id") != _NO_ID, F.col("doc_id")))
     return out if with_text else out.drop("kept")
 
