@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from gnomon.llm import substring
+from gnomon.llm import langid, simhash, substring
 
 QUERIES = {
     "op1_substring_dedup": substring.query,
+    "op3_language_id": langid.query,
+    "op4_simhash": simhash.query,
 }
 SQL = {
     "op1_substring_dedup": substring.SQL,
