@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from gnomon.llm import langid, simhash, substring
+from gnomon.llm import bitpack, langid, packing, simhash, substring
 
 QUERIES = {
     "op1_substring_dedup": substring.query,
     "op3_language_id": langid.query,
     "op4_simhash": simhash.query,
+    "op5_packing": packing.query,
+    "op6_token_ids": bitpack.query,
 }
 SQL = {
     "op1_substring_dedup": substring.SQL,
