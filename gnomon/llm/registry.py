@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from gnomon.llm import bitpack, langid, packing, simhash, substring
+from gnomon.llm import bitpack, decontam, langid, packing, quality, simhash, substring
 
 QUERIES = {
     "op1_substring_dedup": substring.query,
@@ -10,7 +10,10 @@ QUERIES = {
     "op4_simhash": simhash.query,
     "op5_packing": packing.query,
     "op6_token_ids": bitpack.query,
+    "op7_decontamination": decontam.query,
+    "op8_quality": quality.query,
 }
 SQL = {
     "op1_substring_dedup": substring.SQL,
+    "op7_decontamination": decontam.SQL,
 }
