@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
-from gnomon.llm import bitpack, decontam, langid, packing, quality, simhash, substring
+from gnomon.llm import bitpack, decontam, html, langid, packing, quality, simhash, substring, suffix, webp
 
 QUERIES = {
     "op1_substring_dedup": substring.query,
+    "op2_main_text": html.query,
     "op3_language_id": langid.query,
     "op4_simhash": simhash.query,
     "op5_packing": packing.query,
     "op6_token_ids": bitpack.query,
     "op7_decontamination": decontam.query,
     "op8_quality": quality.query,
+    "op9_suffix_dedup": suffix.query,
+    "op10_media": webp.query,
 }
 SQL = {
     "op1_substring_dedup": substring.SQL,
