@@ -1,8 +1,80 @@
-"""The corpus pipeline: its stages in order, and run()."""
+"""The corpus pipeline: five stages over documents, each written as Parquet and read again by the next.
 
-STAGES = []
+A stage takes (spark, docs, sf_dir). All but the last return the columns of documents.
+No stage can be put in SQL as a whole (languages are learned, near-duplicates and
+packing have no SQL form), so ORACLE_SQL is None and tests hold stages against brute force.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from gnomon.llm.common import materialise, prepare, table
+from gnomon.llm.decontam import contamination
+from gnomon.llm.langid import identify, train
+from gnomon.llm.packing import pack
+from gnomon.llm.simhash import near_duplicates
+from gnomon.llm.substring import substring_dedup
+
+KNOWN = 0.2  # least share of a text's n-grams that its language must know
+
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drop documents in no learned language: no letter at all, or too few n-grams that any language knows.
+
+    Null texts go; every other column is passed on as it is.
+    """
+    prepare(spark)
+    plain = docs.toDF(*(f"c{k}" if c not in ("doc_id", "text", "lang") else c for k, c in enumerate(docs.columns)))
+    keep = [c for c in plain.columns if c != "doc_id"]
+    kept = identify(plain, train(plain), *keep).filter(f"lang_pred <> 'und' and known >= {KNOWN}")
+    return kept.select(*plain.columns).toDF(*docs.columns)
+
+
+def near_duplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keep one document, that of the smallest doc_id, of each group of near-duplicates (five words, 0.8)."""
+    prepare(spark)
+    gone = near_duplicates(docs).filter("doc_id <> component_id").select("doc_id").distinct()
+    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+
+
+def substring(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Remove passages of 13 or more words that also start in an earlier document; what is emptied goes."""
+    prepare(spark)
+    kept = substring_dedup(docs, with_text=True).filter("n_removed = 0 or n_removed < n_words").select(F.col("doc_id").alias("_id"), F.col("kept").alias("_kept"))
+    other = docs.drop("text").dropDuplicates(["doc_id"])
+    joined = kept.join(other, F.col("_id").eqNullSafe(F.col("doc_id")))
+    return joined.select(*(F.col("_kept").alias("text") if c == "text" else F.length("_kept").cast("long").alias(c) if c == "n_chars" else F.col(c) for c in docs.columns))
+
+
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drop documents that hold passages of the benchmark."""
+    gone = contamination(docs, table(spark, sf_dir, "benchmark")).filter("contaminated").select("doc_id").distinct()
+    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pack what is left into sequences of 1024 token ids."""
+    prepare(spark)
+    return pack(docs)
+
+
+STAGES = [
+    ("language ID", language),
+    ("SimHash near-dedup", near_duplicate),
+    ("substring dedup", substring),
+    ("benchmark decontamination", decontaminate),
+    ("packing", packing),
+]
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over documents."""
+    docs = table(spark, sf_dir, "documents")
+    for k, (_, stage) in enumerate(STAGES):
+        docs = stage(spark, docs, sf_dir)
+        if k < len(STAGES) - 1:
+            docs = materialise(docs)
+    return docs

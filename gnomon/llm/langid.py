@@ -156,7 +156,7 @@ def identify(docs: DataFrame, filters: Filters, *keep: str) -> DataFrame:
             out = {"doc_id": batch.column("doc_id").cast(pa.int64()), "lang_pred": pa.array(pred, pa.string()), "score": pa.array(score, pa.float64()), "known": pa.array(known, pa.float64())}
             yield pa.RecordBatch.from_arrays([*out.values(), *(batch.column(x) for x in keep)], names=[*out, *keep])
 
-    source = documents(docs, *keep)
+    source = documents(docs, *(x for x in keep if x != "text"))
     kinds = ", ".join(f"`{x}` {source.schema[x].dataType.simpleString()}" for x in keep)
     return source.mapInArrow(run, "doc_id long, lang_pred string, score double, known double" + (", " + kinds if keep else ""))
 

@@ -235,6 +235,8 @@ def _texts(level: int, lengths: list[int], bits: int, with_text: bool):
                     parts = [p for p, on in zip(parts, keep.tolist(), strict=True) if on]
                 text = b" ".join(parts)
                 sha.append(hashlib.sha256(text).hexdigest())
+                if not removed[k]:
+                    text = blob[c.offsets[k] : c.offsets[k + 1]]
                 kept.append(text.decode("utf-8", "replace") if with_text and not null[k] else None)
             for s in range(0, len(c.ids), 2000):
                 e = s + 2000
@@ -256,7 +258,8 @@ def substring_dedup(docs: DataFrame, min_words: int = 13, grow: bool = False, wi
     Input: any DataFrame with ``doc_id`` (integer) and ``text``; further columns are ignored.
     Output: doc_id, n_words, n_removed, kept_sha256 (of the kept words joined by one space),
     longest (the longest level at which a window of the document repeats in another document, 0
-    if none) and, with ``with_text``, kept (the kept text; null for a null text). What is removed
+    if none) and, with ``with_text``, kept (the kept words joined by one space, or the text itself
+    if nothing is removed; null for a null text). What is removed
     is settled at the level of ``min_words``; ``grow`` goes on doubling until no candidate
     survives, which only sharpens ``longest``.
 
