@@ -79,19 +79,22 @@ class Chunk:
     def hash(self, start: np.ndarray, end: np.ndarray, salt: int) -> np.ndarray:
         return mix(mix(spans(self.sums, start, end) + (end - start).astype(U64)) + U64(salt))
 
-    def blocks(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(order, class of each ordered block, hash of each class): runs of phrases that cover all windows of one.
-
-        The block of a phrase reaches from its start to the first phrase end that takes in every window
-        starting in it. Blocks of equal phrases lie side by side in the order of the suffix array.
-        """
+    def block_hashes(self) -> np.ndarray:
+        """Of each phrase: the hash of the run of phrases from it on that takes in every window starting in it."""
         start = self.phrase
         final = np.minimum(np.append(self.phrase[1:], len(self.data)), self.phrase_end) - 1 + self.size
         doc_last = np.flatnonzero(self.last)
         own_last = doc_last[np.searchsorted(doc_last, np.arange(len(start)))]
         stop = np.minimum(np.searchsorted(self.phrase_end, final), own_last)
         end = self.phrase_end[stop]
-        h = self.hash(start, end, 1)
+        return self.hash(start, end, 1)
+
+    def blocks(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(order, class of each ordered block, hash of each class): blocks of phrases, grouped by the suffix array.
+
+        Blocks of equal phrases lie side by side in the order of the suffix array over the phrases.
+        """
+        start, h = self.phrase, self.block_hashes()
         symbol = np.unique(self.hash(start, self.phrase_end, 2), return_inverse=True)[1] + 1
         where = np.arange(len(start)) + np.concatenate([[0], np.cumsum(self.last)[:-1]])
         text = np.zeros(len(start) + int(self.last.sum()), np.int64)  # 0 behind each text
@@ -122,21 +125,23 @@ class Chunk:
 class Book:
     """The distinct strings of one question of a chunk, and how its places refer to them."""
 
-    def __init__(self, c: Chunk, level: int, kind: int):
+    def __init__(self, c: Chunk, level: int, kind: int, asked: bool = False):
         self.none = not len(c.at)
         if self.none:
             self.h = self.x = np.empty(0, U64)
             self.group = self.place = np.empty(0, np.int64)
             self.many = np.empty(0, bool)
             return
+        if kind == 0 and asked:  # the classes that were asked for, to take in their answers
+            self.h, self.group, count = np.unique(c.block_hashes(), return_inverse=True, return_counts=True)
+            self.x, self.place, self.many = np.empty(0, U64), np.arange(len(self.group)), count > 1
+            return
         if kind == 0:  # blocks of phrases
             order, group, h = c.blocks()
-            by = np.argsort(h, kind="stable")
-            back = np.empty_like(by)
-            back[by] = np.arange(len(by))
-            self.h, self.x = h[by], np.empty(0, U64)
-            self.place, self.group = order, back[group]
-            self.many = np.bincount(self.group, minlength=len(by)) > 1
+            # equal bytes that were cut otherwise near their end lie apart in the array: one question for both
+            self.h, one = np.unique(h, return_inverse=True)
+            self.x, self.place, self.group = np.empty(0, U64), order, one[group]
+            self.many = np.bincount(self.group, minlength=len(self.h)) > 1
             return
         place, start, end, salt = c.questions(level)[kind - 1]
         if level:
@@ -161,8 +166,8 @@ class Book:
         self.needed_by = order
 
 
-def _books(c: Chunk, level: int) -> list[Book]:
-    return [Book(c, level, k) for k in ((0, 1, 2) if level == 0 else (1,))]
+def _books(c: Chunk, level: int, asked: bool = False) -> list[Book]:
+    return [Book(c, level, k, asked) for k in ((0, 1, 2) if level == 0 else (1,))]
 
 
 def _bits(n: int, raw: list[tuple[slice, bytes]]) -> np.ndarray:
@@ -176,7 +181,7 @@ def _learn(c: Chunk, replies: list[dict], level: int, bits: int) -> None:
     """Take in a level's answers."""
     if not len(c.at):
         return
-    for kind, book in enumerate(_books(c, level)):
+    for kind, book in enumerate(_books(c, level, True)):
         bucket = _bucket(book.h, bits)
         got = [(slice(*np.searchsorted(bucket, [x["bucket"] % (1 << 20), x["bucket"] % (1 << 20) + 1])), x) for x in replies if x["bucket"] >> 20 == kind]
         again = _bits(len(book.h), [(s, x["again"]) for s, x in got]) | book.many
