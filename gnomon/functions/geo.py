@@ -1,0 +1,38 @@
+"""Distances, and predicates that scans can push down."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
+MILES, METRES_PER_MILE = 3958.8, 1609.344  # radius of the sphere; fixed values
+
+
+def haversine_miles(lat1: Column, lng1: Column, lat2: Column, lng2: Column) -> Column:
+    """Great-circle miles; null if any coordinate is null."""
+    h = F.pow(F.sin(F.radians(lat2 - lat1) / 2), 2) + F.cos(F.radians(lat1)) * F.cos(F.radians(lat2)) * F.pow(F.sin(F.radians(lng2 - lng1) / 2), 2)
+    return 2 * MILES * F.asin(F.sqrt(h))
+
+
+def box(lat: Column, lng: Column, at: tuple[float, float], miles: float) -> Column:
+    """A bounding box around a point: a pushed-down filter before the exact distance."""
+    import math
+
+    dy = miles / 69.0 * 1.02
+    dx = dy / max(0.05, math.cos(math.radians(at[0])))
+    return lat.between(at[0] - dy, at[0] + dy) & lng.between(at[1] - dx, at[1] + dx)
+
+
+def radius_metres(miles: Column) -> Column:
+    """Miles as metres, held between 50 and 50,000."""
+    return F.least(F.greatest(miles * METRES_PER_MILE, F.lit(50.0)), F.lit(50000.0))
+
+
+def distance_label(miles: Column) -> Column:
+    """Under 0.1 mi whole metres, under 10 one decimal (ties up), else whole miles."""
+    tenth = F.floor(miles * 10 + 0.5)
+    return (
+        F.when(miles < 0.1, F.format_string("%d m", F.floor(miles * METRES_PER_MILE + 0.5)))
+        .when(miles < 10, F.format_string("%d.%d mi", F.floor(tenth / 10), tenth % 10))
+        .otherwise(F.format_string("%d mi", F.floor(miles + 0.5)))
+    )

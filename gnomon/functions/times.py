@@ -1,0 +1,43 @@
+"""Local dates, wall clocks and freshness."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
+from gnomon.sources.model import FRESH_DAYS
+
+
+def local_date(at: Column, zone: Column) -> Column:
+    return F.to_date(F.from_utc_timestamp(at, zone))
+
+
+def weekday(day: Column) -> Column:
+    """0 is Sunday."""
+    return F.dayofweek(day) - 1
+
+
+def wall_to_utc(wall: Column, zone: Column) -> Column:
+    """The instant of a wall clock by two corrections of a guess.
+
+    Equal to the engine's own conversion except in the hour that a spring change skips,
+    where the second pass moves the instant an hour earlier.
+    """
+    first = wall + (wall - F.from_utc_timestamp(wall, zone))
+    return first + (wall - F.from_utc_timestamp(first, zone))
+
+
+def is_fresh(review: Column, run: Column, received_at: Column, run_at: Column, as_of: Column, days: int = FRESH_DAYS) -> Column:
+    """Approved, last run well, and seen within ``days`` (inclusive); what was received goes before what was run."""
+    return F.coalesce((review == "approved") & run.isin("ok", "no_change") & (F.coalesce(received_at, run_at) >= as_of - F.make_dt_interval(F.lit(days))), F.lit(False))
+
+
+def applies(special: Column, days: Column, valid_from: Column, valid_to: Column, day: Column, empty_means_daily: bool) -> Column:
+    """Whether a rule applies on a day: special rules by their dates alone, regular ones by weekday alone.
+
+    ``days`` is an array of 0 to 6. The feed reads no days as every day, a place's page as never.
+    """
+    dated = (valid_from.isNull() | (day >= valid_from)) & (valid_to.isNull() | (day <= valid_to))
+    listed = F.coalesce(F.array_contains(days, weekday(day)), F.lit(False))
+    weekly = F.when(F.coalesce(F.size(days), F.lit(0)) <= 0, F.lit(empty_means_daily)).otherwise(listed)
+    return F.when(special != "regular", dated).otherwise(weekly)
