@@ -28,7 +28,7 @@ _TOKEN = re.compile(
     r"|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?/][^>]*>|<",
     re.S | re.I,
 )
-_ATTRIBUTE = re.compile(r"""\b(class|id|role|style|hidden|aria-hidden)\b(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+))?""", re.I)
+_ATTRIBUTE = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+))?""")
 _PUNCTUATION = re.compile(r"[.,;:!?…。，；：！？、]")
 
 # Tags that take part in no path: they mark words inside a block.

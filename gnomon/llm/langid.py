@@ -147,7 +147,7 @@ def identify(docs: DataFrame, filters: Filters, *keep: str) -> DataFrame:
                 part = texts[s:e]
                 c, size = model.counts(part)
                 best, total = c.argmax(1), c.sum(1)
-                has = [any(map(str.isalpha, t)) if n <= 0 or n < 40 else True for t, n in zip(part, size, strict=True)]
+                has = [any(map(str.isalpha, t)) for t in part]
                 for k in range(len(part)):
                     pred.append(model.languages[best[k]] if has[k] else "und")
                     score.append(float(c[k, best[k]] / total[k]) if has[k] and total[k] > 0 else (1.0 / len(model.languages) if has[k] else 0.0))

@@ -98,9 +98,9 @@ def test_language(spark):
     rows = [(k, sentences(k, 40, words[l]), l, "s", 1) for k in range(80) for l in [("aa", "bb")[k % 2]]]
     df = frame(spark, rows, SCHEMA)
     filters = train(df)
-    got = {r.doc_id: r for r in identify(frame(spark, [(1, sentences(1, 30, words["aa"])), (2, sentences(2, 30, words["bb"])), *ODD]), filters).collect()}
+    got = {r.doc_id: r for r in identify(frame(spark, [(1, sentences(1, 30, words["aa"])), (2, sentences(2, 30, words["bb"])), (3, "\U0001F600" * 60), *ODD]), filters).collect()}
     assert got[1].lang_pred == "aa" and got[2].lang_pred == "bb" and all(0 <= r.score <= 1 for r in got.values())
-    assert got[900].lang_pred == got[901].lang_pred == got[906].lang_pred == "und" and len(got) == len(ODD) + 2
+    assert got[900].lang_pred == got[901].lang_pred == got[906].lang_pred == got[3].lang_pred == "und" and len(got) == len(ODD) + 3
     assert train(frame(spark, [], SCHEMA)).languages == ["und"]
 
 
@@ -234,6 +234,14 @@ def test_main_text(spark):
     assert got[2].text == got[3].text == got[4].text == "" and got[5].text == "just text, no tags" and all(r.n_chars == len(r.text) for r in got.values())
 
 
+def test_main_text_attribute_names():
+    """Only whole attribute names count, not their endings and not text inside other values."""
+    from gnomon.llm.html import extract
+
+    body = "<p>A first sentence, with commas, of the article.</p><p>A second one, no shorter.</p>"
+    assert extract(f"<body><div data-id='menu'><section title='see id=search'>{body}</section></div><div id='menu'>Home, about.</div></body>") == "A first sentence, with commas, of the article. A second one, no shorter."
+
+
 def test_pipeline_stages(spark):
     import corpus_pipeline as p
 
