@@ -97,28 +97,30 @@ def default_path() -> str:
 def write_ids(docs: DataFrame, path: str | None = None, end_id: int = 1, file_ids: int = FILE_IDS) -> DataFrame:
     """Encode whole texts in ascending doc_id order and store them in files.
 
-    The files are rows (part, seq, n_ids, doc_ids, data) of a table in the shared folder, so any
-    store the cluster writes to will do; ``data`` is the file. Null doc_ids come first; repeated
+    The files are rows (part, seq, before, n_ids, doc_ids, data) of a table in the shared folder, so
+    any store the cluster writes to will do; ``data`` is the file and ``before`` the number of ids in
+    the files of its part that precede it. Null doc_ids come first; repeated
     doc_ids lie side by side. A null or empty text has the end id alone.
     """
     path = path or default_path()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, part, seq = encoder(path), TaskContext.get().partitionId(), 0
+        enc, part, seq, before = encoder(path), TaskContext.get().partitionId(), 0, 0
         width = width_of(enc.tokenizer.get_vocab_size(with_added_tokens=True))
         held: list[np.ndarray] = []
         sizes: list[np.ndarray] = []
         keys: list[int | None] = []
 
         def flush() -> pa.RecordBatch:
-            nonlocal seq
+            nonlocal seq, before
             ids, ends = np.concatenate(held), np.cumsum(np.concatenate(sizes))
             data = encode_file(ids, ends, width)
-            row = [[part], [seq], [len(ids)], [list(keys)], [data]]
+            row = [[part], [seq], [before], [len(ids)], [list(keys)], [data]]
             seq += 1
+            before += len(ids)
             for x in (held, sizes, keys):
                 x.clear()
-            return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(row, [pa.int64()] * 3 + [pa.list_(pa.int64()), pa.binary()], strict=True)], names=["part", "seq", "n_ids", "doc_ids", "data"])
+            return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(row, [pa.int64()] * 4 + [pa.list_(pa.int64()), pa.binary()], strict=True)], names=["part", "seq", "before", "n_ids", "doc_ids", "data"])
 
         n = 0
         for batch in batches:
@@ -137,20 +139,20 @@ def write_ids(docs: DataFrame, path: str | None = None, end_id: int = 1, file_id
 
     source = documents(docs)
     ordered = source.withColumn("doc_id", F.col("doc_id").cast("long")).repartitionByRange("doc_id").sortWithinPartitions("doc_id")
-    return materialise(ordered.mapInArrow(run, "part long, seq long, n_ids long, doc_ids array<long>, data binary"), "none")
+    return materialise(ordered.mapInArrow(run, "part long, seq long, before long, n_ids long, doc_ids array<long>, data binary"), "none")
 
 
 def read_ids(files: DataFrame) -> DataFrame:
     """(doc_id, start, n_tokens, ids_crc32) of all documents, read from the files.
 
-    Only a number for each written partition is gathered, to place it after those before it.
+    Only a number for each written partition is gathered and broadcast, to place it after those before
+    it; that is bounded by the partitions of the write, not by rows. Files are not shuffled.
     """
     spark = files.sparkSession
     sums = sorted((r["part"], r["n"]) for r in files.groupBy("part").agg(F.sum("n_ids").alias("n")).collect())
     before = np.concatenate([[0], np.cumsum([n for _, n in sums])]).tolist()
     base = spark.createDataFrame([(p, b) for (p, _), b in zip(sums, before, strict=False)] or [(0, 0)], "part long, base long")
-    inside = files.select("part", "seq", "n_ids").alias("x").join(files.select("part", "seq", "n_ids").toDF("part", "earlier", "n").alias("y"), "part").filter("earlier < seq").groupBy("part", "seq").agg(F.sum("n").alias("inside"))
-    placed = files.join(base, "part").join(inside, ["part", "seq"], "left").select("doc_ids", "data", (F.col("base") + F.coalesce("inside", F.lit(0))).alias("base"))
+    placed = files.join(F.broadcast(base), "part").select("doc_ids", "data", (F.col("base") + F.col("before")).alias("base"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
