@@ -21,6 +21,7 @@ from gnomon.llm.graph import components
 
 BITS = 64
 TILE = 4096  # fingerprints of one key that are compared in one task
+TILE_BYTES = 64_000_000  # bytes of shingle sets of one key that are compared in one task
 _ALL = U64(0xFFFFFFFFFFFFFFFF)
 
 
@@ -235,20 +236,25 @@ def _sketches(shingle: int, keys: int):
 
 
 def _similar(radius: int, similarity: float):
-    """Groups of rows sharing a key: fingerprints within the radius, then the exact similarity of the shingle sets."""
+    """Groups of rows sharing a key: fingerprints within the radius, then the exact similarity of the shingle sets.
+
+    ``lab`` names what is known to be connected; links between such names are returned.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in _groups(batches):
-            fp, node = t.column("fp").to_numpy().view(U64), t.column("node").to_numpy()
-            end = run_ends(t.column("key").to_numpy(), t.column("part").to_numpy(), node)
+            fp, lab = t.column("fp").to_numpy().view(U64), t.column("lab").to_numpy()
+            part = t.column("part").to_numpy()
+            end = run_ends(t.column("key").to_numpy(), part, part)
             data, offsets, _ = utf8(t.column("grams"))
-            label, shift = np.arange(len(fp)), 0
+            _, first, which = np.unique(lab, return_index=True, return_inverse=True)
+            label, shift = first[which], 0
             longest = int((end - np.arange(len(fp))).max())
             size = np.diff(offsets) // 4
             while shift < longest:
                 a, b = close_lanes(fp, end, shift, radius)
                 shift += 64
-                fit = np.minimum(size[a], size[b]) >= similarity * np.maximum(size[a], size[b])
+                fit = (label[a] != label[b]) & (np.minimum(size[a], size[b]) >= similarity * np.maximum(size[a], size[b]))
                 a, b = a[fit], b[fit]
                 cut = np.flatnonzero(np.diff(a, prepend=-1))
                 for s, e in zip(cut, np.append(cut[1:], len(a)) if len(cut) else cut, strict=True):
@@ -264,36 +270,93 @@ def _similar(radius: int, similarity: float):
                     ok = both >= similarity * (len(mine) + size[js] - both) - 1e-9
                     if ok.any():
                         label = forest(len(fp), np.full(int(ok.sum()), i), js[ok], label)
-            got = np.flatnonzero(label != np.arange(len(fp)))
-            yield pa.RecordBatch.from_arrays([pa.array(node[got]), pa.array(node[label[got]])], names=["a", "b"])
+            got = np.flatnonzero(lab[label] != lab)
+            yield pa.RecordBatch.from_arrays([pa.array(lab[got]), pa.array(lab[label[got]])], names=["a", "b"])
 
     return run
 
 
-def near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, radius: int = 20, keys: int = 5, tile: int = TILE) -> DataFrame:
+def _parts(rows: DataFrame, tile: int, tile_bytes: int) -> DataFrame:
+    """Adds ``parts``: into how many a key's rows are dealt, so that one has about ``tile`` rows and ``tile_bytes`` of sets."""
+    count = rows.groupBy("key").agg(F.count("*").alias("n"), F.sum("bytes").alias("held")).filter("n > 1")
+    return rows.join(count.select("key", F.greatest(F.ceil(F.col("n") / tile), F.ceil(F.col("held") / tile_bytes)).cast("int").alias("parts")), "key")
+
+
+def across(rows: DataFrame, tile: int, tile_bytes: int) -> DataFrame:
+    """Rows (key, node, lab, ...) dealt so that rows of a key with different ``lab`` meet in at least one (key, part).
+
+    A lab with much of a key is dealt into parts of its own, which never meet each other; the other
+    labs share bins. A group that is connected already so costs a copy of its rows for each bin of
+    other rows beside it, not the square of its size. Keys of one lab are left out.
+    """
+    each = rows.groupBy("key", "lab").agg(F.count("*").alias("n"), F.sum("bytes").alias("held"))
+    each = each.withColumn("size", F.greatest(F.col("n") / tile, F.col("held") / tile_bytes)).withColumn("own", F.ceil("size").cast("int"))
+    large = F.col("size") > 0.5
+    # at most two entries of ``large`` for each part of a key
+    many = each.groupBy("key").agg(F.count("*").alias("labs"), F.ceil(F.sum(F.when(~large, F.col("size")).otherwise(0.0))).cast("int").alias("bins"), F.collect_list(F.when(large, F.struct("lab", "own"))).alias("large")).filter("labs > 1")
+    here = rows.join(many, "key").withColumn("mine", F.get(F.filter("large", lambda x: x["lab"] == F.col("lab")), F.lit(0))["own"])
+    name = lambda big, lab, k: F.struct(big.alias("big"), lab.alias("lab"), k.cast("int").alias("k"))
+    none, no = F.lit(0).cast("long"), F.lit(False)
+    bins = F.when(F.col("bins") > 0, F.transform(F.sequence(F.lit(0), F.greatest("bins", F.lit(1)) - 1), lambda k: name(no, none, k))).otherwise(F.array().cast("array<struct<big:boolean,lab:bigint,k:int>>"))
+    parts = F.flatten(F.transform(F.filter("large", lambda x: x["lab"] != F.col("lab")), lambda x: F.transform(F.sequence(F.lit(0), x["own"] - 1), lambda k: name(F.lit(True), x["lab"], k))))
+    me = F.when(F.col("mine").isNotNull(), name(F.lit(True), F.col("lab"), F.pmod(F.xxhash64("node", F.lit(9)), F.col("mine")))).otherwise(name(no, none, F.pmod(F.xxhash64("lab", F.lit(9)), F.greatest("bins", F.lit(1)))))
+    met = here.withColumn("me", me).withColumn("other", F.explode(F.concat(bins, parts)))
+    low, high = F.least("me", "other"), F.greatest("me", "other")
+    return met.withColumn("part", F.xxhash64(low, high)).drop("labs", "bins", "large", "mine", "me", "other")
+
+
+def near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, radius: int = 20, keys: int = 5, tile: int = TILE, tile_bytes: int = TILE_BYTES) -> DataFrame:
     """Group documents whose sets of word shingles have a Jaccard similarity of ``similarity`` or more, and chains of such.
 
     Each document is keyed by its ``keys`` smallest shingle hashes (two sets at 0.8 share none of
     five with a chance of 0.2**5); in a key, fingerprints are compared in bit planes at ``radius``
-    and what passes is checked on the whole shingle sets. Equal sets are one node. Keys of many
-    rows are dealt out in pairs of parts; nothing is dropped.
+    and what passes is checked on the whole shingle sets. Equal sets are one node. A key of many
+    rows or bytes is dealt into parts, each searched alone; one row of each group found in a part is
+    searched again with those of other parts, as long as that leaves far fewer rows; last, rows that
+    are in different groups still are compared across parts. Nothing is dropped.
 
     Output: doc_id, component_id (the group's smallest doc_id). Texts without words form no group:
     each is its own. Null texts count as empty, repeated doc_ids and null doc_ids keep a row each.
     """
     marked = materialise(documents(docs).mapInArrow(_sketches(shingle, keys), "doc_id long, ident binary, fp long, low array<long>, grams binary"))
-    nodes = marked.filter("size(low) > 0").groupBy("ident").agg(F.min("doc_id").alias("node"), F.first("fp").alias("fp"), F.first("low").alias("low")).filter("node is not null")
+    first = F.min(F.struct("doc_id", "fp", "low", F.octet_length("grams").alias("bytes"))).alias("x")  # all but doc_id are equal
+    nodes = marked.filter("size(low) > 0 and doc_id is not null").groupBy("ident").agg(first).select("ident", F.col("x.doc_id").alias("node"), "x.fp", "x.low", "x.bytes")
     nodes = materialise(nodes)
-    keyed = nodes.select("node", "fp", F.explode("low").alias("key"))
-    shared = keyed.groupBy("key").count().filter("count > 1").select("key")
-    keyed = materialise(keyed.join(shared, "key", "left_semi"))
-    sets = keyed.select("node").distinct().join(marked.select(F.col("doc_id").alias("node"), "grams").dropDuplicates(["node"]), "node")
-    rows = tiled(keyed, tile).join(sets, "node")
-    links = rows.repartition("key", "part").sortWithinPartitions("key", "part").select("key", "part", "fp", "node", "grams").mapInArrow(_similar(radius, similarity), "a long, b long")
-    roots = components(links).withColumnRenamed("root", "component_id")
+    keyed = nodes.select("node", "fp", "bytes", F.col("node").alias("lab"), F.explode("low").alias("key"))
+    dealt = materialise(_parts(keyed, tile, tile_bytes).withColumn("part", F.pmod(F.xxhash64("node", F.lit(7)), F.col("parts"))))
+    sets = marked.select(F.col("doc_id").alias("node"), "grams").dropDuplicates(["node"])
+
+    def search(rows: DataFrame) -> DataFrame:
+        whole = rows.select("key", "part", "fp", "node", "lab").join(sets, "node")
+        return whole.repartition("key", "part").sortWithinPartitions("key", "part").select("key", "part", "fp", "lab", "grams").mapInArrow(_similar(radius, similarity), "a long, b long")
+
+    links = materialise(search(dealt))
+    roots = materialise(components(links))
+    hot = dealt.filter("parts > 1").drop("part", "parts")
+    n = hot.count()
+    while n:
+        now = named(hot, roots)
+        heads = now.groupBy("key", "lab").agg(F.min(F.struct("node", "fp", "bytes")).alias("x")).select("key", "lab", "x.*")
+        before, n = n, heads.count()
+        if 2 * n > before:
+            break
+        again = materialise(_parts(heads, tile, tile_bytes).withColumn("part", F.pmod(F.xxhash64("node", F.lit(8)), F.col("parts"))))
+        links = links.union(materialise(search(again)))
+        roots = materialise(components(links))
+        if again.filter("parts > 1").isEmpty():
+            break
+    if n:
+        links = links.union(materialise(search(across(materialise(named(hot, roots)), tile, tile_bytes))))
+        roots = components(links)
+    roots = roots.withColumnRenamed("root", "component_id")
     held = nodes.join(roots, "node", "left").select("ident", F.coalesce("component_id", "node").alias("component_id"))
     return marked.select("doc_id", "ident", (F.size("low") > 0).alias("has")).join(held, "ident", "left").select("doc_id", F.when(F.col("has"), F.coalesce("component_id", "doc_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
+def named(rows: DataFrame, roots: DataFrame) -> DataFrame:
+    """Rows with ``lab`` as the smallest node that theirs is known to be connected to."""
+    return rows.drop("lab").join(roots, "node", "left").withColumn("lab", F.coalesce("root", "node")).drop("root")
+
+
 def query(spark, sf_dir: str) -> DataFrame:
     return simhash_groups(table(spark, sf_dir, "documents"))

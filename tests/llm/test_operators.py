@@ -256,3 +256,51 @@ def test_pipeline_stages(spark):
     assert b.columns == docs.columns and {r.doc_id for r in b.collect()} == {r[0] for r in rows} - {50, 53, 54}
     c = {r.doc_id: r for r in p.substring(spark, b, "").collect()}
     assert c[51].text.endswith(passage) and not c[52].text.endswith(passage) and c[52].n_chars == len(c[52].text) and c[1].text == body(1)
+
+
+def test_near_duplicates_of_one_key(spark):
+    """A large group of near copies beside other texts that share its key: parts of a few rows give the same groups."""
+    from gnomon.llm.simhash import near_duplicates
+
+    r = random.Random(5)
+    vocabulary = [f"w{k}" for k in range(4000)]
+    base = [r.choice(vocabulary) for _ in range(200)]
+    rows = []
+    for k in range(60):  # near copies, and at each tenth a chain that leads away from them
+        t = list(base)
+        t[r.randrange(200)] = f"n{k}"
+        rows.append((k, " ".join(t)))
+    for k in range(100, 124):  # other texts with most of the passage, in pairs
+        t = base[:60] + [random.Random(k // 2).choice(vocabulary) + str(k // 2) for _ in range(150)]
+        rows.append((k, " ".join([*t, str(k)])))
+    sets = {i: {tuple(w[k : k + 5]) for k in range(len(w) - 4)} for i, t in rows for w in [t.split()]}
+    root = {i: i for i in sets}
+    for _ in sets:
+        for a in sets:
+            for b in sets:
+                if 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b]):
+                    root[a] = root[b] = min(root[a], root[b])
+        if all(root[root[i]] == root[i] for i in root):
+            break
+    for tile in (4, 4096):
+        got = {x.doc_id: x.component_id for x in near_duplicates(frame(spark, rows + ODD), tile=tile).collect()}
+        assert {i: got[i] for i in root} == root and got[904] == 904 and len(got) == len(rows + ODD)
+
+
+def test_rows_of_different_groups_meet(spark):
+    """Rows of one key in different groups share a part; those of a large group go where the others are, not to each other."""
+    from gnomon.llm.simhash import across
+
+    labs = {n: 0 if n < 40 else 40 if n < 52 else n for n in range(70)}
+    rows = [(1, n, n, 8, lab) for n, lab in labs.items()] + [(2, n, n, 8, 0) for n in range(9)] + [(3, n, n, 8, n) for n in range(3)] + [(4, n, n, 8, n % 2) for n in range(20)]
+    got = across(spark.createDataFrame(rows, "key long, node long, fp long, bytes long, lab long"), 4, 1000).collect()
+    met: dict = {}
+    for x in got:
+        met.setdefault((x.key, x.part), []).append((x.node, x.lab))
+    together = {(key, a, b) for (key, _), nodes in met.items() for a, _ in nodes for b, _ in nodes}
+    for key in (1, 3, 4):
+        mine = [(n, lab) for k, n, _, _, lab in rows if k == key]
+        assert all((key, a, b) in together for a, x in mine for b, y in mine if x != y)
+    assert all(key != 2 for key, _ in met)
+    copies = sum(x.key == 1 and x.lab == 0 for x in got)
+    assert copies <= 40 * (5 + 3)  # five bins of single rows at most and three parts of the other large group
