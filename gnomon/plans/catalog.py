@@ -9,9 +9,11 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from gnomon.functions import solar
 from gnomon.plans.dialect import duck_sql, spark_sql, with_relations
-from gnomon.sources.model import FRESH_DAYS, REVIEW_STATUS, TEFILLAH, register
+from gnomon.sources.model import FRESH_DAYS, REVIEW_STATUS, TEFILLAH, register, relation
 
 FRESH = f"s.review_status = 'approved' AND s.run_status IN ('ok', 'no_change') AND coalesce(s.last_received_at, s.last_run_at) >= @ago({FRESH_DAYS})"
 LIVE = "coalesce(s.review_status = 'approved' AND s.run_status IN ('ok', 'no_change') AND coalesce(s.last_received_at, s.last_run_at) >= @ago(14), false)"
@@ -102,7 +104,7 @@ Q("duplicate_domain", """WITH host AS (SELECT id, @replace_all(host, '^www\\.',
 Q("exact_url_duplicates", "SELECT p.id FROM place p WHERE EXISTS (SELECT 1 FROM place o WHERE o.submitted_url = p.submitted_url AND o.id < p.id)")
 Q("report_rules", "SELECT t.id, CASE WHEN p.id IS NOT NULL THEN t.rule_id END AS rule_id FROM report t LEFT JOIN place p ON p.id = t.rule_id AND p.id % 20 = t.place_id")
 Q("place_with_sources", "SELECT p.id, p.slug, count(s.id) AS n, min(s.id) AS first_id, max(s.built_at) AS newest FROM place p LEFT JOIN source s ON s.place_id = p.id GROUP BY p.id, p.slug")
-Q("review_payload", "SELECT s.id, p.slug, r.id AS rule_id, r.tefillah FROM source s JOIN place p ON p.id = s.place_id LEFT JOIN rule r ON r.source_id = s.id AND NOT r.is_deleted WHERE s.id BETWEEN 100 AND 140")
+Q("review_payload", "SELECT s.id, p.slug, r.id AS rule_id, r.tefillah FROM source s JOIN place p ON p.id = s.place_id LEFT JOIN rule r ON r.source_id = s.id AND NOT r.is_deleted")
 Q("open_reports", "SELECT t.id, p.slug, t.created_at FROM report t JOIN place p ON p.id = t.place_id WHERE t.status = 'open' ORDER BY t.created_at DESC, t.id LIMIT 100")
 Q("evening_worklist", """SELECT DISTINCT p.id AS place_id, s.id AS source_id, count(CASE WHEN r.tefillah IN ('mincha', 'maariv') AND r.time_kind = 'fixed' THEN 1 END) OVER (PARTITION BY s.id) AS fixed_evening
   FROM place p JOIN source s ON s.place_id = p.id JOIN rule r ON r.source_id = s.id WHERE p.status = 'active' AND s.review_status = 'approved' AND NOT r.is_deleted""")
@@ -220,11 +222,29 @@ Q("mime_kind", "SELECT DISTINCT identifier, strategy, CASE WHEN strategy = 'pdf_
 Q("failure_summary", "SELECT place_id, substring(@join(@sorted(list_of), ' | '), 1, 240) AS summary FROM (SELECT place_id, @collect(concat(coalesce(strategy, 'html'), ' ', run_status)) AS list_of FROM source WHERE run_status IN ('broken', 'error') GROUP BY place_id)")
 Q("address_choice", "SELECT place_id, id FROM (SELECT *, row_number() OVER (PARTITION BY place_id ORDER BY priority, id) AS rn FROM source WHERE confidence >= 0.55e0) WHERE rn = 1")
 Q("edit_validation", f"SELECT r.id, r.tefillah IN ({TEF}) AND (r.time_kind <> 'fixed' OR @matches(r.clock, '^[0-9]{{1,2}}:[0-9]{{2}}$')) AND (coalesce(r.days, '') = '' OR @matches(r.days, '^[0-6](,[0-6])*$')) AS valid, nullif(r.days, '') AS days FROM rule r")
+Q("email_body_hash", f"SELECT page_id, @sha256(substring({_BODY}, 1, 30000)) AS hash FROM pages")
+Q("hostname_tokens", r"""SELECT page_id, token FROM (SELECT page_id, @explode(@split(@replace_all(@replace_all(host, '\.[^.]*$', ''), '[._]', '-'), '-')) AS token
+  FROM (SELECT page_id, @replace_all(lower(regexp_extract(url, '^[a-z]+://([^/?#:]+)', 1)), '^www\.', '') AS host FROM pages)) WHERE @len(token) > 3""")
+Q("identifier_label", r"""SELECT id, identifier, CASE WHEN @matches(identifier, '^.+@') THEN @replace_all(identifier, '@[^@]*$', '') WHEN @matches(identifier, '^[a-z]+://') THEN regexp_extract(identifier, '^[a-z]+://(www\.)?([^/?#:]+)', 2) ELSE identifier END AS label
+  FROM (SELECT id, CASE WHEN id % 3 = 0 THEN concat('gabbai', CAST(id AS VARCHAR(9)), '@', coalesce(match_domain, 'example.org')) ELSE coalesce(submitted_url, name) END AS identifier FROM place)""")
+# What names a picture of a schedule, what never is one, and how much each counts.
+_IMAGE_NEVER = "(logo|icon|favicon|sprite|pixel|tracking|avatar|profile)"
+_IMAGE_WANTED = "(schedule|davening|daven|minyan|bulletin|times|zmanim|tefilla)"
+Q("image_candidates", rf"""WITH tag AS (SELECT page_id, url, lower(attrs) AS attrs, regexp_extract(attrs, 'src="([^"]+)"', 1) AS src FROM (SELECT page_id, url, @explode(@extract_group(html, '<img ([^>]*)>')) AS attrs FROM pages)),
+  ranked AS (SELECT DISTINCT page_id, src, CASE WHEN @matches(attrs, '{_IMAGE_WANTED}') THEN 20 ELSE 0 END + CASE WHEN @matches(lower(src), '[.](jpg|jpeg|png|webp)([?]|$)') THEN 2 ELSE 0 END - CASE WHEN @matches(attrs, '(banner|hero|cover|background)') THEN 5 ELSE 0 END AS score
+    FROM tag WHERE src <> '' AND NOT @matches(src, '^data:') AND NOT @matches(lower(src), '{_IMAGE_NEVER}'))
+  SELECT page_id, src, score FROM (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY score DESC, src) AS rn FROM ranked WHERE score > 0) WHERE rn <= 3""")
+# Messages of failures that are worth another try.
+_TRANSIENT = r"(^|[^0-9a-z])429([^0-9a-z]|$)|(^|[^0-9a-z])5[0-9][0-9]([^0-9a-z]|$)|rate[_ -]?limit|overloaded|too many requests|etimedout|econnreset|econnrefused|enotfound|eai_again|socket hang up|timed? ?out|fetch failed"
+Q("transient_failure", f"""SELECT place_id, bool_or(NOT (status = 'skipped' AND @matches(message, 'budget|kill switch|disabled')) AND (coalesce(http, 0) = 429 OR coalesce(http, 0) >= 500 OR @matches(message, '{_TRANSIENT}'))) AS transient
+  FROM (SELECT place_id, CASE WHEN id % 7 = 0 THEN 'skipped' ELSE 'fetch_failed' END AS status, CASE id % 6 WHEN 0 THEN 'budget reached, fetch failed' WHEN 1 THEN 'socket hang up' WHEN 2 THEN 'status 503 from host' WHEN 3 THEN 'no rules on page 5031' ELSE '' END AS message,
+    CASE WHEN id % 50 = 4 THEN 429 WHEN id % 5 = 0 THEN 404 END AS http FROM source WHERE run_status IN ('broken', 'error')) GROUP BY place_id""")
+Q("mass_breakage", "SELECT count(*) AS n_new, count(*) >= 5 AS mass FROM source WHERE run_status = 'broken' AND first_broken_at >= @ago(7)")
 
 # ---- ingestion: change detection and transitions, as new versions of rows ----
 Q("change_detection", "SELECT s.id, @json(s.config_json, '$.page_content_hash') = concat('h', CAST(s.place_id % 50 AS VARCHAR(9))) AND s.run_status IN ('ok', 'no_change') AS unchanged FROM source s WHERE s.run_status IS NOT NULL")
 Q("skipped_runs", "SELECT s.id FROM source s JOIN place p ON p.id = s.place_id WHERE s.strategy = 'failed' OR p.status = 'unsupported'")
-Q("superseded", "SELECT o.id AS old_id, n.id AS new_id FROM source n JOIN source o ON o.place_id = n.place_id AND o.identifier = n.identifier AND o.id < n.id WHERE o.review_status <> 'rejected' AND n.id % 10 = 0")
+Q("superseded", "SELECT old_id, new_id FROM (SELECT id AS old_id, max(id) OVER (PARTITION BY place_id, identifier) AS new_id, review_status FROM source) WHERE review_status <> 'rejected' AND old_id < new_id")
 Q("broken_run_version", "SELECT id, 'broken' AS run_status, coalesce(first_broken_at, @now()) AS first_broken_at, review_status FROM source WHERE confidence < 0.6e0")
 Q("ok_run_version", "SELECT s.id, 'ok' AS run_status, 'approved' AS review_status, count(CASE WHEN NOT r.is_manual_edit AND NOT r.is_deleted THEN 1 END) AS rules_removed, count(CASE WHEN r.is_manual_edit AND NOT r.is_deleted THEN 1 END) AS rules_kept FROM source s LEFT JOIN rule r ON r.source_id = s.id WHERE s.confidence >= 0.6e0 GROUP BY s.id")
 Q("no_change_version", "SELECT id, @now() AS last_run_at, first_broken_at FROM source WHERE run_status = 'no_change'")
@@ -236,7 +256,7 @@ Q("review_transitions", f"SELECT s.id, CASE WHEN s.review_status = 'pending' AND
 Q("backfilled", "SELECT id, coalesce(address, 'unknown') AS address, CASE WHEN name LIKE '%.%' OR name = '' THEN slug ELSE name END AS name FROM place")
 Q("config_without_hash", r"""SELECT id, @replace_all(config_json, ',"page_content_hash":"[^"]*"', '') AS config_json FROM source""")
 Q("cost_gate", "SELECT budget, spent, NOT (budget > 0 AND spent >= budget) AS allowed FROM (SELECT DISTINCT CAST(l_linenumber * 10 - 20 AS DOUBLE) AS budget, l_quantity AS spent FROM lineitem)")
-Q("fan_out", "SELECT p.id AS place_id, s.id AS source_id, 'weekly' AS reason FROM place p JOIN source s ON s.place_id = p.id WHERE p.status <> 'archived' AND s.review_status = 'approved' AND p.id % 2 = 0")
+Q("fan_out", "SELECT p.id AS place_id, s.id AS source_id, 'weekly' AS reason FROM place p JOIN source s ON s.place_id = p.id WHERE p.status <> 'archived' AND s.review_status = 'approved'")
 Q("insert_or_ignore", "SELECT host, min(id) AS id, count(*) - 1 AS duplicates FROM candidate c WHERE NOT EXISTS (SELECT 1 FROM place p WHERE p.match_domain = c.host) GROUP BY host")
 Q("legacy_transform", """SELECT l_orderkey, l_linenumber, CASE l_linenumber WHEN 1 THEN 'shacharis' WHEN 2 THEN 'mincha' WHEN 3 THEN 'maariv' WHEN 4 THEN 'selichos' ELSE 'other' END AS tefillah, CASE l_shipmode_rule WHEN 0 THEN '0,1,2,3,4,5,6' WHEN 1 THEN '1,2,3,4,5' ELSE '6' END AS days, CASE WHEN enabled THEN 'active' ELSE 'archived' END AS status
   FROM (SELECT l_orderkey, l_linenumber, l_partkey % 3 AS l_shipmode_rule, l_partkey % 5 > 0 AS enabled FROM lineitem WHERE l_linenumber < 7)""")
@@ -263,7 +283,15 @@ def run(name: str) -> Callable[[SparkSession, str], DataFrame]:
     return build
 
 
-QUERIES = {name: run(name) for name in TEXT}
+def sun_times(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every named sun time of every located place on one day, each null where the sun does not get there."""
+    register(spark, sf_dir)
+    day = F.to_date(F.lit("2024-07-08"))
+    located = relation(spark, "place").filter("lat is not null")
+    return located.select("id", *(solar.anchor(name, day, F.col("lat"), F.col("lng")).alias(name) for name in (*solar.ANCHORS, *solar.SHARES)))
+
+
+QUERIES = {name: run(name) for name in TEXT} | {"sun_times": sun_times}
 
 
 def oracle(name: str) -> str:

@@ -22,7 +22,7 @@ def same(value):
 
 
 @HAS_DATA
-@pytest.mark.parametrize("name", ["count_places_by_status", "visible_places", "public_rules_dedup", "nearby_feed", "source_state", "admin_feed", "daily_spend", "guardrail", "page_links", "place_pairs_within"])
+@pytest.mark.parametrize("name", ["count_places_by_status", "visible_places", "public_rules_dedup", "nearby_feed", "source_state", "admin_feed", "daily_spend", "guardrail", "page_links", "place_pairs_within", "superseded", "review_payload", "fan_out", "email_body_hash", "hostname_tokens", "identifier_label", "image_candidates", "transient_failure", "mass_breakage"])
 def test_equals_sql(spark, name):
     from gnomon.plans import catalog
 
@@ -111,3 +111,11 @@ def test_transitions(spark):
     assert (by[2].run_status, by[2].review_status, by[2].first_broken_at) == ("broken", "approved", now) and by[3].run_status == "ok"
     assert {(x.id, x.is_deleted) for x in r.collect()} == {("a", True), ("b", False), ("c", False), ("n", False), ("m", False)}
     assert {(x.source_id, x.status) for x in runs.collect()} == {(1, "ok"), (2, "broken")}
+
+
+@HAS_DATA
+def test_sun_times(spark):
+    from gnomon.plans import catalog
+
+    row = catalog.QUERIES["sun_times"](spark, SF).first()
+    assert row.alos < row.misheyakir < row.hanetz < row.sof_zman_shma < row.chatzos < row.mincha_gedola < row.plag_hamincha < row.shkia < row.tzeis < row.tzeis_72
