@@ -19,7 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gnomon.llm.common import U64, documents, materialise, packed, slices, table, utf8, word_hashes, words
+from gnomon.llm.common import U64, documents, materialise, packed, release, slices, table, utf8, word_hashes, words
 
 SHARD = 4_000_000  # bytes of text in a shard
 QUERY_BYTES = 16_000_000  # text of items that one search carries to all shards; more are searched in turns
@@ -53,6 +53,7 @@ def build_index(docs: DataFrame, vocabulary: np.ndarray, shard: int = SHARD) ->
     known = docs.sparkSession.sparkContext.broadcast(packed(vocabulary))  # bounded by QUERY_BYTES
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         vocab, part, seq = np.frombuffer(known.value, U64), TaskContext.get().partitionId(), 0
         for batch in batches:
             data, offsets, _ = utf8(batch.column("text"))
@@ -201,6 +202,7 @@ def _search(index: DataFrame, where: dict[tuple, set], share: int) -> DataFrame:
     asked = index.sparkSession.sparkContext.broadcast(pickle.dumps(where))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         want = pickle.loads(asked.value)
         for batch in batches:
             for raw in batch.to_pylist():
@@ -239,6 +241,7 @@ def proximity(docs: DataFrame, phrase: str, within: int) -> DataFrame:
     want = np.searchsorted(vocab, terms).tolist()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         for batch in batches:
             for raw in batch.to_pylist():
                 s = Shard(raw)

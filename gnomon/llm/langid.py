@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gnomon.llm.common import U64, documents, mix, powers, table, utf8
+from gnomon.llm.common import U64, documents, mix, powers, release, table, utf8
 
 GRAM = 4  # letters and word bounds in an n-gram
 SLOTS = 1 << 20  # slots of the table, for up to 64 languages
@@ -135,6 +135,7 @@ def identify(docs: DataFrame, filters: Filters, *keep: str) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(pickle.dumps(filters))  # a fixed size: SLOTS times 8 bytes at most
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         model = pickle.loads(shared.value)
         for batch in batches:
             texts = [x or "" for x in batch.column("text").to_pylist()]

@@ -17,7 +17,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gnomon.llm.common import documents, materialise, packed, table
+from gnomon.llm.common import documents, materialise, packed, release, table
 from gnomon.llm.tokens import encoder, text_runs
 
 OPEN = 16  # open windows of a partition
@@ -125,6 +125,7 @@ def pack(docs: DataFrame, path: str | None = None, size: int = 1024, end_id: int
     path = path or default_path()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         part = TaskContext.get().partitionId()
         p, enc = Packer(size, windows, part << 36), encoder(path)
         for batch in batches:

@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gnomon.llm.common import U64, documents, materialise, mix, packed, table, utf8
+from gnomon.llm.common import U64, documents, materialise, mix, packed, release, table, utf8
 from gnomon.llm.graph import components
 
 BITS = 64
@@ -50,6 +50,7 @@ def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
     """(doc_id, text) -> (doc_id, fp); a null or empty text has fingerprint 0."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         for batch in batches:
             data, offsets, _ = utf8(batch.column("text"))
             fp = [majority(shingle_hashes(data[a:b].tobytes(), shingle)) for a, b in zip(offsets, offsets[1:], strict=False)]
@@ -161,6 +162,7 @@ def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
 
 def _links(radius: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         for t in _groups(batches):
             fp = t.column("fp").to_numpy().view(U64)
             key, part = t.column("key").to_numpy(), t.column("part").to_numpy()
@@ -217,6 +219,7 @@ def simhash_groups(docs: DataFrame, shingle: int = 3, radius: int = 3) -> DataFr
 
 def _sketches(shingle: int, keys: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         for batch in batches:
             data, offsets, _ = utf8(batch.column("text"))
             fp, low, sets, ident = [], [], [], []
@@ -242,6 +245,7 @@ def _similar(radius: int, similarity: float):
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         for t in _groups(batches):
             fp, lab = t.column("fp").to_numpy().view(U64), t.column("lab").to_numpy()
             part = t.column("part").to_numpy()

@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gnomon.llm.common import U64, documents, materialise, mix, packed, prefix, slices, spans, table, utf8, word_hashes, words
+from gnomon.llm.common import U64, documents, materialise, mix, packed, prefix, release, slices, spans, table, utf8, word_hashes, words
 
 CHUNK = 2_000_000  # bytes of text in a chunk
 ENTRIES = 1_000_000  # aimed-at entries of one bucket of hashes
@@ -149,6 +149,7 @@ def _chunks(batches: Iterator[pa.RecordBatch], level: int, lengths: list[int], b
 
 def _asks(level: int, lengths: list[int], bits: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         for c, _ in _chunks(batches, level, lengths, bits):
             _, _, h1, h2, low, many = c.distinct(*c.asked(level, lengths))
             bucket = (h1 >> U64(64 - bits)).astype(np.int32) if bits else np.zeros(len(h1), np.int32)
@@ -222,6 +223,7 @@ def cover(starts: np.ndarray, length: int, n: int) -> np.ndarray:
 
 def _texts(level: int, lengths: list[int], bits: int, with_text: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         for c, row in _chunks(batches, level, lengths, bits):
             gone = c.gone
             removed = np.add.reduceat(np.append(gone, False).astype(np.int64), c.first[:-1]) * (c.counts > 0)
