@@ -16,12 +16,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gnomon.llm.common import U64, documents, materialise, mix, packed, release, table, utf8
+from gnomon.llm.common import U64, documents, materialise, mix, packed, release, slices, table, utf8
 from gnomon.llm.graph import components
 
 BITS = 64
 TILE = 4096  # fingerprints of one key that are compared in one task
 TILE_BYTES = 64_000_000  # bytes of shingle sets of one key that are compared in one task
+LOOK = 64  # rows of a key, in order of size, that each is held against before its set is read
+PAIRS = 1 << 20  # shared shingles, and cells of counts, that are held at once
 _ALL = U64(0xFFFFFFFFFFFFFFFF)
 
 
@@ -217,27 +219,45 @@ def simhash_groups(docs: DataFrame, shingle: int = 3, radius: int = 3) -> DataFr
 # ---- near-duplicates by shingle similarity: the same comparison, then an exact check ----
 
 
-def _sketches(shingle: int, keys: int):
+def prefix_length(n: int, similarity: float) -> int:
+    """Of two sets of that similarity, the smallest common element is among so many smallest of each."""
+    return n - int(np.ceil(similarity * n - 1e-9)) + 1 if n else 0
+
+
+def parity(h: np.ndarray) -> bytes:
+    """Bits of how many hashes, odd or even, fall on each; at least as many bits as hashes. Two differ in no more bits than the sets in elements."""
+    bits = 1 << max(6, (len(h) - 1).bit_length())
+    return packed(np.packbits(np.bincount((h & U64(bits - 1)).astype(np.int64), minlength=bits).astype(np.uint8) & 1, bitorder="little"))
+
+
+def _sketches(shingle: int, keys: int, similarity: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         release()
         for batch in batches:
             data, offsets, _ = utf8(batch.column("text"))
-            fp, low, sets, ident = [], [], [], []
+            fp, low, sets, ident, first, odd = [], [], [], [], [], []
             for a, b in zip(offsets, offsets[1:], strict=False):
                 h = np.unique(mix(shingle_hashes(data[a:b].tobytes(), shingle)))
                 fp.append(majority(h))
                 low.append(h[:keys].view(np.int64))
+                first.append(h[: prefix_length(len(h), similarity)].view(np.int64))
+                odd.append(parity(h))
                 short = np.unique((h >> U64(32)).astype(np.uint32))
                 sets.append(packed(short))
                 ident.append(xxhash.xxh3_128_digest(packed(h)))
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id").cast(pa.int64()), pa.array(ident, pa.binary()), pa.array(np.array(fp, U64).view(np.int64)), pa.array([x.tolist() for x in low], pa.list_(pa.int64())), pa.array(sets, pa.binary())],
-                names=["doc_id", "ident", "fp", "low", "grams"],
+                [batch.column("doc_id").cast(pa.int64()), pa.array(ident, pa.binary()), pa.array(np.array(fp, U64).view(np.int64)), _lists(low), _lists(first), pa.array(odd, pa.binary()), pa.array(sets, pa.binary())],
+                names=["doc_id", "ident", "fp", "low", "first", "odd", "grams"],
             )
 
     return run
 
 
+def _lists(found: list[np.ndarray]) -> pa.Array:
+    ends = np.cumsum([0, *map(len, found)]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.empty(0, np.int64), *found])))
+
+
 def _similar(radius: int, similarity: float):
     """Groups of rows sharing a key: fingerprints within the radius, then the exact similarity of the shingle sets.
 
@@ -280,6 +300,149 @@ def _similar(radius: int, similarity: float):
     return run
 
 
+def overlaps(sets: np.ndarray, size: np.ndarray, group: np.ndarray, lab: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(i, j, common elements) of all rows i < j of one group and of different ``lab`` that have a common element.
+
+    ``sets`` holds the rows' sets one after the other; rows are in order of (group, lab). Only elements
+    that two labs of a group share cost more than a sort.
+    """
+    new = np.diff(group, prepend=-1) != 0
+    start = np.flatnonzero(new)[np.cumsum(new) - 1]
+    width = np.bincount(np.cumsum(new) - 1)[np.cumsum(new) - 1]
+    owner = np.repeat(np.arange(len(size), dtype=np.int32), size)
+    code = sets.astype(U64) | (np.cumsum(new)[owner].astype(U64) << U64(32))
+    order = np.argsort(code, kind="stable")
+    code, own = code[order], owner[order]
+    other = run_ends(code, lab[own], code)  # from here on, rows of other labs have the element
+    reach = run_ends(code, code, code) - other
+    live = np.flatnonzero(reach)
+    live = live[np.argsort(own[live], kind="stable")]
+    mine, other, reach = own[live], other[live], reach[live]
+    cells = np.concatenate([[0], np.cumsum(width)])
+    done = np.concatenate([[0], np.cumsum(reach)])
+    for a, b in slices(cells, PAIRS):
+        lo, hi = np.searchsorted(mine, [a, b])
+        if lo == hi:
+            continue
+        count = np.zeros(cells[b] - cells[a], np.int32)
+        for s, e in slices(done[lo : hi + 1], PAIRS):
+            s, e = lo + s, lo + e
+            j = own[np.repeat(other[s:e] - done[s:e], reach[s:e]) + np.arange(done[s], done[e])]
+            i = np.repeat(mine[s:e], reach[s:e])
+            count += np.bincount(cells[i] - cells[a] + j - start[i], minlength=len(count)).astype(np.int32)
+        at = np.flatnonzero(count)
+        i = np.searchsorted(cells, at + cells[a], "right") - 1
+        yield i, at + cells[a] - cells[i] + start[i], count[at]
+
+
+def hopeful(key: np.ndarray, lab: np.ndarray, n: np.ndarray, place: np.ndarray, similarity: float) -> np.ndarray:
+    """Which rows may be similar to one of another ``lab`` that has the key as their first in common; in order of (key, n).
+
+    Sizes must fit, and what either set has from its ``place`` on must be enough. Rows are kept where not
+    all of their key is at hand, or more than LOOK of it would have to be looked at. The slack is for
+    hashes that differ in 64 bits and not in 32.
+    """
+    at = np.arange(len(key))
+    end = run_ends(key, key, key)
+    keep = (key == key[0]) | (end == len(key)) if len(key) else np.zeros(0, bool)
+    left, d = n - place, 1
+    at = at[end > at + 1]
+    while len(at):
+        fits = n[at] >= similarity * n[at + d] - 2  # those after it are larger still
+        at = at[fits]
+        j = at + d
+        if d > LOOK:
+            more = np.zeros(len(key) + 1, np.int64)
+            np.add.at(more, j, 1)
+            np.add.at(more, end[at], -1)
+            keep |= np.cumsum(more[:-1]) > 0
+            keep[at] = True
+            break
+        ok = (lab[at] != lab[j]) & (np.minimum(left[at], left[j]) >= similarity / (1 + similarity) * (n[at] + n[j]) - 2)
+        keep[at[ok]] = keep[j[ok]] = True
+        d += 1
+        at = at[end[at] > at + d]
+    return keep
+
+
+def _hopeful(similarity: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
+        for batch in batches:
+            key, lab, size, place = (batch.column(c).to_numpy().astype(np.int64) for c in ("key", "lab", "bytes", "pos"))
+            keep = hopeful(key, lab, size // 4, place, similarity)
+            yield batch.select(["key", "node", "lab", "bytes"]).filter(pa.array(keep))
+
+    return run
+
+
+def alike(group_end: np.ndarray, lab: np.ndarray, n: np.ndarray, data: np.ndarray, offsets: np.ndarray, similarity: float) -> np.ndarray:
+    """Which rows may be similar to one of their group of another ``lab``, by their parities; in order of (group, n)."""
+    flat, word = data[offsets[0] : offsets[-1]].view(U64), np.diff(offsets) // 8
+    off = (offsets[:-1] - offsets[0]) // 8
+    keep = np.zeros(len(lab), bool)
+
+    def folded(x: np.ndarray, u: int) -> np.ndarray:
+        out = np.zeros((len(x), u), U64)
+        for r in range(int(word[x].max()) // u):
+            m = word[x] > r * u
+            out[m] ^= flat[(off[x[m]] + r * u)[:, None] + np.arange(u)]
+        return out
+
+    at, d = np.flatnonzero(group_end > np.arange(len(lab)) + 1), 1
+    while len(at):
+        at = at[n[at] >= similarity * n[at + d] - 2]  # those after it are larger still
+        a = at[(lab[at] != lab[at + d]) & ~(keep[at] & keep[at + d])]
+        width = np.minimum(word[a], word[a + d])
+        for u in np.unique(width).tolist():
+            those = a[width == u]
+            for s in range(0, len(those), max(1, PAIRS // u)):
+                x = those[s : s + max(1, PAIRS // u)]
+                apart = np.bitwise_count(folded(x, u) ^ folded(x + d, u)).sum(1, dtype=np.int64)
+                ok = apart <= (n[x] + n[x + d]) * (1 - similarity) / (1 + similarity) + 2
+                keep[x[ok]] = keep[x[ok] + d] = True
+        d += 1
+        at = at[group_end[at] > at + d]
+    return keep
+
+
+def _alike(similarity: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
+        for t in _groups(batches):
+            part = t.column("part").to_numpy()
+            end = run_ends(t.column("key").to_numpy(), part, part)
+            keep = alike(end, t.column("lab").to_numpy(), t.column("bytes").to_numpy().astype(np.int64) // 4, *utf8(t.column("odd"))[:2], similarity)
+            yield from t.select(["key", "part", "node", "lab"]).filter(pa.array(keep)).to_batches()
+
+    return run
+
+
+def _exact(similarity: float):
+    """Links of all rows of a group that are similar and of different ``lab``, by counts of what their sets share."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
+        for t in _groups(batches):
+            lab, part = t.column("lab").to_numpy(), t.column("part").to_numpy()
+            end = run_ends(t.column("key").to_numpy(), part, part)
+            data, offsets, _ = utf8(t.column("grams"))
+            _, first, which = np.unique(lab, return_index=True, return_inverse=True)
+            label, size = first[which], np.diff(offsets) // 4
+            bounds = np.concatenate([[0], np.unique(end)])
+            for s, e in slices(offsets[bounds], 4 * PAIRS):
+                s, e = bounds[s], bounds[e]
+                for i, j, both in overlaps(data[offsets[s] : offsets[e]].view(np.uint32), size[s:e], end[s:e], lab[s:e]):
+                    i, j = i + s, j + s
+                    ok = both >= similarity * (size[i] + size[j] - both) - 1e-9
+                    if ok.any():
+                        label = forest(len(label), i[ok], j[ok], label)
+            got = np.flatnonzero(lab[label] != lab)
+            yield pa.RecordBatch.from_arrays([pa.array(lab[got]), pa.array(lab[label[got]])], names=["a", "b"])
+
+    return run
+
+
 def _parts(rows: DataFrame, tile: int, tile_bytes: int) -> DataFrame:
     """Adds ``parts``: into how many a key's rows are dealt, so that one has about ``tile`` rows and ``tile_bytes`` of sets."""
     count = rows.groupBy("key").agg(F.count("*").alias("n"), F.sum("bytes").alias("held")).filter("n > 1")
@@ -312,17 +475,19 @@ def across(rows: DataFrame, tile: int, tile_bytes: int) -> DataFrame:
 def near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, radius: int = 20, keys: int = 5, tile: int = TILE, tile_bytes: int = TILE_BYTES) -> DataFrame:
     """Group documents whose sets of word shingles have a Jaccard similarity of ``similarity`` or more, and chains of such.
 
-    Each document is keyed by its ``keys`` smallest shingle hashes (two sets at 0.8 share none of
-    five with a chance of 0.2**5); in a key, fingerprints are compared in bit planes at ``radius``
-    and what passes is checked on the whole shingle sets. Equal sets are one node. A key of many
-    rows or bytes is dealt into parts, each searched alone; one row of each group found in a part is
-    searched again with those of other parts, as long as that leaves far fewer rows; last, rows that
-    are in different groups still are compared across parts. Nothing is dropped.
+    Equal sets are one node. A first search finds most links at low cost: each document is keyed by
+    its ``keys`` smallest shingle hashes; in a key, fingerprints are compared in bit planes at
+    ``radius`` and what passes is checked on the whole shingle sets. A key of many rows or bytes is
+    dealt into parts, each searched alone; one row of each group found in a part is searched again
+    with those of other parts, as long as that leaves far fewer rows. The second search is exact and
+    uses no fingerprint: documents are keyed by so many smallest hashes (a fifth of the set and one, at
+    0.8) that any similar pair shares one, and in each key all rows that are in different groups still,
+    and that sizes, places of the key and parities of the sets do not rule out for certain, are compared by their whole sets. Nothing is dropped.
 
     Output: doc_id, component_id (the group's smallest doc_id). Texts without words form no group:
     each is its own. Null texts count as empty, repeated doc_ids and null doc_ids keep a row each.
     """
-    marked = materialise(documents(docs).mapInArrow(_sketches(shingle, keys), "doc_id long, ident binary, fp long, low array<long>, grams binary"))
+    marked = materialise(documents(docs).mapInArrow(_sketches(shingle, keys, similarity), "doc_id long, ident binary, fp long, low array<long>, first array<long>, odd binary, grams binary"))
     first = F.min(F.struct("doc_id", "fp", "low", F.octet_length("grams").alias("bytes"))).alias("x")  # all but doc_id are equal
     nodes = marked.filter("size(low) > 0 and doc_id is not null").groupBy("ident").agg(first).select("ident", F.col("x.doc_id").alias("node"), "x.fp", "x.low", "x.bytes")
     nodes = materialise(nodes)
@@ -349,9 +514,16 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8,
         roots = materialise(components(links))
         if again.filter("parts > 1").isEmpty():
             break
-    if n:
-        links = links.union(materialise(search(across(materialise(named(hot, roots)), tile, tile_bytes))))
-        roots = components(links)
+    labs = named(nodes.select("node"), roots)
+    ahead = marked.select(F.col("doc_id").alias("node"), "first", F.octet_length("grams").alias("bytes")).join(labs, "node")
+    ahead = ahead.select("node", "lab", "bytes", F.posexplode("first").alias("pos", "key"))
+    shared = ahead.repartition("key").sortWithinPartitions("key", "bytes").mapInArrow(_hopeful(similarity), "key long, node long, lab long, bytes int")
+    odd = marked.select(F.col("doc_id").alias("node"), "odd").dropDuplicates(["node"])
+    near = across(materialise(shared), tile, tile_bytes // 4).select("key", "part", "node", "lab", "bytes").join(odd, "node")
+    near = near.repartition("key", "part").sortWithinPartitions("key", "part", "bytes").select("key", "part", "node", "lab", "bytes", "odd")
+    met = materialise(near.mapInArrow(_alike(similarity), "key long, part long, node long, lab long")).join(sets, "node")
+    met = met.repartition("key", "part").sortWithinPartitions("key", "part", "lab").select("key", "part", "lab", "grams")
+    roots = components(links.union(materialise(met.mapInArrow(_exact(similarity), "a long, b long"))))
     roots = roots.withColumnRenamed("root", "component_id")
     held = nodes.join(roots, "node", "left").select("ident", F.coalesce("component_id", "node").alias("component_id"))
     return marked.select("doc_id", "ident", (F.size("low") > 0).alias("has")).join(held, "ident", "left").select("doc_id", F.when(F.col("has"), F.coalesce("component_id", "doc_id")).otherwise(F.col("doc_id")).alias("component_id"))

@@ -287,6 +287,79 @@ def test_near_duplicates_of_one_key(spark):
         assert {i: got[i] for i in root} == root and got[904] == 904 and len(got) == len(rows + ODD)
 
 
+def test_near_duplicates_of_few_words(spark):
+    """Short texts, most of them with one word added (similarity just 0.8): every link that brute force finds, no other."""
+    from gnomon.llm.simhash import near_duplicates
+
+    r, rows, want = random.Random(8), [], {}
+    shingles = lambda w: {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))}
+    for k in range(6000):
+        n = 8 if k % 4 else r.randrange(5, 40)
+        t = [f"{k}w{x}" for x in range(n)]
+        u = [*t, "more"] if k % 5 else [*t[:-1], "end"]
+        rows += [(2 * k, " ".join(t)), (2 * k + 1, " ".join(u))]
+        a, b = shingles(t), shingles(u)
+        want |= {2 * k: 2 * k, 2 * k + 1: 2 * k if 5 * len(a & b) >= 4 * len(a | b) else 2 * k + 1}
+    assert {x.doc_id: x.component_id for x in near_duplicates(frame(spark, rows)).collect()} == want
+
+
+def test_overlaps():
+    from gnomon.llm import simhash
+
+    r = np.random.default_rng(3)
+    group = np.sort(r.integers(0, 5, 60))
+    lab = np.concatenate([np.sort(r.integers(0, 6, n)) for n in np.bincount(group)])
+    sets = [np.unique(r.integers(0, 90, r.integers(1, 40))).astype(np.uint32) for _ in group]
+    want = {(i, j): n for i in range(60) for j in range(i + 1, 60) if group[i] == group[j] and lab[i] != lab[j] and (n := len(np.intersect1d(sets[i], sets[j])))}
+    before = simhash.PAIRS
+    try:
+        for simhash.PAIRS in (7, 1 << 20):
+            got = [x for part in simhash.overlaps(np.concatenate(sets), np.array([len(x) for x in sets]), group, lab) for x in zip(*(y.tolist() for y in part), strict=True)]
+            assert len(got) == len(want) and {(i, j): n for i, j, n in got} == want
+    finally:
+        simhash.PAIRS = before
+
+
+@pytest.mark.parametrize("look", [1, 3, 64])
+def test_hopeful_rows(monkeypatch, look):
+    """No similar pair of another group is ruled out in its first key in common."""
+    from gnomon.llm import simhash
+
+    monkeypatch.setattr(simhash, "LOOK", look)
+    r = np.random.default_rng(6)
+    sets = []
+    for _ in range(60):
+        base = r.choice(400, r.integers(2, 60), replace=False)
+        sets += [np.unique(np.where(r.random(len(base)) < p, r.integers(0, 400, len(base)), base)) for p in (0, 0.05, 0.1, 0.5)]
+    rows = sorted((int(h), len(x), i, k) for i, x in enumerate(sets) for k, h in enumerate(x[: simhash.prefix_length(len(x), 0.8)]))
+    key, n, node, place = (np.array(c) for c in zip(*rows, strict=True))
+    kept = {(h, i) for h, i, k in zip(key.tolist(), node.tolist(), simhash.hopeful(key, node, n, place, 0.8).tolist(), strict=True) if k}
+    found = 0
+    for i, x in enumerate(sets):
+        for j in range(i):
+            both = np.intersect1d(x, sets[j])
+            if 5 * len(both) >= 4 * len(np.union1d(x, sets[j])):
+                found += 1
+                assert {(int(both[0]), i), (int(both[0]), j)} <= kept
+    assert found > 50 and (look < 64 or len(kept) < len(rows))
+
+
+def test_alike_rows():
+    from gnomon.llm.common import U64
+    from gnomon.llm.simhash import alike, parity
+
+    r = np.random.default_rng(7)
+    sets = []
+    for _ in range(80):
+        base = r.integers(0, 1 << 63, r.integers(2, 600)).astype(U64)
+        sets += [np.unique(base[r.random(len(base)) < p]) for p in (1, 0.9, 0.82, 0.4)]
+    sets = sorted((x for x in sets if len(x)), key=len)
+    n, odd = np.array([len(x) for x in sets]), [parity(x) for x in sets]
+    keep = alike(np.full(len(n), len(n)), np.arange(len(n)), n, np.frombuffer(b"".join(odd), np.uint8), np.concatenate([[0], np.cumsum([len(x) for x in odd])]), 0.8)
+    want = [any(i != j and 5 * len(np.intersect1d(x, y)) >= 4 * len(np.union1d(x, y)) for j, y in enumerate(sets)) for i, x in enumerate(sets)]
+    assert sum(want) > 100 and keep[want].all() and not keep.all()
+
+
 def test_rows_of_different_groups_meet(spark):
     """Rows of one key in different groups share a part; those of a large group go where the others are, not to each other."""
     from gnomon.llm.simhash import across
