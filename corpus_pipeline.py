@@ -18,17 +18,18 @@ from gnomon.llm.simhash import near_duplicates
 from gnomon.llm.substring import substring_dedup
 
 KNOWN = 0.2  # least share of a text's n-grams that its language must know
+ENOUGH = 32  # n-grams that a text needs for that share to mean something: one or two unseen words have fewer
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop documents in no learned language: no letter at all, or too few n-grams that any language knows.
 
-    Null texts go; every other column is passed on as it is.
+    Texts of fewer than ENOUGH n-grams stay if they have a letter. Null texts go; every other column is passed on as it is.
     """
     prepare(spark)
     plain = docs.toDF(*(f"c{k}" if c not in ("doc_id", "text", "lang") else c for k, c in enumerate(docs.columns)))
     keep = [c for c in plain.columns if c != "doc_id"]
-    kept = identify(plain, train(plain), *keep).filter(f"lang_pred <> 'und' and known >= {KNOWN}")
+    kept = identify(plain, train(plain), *keep).filter(f"lang_pred <> 'und' and (known >= {KNOWN} or n_grams < {ENOUGH})")
     return kept.select(*plain.columns).toDF(*docs.columns)
 
 

@@ -126,9 +126,9 @@ def train(docs: DataFrame, rows: int = ROWS, top: int = GRAMS) -> Filters:
 def identify(docs: DataFrame, filters: Filters, *keep: str) -> DataFrame:
     """Language of every whole text.
 
-    Output: doc_id, lang_pred, score, known and the columns in ``keep``. ``lang_pred`` is a learned
+    Output: doc_id, lang_pred, score, known, n_grams and the columns in ``keep``. ``lang_pred`` is a learned
     language, or 'und' if the text is null or has no letter; ``score`` is that language's share of
-    all corrected hits (0 for 'und'); ``known`` is the share of the text's n-grams in its filter.
+    all corrected hits (0 for 'und'); ``known`` is the share of the text's ``n_grams`` n-grams in its filter (0 of none).
     Ties go to the first language in order of name. Repeated and null doc_ids keep a row each, an
     empty table gives no rows.
     """
@@ -139,7 +139,7 @@ def identify(docs: DataFrame, filters: Filters, *keep: str) -> DataFrame:
         model = pickle.loads(shared.value)
         for batch in batches:
             texts = [x or "" for x in batch.column("text").to_pylist()]
-            pred, score, known, s = [], [], [], 0
+            pred, score, known, n_grams, s = [], [], [], [], 0
             while s < len(texts):
                 e, held = s, 0
                 while e < len(texts) and (e == s or held + len(texts[e]) < 1_000_000):
@@ -148,18 +148,19 @@ def identify(docs: DataFrame, filters: Filters, *keep: str) -> DataFrame:
                 part = texts[s:e]
                 c, size = model.counts(part)
                 best, total = c.argmax(1), c.sum(1)
+                n_grams.extend(size.tolist())
                 has = [any(map(str.isalpha, t)) for t in part]
                 for k in range(len(part)):
                     pred.append(model.languages[best[k]] if has[k] else "und")
                     score.append(float(c[k, best[k]] / total[k]) if has[k] and total[k] > 0 else (1.0 / len(model.languages) if has[k] else 0.0))
                     known.append(float(min(1.0, c[k, best[k]] / size[k])) if size[k] > 0 else 0.0)
                 s = e
-            out = {"doc_id": batch.column("doc_id").cast(pa.int64()), "lang_pred": pa.array(pred, pa.string()), "score": pa.array(score, pa.float64()), "known": pa.array(known, pa.float64())}
+            out = {"doc_id": batch.column("doc_id").cast(pa.int64()), "lang_pred": pa.array(pred, pa.string()), "score": pa.array(score, pa.float64()), "known": pa.array(known, pa.float64()), "n_grams": pa.array(n_grams, pa.int64())}
             yield pa.RecordBatch.from_arrays([*out.values(), *(batch.column(x) for x in keep)], names=[*out, *keep])
 
     source = documents(docs, *(x for x in keep if x != "text"))
     kinds = ", ".join(f"`{x}` {source.schema[x].dataType.simpleString()}" for x in keep)
-    return source.mapInArrow(run, "doc_id long, lang_pred string, score double, known double" + (", " + kinds if keep else ""))
+    return source.mapInArrow(run, "doc_id long, lang_pred string, score double, known double, n_grams long" + (", " + kinds if keep else ""))
 
 
 def query(spark, sf_dir: str) -> DataFrame:

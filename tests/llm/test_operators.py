@@ -258,6 +258,17 @@ def test_pipeline_stages(spark):
     assert c[51].text.endswith(passage) and not c[52].text.endswith(passage) and c[52].n_chars == len(c[52].text) and c[1].text == body(1)
 
 
+def test_language_stage_keeps_short_texts(spark):
+    """A letter, or a word that the sample did not hold, is too little to reject a text; pages of unknown n-grams go."""
+    import corpus_pipeline as p
+
+    rows = [(k, sentences(k, 40), "en", "s", 1) for k in range(40)]
+    short = [(100, "A.", "en", "s", 1), (101, "Qwyx", None, "s", 1), (102, "Zzyzx, vuvuzela!", None, "s", 1)]
+    gone = [(110, "zqxj wvkq " * 40, None, "s", 1), (111, "1 2.", None, "s", 1), (112, "", None, "s", 1), (113, None, None, "s", 1)]
+    got = p.language(spark, frame(spark, rows + short + gone, SCHEMA), "")
+    assert {x.doc_id for x in got.collect()} == {x[0] for x in rows + short} and got.columns == [x.split()[0] for x in SCHEMA.split(", ")]
+
+
 def test_near_duplicates_of_one_key(spark):
     """A large group of near copies beside other texts that share its key: parts of a few rows give the same groups."""
     from gnomon.llm.simhash import near_duplicates
