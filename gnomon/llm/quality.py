@@ -12,6 +12,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -20,7 +21,8 @@ from gnomon.llm.common import documents, table, utf8
 from gnomon.llm.langid import fold
 
 ROWS = 3000  # labelled documents a class, in expectation, that dictionaries and calibration see
-SAMPLE_BYTES = 8192  # of each of these, for the dictionaries
+SAMPLE_BYTES = 8192  # of each of these, at most, that dictionaries can draw on
+PIECE = 64  # bytes of a text that lie together in a dictionary
 DICTIONARY = 110_000  # bytes of a dictionary
 LEVEL = 3
 
@@ -77,18 +79,43 @@ def _sizes(model: bytes):
 _SIZES = "doc_id long, n long, g long, b long"
 
 
-def _dictionary(samples: list[bytes], size: int) -> bytes:
-    """Pieces of the samples, taken in turn; nearer to the end of a dictionary is cheaper to refer to."""
-    if not samples:
-        return b""
-    each = max(64, size // len(samples))
-    return b"".join(s[:each] for s in samples)[:size]
+def pieces(text: bytes) -> list[bytes]:
+    """Pieces from hashed places all over a text, in hashed order; of equal texts they are equal."""
+    n = min(SAMPLE_BYTES, len(text)) // PIECE
+    if not n:
+        return [text] if text else []
+    random = np.random.Generator(np.random.PCG64(xxhash.xxh64_intdigest(text, 8)))
+    edge = np.linspace(0, len(text) - PIECE, n + 1).astype(np.int64)  # one place in each of n parts
+    at = edge[:-1] + (random.random(n) * (np.diff(edge) + 1)).astype(np.int64)
+    return [text[a : a + PIECE] for a in random.permutation(at).tolist()]
+
+
+def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        data, offsets, _ = utf8(batch.column("text"))
+        got = [pieces(data[a:b].tobytes()) for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
+        yield pa.RecordBatch.from_arrays([batch.column("quality"), batch.column("chance"), batch.column("doc_id"), pa.array(got, pa.list_(pa.binary()))], names=["quality", "chance", "doc_id", "pieces"])
+
+
+def _dictionary(samples: list[list[bytes]], size: int) -> bytes:
+    """The first piece of each sample, then the second and so on, without repeats."""
+    taken: dict[bytes, None] = {}
+    held = 0
+    for k in range(max(map(len, samples), default=0)):
+        for s in samples:
+            if k < len(s) and s[k] not in taken:
+                taken[s[k]] = None
+                held += len(s[k])
+                if held >= size:
+                    return b"".join(taken)[:size]
+    return b"".join(taken)
 
 
 def train(docs: DataFrame, labels: DataFrame, rows: int = ROWS) -> Model:
     """Fit on about ``rows`` labelled documents of each class that are not held out, chosen by a hash of doc_id.
 
-    One half makes the dictionaries, the other calibrates. Labels with a null quality are not used.
+    One half makes the dictionaries, the other calibrates. A dictionary has pieces from all over the
+    texts, as many of each as there is room for: 110,000 bytes shared by all samples. Labels with a null quality are not used.
     """
     known = fold(labels.select("doc_id", "quality")).filter("not held_out and quality is not null").dropDuplicates(["doc_id"])
     count = {r["quality"]: r["count"] for r in known.groupBy("quality").count().collect()}
@@ -96,8 +123,8 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = ROWS) -> Model:
     chance = F.pmod(F.xxhash64("doc_id", F.lit(8)), F.lit(1 << 20)) / (1 << 20)
     known = known.withColumn("chance", chance / share).filter("chance < 1").select("doc_id", "quality", "chance")
     picked = documents(docs).filter("text is not null").join(F.broadcast(known), "doc_id")  # about 2 * rows rows
-    first = picked.filter("chance < 0.5").select("quality", F.substring("text", 1, SAMPLE_BYTES).alias("text"), "chance").orderBy("chance").collect()
-    made = [_dictionary([r["text"].encode() for r in first if (r["quality"] == 1) == good], DICTIONARY) for good in (True, False)]
+    first = picked.filter("chance < 0.5").select("quality", "chance", "doc_id", "text").mapInArrow(_pieces, f"quality {known.schema['quality'].dataType.simpleString()}, chance double, doc_id {docs.schema['doc_id'].dataType.simpleString()}, pieces array<binary>").orderBy("chance", "doc_id").collect()
+    made = [_dictionary([[bytes(x) for x in r["pieces"]] for r in first if (r["quality"] == 1) == good], DICTIONARY) for good in (True, False)]
     model = Model(*made)
     second = picked.filter("chance >= 0.5").select("doc_id", "text").mapInArrow(_sizes(pickle.dumps(model)), _SIZES).join(F.broadcast(known), "doc_id").orderBy("doc_id").toPandas()
     model.calibrate(second[["n", "g", "b"]].to_numpy(), (second["quality"] == 1).to_numpy(float))

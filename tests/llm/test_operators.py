@@ -242,6 +242,22 @@ def test_main_text_attribute_names():
     assert extract(f"<body><div data-id='menu'><section title='see id=search'>{body}</section></div><div id='menu'>Home, about.</div></body>") == "A first sentence, with commas, of the article. A second one, no shorter."
 
 
+def test_quality_learns_whole_texts(spark):
+    """Texts of either class open alike for 9,000 bytes and differ only after that."""
+    from gnomon.llm.quality import pieces, score, train
+
+    r = random.Random(4)
+    word = lambda: "".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(7))
+    opening, kinds = " ".join(word() for _ in range(1125)), [[word() for _ in range(150)] for _ in range(2)]
+    rows = [(k, opening + " " + sentences(k, 400, kinds[k % 2])) for k in range(240)]
+    docs, labels = frame(spark, rows), frame(spark, [(k, k % 2, 0) for k, _ in rows], "doc_id long, quality int, toxic int")
+    got = {x.doc_id: x.score for x in score(docs, train(docs, labels)).collect()}
+    held = [k for k, _ in rows if zlib.crc32(str(k).encode()) % 5 == 0]
+    assert np.mean([(got[k] >= 0.5) == (k % 2 == 1) for k in held]) > 0.95
+    text = rows[0][1].encode()
+    assert pieces(text) == pieces(text) and all(x in text for x in pieces(text)) and max(text.index(x) for x in pieces(text)) > 10_000 and pieces(b"") == []
+
+
 def test_pipeline_stages(spark):
     import corpus_pipeline as p
 
