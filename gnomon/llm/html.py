@@ -3,8 +3,8 @@
 Every text node has a path of tags from the root. For each path the lengths of its
 texts and their punctuation are aggregated; both ratios are smoothed along the page,
 fused, and paths above a threshold hold content. The smallest part of the page that
-holds nearly all of it is the article; what menus, forms, notices and the like it
-holds inside is cut out.
+holds all of it is the article, with the headings and blocks right beside it; what menus,
+forms, notices and the like it holds inside is cut out.
 """
 
 from __future__ import annotations
@@ -37,6 +37,7 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 # Parts of a page that are never its article.
 OUTSIDE = frozenset("nav aside footer form button menu dialog head fieldset".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+LEAVES = HEADINGS | frozenset("p li td tr dd dt pre blockquote".split())  # too small to be an article
 _OUTSIDE_NAME = re.compile(
     r"(?:^|[-_\s])(?:ads?|advert\w*|adsense|sponsor\w*|promo\w*|banner|cookies?|consent|gdpr|notice|notification|alert|popup|modal|overlay|side-?bar|widget|menu|nav\w*|breadcrumbs?|pagination|pager"
     r"|footer|masthead|site-?header|page-?header|top-?bar|share|sharing|social|related|recommend\w*|newsletter|subscribe|signup|login|search|comments?|commentlist|disqus|replies|respond|reactions?|tags|hidden|skip-?link)(?:$|[-_\s])",
@@ -80,16 +81,17 @@ def nodes(page: str) -> list[Node]:
     out: list[Node] = []
     stack: list[tuple[str, bool, int]] = []  # tag, outside?, number of the element
     text: list[str] = []
-    linked = in_link = count = 0
+    links: list[str] = []
+    in_link = count = 0
 
     def flush() -> None:
-        nonlocal linked
         if text:
             whole = " ".join(html.unescape("".join(text)).split())
             if whole:
+                linked = len(" ".join(html.unescape("".join(links)).split())) if links else 0
                 out.append(Node(tuple((t, n) for t, _, n in stack), whole, min(linked, len(whole)), bool(stack) and stack[-1][1], any(t in HEADINGS for t, _, _ in stack)))
             text.clear()
-        linked = 0
+        links.clear()
 
     for m in _TOKEN.finditer(page):
         tag = m["tag"]
@@ -98,7 +100,7 @@ def nodes(page: str) -> list[Node]:
             if got[0] != "<":
                 text.append(got)
                 if in_link:
-                    linked += len(got)
+                    links.append(got)
             elif got == "<":
                 text.append("&lt;")
             elif got[:9].upper() == "<![CDATA[":
@@ -158,8 +160,20 @@ def fused_ratios(found: list[Node], sigma: float = 1.0) -> np.ndarray:
     return smooth(length) * (1 + smooth(marks))
 
 
-def extract(page: str | None, share: float = 0.9) -> str:
-    """The main text of one page: blocks in page order joined by one space; empty if there is none."""
+def _shared(paths: list[tuple]) -> tuple:
+    """The deepest element that all paths lie in, above paragraphs, list items, cells and headings."""
+    low, high = min(paths), max(paths)
+    depth = next((k for k, (x, y) in enumerate(zip(low, high, strict=False)) if x != y), min(len(low), len(high)))
+    return low[: next((k for k, (t, _) in enumerate(low[:depth]) if t in LEAVES), depth)]
+
+
+def extract(page: str | None) -> str:
+    """The main text of one page: blocks in page order joined by one space; empty if there is none.
+
+    The article is the lowest element that holds all content, lifted to a main or article around it.
+    Without such a tag the blocks beside it are taken as well. All text of the article is, unless it lies
+    outside; blocks that are not of the article only if they are headings or less than 60 % links.
+    """
     found = [n for n in nodes(page or "") if not n.outside]
     if not found:
         return ""
@@ -168,28 +182,27 @@ def extract(page: str | None, share: float = 0.9) -> str:
     content = (ratio >= min(ratio.std(), ratio.max())) & (own > 0)
     if not content.any():
         content = own > 0
-    weight = np.where(content, own, 0).astype(float)
-    if not weight.sum():
+    if not content.any():
         return ""
-    # the deepest element that holds nearly all of the content; articles and mains before what is inside them
-    base: tuple = ()
-    while True:
-        held: dict = {}
-        for n, w in zip(found, weight, strict=True):
-            if len(n.path) > len(base) and n.path[: len(base)] == base:
-                held[n.path[len(base)]] = held.get(n.path[len(base)], 0.0) + w
-        best = max(held, key=held.get, default=None)
-        if best is None or held[best] < share * weight.sum() or best[0] in ("p", "li", "td", "tr", "dd", "dt", "pre", "blockquote") or best[0] in HEADINGS:
-            break
-        base = (*base, best)
+    at = np.flatnonzero(content)
+    base = _shared([found[k].path for k in at])
     names = [t for t, _ in base]
-    for anchor in ("article", "main"):
+    wide = base
+    for anchor in ("main", "article"):
         if anchor in names:
-            base = base[: names.index(anchor) + 1]
+            wide = base = base[: names.index(anchor) + 1]
             break
+    else:  # past the elements around it that hold nothing else
+        held = sum(n.path[: len(base)] == base for n in found)
+        while wide and wide[-1][0] not in ("body", "html") and sum(n.path[: len(wide)] == wide for n in found) == held:
+            wide = wide[:-1]
+    page_wide = not base or base[-1][0] in ("body", "html")  # then the article is what lies between its content, and what is marked as such
     out = []
-    for n in found:
-        if n.path[: len(base)] == base and (n.linked < 0.6 * len(n.text) or n.heading):
+    for k, n in enumerate(found):
+        if n.path[: len(wide)] != wide:
+            continue
+        inside = (at[0] <= k <= at[-1] or any(t in ("article", "main") for t, _ in n.path)) if page_wide else n.path[: len(base)] == base
+        if inside or n.heading or n.linked < 0.6 * len(n.text):
             out.append(n.text)
     return " ".join(out)
 

@@ -242,6 +242,34 @@ def test_main_text_attribute_names():
     assert extract(f"<body><div data-id='menu'><section title='see id=search'>{body}</section></div><div id='menu'>Home, about.</div></body>") == "A first sentence, with commas, of the article. A second one, no shorter."
 
 
+def test_main_text_beside_the_text_element():
+    """Headline and lead beside the element with the text, a short second article, and lists of links in an article stay."""
+    from gnomon.llm.html import extract
+
+    texts = [f"Paragraph {k} of the text, which goes on for a while, with commas, and ends here." for k in range(10)]
+    body = "".join(f"<p>{t}</p>" for t in texts)
+    links = [f"Source {k} &amp; more" for k in range(4)]
+    refs = "<ul>" + "".join(f"<li><a href=/{k}>  {x}  </a></li>" for k, x in enumerate(links)) + "</ul>"
+    plain = " ".join(x.replace("&amp;", "&") for x in links)
+    menu = "<nav><a href=/>Home</a></nav>"
+    whole = " ".join(texts)
+    head = "<h1>A headline</h1><p class=lead>The lead.</p>"
+    assert extract(f"<body>{menu}<div id=content>{head}<div class=text>{body}</div></div></body>") == "A headline The lead. " + whole
+    assert extract(f"<body>{menu}<div id=content>{head}<div><div class=text>{body}</div></div></div></body>") == "A headline The lead. " + whole
+    assert extract(f"<body>{menu}<article>{body}</article><article><p>A second, short article.</p></article></body>") == whole + " A second, short article."
+    assert extract(f"<body>{menu}<article>{body}{refs}</article></body>") == whole + " " + plain
+    assert extract(f"<body><div>{refs}</div><div class=text>{body}{refs}</div></body>") == whole + " " + plain
+    assert extract(f"<body><main><h1>A headline</h1><article>{body}</article></main></body>") == "A headline " + whole
+
+
+def test_linked_length():
+    """Of links the decoded text counts, as of the block."""
+    from gnomon.llm.html import nodes
+
+    (n,) = nodes("<p>Some words <a href=/>&amp;&amp;&amp;&nbsp; \n\n &amp;</a></p>")
+    assert (n.text, n.linked) == ("Some words &&& &", 5)
+
+
 def test_quality_learns_whole_texts(spark):
     """Texts of either class open alike for 9,000 bytes and differ only after that."""
     from gnomon.llm.quality import pieces, score, train
