@@ -31,9 +31,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The folder all executors share; set to a local one only where the session names none."""
+    """The folder all executors share. Where the session names none: a local one if all runs on this machine, else an error."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
+        master = spark.sparkContext.master
+        if not (master == "local" or master.startswith("local[")):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         at = "file:///tmp/gnomon-checkpoints"
         spark.conf.set("spark.checkpoint.dir", at)
     return at
@@ -42,7 +45,7 @@ def checkpoint_dir(spark: SparkSession) -> str:
 def materialise(df: DataFrame, codec: str = "zstd") -> DataFrame:
     """Write ``df`` once to the shared folder and read it back: cut lineage that survives executors.
 
-    The table is removed when the driver's JVM ends.
+    The table is removed by ``discard``, or else when the driver's JVM ends.
     """
     spark = df.sparkSession
     path = f"{checkpoint_dir(spark)}/gnomon-{uuid.uuid4().hex}"
@@ -50,7 +53,15 @@ def materialise(df: DataFrame, codec: str = "zstd") -> DataFrame:
     jvm = spark._jvm
     where = jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(where)
-    return spark.read.schema(df.schema).parquet(path)
+    back = spark.read.schema(df.schema).parquet(path)
+    back.written_to = where
+    return back
+
+
+def discard(*tables: DataFrame) -> None:
+    """Remove tables that ``materialise`` wrote, once nothing will read them again."""
+    for t in tables:
+        t.written_to.getFileSystem(t.sparkSession._jsc.hadoopConfiguration()).delete(t.written_to, True)
 
 
 def release() -> None:
@@ -95,6 +106,26 @@ def slices(offsets: np.ndarray, limit: int) -> Iterator[tuple[int, int]]:
         a = b
 
 
+def sorted_by(h: np.ndarray, x: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(order, which of the ordered entries differ from the one before): by ``h`` and, where that ties, ``x``.
+
+    Entries that are equal in both come in any order.
+    """
+    order = np.argsort(h)
+    a = h[order]
+    new = np.ones(len(a), bool)
+    new[1:] = a[1:] != a[:-1]
+    if x is not None and len(x) and not new.all():
+        b = x[order]
+        apart = np.zeros(len(a), bool)
+        apart[1:] = b[1:] != b[:-1]
+        if (apart & ~new).any():  # equal in h alone: rare, as h has 64 bits
+            order = np.lexsort((x, h))
+            a, b = h[order], x[order]
+            new[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
+    return order, new
+
+
 def mix(h: np.ndarray) -> np.ndarray:
     """A bijective 64-bit finaliser."""
     h = h ^ (h >> U64(30))
