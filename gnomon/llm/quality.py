@@ -1,8 +1,9 @@
-"""Compression classifier: zstandard dictionaries of good and of bad labelled text.
+"""Compression classifier: zstandard dictionaries trained on good and on bad labelled text.
 
-A text is compressed with either dictionary; it is like the class whose dictionary
-makes it smaller. The normalised difference of the two sizes, with the compression
-ratio that both share, is calibrated to a probability by logistic regression.
+A text is compressed with the dictionaries of either class; it is like the class whose
+dictionary makes it smaller. The difference of the two sizes, normalised by the text's
+size, is calibrated to a probability by logistic regression. There are two pairs of
+dictionaries, short and long ones, and so two differences; nothing else enters a score.
 """
 
 from __future__ import annotations
@@ -21,42 +22,47 @@ from gnomon.llm.common import documents, table, utf8
 from gnomon.llm.langid import fold
 
 ROWS = 3000  # labelled documents a class, in expectation, that dictionaries and calibration see
-SAMPLE_BYTES = 8192  # of each of these, at most, that dictionaries can draw on
-PIECE = 64  # bytes of a text that lie together in a dictionary
-DICTIONARY = 110_000  # bytes of a dictionary
+SAMPLE_BYTES = 65_536  # of a text longer than this, dictionaries draw on so many bytes, from places all over it
+PIECE = 4096  # bytes of such a text that lie together
+DICTIONARIES = ((32_768, 200, 6), (110_000, 1000, 8))  # of each pair: bytes, and the segments and grams that are looked for
 LEVEL = 3
 
 
 class Model:
-    def __init__(self, good: bytes, bad: bytes, weights: np.ndarray | None = None, scale: np.ndarray | None = None):
-        self.good, self.bad, self.weights, self.scale = good, bad, weights, scale
+    """Pairs (good, bad) of dictionaries and the calibration of their differences."""
+
+    def __init__(self, pairs: list[tuple[bytes, bytes]], weights: np.ndarray | None = None, scale: np.ndarray | None = None):
+        self.pairs, self.weights, self.scale = pairs, weights, scale
 
     def compressors(self):
-        return [zstandard.ZstdCompressor(level=LEVEL, dict_data=zstandard.ZstdCompressionDict(d, dict_type=zstandard.DICT_TYPE_RAWCONTENT) if d else None, write_content_size=False, write_checksum=False, write_dict_id=False) for d in (self.good, self.bad)]
+        """Of each pair the good one, then the bad one."""
+        made = [zstandard.ZstdCompressionDict(d) if d else None for pair in self.pairs for d in pair]
+        return [zstandard.ZstdCompressor(level=LEVEL, dict_data=d, write_content_size=False, write_checksum=False, write_dict_id=False) for d in made]
 
     @staticmethod
     def features(sizes: np.ndarray) -> np.ndarray:
-        """(bytes, size with good, size with bad) -> normalised difference, ratio, and their squares and product."""
-        n, g, b = sizes.T.astype(float)
-        diff = (b - g) / np.maximum(1, np.maximum(g, b))
-        ratio = np.log((np.minimum(g, b) + 8) / (n + 8))
-        size = np.log1p(n)
-        return np.column_stack([diff, ratio, size, diff * ratio, diff * size, ratio * size, diff**2, ratio**2])
+        """(bytes, sizes with good and bad of each pair) -> each pair's difference, normalised by size, by its root and by the larger, and with the logarithm of size."""
+        n = sizes[:, :1].astype(float)
+        g, b = sizes[:, 1::2].astype(float), sizes[:, 2::2].astype(float)
+        diff = (b - g) / (n + 16)
+        return np.hstack([diff, diff * np.log1p(n), (b - g) / np.sqrt(n + 16), (b - g) / np.maximum(1, np.maximum(g, b))])
 
     def score(self, sizes: np.ndarray) -> np.ndarray:
         mean, spread = self.scale
         z = (self.features(sizes) - mean) / spread
         return 1 / (1 + np.exp(-np.clip(z @ self.weights[1:] + self.weights[0], -30, 30)))
 
-    def calibrate(self, sizes: np.ndarray, label: np.ndarray) -> None:
-        x = self.features(sizes) if len(sizes) else np.zeros((0, 8))
-        mean, spread = (x.mean(0), x.std(0) + 1e-9) if len(x) else (np.zeros(8), np.ones(8))
+    def calibrate(self, sizes: np.ndarray, label: np.ndarray, weight: np.ndarray) -> None:
+        """Fit to labels that stand for ``weight`` rows each, so that scores are chances in the labelled table."""
+        x = self.features(sizes)
+        mean, spread = (x.mean(0), x.std(0) + 1e-9) if len(x) else (np.zeros(x.shape[1]), np.ones(x.shape[1]))
         z = np.column_stack([np.ones(len(x)), (x - mean) / spread])
-        w = np.zeros(9)
+        w = np.zeros(z.shape[1])
+        weight = weight / max(weight.mean(), 1e-9) if len(weight) else weight
         for _ in range(50):  # Newton's method with a small ridge
             p = 1 / (1 + np.exp(-np.clip(z @ w, -30, 30)))
-            h = (z * (p * (1 - p))[:, None]).T @ z + np.eye(9)
-            step = np.linalg.solve(h, z.T @ (label - p) - w)
+            h = (z * (weight * p * (1 - p))[:, None]).T @ z + np.eye(len(w))
+            step = np.linalg.solve(h, z.T @ (weight * (label - p)) - w)
             w += step
             if np.abs(step).max() < 1e-8:
                 break
@@ -70,24 +76,24 @@ def _sizes(model: bytes):
             data, offsets, _ = utf8(batch.column("text"))
             view = memoryview(data)
             got = [[b - a, *(len(c.compress(view[a:b])) for c in tools)] for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
-            n, g, b = np.array(got, np.int64).reshape(-1, 3).T
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), pa.array(n), pa.array(g), pa.array(b)], names=["doc_id", "n", "g", "b"])
+            sizes = np.array(got, np.int64).reshape(-1, 1 + len(tools))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), pa.FixedSizeListArray.from_arrays(pa.array(sizes.ravel()), sizes.shape[1]).cast(pa.list_(pa.int64()))], names=["doc_id", "sizes"])
 
     return run
 
 
-_SIZES = "doc_id long, n long, g long, b long"
+_SIZES = "doc_id long, sizes array<long>"
 
 
 def pieces(text: bytes) -> list[bytes]:
-    """Pieces from hashed places all over a text, in hashed order; of equal texts they are equal."""
-    n = min(SAMPLE_BYTES, len(text)) // PIECE
-    if not n:
+    """A text, or of a long one pieces from hashed places all over it; of equal texts they are equal."""
+    if len(text) <= SAMPLE_BYTES:
         return [text] if text else []
+    n = SAMPLE_BYTES // PIECE
     random = np.random.Generator(np.random.PCG64(xxhash.xxh64_intdigest(text, 8)))
     edge = np.linspace(0, len(text) - PIECE, n + 1).astype(np.int64)  # one place in each of n parts
     at = edge[:-1] + (random.random(n) * (np.diff(edge) + 1)).astype(np.int64)
-    return [text[a : a + PIECE] for a in random.permutation(at).tolist()]
+    return [text[a : a + PIECE] for a in at.tolist()]
 
 
 def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -97,37 +103,37 @@ def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("quality"), batch.column("chance"), batch.column("doc_id"), pa.array(got, pa.list_(pa.binary()))], names=["quality", "chance", "doc_id", "pieces"])
 
 
-def _dictionary(samples: list[list[bytes]], size: int) -> bytes:
-    """The first piece of each sample, then the second and so on, without repeats."""
-    taken: dict[bytes, None] = {}
-    held = 0
-    for k in range(max(map(len, samples), default=0)):
-        for s in samples:
-            if k < len(s) and s[k] not in taken:
-                taken[s[k]] = None
-                held += len(s[k])
-                if held >= size:
-                    return b"".join(taken)[:size]
-    return b"".join(taken)
+def dictionary(samples: list[bytes], size: int, segment: int, gram: int) -> bytes:
+    """A dictionary trained on the samples, each once; of too few samples to train on, the end of their bytes."""
+    samples = list(dict.fromkeys(samples))
+    while size >= 1024 and len(samples) >= 8:
+        try:
+            return zstandard.train_dictionary(size, samples, k=segment, d=gram).as_bytes()
+        except zstandard.ZstdError:  # more than these samples can fill
+            size //= 2
+    return b"".join(samples)[-4096:]
 
 
 def train(docs: DataFrame, labels: DataFrame, rows: int = ROWS) -> Model:
     """Fit on about ``rows`` labelled documents of each class that are not held out, chosen by a hash of doc_id.
 
-    One half makes the dictionaries, the other calibrates. A dictionary has pieces from all over the
-    texts, as many of each as there is room for: 110,000 bytes shared by all samples. Labels with a null quality are not used.
+    One half trains the dictionaries on whole texts (on pieces from all over those beyond SAMPLE_BYTES,
+    so that the sample is bounded in bytes), the other calibrates. Labels with a null quality are not
+    used; of several labels of one document, the lowest is.
     """
-    known = fold(labels.select("doc_id", "quality")).filter("not held_out and quality is not null").dropDuplicates(["doc_id"])
+    known = fold(labels.select("doc_id", "quality")).filter("not held_out and quality is not null and doc_id is not null").groupBy("doc_id").agg(F.min("quality").alias("quality"))
     count = {r["quality"]: r["count"] for r in known.groupBy("quality").count().collect()}
     share = F.when(F.col("quality") == 1, min(1.0, rows / max(1, count.get(1, 0)))).otherwise(min(1.0, rows / max(1, count.get(0, 0))))
     chance = F.pmod(F.xxhash64("doc_id", F.lit(8)), F.lit(1 << 20)) / (1 << 20)
     known = known.withColumn("chance", chance / share).filter("chance < 1").select("doc_id", "quality", "chance")
     picked = documents(docs).filter("text is not null").join(F.broadcast(known), "doc_id")  # about 2 * rows rows
     first = picked.filter("chance < 0.5").select("quality", "chance", "doc_id", "text").mapInArrow(_pieces, f"quality {known.schema['quality'].dataType.simpleString()}, chance double, doc_id {docs.schema['doc_id'].dataType.simpleString()}, pieces array<binary>").orderBy("chance", "doc_id").collect()
-    made = [_dictionary([[bytes(x) for x in r["pieces"]] for r in first if (r["quality"] == 1) == good], DICTIONARY) for good in (True, False)]
-    model = Model(*made)
+    texts = [[bytes(x) for r in first if (r["quality"] == 1) == good for x in r["pieces"]] for good in (True, False)]
+    model = Model([tuple(dictionary(x, *shape) for x in texts) for shape in DICTIONARIES])
     second = picked.filter("chance >= 0.5").select("doc_id", "text").mapInArrow(_sizes(pickle.dumps(model)), _SIZES).join(F.broadcast(known), "doc_id").orderBy("doc_id").toPandas()
-    model.calibrate(second[["n", "g", "b"]].to_numpy(), (second["quality"] == 1).to_numpy(float))
+    label = (second["quality"] == 1).to_numpy(float)
+    stands_for = np.where(label == 1, max(1.0, count.get(1, 0) / rows), max(1.0, count.get(0, 0) / rows))
+    model.calibrate(np.array(second["sizes"].tolist(), np.int64).reshape(len(second), 1 + 2 * len(model.pairs)), label, stands_for)
     return model
 
 
@@ -137,12 +143,12 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     Null texts score as empty ones, which have the score of the calibration at size 0. Repeated and
     null doc_ids keep a row each; an empty table gives no rows.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(pickle.dumps(model))  # two dictionaries of a fixed size
+    shared = docs.sparkSession.sparkContext.broadcast(pickle.dumps(model))  # four dictionaries of a fixed size
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = pickle.loads(shared.value)
         for batch in _sizes(shared.value)(batches):
-            sizes = np.column_stack([batch.column(c).to_numpy() for c in ("n", "g", "b")])
+            sizes = batch.column("sizes").flatten().to_numpy().reshape(batch.num_rows, -1)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(m.score(sizes) if len(sizes) else np.empty(0))], names=["doc_id", "score"])
 
     return documents(docs).mapInArrow(run, "doc_id long, score double")

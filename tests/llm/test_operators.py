@@ -283,7 +283,31 @@ def test_quality_learns_whole_texts(spark):
     held = [k for k, _ in rows if zlib.crc32(str(k).encode()) % 5 == 0]
     assert np.mean([(got[k] >= 0.5) == (k % 2 == 1) for k in held]) > 0.95
     text = rows[0][1].encode()
-    assert pieces(text) == pieces(text) and all(x in text for x in pieces(text)) and max(text.index(x) for x in pieces(text)) > 10_000 and pieces(b"") == []
+    assert pieces(text) == [text] and pieces(b"") == []
+    text = b"".join(k.to_bytes(3, "big") for k in range(60_000))
+    assert pieces(text) == pieces(text) and all(x in text for x in pieces(text)) and sum(map(len, pieces(text))) == 65_536 and max(text.index(x) for x in pieces(text)) > 150_000
+
+
+def test_quality_is_the_difference_of_sizes(spark):
+    """Scores are the calibrated differences of sizes that plain compression with the model's dictionaries gives."""
+    import zstandard
+
+    from gnomon.llm.quality import LEVEL, score, train
+
+    rows = [(k, sentences(k, 60) if k % 2 else "!!! ".join(sentences(k, 60).upper().split())) for k in range(120)]
+    docs = frame(spark, rows + ODD)
+    model = train(docs, frame(spark, [(k, k % 2, 0) for k, _ in rows] + [(3, None, 0), (None, 1, 0)], "doc_id long, quality int, toxic int"))
+    sizes = []
+    for _, t in rows + ODD:
+        raw = (t or "").encode()
+        made = [zstandard.ZstdCompressor(level=LEVEL, dict_data=zstandard.ZstdCompressionDict(d), write_content_size=False, write_dict_id=False) for pair in model.pairs for d in pair]
+        sizes.append([len(raw), *(len(c.compress(raw)) for c in made)])
+    got = sorted((r.doc_id, r.score) for r in score(docs, model).collect() if r.doc_id is not None)
+    want = sorted((i, float(x)) for (i, _), x in zip(rows + ODD, model.score(np.array(sizes)), strict=True) if i is not None)
+    assert [i for i, _ in got] == [i for i, _ in want] and np.allclose([x for _, x in got], [x for _, x in want])
+    assert score(frame(spark, []), model).count() == 0 and all(x == x for _, x in got)
+    same = np.array([[1000, *([400] * 2 * len(model.pairs))], [1000, *([300] * 2 * len(model.pairs))]])
+    assert np.allclose(*model.score(same))  # without a difference, how well a text compresses says nothing
 
 
 def test_pipeline_stages(spark):
