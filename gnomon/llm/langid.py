@@ -13,13 +13,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gnomon.llm.common import U64, documents, mix, powers, release, table, utf8
 
 GRAM = 4  # letters and word bounds in an n-gram
-SLOTS = 1 << 20  # slots of the table, for up to 64 languages
+SLOTS = 1 << 20  # slots of a table, of 8 bytes at most; there is a table for each 64 languages
 HASHES = 2
 ROWS = 3000  # documents a language, at most in expectation, that filters are fitted on
 GRAMS = 40_000  # most frequent n-grams of a language that its filter takes in
@@ -59,33 +59,37 @@ def slots(h: np.ndarray, k: int) -> np.ndarray:
 
 
 class Filters:
-    """languages, the bit-sliced table and each filter's chance of a false positive."""
+    """languages, the bit-sliced tables (one for each 64 languages) and each filter's chance of a false positive."""
 
     def __init__(self, found: dict[str, np.ndarray]):
-        if len(found) > 64:
-            raise ValueError("more than 64 languages")
         self.languages = sorted(found)
-        kind = next(t for t in (np.uint8, np.uint16, np.uint32, U64) if len(found) <= 8 * np.dtype(t).itemsize)
-        self.table = np.zeros(SLOTS, kind)
+        width = min(64, len(found))
+        self.kind = next(t for t in (np.uint8, np.uint16, np.uint32, U64) if width <= 8 * np.dtype(t).itemsize)
+        self.tables = [np.zeros(SLOTS, self.kind) for _ in range(0, len(found), 64)]
         for bit, name in enumerate(self.languages):
             for k in range(HASHES):
-                np.bitwise_or.at(self.table, slots(found[name], k), kind(1 << bit))
-        self.chance = np.array([((self.table >> kind(bit)) & kind(1)).mean() ** HASHES for bit in range(len(found))])
+                np.bitwise_or.at(self.tables[bit // 64], slots(found[name], k), self.kind(1 << bit % 64))
+        self.chance = np.array([self._bit(self.tables[bit // 64], bit).mean() ** HASHES for bit in range(len(found))])
 
-    def hits(self, h: np.ndarray) -> np.ndarray:
-        """The set of languages, as bits, that may contain each n-gram."""
-        out = self.table[slots(h, 0)]
+    def _bit(self, sets: np.ndarray, bit: int) -> np.ndarray:
+        return (sets >> self.kind(bit % 64)) & self.kind(1)
+
+    def hits(self, h: np.ndarray, table: np.ndarray) -> np.ndarray:
+        """The set of a table's languages, as bits, that may contain each n-gram."""
+        out = table[slots(h, 0)]
         for k in range(1, HASHES):
-            out &= self.table[slots(h, k)]
+            out &= table[slots(h, k)]
         return out
 
     def counts(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(texts x languages) hits corrected for false positives, and the number of n-grams of each text."""
         h, size = grams(texts)
-        sets, edge = self.hits(h), np.concatenate([[0], np.cumsum(size)])
+        edge = np.concatenate([[0], np.cumsum(size)])
         out = np.empty((len(texts), len(self.languages)))
         for bit in range(len(self.languages)):
-            total = np.concatenate([[0], np.cumsum((sets >> self.table.dtype.type(bit)) & self.table.dtype.type(1), dtype=np.int64)])
+            if bit % 64 == 0:
+                sets = self.hits(h, self.tables[bit // 64])
+            total = np.concatenate([[0], np.cumsum(self._bit(sets, bit), dtype=np.int64)])
             out[:, bit] = total[edge[1:]] - total[edge[:-1]]
         return np.maximum(0, out - size[:, None] * self.chance) / (1 - self.chance), size
 
@@ -98,7 +102,8 @@ def fold(df: DataFrame) -> DataFrame:
 def train(docs: DataFrame, rows: int = ROWS, top: int = GRAMS) -> Filters:
     """Fit filters on a sample of about ``rows`` training documents a language, chosen by a hash of doc_id.
 
-    Only text and non-null lang of documents that are not held out are used.
+    Only text and non-null lang of documents that are not held out are used. A filter takes in the ``top``
+    most frequent n-grams of its language's sample, ties by hash; this bounds the model, whatever the corpus.
     """
     learn = fold(documents(docs, "lang")).filter("not held_out and lang is not null and text is not null")
     n = {r["lang"]: r["count"] for r in learn.groupBy("lang").count().collect()}
@@ -116,10 +121,10 @@ def train(docs: DataFrame, rows: int = ROWS, top: int = GRAMS) -> Filters:
                 yield pa.RecordBatch.from_arrays([pa.array([name] * len(h), pa.string()), pa.array(h.view(np.int64)), pa.array(c)], names=["lang", "h", "c"])
 
     counted = picked.mapInArrow(count, "lang string, h long, c long").groupBy("lang", "h").agg(F.sum("c").alias("c"))
-    found = {}
-    for name in n:
-        got = counted.filter(F.col("lang") == name).orderBy(F.desc("c"), "h").limit(top).select("h").toPandas()["h"]
-        found[name] = got.to_numpy(np.int64).view(U64)
+    best = counted.withColumn("rn", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("c"), "h"))).filter(F.col("rn") <= top)
+    got = best.select("lang", "h").toPandas()  # ``top`` rows a language
+    found = {name: np.empty(0, U64) for name in n}
+    found |= {name: h.to_numpy(np.int64).view(U64) for name, h in got.groupby("lang")["h"]}
     return Filters(found)
 
 
@@ -132,7 +137,7 @@ def identify(docs: DataFrame, filters: Filters, *keep: str) -> DataFrame:
     Ties go to the first language in order of name. Repeated and null doc_ids keep a row each, an
     empty table gives no rows.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(pickle.dumps(filters))  # a fixed size: SLOTS times 8 bytes at most
+    shared = docs.sparkSession.sparkContext.broadcast(pickle.dumps(filters))  # a fixed size: SLOTS times 8 bytes at most for each 64 languages
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         release()
