@@ -1,9 +1,10 @@
 """Benchmark decontamination with a distributed positional inverted index.
 
 Documents are cut into shards of a bounded size. A shard's index stores, for every
-term of the asked vocabulary, the sorted positions of its occurrences; shards lie
-in a table and are searched where they lie. A phrase is found by intersecting the
-position lists of its terms, each shifted by the term's offset, from the rarest
+word of its texts, the sorted positions of its occurrences; it is written once, its
+terms in buckets by hash, each bucket in columns of its own, so that a search reads
+only the buckets of the terms it asks for. Windows are found by intersecting the
+position lists of their terms, each shifted by the term's offset, from the rarest
 term of the shard on; proximity by sweeping the lists of all terms.
 """
 
@@ -23,7 +24,9 @@ from gnomon.llm.common import U64, documents, materialise, packed, release, slic
 
 SHARD = 4_000_000  # bytes of text in a shard
 QUERY_BYTES = 16_000_000  # text of items that one search carries to all shards; more are searched in turns
-_INDEX = "shard long, doc_ids binary, firsts binary, terms binary, offsets binary, postings binary"
+BUCKETS = 8  # of terms, by the first bits of their hashes
+_PARTS = ("terms", "offsets", "places")
+_INDEX = "shard long, doc_ids binary, firsts binary, " + ", ".join(f"{x}_{k} binary" for k in range(BUCKETS) for x in _PARTS)
 
 # Words are runs of lower-case letters, digits and anything beyond ASCII.
 _BREAK = np.ones(256, bool)
@@ -44,68 +47,104 @@ def text_terms(text: str | None) -> np.ndarray:
     return term_hashes(raw, np.array([0, len(raw)]))[0]
 
 
-def build_index(docs: DataFrame, vocabulary: np.ndarray, shard: int = SHARD) -> DataFrame:
-    """Positional postings of the words whose hashes are in the sorted ``vocabulary``, a row a shard, written once.
+def build_index(docs: DataFrame, shard: int = SHARD) -> DataFrame:
+    """Positional postings of all words, a row a shard, written once.
 
     Words are numbered through a shard with a gap of one between documents, so that no phrase
-    crosses one. Every document is in exactly one shard, with all its words counted.
+    crosses one. Every document is in exactly one shard, with all its words.
     """
-    known = docs.sparkSession.sparkContext.broadcast(packed(vocabulary))  # bounded by QUERY_BYTES
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         release()
-        vocab, part, seq = np.frombuffer(known.value, U64), TaskContext.get().partitionId(), 0
+        part, seq = TaskContext.get().partitionId(), 0
         for batch in batches:
             data, offsets, _ = utf8(batch.column("text"))
             ids = batch.column("doc_id").cast(pa.int64()).to_numpy(zero_copy_only=False)
             for a, b in slices(offsets, shard):
                 h, first = term_hashes(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
-                at = np.minimum(np.searchsorted(vocab, h), max(0, len(vocab) - 1))
-                got = np.flatnonzero(vocab[at] == h) if len(vocab) else np.empty(0, np.int64)
-                term = at[got].astype(np.uint32)
-                doc = np.searchsorted(first, got, "right") - 1
-                order = np.argsort(term, kind="stable")
-                term, place = term[order], (got + doc)[order].astype(np.uint32)
-                cut = np.flatnonzero(np.diff(term.astype(np.int64), prepend=-1))
-                row = [(part << 32) + seq, packed(ids[a:b]), packed(first), packed(term[cut]), packed(np.append(cut, len(term))), packed(place)]
+                row = [(part << 32) + seq, packed(ids[a:b]), packed(first), *_postings(h, first)]
                 seq += 1
-                yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, [pa.int64()] + [pa.binary()] * 5, strict=True)], names=[x.split()[0] for x in _INDEX.split(", ")])
+                yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, [pa.int64()] + [pa.binary()] * (len(row) - 1), strict=True)], names=[x.split()[0] for x in _INDEX.split(", ")])
 
     source = documents(docs).withColumn("doc_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID)))
     return materialise(source.mapInArrow(run, _INDEX))
 
 
+def _postings(h: np.ndarray, first: np.ndarray) -> Iterator[bytes]:
+    """For each bucket: its terms in order, where each one's list begins and ends, and the lists as steps."""
+    order = np.argsort(h, kind="stable")  # lists stay in order of position
+    term, place = h[order], order + np.searchsorted(first, order, "right") - 1
+    for a, b in zip(*(np.searchsorted(term >> U64(61), np.arange(BUCKETS) + x) for x in (0, 1)), strict=True):
+        t = term[a:b]
+        cut = np.flatnonzero(np.concatenate([np.ones(min(1, len(t)), bool), t[1:] != t[:-1]]))
+        yield packed(t[cut])
+        yield packed(np.append(cut, len(t)).astype(np.uint32))
+        yield packed(np.diff(place[a:b], prepend=0).astype(np.uint32))
+
+
 _NO_ID = -(1 << 63)  # stands for a null doc_id while numbers are packed
 
 
+def asked(index: DataFrame, terms: np.ndarray) -> DataFrame:
+    """The columns of the index that hold these terms."""
+    return index.select("shard", "doc_ids", "firsts", *(f"{x}_{k}" for k in np.unique(terms >> U64(61)).tolist() for x in _PARTS))
+
+
 class Shard:
+    """A shard's documents and the postings of the buckets that were read."""
+
     def __init__(self, row: dict):
         self.id = row["shard"]
         self.ids = np.frombuffer(row["doc_ids"], np.int64)
         self.first = np.frombuffer(row["firsts"], np.int64)
-        self.terms = np.frombuffer(row["terms"], np.uint32)
-        self.offsets = np.frombuffer(row["offsets"], np.int64)
-        self.places = np.frombuffer(row["postings"], np.uint32).astype(np.int64)
         self.counts = np.diff(self.first)
         self.starts = self.first[:-1] + np.arange(len(self.ids))  # of each document, with the gaps
-
-    def postings(self, term: int) -> np.ndarray:
-        k = int(np.searchsorted(self.terms, term))
-        if k == len(self.terms) or self.terms[k] != term:
-            return self.places[:0]
-        return self.places[self.offsets[k] : self.offsets[k + 1]]
-
-    def phrase(self, terms: list[int]) -> np.ndarray:
-        """Positions where the terms stand one after the other."""
-        lists = [(self.postings(t), k) for k, t in enumerate(terms)]
-        lists.sort(key=lambda x: len(x[0]))
-        at = lists[0][0] - lists[0][1]
-        for found, k in lists[1:]:
+        self.total = int(self.starts[-1] + self.counts[-1]) if len(self.ids) else 0
+        here = [k for k in range(BUCKETS) if f"terms_{k}" in row]
+        parts = [[np.frombuffer(row[f"{x}_{k}"], t) for x, t in zip(_PARTS, (U64, np.uint32, np.uint32), strict=True)] for k in here]
+        self.terms = np.concatenate([np.empty(0, U64), *(t for t, _, _ in parts)])
+        size = np.concatenate([np.empty(0, np.int64), *(np.diff(o.astype(np.int64)) for _, o, _ in parts)])
+        self.offsets = np.concatenate([[0], np.cumsum(size)])
+        self.places = np.concatenate([np.empty(0, np.int64), *(np.cumsum(p, dtype=np.uint32).astype(np.int64) for _, _, p in parts)])
+
+    def rank(self, terms: np.ndarray) -> np.ndarray:
+        """The number of each term's list, -1 where the shard does not have it."""
+        if not len(self.terms):
+            return np.full(len(terms), -1)
+        k = np.minimum(np.searchsorted(self.terms, terms), len(self.terms) - 1)
+        return np.where(self.terms[k] == terms, k, -1)
+
+    def phrases(self, lists: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(which phrase, position) of all places where a phrase's terms stand one after the other.
+
+        ``lists`` holds a phrase a row as the numbers of its terms' lists. Each phrase starts from the
+        list of its rarest term; what is left is looked up in the list of the next rarest, and so on.
+        """
+        df = np.diff(self.offsets)[lists]
+        by = np.argsort(df, axis=1, kind="stable")
+        row = np.arange(len(lists))
+        rarest = lists[row, by[:, 0]]
+        n = self.offsets[rarest + 1] - self.offsets[rarest]
+        which = np.repeat(row, n)
+        at = self.places[np.repeat(self.offsets[rarest] - np.cumsum(n) + n, n) + np.arange(n.sum())] - np.repeat(by[:, 0], n)
+        if self.keys is None:  # (list, position) of all postings, in order
+            self.keys = np.repeat(np.arange(len(self.terms)), np.diff(self.offsets)) * (self.total + 1) + self.places
+        for turn in range(1, lists.shape[1]):
+            k = by[which, turn]
+            key = lists[which, k] * (self.total + 1) + at + k
+            j = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+            ok = (self.keys[j] == key) & (at >= 0) & (at + k <= self.total)
+            which, at = which[ok], at[ok]
             if not len(at):
                 break
-            j = np.searchsorted(found, at + k)
-            at = at[(j < len(found)) & (found[np.minimum(j, len(found) - 1)] == at + k)] if len(found) else at[:0]
-        return at
+        return which, at
+
+    keys: np.ndarray | None = None
+
+    def postings(self, term: int) -> np.ndarray:
+        """Positions of a term, by its hash."""
+        k = int(self.rank(np.array([term], U64))[0])
+        return self.places[self.offsets[k] : self.offsets[k + 1]] if k >= 0 else self.places[:0]
 
     def near(self, terms: list[int], within: int) -> np.ndarray:
         """Starts of the spans of at most ``within`` words of one document that hold all the terms."""
@@ -123,21 +162,21 @@ class Shard:
         return start[ok & (last - start < within) & (doc == np.searchsorted(self.starts, last, "right"))]
 
 
-def windows(item: list[int], size: int) -> list[tuple[int, ...]]:
-    """All windows of ``size`` terms; an item of fewer, but not none, is one window."""
-    if not item:
-        return []
-    return [tuple(item[k : k + size]) for k in range(max(1, len(item) - size + 1))]
+def windows(item: np.ndarray, size: int) -> np.ndarray:
+    """All windows of ``size`` terms, a row each; an item of fewer, but not none, is one window."""
+    if not len(item):
+        return np.empty((0, size), item.dtype)
+    return np.lib.stride_tricks.sliding_window_view(item, min(size, len(item)))
 
 
 def _item_blocks(items: DataFrame, limit: int) -> Iterator[list[tuple]]:
     block: list[tuple] = []
     held = 0
-    for r in items.select("item_id", "text").toLocalIterator():
+    for r in items.select(F.col("item_id").cast("string").alias("item_id"), F.col("text").cast("string").alias("text")).toLocalIterator():
         if block and held + len(r["text"] or "") * 4 > limit:
             yield block
             block, held = [], 0
-        block.append((str(r["item_id"]), text_terms(r["text"])))
+        block.append((r["item_id"], text_terms(r["text"])))
         held += len(r["text"] or "") * 4
     yield block
 
@@ -151,24 +190,30 @@ def contamination(docs: DataFrame, items: DataFrame, size: int = 13, share: int
     by commas), contaminated (n_hit > 0 and ``share`` * n_hit >= n_words) and hits (the hit words as
     packed bits, lowest first).
 
-    Items go to the shards in blocks of at most ``limit`` bytes. Null and empty texts have no words,
-    on either side; without items nothing is hit. Items that repeat an id count once. Repeated and
-    null doc_ids keep a row each. An empty table of documents gives no rows.
+    The index is written once; items are searched in blocks of at most ``limit`` bytes. Null and empty
+    texts have no words, on either side; without items nothing is hit. Items that repeat an id count
+    once; items with a null id count as one more, which the digest leaves out. Repeated and null
+    doc_ids keep a row each. An empty table of documents gives no rows.
     """
-    found = None
+    index, found = build_index(docs), []
     for block in _item_blocks(items, limit):
-        vocab = np.unique(np.concatenate([t for _, t in block])) if block else np.empty(0, U64)
-        where: dict[tuple, set] = {}
+        names = list(dict.fromkeys(name for name, _ in block))
+        by_size: dict[int, tuple[list, list]] = {}
+        number = {n: k for k, n in enumerate(names)}
         for name, terms in block:
-            for w in windows(np.searchsorted(vocab, terms).tolist(), size):
-                where.setdefault(w, set()).add(name)
-        got = _search(build_index(docs, vocab), where, share)
-        found = got if found is None else found.unionByName(got)
-        blocks = 1 if found is got else 2
-    if blocks == 1:
-        return found.drop("row", "items")
-    # each document of a source has the same place in all turns' shards only if they cut alike: they read the same input
-    return found.groupBy("row").applyInArrow(_joined(share), _FOUND).drop("row", "items")
+            w = windows(terms, size)
+            rows, owners = by_size.setdefault(w.shape[1], ([], []))
+            rows.append(w)
+            owners.append(np.full(len(w), number[name]))
+        want = [(np.concatenate(rows), np.concatenate(owners)) for rows, owners in by_size.values()]
+        found.append(_search(index, [x for x in want if len(x[0])], names, share))
+    if len(found) == 1:
+        return found[0].drop("row", "items")
+    whole = found[0]
+    for more in found[1:]:
+        whole = whole.unionByName(more)
+    # a document's row is its place in the index, which was written once
+    return whole.groupBy("row").applyInArrow(_joined(share), _FOUND).drop("row", "items")
 
 
 _FOUND = "row string, doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, hits binary, items array<string>"
@@ -180,9 +225,9 @@ def _rows(rows: list[tuple]) -> pa.RecordBatch:
 
 
 def _row(key: str, doc: int | None, n: int, hit: np.ndarray, items: set, share: int) -> tuple:
-    names = sorted(items)
+    names = sorted(x for x in items if x is not None)
     k = int(hit.sum())
-    return key, doc, n, k, len(names), hashlib.sha256(",".join(names).encode()).hexdigest(), k > 0 and share * k >= n, packed(np.packbits(hit, bitorder="little")), names
+    return key, doc, n, k, len(items), hashlib.sha256(",".join(names).encode()).hexdigest(), k > 0 and share * k >= n, packed(np.packbits(hit, bitorder="little")), list(items)
 
 
 def _joined(share: int):
@@ -198,47 +243,52 @@ def _joined(share: int):
     return run
 
 
-def _search(index: DataFrame, where: dict[tuple, set], share: int) -> DataFrame:
-    asked = index.sparkSession.sparkContext.broadcast(pickle.dumps(where))
+def _search(index: DataFrame, want: list[tuple[np.ndarray, np.ndarray]], names: list, share: int) -> DataFrame:
+    """Documents with what a block of items hits: ``want`` has windows of one size each, and the number of each one's item."""
+    shared = index.sparkSession.sparkContext.broadcast(pickle.dumps((want, names)))  # bounded by the block
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         release()
-        want = pickle.loads(asked.value)
+        want, names = pickle.loads(shared.value)
+        vocabulary = np.unique(np.concatenate([np.empty(0, U64), *(w.ravel() for w, _ in want)]))
+        sets = [(np.searchsorted(vocabulary, w), owner) for w, owner in want]
         for batch in batches:
-            for raw in batch.to_pylist():
-                s = Shard(raw)
-                total = int(s.starts[-1] + s.counts[-1]) if len(s.ids) else 0
-                edge = np.zeros(total + 1, np.int64)
-                items: dict[int, set] = {}
-                present = np.zeros((int(s.terms.max()) if len(s.terms) else 0) + 2, bool)
-                present[s.terms] = True
-                for w, names in want.items():
-                    if max(w) >= len(present) or not present[list(w)].all():
+            for k in range(batch.num_rows):
+                s = Shard(batch.slice(k, 1).to_pylist()[0])
+                rank = s.rank(vocabulary)
+                edge = np.zeros(s.total + 1, np.int64)
+                pairs = []
+                for w, owner in sets:
+                    lists = rank[w]
+                    live = np.flatnonzero((lists >= 0).all(1))  # windows of whose terms the shard has every one
+                    if not len(live):
                         continue
-                    at = s.phrase(list(w))
-                    if len(at):
-                        np.add.at(edge, at, 1)
-                        np.add.at(edge, at + len(w), -1)
-                        for d in np.unique(np.searchsorted(s.starts, at, "right") - 1).tolist():
-                            items.setdefault(d, set()).update(names)
-                hit = np.cumsum(edge)[:total] > 0
+                    which, at = s.phrases(lists[live])
+                    np.add.at(edge, at, 1)
+                    np.add.at(edge, at + w.shape[1], -1)
+                    doc = np.searchsorted(s.starts, at, "right") - 1
+                    pairs.append(np.unique(doc * len(names) + owner[live[which]]))
+                items: dict[int, set] = {}
+                for pair in np.concatenate(pairs).tolist() if pairs else []:
+                    items.setdefault(pair // len(names), set()).add(names[pair % len(names)])
+                hit = np.cumsum(edge)[: s.total] > 0
                 out = []
-                for k in range(len(s.ids)):
-                    a, n = int(s.starts[k]), int(s.counts[k])
-                    out.append(_row(f"{s.id}-{k}", None if s.ids[k] == _NO_ID else int(s.ids[k]), n, hit[a : a + n], items.get(k, set()), share))
+                for d in range(len(s.ids)):
+                    a, n = int(s.starts[d]), int(s.counts[d])
+                    out.append(_row(f"{s.id}-{d}", None if s.ids[d] == _NO_ID else int(s.ids[d]), n, hit[a : a + n], items.get(d, set()), share))
                     if len(out) == 5000:
                         yield _rows(out)
                         out = []
                 yield _rows(out)
 
-    return index.mapInArrow(run, _FOUND)
+    terms = np.concatenate([np.empty(0, U64), *(w.ravel() for w, _ in want)])
+    return asked(index, terms).mapInArrow(run, _FOUND)
 
 
 def proximity(docs: DataFrame, phrase: str, within: int) -> DataFrame:
     """(doc_id, n_spans): documents with spans of at most ``within`` words that hold all words of ``phrase``."""
     terms = text_terms(phrase)
-    vocab = np.unique(terms)
-    want = np.searchsorted(vocab, terms).tolist()
+    want = terms.tolist()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         release()
@@ -248,7 +298,7 @@ def proximity(docs: DataFrame, phrase: str, within: int) -> DataFrame:
                 doc, n = np.unique(np.searchsorted(s.starts, s.near(want, within), "right") - 1, return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(s.ids[doc]), pa.array(n)], names=["doc_id", "n_spans"])
 
-    return build_index(docs, vocab).mapInArrow(run, "doc_id long, n_spans long")
+    return asked(build_index(docs), terms).mapInArrow(run, "doc_id long, n_spans long")
 
 
 SQL = r"""
