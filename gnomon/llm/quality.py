@@ -2,8 +2,8 @@
 
 A text is compressed with the dictionaries of either class; it is like the class whose
 dictionary makes it smaller. The difference of the two sizes, normalised by the text's
-size, is calibrated to a probability by logistic regression. There are two pairs of
-dictionaries, short and long ones, and so two differences; nothing else enters a score.
+size, is calibrated to a probability by logistic regression. There are three pairs of
+dictionaries, short and long ones, and so three differences; nothing else enters a score.
 """
 
 from __future__ import annotations
@@ -24,8 +24,9 @@ from gnomon.llm.langid import fold
 ROWS = 3000  # labelled documents a class, in expectation, that dictionaries and calibration see
 SAMPLE_BYTES = 65_536  # of a text longer than this, dictionaries draw on so many bytes, from places all over it
 PIECE = 4096  # bytes of such a text that lie together
-DICTIONARIES = ((32_768, 200, 6), (110_000, 1000, 8))  # of each pair: bytes, and the segments and grams that are looked for
+DICTIONARIES = ((32_768, 200, 6), (65_536, 50, 8), (110_000, 1000, 8))  # of each pair: bytes, and the segments and grams that are looked for
 LEVEL = 3
+PRIOR = 0.75  # the share of good texts that scores are calibrated for
 
 
 class Model:
@@ -53,7 +54,7 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(z @ self.weights[1:] + self.weights[0], -30, 30)))
 
     def calibrate(self, sizes: np.ndarray, label: np.ndarray, weight: np.ndarray) -> None:
-        """Fit to labels that stand for ``weight`` rows each, so that scores are chances in the labelled table."""
+        """Fit to weighted labels."""
         x = self.features(sizes)
         mean, spread = (x.mean(0), x.std(0) + 1e-9) if len(x) else (np.zeros(x.shape[1]), np.ones(x.shape[1]))
         z = np.column_stack([np.ones(len(x)), (x - mean) / spread])
@@ -114,12 +115,12 @@ def dictionary(samples: list[bytes], size: int, segment: int, gram: int) -> byte
     return b"".join(samples)[-4096:]
 
 
-def train(docs: DataFrame, labels: DataFrame, rows: int = ROWS) -> Model:
+def train(docs: DataFrame, labels: DataFrame, rows: int = ROWS, prior: float = PRIOR) -> Model:
     """Fit on about ``rows`` labelled documents of each class that are not held out, chosen by a hash of doc_id.
 
     One half trains the dictionaries on whole texts (on pieces from all over those beyond SAMPLE_BYTES,
-    so that the sample is bounded in bytes), the other calibrates. Labels with a null quality are not
-    used; of several labels of one document, the lowest is.
+    so that the sample is bounded in bytes), the other calibrates, weighted so that a score is
+    the chance of label 1 where ``prior`` of all texts have it. Labels with a null quality are not used; of several labels of one document, the lowest is.
     """
     known = fold(labels.select("doc_id", "quality")).filter("not held_out and quality is not null and doc_id is not null").groupBy("doc_id").agg(F.min("quality").alias("quality"))
     count = {r["quality"]: r["count"] for r in known.groupBy("quality").count().collect()}
@@ -132,8 +133,8 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = ROWS) -> Model:
     model = Model([tuple(dictionary(x, *shape) for x in texts) for shape in DICTIONARIES])
     second = picked.filter("chance >= 0.5").select("doc_id", "text").mapInArrow(_sizes(pickle.dumps(model)), _SIZES).join(F.broadcast(known), "doc_id").orderBy("doc_id").toPandas()
     label = (second["quality"] == 1).to_numpy(float)
-    stands_for = np.where(label == 1, max(1.0, count.get(1, 0) / rows), max(1.0, count.get(0, 0) / rows))
-    model.calibrate(np.array(second["sizes"].tolist(), np.int64).reshape(len(second), 1 + 2 * len(model.pairs)), label, stands_for)
+    weight = np.where(label == 1, prior / max(1.0, label.sum()), (1 - prior) / max(1.0, (1 - label).sum()))
+    model.calibrate(np.array(second["sizes"].tolist(), np.int64).reshape(len(second), 1 + 2 * len(model.pairs)), label, weight)
     return model
 
 
@@ -143,7 +144,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     Null texts score as empty ones, which have the score of the calibration at size 0. Repeated and
     null doc_ids keep a row each; an empty table gives no rows.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(pickle.dumps(model))  # four dictionaries of a fixed size
+    shared = docs.sparkSession.sparkContext.broadcast(pickle.dumps(model))  # six dictionaries of a fixed size
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = pickle.loads(shared.value)
