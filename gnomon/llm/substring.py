@@ -1,10 +1,11 @@
 """Substring de-duplication by level-wise doubling.
 
 Windows of words that repeat at one length, alone, are extended to twice that
-length, until no candidate survives or the asked length is reached. The first
-level has half the asked length and looks only at content-defined anchors (each
-full window's smallest half-length hash): two equal windows hold equal anchors,
-so a full window whose anchor does not repeat cannot repeat.
+length, until no candidate survives. The first level has half the asked length and
+looks only at content-defined anchors (each full window's smallest half-length
+hash): two equal windows hold equal anchors, so a full window whose anchor does not
+repeat cannot repeat. What is removed is settled at the asked length; from there on
+only the words that repeated windows cover travel, as runs of word hashes.
 
 Texts travel in chunks of a bounded size. At each level a chunk asks once for
 each distinct window hash it holds, whatever the number of its documents, so a
@@ -15,6 +16,7 @@ bits an entry. No group of documents is ever gathered in one task.
 from __future__ import annotations
 
 import hashlib
+import pickle
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gnomon.llm.common import U64, documents, materialise, mix, packed, prefix, release, slices, spans, table, utf8, word_hashes, words
+from gnomon.llm.common import U64, discard, documents, materialise, mix, packed, prefix, release, slices, sorted_by, spans, table, utf8, word_hashes, words
 
 CHUNK = 2_000_000  # bytes of text in a chunk
 ENTRIES = 1_000_000  # aimed-at entries of one bucket of hashes
@@ -32,8 +34,9 @@ ENTRIES = 1_000_000  # aimed-at entries of one bucket of hashes
 _CHUNK_SCHEMA = "chunk_id long, n long, ids binary, ends binary, nulls binary, text binary"
 _CHUNK_TYPES = [pa.int64() if c.endswith("long") else pa.binary() for c in _CHUNK_SCHEMA.split(", ")]
 _ASK_SCHEMA = "bucket int, chunk_id long, h1 binary, h2 binary, low binary, many binary"
-_REPLY_SCHEMA = "bucket int, chunk_id long, alive binary, earlier binary, n_alive long"
-_DOC_SCHEMA = "doc_id long, n_words long, n_removed long, kept_sha256 string, longest long, kept string"
+_REPLY_SCHEMA = "bucket int, chunk_id long, n int, alive binary, earlier binary, n_alive long"
+_DOC_SCHEMA = "chunk_id long, k int, doc_id long, n_words long, n_removed long, kept_sha256 string, kept string, state binary"
+_DOC_KINDS = [pa.int64(), pa.int32()] + [pa.int64()] * 3 + [pa.string()] * 2 + [pa.binary()]
 
 
 _NO_ID = -(1 << 63)  # stands for a null doc_id while numbers are packed
@@ -84,100 +87,119 @@ class Chunk:
         self.offsets = np.concatenate([[0], np.frombuffer(row["ends"], np.int64)])
         self.start, self.end, self.first = words(self.data, self.offsets)
         self.counts = np.diff(self.first)
-        self.doc = np.repeat(np.arange(len(self.ids)), self.counts)
-        self.last = np.repeat(self.first[1:], self.counts)  # of each word, where its document's words end
-        h = word_hashes(self.data, self.start, self.end)
-        self.sums = (prefix(h), prefix(mix(h + U64(1))))
-        self.alive = np.zeros(len(self.start) + 1, bool)  # windows of the last level that repeat in another document
-        self.gone = np.zeros(len(self.start), bool)
-        self.best = np.zeros(len(self.ids), np.int64)
-
-    def whole(self, length: int) -> np.ndarray:
-        """Starts of all windows of that many words inside one document."""
-        i = np.arange(len(self.start))
-        return i[i + length <= self.last]
+        self.h = word_hashes(self.data, self.start, self.end)
+        self.runs = Runs(self.ids, np.arange(len(self.ids)), self.counts, self.h)
 
     def anchors(self, half: int, full: int) -> tuple[np.ndarray, np.ndarray]:
-        """(starts of full windows, the start of each one's smallest half window; the leftmost of equals)."""
-        at = self.whole(full)
-        h = np.zeros(len(self.start), U64)
-        ok = self.whole(half)
-        h[ok] = mix(spans(self.sums[0], ok, ok + half))
+        """(starts of half windows that are some full window's smallest, the leftmost of equals; how many windows each serves)."""
+        r = self.runs
+        at = r.whole(full)
+        h = np.zeros(len(r.last), U64)
+        ok = r.whole(half)
+        h[ok] = mix(spans(r.sums[0], ok, ok + half))
         low, where = h[at], at.copy()
         for k in range(1, full - half + 1):
             x = h[at + k]
             less = x < low
             low[less] = x[less]
             where[less] = at[less] + k
-        return at, where
-
-    def asked(self, level: int, lengths: list[int]) -> tuple[np.ndarray, np.ndarray]:
-        """(positions in question, length of their windows) at a level of ``lengths``."""
-        n = lengths[level]
-        if level == 0:
-            return np.unique(self.anchors(n, lengths[1])[1]), n
-        alive = self.alive
-        if level == 1:
-            at, where = self.anchors(lengths[0], n)
-            return at[alive[where]], n
-        at = self.whole(n)
-        return at[alive[at] & alive[at + n - lengths[level - 1]]], n
+        first = np.flatnonzero(np.diff(where, prepend=-1))
+        return where[first], np.diff(np.append(first, len(where)))
+
+
+class Runs:
+    """Runs of words, each of one document: the hashes of their windows."""
+
+    def __init__(self, ids: np.ndarray, doc: np.ndarray, size: np.ndarray, h: np.ndarray):
+        """``ids`` of documents; the run's document, by place in ``ids``; its number of words; the hash of each word."""
+        self.ids = ids
+        self.doc = np.repeat(doc, size)
+        self.last = np.repeat(np.cumsum(size), size)  # of each word, where its run's words end
+        self.sums = (prefix(h), prefix(mix(h + U64(1))))
+
+    def whole(self, length: int) -> np.ndarray:
+        """Starts of all windows of that many words inside one run."""
+        i = np.arange(len(self.last))
+        return i[i + length <= self.last]
 
     def distinct(self, at: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
         """(order, group of each ordered position, h1, h2, smallest doc_id, seen in several documents?)"""
         h1, h2 = (mix(spans(s, at, at + length)) for s in self.sums)
-        h2 &= U64(0xFFFFFFFF00000000)  # 96 bits in all travel
-        order = np.lexsort((h2, h1))
-        a, b = h1[order], h2[order]
-        new = np.ones(len(a), bool)
-        new[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
+        h2 >>= U64(32)  # 96 bits in all travel
+        order, new = sorted_by(h1, h2)
         at0, group = np.flatnonzero(new), np.cumsum(new) - 1
         doc = self.ids[self.doc[at[order]]]
         low, high = (f.reduceat(doc, at0) if len(at0) else doc[:0] for f in (np.minimum, np.maximum))
-        return order, group, a[at0], b[at0], low, low != high
+        return order, group, h1[order[new]], h2[order[new]], low, low != high
 
 
-def _chunks(batches: Iterator[pa.RecordBatch], level: int, lengths: list[int], bits: int) -> Iterator[tuple[Chunk, dict]]:
-    """Chunks that have taken in the answers of all levels below ``level``."""
-    for batch in batches:
-        for row in batch.to_pylist():
-            c = Chunk(row)
-            for k in range(level):
-                _learn(c, [x for x in row["replies"] or [] if x["level"] == k], k, lengths, bits)
-            yield c, row
+def _squeezed(**values) -> bytes:
+    return zstandard.ZstdCompressor(level=1).compress(pickle.dumps(values))
+
+
+def _opened(state: bytes) -> dict:
+    return pickle.loads(zstandard.ZstdDecompressor().decompress(state))
+
+
+_ASK_KINDS = [pa.int32(), pa.int64()] + [pa.binary()] * 4
+
+
+def _ask(chunk_id: int, found: tuple[np.ndarray, ...], bits: int, second: bool, state: bytes) -> pa.RecordBatch:
+    """A chunk's distinct windows by bucket, and its state, which comes back beside the answers."""
+    _, _, h1, h2, low, many = found
+    bucket = (h1 >> U64(64 - bits)).astype(np.int32) if bits else np.zeros(len(h1), np.int32)
+    cut = np.flatnonzero(np.diff(bucket, prepend=-1))
+    rows = [(int(bucket[s]), chunk_id, packed(h1[s:e]), packed(h2[s:e].astype(np.uint32)) if second else b"", packed(low[s:e]), packed(np.packbits(many[s:e]))) for s, e in zip(cut.tolist(), [*cut[1:].tolist(), len(h1)][: len(cut)], strict=True)]
+    rows.append((-1 - (chunk_id * 0x9E3779B97F4A7C15 % (1 << 64) >> 40), chunk_id, state, b"", b"", b""))
+    return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), _ASK_KINDS, strict=True)], names=[c.split()[0] for c in _ASK_SCHEMA.split(", ")])
 
 
 def _asks(level: int, lengths: list[int], bits: int):
+    """Ask at the anchors of half windows (level 0), then for the full windows whose anchor repeats (level 1)."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         release()
-        for c, _ in _chunks(batches, level, lengths, bits):
-            _, _, h1, h2, low, many = c.distinct(*c.asked(level, lengths))
-            bucket = (h1 >> U64(64 - bits)).astype(np.int32) if bits else np.zeros(len(h1), np.int32)
-            if not len(h1):
-                continue
-            cut = np.flatnonzero(np.diff(bucket, prepend=-1))
-            rows = [(int(bucket[s]), c.id, packed(h1[s:e]), packed((h2[s:e] >> U64(32)).astype(np.uint32)) if level else b"", packed(low[s:e]), packed(np.packbits(many[s:e]))) for s, e in zip(cut, [*cut[1:], len(h1)], strict=True)]
-            kinds = [pa.int32(), pa.int64()] + [pa.binary()] * 4
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=[x.split()[0] for x in _ASK_SCHEMA.split(", ")])
+        for batch in batches:
+            for row in batch.to_pylist():
+                c = Chunk(row)
+                if level == 0:
+                    marks, width = c.anchors(*lengths)
+                    yield _ask(c.id, c.runs.distinct(marks, lengths[0]), bits, False, _squeezed(marks=np.diff(marks, prepend=0).astype(np.int32), width=width.astype(np.int32)))
+                    continue
+                state, replies = _parted(row["replies"])
+                marks = np.cumsum(state["marks"], dtype=np.int64)
+                order, group, *_ = c.runs.distinct(marks, lengths[0])
+                alive = np.zeros(len(marks), bool)
+                alive[order] = _bits(replies, "alive")[group]
+                open_ = np.repeat(alive, state["width"])
+                yield _ask(c.id, c.runs.distinct(c.runs.whole(lengths[1])[open_], lengths[1]), bits, True, _squeezed(open=np.packbits(open_)))
 
     return run
 
 
+def _parted(replies: list[dict]) -> tuple[dict, list[dict]]:
+    """(a chunk's state, its answers in order of bucket)"""
+    state = next(x["alive"] for x in replies if x["bucket"] < 0)
+    return _opened(state), sorted((x for x in replies if x["bucket"] >= 0), key=lambda x: x["bucket"])
+
+
+def _bits(replies: list[dict], name: str) -> np.ndarray:
+    got = [np.unpackbits(np.frombuffer(x[name], np.uint8), count=x["n"]) for x in replies]
+    return np.concatenate(got).astype(bool) if got else np.zeros(0, bool)
+
+
 def _answer(group: pa.Table) -> pa.Table:
     """All entries of one bucket of hashes -> two bits for each: in several documents? in a smaller one?"""
     rows = group.to_pylist()
+    if rows[0]["bucket"] < 0:  # chunks' states
+        none = pa.array([0] * len(rows), pa.int32())
+        return group.select(["bucket", "chunk_id"]).append_column("n", none).append_column("alive", group.column("h1")).append_column("earlier", group.column("low")).append_column("n_alive", none.cast(pa.int64()))
     h1 = np.concatenate([np.frombuffer(r["h1"], U64) for r in rows])
     h2 = np.concatenate([np.frombuffer(r["h2"], np.uint32) for r in rows])
     low = np.concatenate([np.frombuffer(r["low"], np.int64) for r in rows])
     size = [len(r["low"]) // 8 for r in rows]
     many = np.concatenate([np.unpackbits(np.frombuffer(r["many"], np.uint8), count=n) for r, n in zip(rows, size, strict=True)]).astype(bool)
-    order = np.lexsort((h2, h1)) if len(h2) else np.argsort(h1, kind="stable")
-    new = np.ones(len(order), bool)
-    a = h1[order]
-    new[1:] = a[1:] != a[:-1]
-    if len(h2):
-        b = h2[order]
-        new[1:] |= b[1:] != b[:-1]
+    order, new = sorted_by(h1, h2)
     at0, which = np.flatnonzero(new), np.cumsum(new) - 1
     smallest = np.minimum.reduceat(low[order], at0)
     several = np.logical_or.reduceat(many[order], at0) | (smallest != np.maximum.reduceat(low[order], at0))
@@ -185,34 +207,17 @@ def _answer(group: pa.Table) -> pa.Table:
     alive[order] = several[which]
     earlier[order] = smallest[which] < low[order]
     cut = np.concatenate([[0], np.cumsum(size)])
+    both = [[packed(np.packbits(v[s:e])) for s, e in zip(cut, cut[1:], strict=False)] for v in (alive, earlier)]
     return pa.table({
         "bucket": pa.array([r["bucket"] for r in rows], pa.int32()),
         "chunk_id": pa.array([r["chunk_id"] for r in rows], pa.int64()),
-        "alive": pa.array([packed(np.packbits(alive[s:e])) for s, e in zip(cut, cut[1:], strict=False)], pa.binary()),
-        "earlier": pa.array([packed(np.packbits(earlier[s:e])) for s, e in zip(cut, cut[1:], strict=False)], pa.binary()),
+        "n": pa.array(size, pa.int32()),
+        "alive": pa.array(both[0], pa.binary()),
+        "earlier": pa.array(both[1], pa.binary()),
         "n_alive": pa.array([int(alive[s:e].sum()) for s, e in zip(cut, cut[1:], strict=False)], pa.int64()),
     })
 
 
-def _learn(c: Chunk, replies: list[dict], level: int, lengths: list[int], bits: int) -> None:
-    """Take in one level's answers: which windows live on and, at the asked length, which words go."""
-    at, n = c.asked(level, lengths)
-    order, group, h1, _, low, _ = c.distinct(at, n)
-    bucket = (h1 >> U64(64 - bits)).astype(np.int64) if bits else np.zeros(len(h1), np.int64)
-    alive, earlier = np.zeros(len(h1), bool), np.zeros(len(h1), bool)
-    for x in replies:
-        s, e = np.searchsorted(bucket, [x["bucket"], x["bucket"] + 1])
-        alive[s:e] = np.unpackbits(np.frombuffer(x["alive"], np.uint8), count=e - s)
-        earlier[s:e] = np.unpackbits(np.frombuffer(x["earlier"], np.uint8), count=e - s)
-    c.alive = np.zeros(len(c.start) + 1, bool)
-    c.alive[at[order]] = alive[group]
-    if level == 1:
-        hit = earlier[group] | (c.ids[c.doc[at[order]]] > low[group])
-        c.gone = cover(at[order][hit], n, len(c.start))
-    if level:
-        c.best[np.unique(c.doc[np.flatnonzero(c.alive)])] = n
-
-
 def cover(starts: np.ndarray, length: int, n: int) -> np.ndarray:
     """Which of n places lie in [s, s + length) for some start s."""
     edge = np.zeros(n + 1, np.int64)
@@ -221,35 +226,117 @@ def cover(starts: np.ndarray, length: int, n: int) -> np.ndarray:
     return np.cumsum(edge[:-1]) > 0
 
 
-def _texts(level: int, lengths: list[int], bits: int, with_text: bool):
+def _grown(ids: np.ndarray, doc: np.ndarray, size: np.ndarray, h: np.ndarray, at: np.ndarray, length: int) -> dict:
+    """Runs of words that windows ``at`` cover, as a state: what can hold a window of twice the length."""
+    words_ = np.concatenate([[0], np.cumsum(size)])
+    on = np.concatenate([[False], cover(at, length, len(h)), [False]])
+    # neighbouring windows of two runs never join: a run's last word ends its stretch
+    edge = np.zeros(len(h) + 1, bool)
+    edge[words_] = True
+    begin = on[1:-1] & (~on[:-2] | edge[:-1])
+    stop = on[1:-1] & (~on[2:] | edge[1:])
+    s, e = np.flatnonzero(begin), np.flatnonzero(stop) + 1
+    owner = np.repeat(doc, size)[s] if len(s) else np.empty(0, np.int64)
+    inside = on[1:-1]
+    table_, code = np.unique(h[inside], return_inverse=True)
+    moved = np.cumsum(inside) - 1
+    return {"ids": ids, "doc": owner, "size": e - s, "table": table_, "code": code.astype(np.int32), "alive": np.diff(np.sort(moved[at]), prepend=0).astype(np.int32), "length": length}
+
+
+def _texts(lengths: list[int], with_text: bool, grow: bool):
+    """Take in the answers at full length: the documents' rows, and with ``grow`` the runs that go on growing."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         release()
-        for c, row in _chunks(batches, level, lengths, bits):
-            gone = c.gone
-            removed = np.add.reduceat(np.append(gone, False).astype(np.int64), c.first[:-1]) * (c.counts > 0)
-            null = np.frombuffer(row["nulls"], bool)
-            sha, kept = [], []
-            blob = c.data.tobytes()
-            for k in range(len(c.ids)):
-                parts = blob[c.offsets[k] : c.offsets[k + 1]].split()
-                if removed[k]:
-                    keep = ~gone[c.first[k] : c.first[k + 1]]
-                    parts = [p for p, on in zip(parts, keep.tolist(), strict=True) if on]
-                text = b" ".join(parts)
-                sha.append(hashlib.sha256(text).hexdigest())
-                if not removed[k]:
-                    text = blob[c.offsets[k] : c.offsets[k + 1]]
-                kept.append(text.decode("utf-8", "replace") if with_text and not null[k] else None)
-            for s in range(0, len(c.ids), 2000):
-                e = s + 2000
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(c.ids[s:e]), pa.array(c.counts[s:e].astype(np.int64)), pa.array(removed[s:e]), pa.array(sha[s:e], pa.string()), pa.array(c.best[s:e]), pa.array(kept[s:e], pa.string())],
-                    names=[x.split()[0] for x in _DOC_SCHEMA.split(", ")],
-                )
+        n = lengths[1]
+        for batch in batches:
+            for row in batch.to_pylist():
+                c = Chunk(row)
+                state, replies = _parted(row["replies"])
+                at = c.runs.whole(n)
+                at = at[np.unpackbits(state["open"], count=len(at)).astype(bool)]
+                order, group, _, _, low, _ = c.runs.distinct(at, n)
+                at, earlier, alive = at[order], _bits(replies, "earlier")[group], _bits(replies, "alive")[group]
+                hit = earlier | (c.ids[c.runs.doc[at]] > low[group])
+                gone = cover(at[hit], n, len(c.start))
+                removed = np.add.reduceat(np.append(gone, False).astype(np.int64), c.first[:-1]) * (c.counts > 0)
+                null = np.frombuffer(row["nulls"], bool)
+                sha, kept = [], []
+                blob = c.data.tobytes()
+                for k in range(len(c.ids)):
+                    parts = blob[c.offsets[k] : c.offsets[k + 1]].split()
+                    if removed[k]:
+                        keep = ~gone[c.first[k] : c.first[k + 1]]
+                        parts = [p for p, on in zip(parts, keep.tolist(), strict=True) if on]
+                    text = b" ".join(parts)
+                    sha.append(hashlib.sha256(text).hexdigest())
+                    if not removed[k]:
+                        text = blob[c.offsets[k] : c.offsets[k + 1]]
+                    kept.append(text.decode("utf-8", "replace") if with_text and not null[k] else None)
+                for s in range(0, len(c.ids), 2000):
+                    e = min(s + 2000, len(c.ids))
+                    yield _doc_rows([c.id] * (e - s), range(s, e), c.ids[s:e], c.counts[s:e].astype(np.int64), removed[s:e], sha[s:e], kept[s:e], [None] * (e - s))
+                if grow and alive.any():
+                    found = _grown(c.ids, np.arange(len(c.ids)), c.counts, c.h, at[alive], n)
+                    yield _doc_rows([c.id], [None], [None], [None], [None], [None], [None], [_squeezed(**found, best=_best({}, found))])
 
     return run
 
 
+def _doc_rows(*columns) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, _DOC_KINDS, strict=True)], names=[x.split()[0] for x in _DOC_SCHEMA.split(", ")])
+
+
+def _best(before: dict, found: dict) -> dict:
+    """The longest length at which each document of a chunk still has a repeated window."""
+    return before | dict.fromkeys(np.unique(found["doc"]).tolist(), found["length"])
+
+
+def _doubled(bits: int):
+    """Ask for windows of twice the length: both halves of each have repeated."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
+        for batch in batches:
+            for row in batch.to_pylist():
+                if row["state"] is None:  # a later round: take in its answers first
+                    state, replies = _parted(row["replies"])
+                    state = _answered(state, replies)
+                else:
+                    state = _opened(row["state"])
+                n = state["length"]
+                r = Runs(state["ids"], state["doc"], state["size"], state["table"][state["code"]])
+                alive = np.zeros(len(r.last) + 1, bool)
+                alive[np.cumsum(state["alive"], dtype=np.int64)] = True
+                at = r.whole(2 * n)
+                at = at[alive[at] & alive[at + n]]
+                yield _ask(row["chunk_id"], r.distinct(at, 2 * n), bits, True, _squeezed(**state, asked=np.diff(at, prepend=0).astype(np.int32)))
+
+    return run
+
+
+def _answered(state: dict, replies: list[dict]) -> dict:
+    n = 2 * state["length"]
+    h = state["table"][state["code"]]
+    at = np.cumsum(state.pop("asked"), dtype=np.int64)
+    order, group, *_ = Runs(state["ids"], state["doc"], state["size"], h).distinct(at, n)
+    found = _grown(state["ids"], state["doc"], state["size"], h, at[order][_bits(replies, "alive")[group]], n)
+    return found | {"best": _best(state["best"], found)}
+
+
+def _longest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for chunk_id, state in zip(batch.column("chunk_id").to_pylist(), batch.column("alive").to_pylist(), strict=True):
+            best = _opened(state)["best"]
+            yield pa.RecordBatch.from_arrays([pa.array([chunk_id] * len(best), pa.int64()), pa.array(list(best), pa.int32()), pa.array(list(best.values()), pa.int64())], names=["chunk_id", "k", "longest"])
+
+
+def _exchange(asks: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(answers and states as written, the same gathered by chunk)"""
+    got = materialise(asks.groupBy("bucket").applyInArrow(_answer, _REPLY_SCHEMA))
+    return got, got.groupBy("chunk_id").agg(F.collect_list(F.struct("bucket", "n", "alive", "earlier")).alias("replies"))
+
+
 def substring_dedup(docs: DataFrame, min_words: int = 13, grow: bool = False, with_text: bool = False, chunk: int = CHUNK) -> DataFrame:
     """Remove words of passages that also start in a document with a smaller doc_id.
 
@@ -258,12 +345,11 @@ def substring_dedup(docs: DataFrame, min_words: int = 13, grow: bool = False, wi
     on the input. Words are maximal runs without white space (space, U+0009-U+000D).
 
     Input: any DataFrame with ``doc_id`` (integer) and ``text``; further columns are ignored.
-    Output: doc_id, n_words, n_removed, kept_sha256 (of the kept words joined by one space),
-    longest (the longest level at which a window of the document repeats in another document, 0
-    if none) and, with ``with_text``, kept (the kept words joined by one space, or the text itself
-    if nothing is removed; null for a null text). What is removed
-    is settled at the level of ``min_words``; ``grow`` goes on doubling until no candidate
-    survives, which only sharpens ``longest``.
+    Output: doc_id, n_words, n_removed, kept_sha256 (of the kept words joined by one space);
+    with ``with_text`` kept (the kept words joined by one space, or the text itself if nothing is
+    removed; null for a null text); with ``grow`` longest: windows that repeat in another document
+    are extended to twice their length, again and again until no candidate survives, and the longest
+    length of ``min_words`` * 2**k at which the document still has one is returned, 0 if it has none.
 
     Null and empty texts have no words and are returned with counts of 0. Texts under ``min_words``
     words keep all. Rows that repeat a doc_id count as one document. An empty table gives an empty
@@ -277,24 +363,33 @@ def substring_dedup(docs: DataFrame, min_words: int = 13, grow: bool = False, wi
     total = chunks.agg(F.sum(F.expr("octet_length(text)"))).first()[0] or 0
     # about 3 bytes of text in a byte of the chunk, 6 bytes in a word, an anchor for 4 words
     bits = max(0, min(24, int(np.ceil(np.log2(max(1, total * 3 / 6 / 4 / ENTRIES))))))
-    level, replies, asking = 0, None, chunks
-    while True:
-        got = asking.mapInArrow(_asks(level, lengths, bits), _ASK_SCHEMA).groupBy("bucket").applyInArrow(_answer, _REPLY_SCHEMA)
-        got = materialise(got.withColumn("level", F.lit(level)))
-        replies = got if replies is None else replies.unionByName(got)
-        level += 1
-        own = replies.groupBy("chunk_id").agg(F.collect_list(F.struct("level", "bucket", "alive", "earlier")).alias("replies"))
-        asking = chunks.join(own, "chunk_id", "left")
-        if level == len(lengths):
-            if not grow or not got.filter("n_alive > 0").limit(1).count():
+    before, own = _exchange(chunks.mapInArrow(_asks(0, lengths, bits), _ASK_SCHEMA))
+    got, own = _exchange(chunks.join(own, "chunk_id").mapInArrow(_asks(1, lengths, bits), _ASK_SCHEMA))
+    discard(before)
+    out = chunks.join(own, "chunk_id").mapInArrow(_texts(lengths, with_text, grow), _DOC_SCHEMA)
+    if grow:
+        found = materialise(out)
+        discard(chunks, got)
+        asking = found.filter("state is not null").select("chunk_id", "state", F.lit(None).cast(own.schema["replies"].dataType).alias("replies"))
+        got = None
+        while True:
+            before = got
+            got, own = _exchange(asking.mapInArrow(_doubled(bits), _ASK_SCHEMA))
+            if before is not None:
+                discard(before)
+            if not got.filter("n_alive > 0").limit(1).count():
                 break
-            lengths = [*lengths, 2 * lengths[-1]]
-    out = asking.mapInArrow(_texts(level, lengths, bits, with_text), _DOC_SCHEMA)
+            asking = own.select("chunk_id", F.lit(None).cast("binary").alias("state"), "replies")
+        best = got.filter("bucket < 0").select("chunk_id", "alive").mapInArrow(_longest, "chunk_id long, k int, longest long")
+        out = found.filter("state is null").join(best, ["chunk_id", "k"], "left").withColumn("longest", F.coalesce("longest", F.lit(0)).cast("long"))
     out = out.withColumn("doc_id", F.when(F.col("doc_id") != _NO_ID, F.col("doc_id")))
-    return out if with_text else out.drop("kept")
+    return out.select("doc_id", "n_words", "n_removed", "kept_sha256", *(["longest"] if grow else []), *(["kept"] if with_text else []))
 
 
-SQL = r"""
+_LEVELS = [13 << k for k in range(12)]  # lengths that the SQL goes through: documents of the tables it is for have fewer than 2 * 13 * 2**11 words
+_LEVEL = "l{n} AS (SELECT doc_id, i, c FROM (SELECT {a}doc_id, {a}i, min(CAST({a}doc_id AS BIGINT) * 1000000 + {a}i) OVER p AS c, min({a}doc_id) OVER p AS low, max({a}doc_id) OVER p AS high FROM {rows} WINDOW p AS (PARTITION BY {key})) WHERE low < high)"
+SQL = (
+    r"""
 WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
 w AS (SELECT doc_id, unnest(range(1, len(ws) - 11)) AS i, ws FROM d WHERE len(ws) >= 13),
 g AS (SELECT doc_id, i, array_to_string(ws[i:i + 12], ' ') AS t FROM w),
@@ -303,12 +398,18 @@ gone AS (SELECT DISTINCT g.doc_id, unnest(range(g.i, g.i + 13)) AS i FROM g JOIN
 word AS (SELECT doc_id, unnest(range(1, len(ws) + 1)) AS i, unnest(ws) AS word FROM d),
 k AS (SELECT word.doc_id, count(*) FILTER (gone.i IS NOT NULL) AS n_removed,
              string_agg(word, ' ' ORDER BY word.i) FILTER (gone.i IS NULL) AS kept
-      FROM word LEFT JOIN gone ON gone.doc_id = word.doc_id AND gone.i = word.i GROUP BY word.doc_id)
+      FROM word LEFT JOIN gone ON gone.doc_id = word.doc_id AND gone.i = word.i GROUP BY word.doc_id),
+"""
+    + ",\n".join(_LEVEL.format(n=n, a="", rows="g", key="t") if n == 13 else _LEVEL.format(n=n, a="a.", rows=f"l{n // 2} a JOIN l{n // 2} b ON a.doc_id = b.doc_id AND b.i = a.i + {n // 2}", key="a.c, b.c") for n in _LEVELS)
+    + ",\nx AS (SELECT doc_id, max(n) AS longest FROM ("
+    + " UNION ALL ".join(f"SELECT doc_id, {n} AS n FROM l{n}" for n in _LEVELS)
+    + """) GROUP BY doc_id)
 SELECT d.doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(coalesce(k.n_removed, 0) AS BIGINT) AS n_removed,
-       sha256(coalesce(k.kept, '')) AS kept_sha256
-FROM d LEFT JOIN k USING (doc_id)
+       sha256(coalesce(k.kept, '')) AS kept_sha256, CAST(coalesce(x.longest, 0) AS BIGINT) AS longest
+FROM d LEFT JOIN k USING (doc_id) LEFT JOIN x USING (doc_id)
 """
+)
 
 
 def query(spark, sf_dir: str) -> DataFrame:
-    return substring_dedup(table(spark, sf_dir, "documents")).drop("longest")
+    return substring_dedup(table(spark, sf_dir, "documents"), grow=True)

@@ -45,6 +45,29 @@ def test_brute_force(spark, n, chunk):
     assert sorted(map(tuple, got)) == brute(ROWS, n)
 
 
+def longest(rows, n):
+    docs = [(i, WORD.findall(t or "")) for i, t in rows]
+    best = dict.fromkeys((i for i, _ in docs), 0)
+    while True:
+        seen = {}
+        for i, w in docs:
+            for k in range(len(w) - n + 1):
+                seen.setdefault(tuple(w[k : k + n]), set()).add(i)
+        several = [x for x in seen.values() if len(x) > 1]
+        if not several:
+            return best
+        best.update(dict.fromkeys(set().union(*several), n))
+        n *= 2
+
+
+@pytest.mark.parametrize(("n", "chunk"), [(13, 2_000_000), (5, 150), (2, 400)])
+def test_doubling_until_none_survives(spark, n, chunk):
+    rows = [*ROWS, (20, "w " * 500), (21, "w " * 450 + "v " * 50), (22, "v " * 49 + "u")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = {r.doc_id: r.longest for r in substring_dedup(df, min_words=n, grow=True, chunk=chunk).collect()}
+    assert got == longest(rows, n) and max(got.values()) >= 16 * n
+
+
 def test_growth_and_text(spark):
     df = spark.createDataFrame(ROWS, "doc_id long, text string")
     got = {r.doc_id: r for r in substring_dedup(df, grow=True, with_text=True).collect()}
