@@ -1,16 +1,21 @@
 """Main text of web pages by tag-path ratios.
 
 Every text node has a path of tags from the root. For each path the lengths of its
-texts and their punctuation are aggregated; both ratios are smoothed along the page,
-fused, and paths above a threshold hold content. The smallest part of the page that
-holds all of it is the article, with the headings and blocks right beside it; what menus,
-forms, notices and the like it holds inside is cut out.
+texts and their punctuation are aggregated; both ratios are smoothed along the page and
+fused, and paths above a threshold select the content nodes. The smallest part of the
+page that holds all of them is the article, with the headings and blocks right beside it.
+
+Ratios tell menus, adverts and footers from an article; they cannot tell what readers or
+a site's operator wrote in whole sentences. So parts that are marked by their tag, role or
+name as comments, notices, forms or asides select nothing, and all marked parts inside the
+article are cut out of it.
 """
 
 from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -43,6 +48,9 @@ _OUTSIDE_NAME = re.compile(
     r"|footer|masthead|site-?header|page-?header|top-?bar|share|sharing|social|related|recommend\w*|newsletter|subscribe|signup|login|search|comments?|commentlist|disqus|replies|respond|reactions?|tags|hidden|skip-?link)(?:$|[-_\s])",
     re.I,
 )
+# Of these parts, those that hold whole sentences: by their tags, names and roles.
+_TOLD = frozenset("aside form dialog fieldset".split())
+_TOLD_NAME = re.compile(r"(?:^|[-_\s])(?:cookies?|consent|gdpr|notice|notification|alert|popup|modal|overlay|side-?bar|widget|related|recommend\w*|newsletter|subscribe|signup|login|comments?|commentlist|disqus|replies|respond|reactions?|hidden)(?:$|[-_\s])", re.I)
 _OUTSIDE_ROLE = re.compile(r"^(?:navigation|banner|complementary|contentinfo|search|dialog|alert|alertdialog|menu|menubar|toolbar|form)$", re.I)
 # A start tag that ends these open ones.
 CLOSES = {"p": {"p"}, "li": {"li", "p"}, "dt": {"dt", "dd", "p"}, "dd": {"dt", "dd", "p"}, "tr": {"tr", "td", "th", "p"}, "td": {"td", "th", "p"}, "th": {"td", "th", "p"}, "option": {"option"}, "body": {"head"}}
@@ -52,157 +60,199 @@ _SCOPE = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"
 
 
 class Node:
-    """A block's text: its path of tags, its length and that of its links, whether it lies outside."""
+    """A block's text, the element it lies in, and how much of it is links."""
 
-    __slots__ = ("path", "text", "linked", "outside", "heading")
+    __slots__ = ("at", "text", "linked")
 
-    def __init__(self, path, text, linked, outside, heading):
-        self.path, self.text, self.linked, self.outside, self.heading = path, text, linked, outside, heading
+    def __init__(self, at: int, text: str, linked: int):
+        self.at, self.text, self.linked = at, text, linked
 
 
-def _is_outside(tag: str, attrs: str, within: set) -> bool:
-    if tag in OUTSIDE or (tag == "header" and "article" not in within and "main" not in within):
-        return True
+class Page:
+    """A page's elements in order of their start tags, and its blocks of text. Takes time in proportion to the page, however deep.
+
+    Of each element: ``parent``, ``tag``, ``path`` (a number for each path of tags), ``last`` (the last
+    element inside it), whether it lies ``outside`` the article by its mark and is one that holds
+    sentences (``told``), and the outermost leaf, main and article around it (or itself; -1 if none).
+    """
+
+    def __init__(self, page: str):
+        self.parent, self.tag, self.path, self.outside, self.told, self.heading = [-1], [""], [0], [False], [False], [False]
+        self.leaf, self.main, self.article = [-1], [-1], [-1]
+        self.nodes: list[Node] = []
+        self._read(page)
+        self.last = list(range(len(self.tag)))
+        for e in range(len(self.tag) - 1, 0, -1):
+            up = self.parent[e]
+            self.last[up] = max(self.last[up], self.last[e])
+
+    def _open(self, up: int, tag: str, attrs: str, paths: dict) -> int:
+        e = len(self.tag)
+        outside, told = _marks(tag, attrs, self.main[up] >= 0 or self.article[up] >= 0)
+        self.parent.append(up)
+        self.tag.append(tag)
+        self.path.append(paths.setdefault((self.path[up], tag), len(paths) + 1))
+        self.outside.append(self.outside[up] or outside)
+        self.told.append(self.told[up] or told)
+        self.heading.append(self.heading[up] or tag in HEADINGS)
+        for outer, own in ((self.leaf, tag in LEAVES), (self.main, tag == "main"), (self.article, tag == "article")):
+            outer.append(outer[up] if outer[up] >= 0 else e if own else -1)
+        return e
+
+    def _read(self, page: str) -> None:
+        stack, count = [0], Counter()  # open elements; how many of each tag
+        paths: dict[tuple[int, str], int] = {}
+        text: list[str] = []
+        links: list[str] = []
+        in_link = False
+
+        def flush() -> None:
+            if text:
+                whole = " ".join(html.unescape("".join(text)).split())
+                if whole:
+                    linked = len(" ".join(html.unescape("".join(links)).split())) if links else 0
+                    self.nodes.append(Node(stack[-1], whole, min(linked, len(whole))))
+                text.clear()
+            links.clear()
+
+        def close(k: int) -> None:
+            for e in stack[k:]:
+                count[self.tag[e]] -= 1
+            del stack[k:]
+
+        for m in _TOKEN.finditer(page):
+            tag = m["tag"]
+            if tag is None:
+                got = m[0]
+                if got[0] != "<":
+                    text.append(got)
+                    if in_link:
+                        links.append(got)
+                elif got == "<":
+                    text.append("&lt;")
+                elif got[:9].upper() == "<![CDATA[":
+                    text.append(html.escape(got[9:].removesuffix("]]>")))
+                continue
+            tag = tag.lower()
+            if tag == "br":
+                text.append("\n")
+                continue
+            if tag in INLINE:
+                if tag == "a":
+                    in_link = not m["close"]
+                continue
+            flush()
+            if m["close"]:
+                if count[tag]:
+                    k = len(stack) - 1
+                    while self.tag[stack[k]] != tag:
+                        k -= 1
+                    close(k)
+                in_link = False
+                continue
+            ends = CLOSES.get(tag)
+            if ends and any(count[t] for t in ends):
+                scope, k, low = _SCOPE.get(tag, ()), len(stack) - 1, len(stack)
+                over = tag in ("li", "dt", "dd", "tr", "td", "th")
+                while k > 0 and self.tag[stack[k]] not in scope and (over or self.tag[stack[k]] in ends):
+                    if self.tag[stack[k]] in ends:
+                        low = k
+                    k -= 1
+                close(low)
+            if tag in VOID or m["attrs"].endswith("/") and tag not in ("div", "p", "section", "article"):
+                continue
+            count[tag] += 1
+            stack.append(self._open(stack[-1], tag, m["attrs"], paths))
+        flush()
+
+    def shared(self, a: int, b: int) -> int:
+        """The deepest element around both and all between, above paragraphs, list items, cells and headings."""
+        a, b = min(a, b), max(a, b)
+        while self.last[a] < b:
+            a = self.parent[a]
+        return self.parent[self.leaf[a]] if self.leaf[a] >= 0 else a
+
+
+def _marks(tag: str, attrs: str, within: bool) -> tuple[bool, bool]:
+    """Whether an element is marked as no part of an article, and whether as one that holds sentences."""
+    if tag in OUTSIDE or (tag == "header" and not within):
+        return True, tag in _TOLD
     if not attrs or tag in ("html", "body"):
-        return False
+        return False, False
+    outside = told = False
     for name, value in _ATTRIBUTE.findall(attrs):
         name, value = name.lower(), value.strip("\"'")
         if name in ("class", "id") and _OUTSIDE_NAME.search(value):
-            return True
-        if name == "role" and _OUTSIDE_ROLE.match(value):
-            return True
-        if name == "hidden" or (name == "aria-hidden" and value.lower() == "true") or (name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I)):
-            return True
-    return False
-
-
-def nodes(page: str) -> list[Node]:
-    """The page's blocks of text in order."""
-    out: list[Node] = []
-    stack: list[tuple[str, bool, int]] = []  # tag, outside?, number of the element
-    text: list[str] = []
-    links: list[str] = []
-    in_link = count = 0
-
-    def flush() -> None:
-        if text:
-            whole = " ".join(html.unescape("".join(text)).split())
-            if whole:
-                linked = len(" ".join(html.unescape("".join(links)).split())) if links else 0
-                out.append(Node(tuple((t, n) for t, _, n in stack), whole, min(linked, len(whole)), bool(stack) and stack[-1][1], any(t in HEADINGS for t, _, _ in stack)))
-            text.clear()
-        links.clear()
-
-    for m in _TOKEN.finditer(page):
-        tag = m["tag"]
-        if tag is None:
-            got = m[0]
-            if got[0] != "<":
-                text.append(got)
-                if in_link:
-                    links.append(got)
-            elif got == "<":
-                text.append("&lt;")
-            elif got[:9].upper() == "<![CDATA[":
-                text.append(html.escape(got[9:].removesuffix("]]>")))
-            continue
-        tag = tag.lower()
-        if tag == "br":
-            text.append("\n")
-            continue
-        if tag in INLINE:
-            if tag == "a":
-                in_link = 0 if m["close"] else 1
-            continue
-        flush()
-        if m["close"]:
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == tag:
-                    del stack[k:]
-                    break
-            in_link = 0
-            continue
-        ends = CLOSES.get(tag)
-        if ends:
-            scope = _SCOPE.get(tag, ())
-            k = len(stack) - 1
-            low = len(stack)
-            while k >= 0 and stack[k][0] not in scope and (stack[k][0] in ends or tag in ("li", "dt", "dd", "tr", "td", "th")):
-                if stack[k][0] in ends:
-                    low = k
-                k -= 1
-            del stack[low:]
-        if tag in VOID or m["attrs"].endswith("/") and tag not in ("div", "p", "section", "article"):
-            continue
-        count += 1
-        stack.append((tag, (bool(stack) and stack[-1][1]) or _is_outside(tag, m["attrs"], {t for t, _, _ in stack}), count))
-    flush()
-    return out
-
-
-def fused_ratios(found: list[Node], sigma: float = 1.0) -> np.ndarray:
-    """Each node's smoothed, fused ratio: text length and punctuation of its path per node of the path."""
-    paths = ["/".join(t for t, _ in n.path) for n in found]
-    total: dict[str, list[float]] = {}
-    for p, n in zip(paths, found, strict=True):
-        x = total.setdefault(p, [0.0, 0.0, 0.0])
-        x[0] += len(n.text) - n.linked
-        x[1] += len(_PUNCTUATION.findall(n.text)) if not n.linked else 0
-        x[2] += 1
-    length = np.array([total[p][0] / total[p][2] for p in paths])
-    marks = np.array([total[p][1] / total[p][2] for p in paths])
+            outside, told = True, told or bool(_TOLD_NAME.search(value))
+        elif name == "role" and _OUTSIDE_ROLE.match(value):
+            outside, told = True, told or value.lower() in ("complementary", "dialog", "alert", "alertdialog", "form")
+        elif name == "hidden" or (name == "aria-hidden" and value.lower() == "true") or (name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I)):
+            outside = told = True
+    return outside, told
+
+
+def fused_ratios(paths: list[int], length: list[int], marks: list[int], sigma: float = 1.0) -> np.ndarray:
+    """Each node's ratio: text length and punctuation of its path for each node of the path, smoothed along the page and fused.
+
+    Smoothing lends a short block between long ones their ratio; a path's ratio is the mean of its
+    nodes' smoothed ones, but never more than its own.
+    """
+    _, path = np.unique(paths, return_inverse=True)
+    n = np.bincount(path)
+    per = [np.bincount(path, np.asarray(x, float))[path] / n[path] for x in (length, marks)]
     reach = int(np.ceil(2 * sigma))
     kernel = np.exp(-(np.arange(-reach, reach + 1) ** 2) / (2 * sigma**2))
 
     def smooth(x: np.ndarray) -> np.ndarray:
         return np.convolve(x, kernel, "full")[reach : reach + len(x)] / np.convolve(np.ones(len(x)), kernel, "full")[reach : reach + len(x)]
 
-    return smooth(length) * (1 + smooth(marks))
+    smoothed = smooth(per[0]) * (1 + smooth(per[1]))
+    return np.minimum(np.bincount(path, smoothed)[path] / n[path], per[0] * (1 + per[1]))
 
 
-def _shared(paths: list[tuple]) -> tuple:
-    """The deepest element that all paths lie in, above paragraphs, list items, cells and headings."""
-    low, high = min(paths), max(paths)
-    depth = next((k for k, (x, y) in enumerate(zip(low, high, strict=False)) if x != y), min(len(low), len(high)))
-    return low[: next((k for k, (t, _) in enumerate(low[:depth]) if t in LEAVES), depth)]
+def content(page: Page) -> np.ndarray:
+    """Places of the nodes whose path's ratio is above the threshold: the standard deviation of all nodes' ratios."""
+    told = [page.told[n.at] for n in page.nodes]
+    at = np.flatnonzero(~np.array(told, bool))
+    if not len(at):
+        return at
+    some = [page.nodes[k] for k in at]
+    own = np.array([max(0, len(n.text) - n.linked) for n in some])
+    ratio = fused_ratios([page.path[n.at] for n in some], own.tolist(), [0 if n.linked else len(_PUNCTUATION.findall(n.text)) for n in some])
+    chosen = (ratio >= min(ratio.std(), ratio.max())) & (own > 0)
+    return at[chosen if chosen.any() else own > 0]
 
 
-def extract(page: str | None) -> str:
+def extract(html_text: str | None) -> str:
     """The main text of one page: blocks in page order joined by one space; empty if there is none.
 
     The article is the lowest element that holds all content, lifted to a main or article around it.
-    Without such a tag the blocks beside it are taken as well. All text of the article is, unless it lies
-    outside; blocks that are not of the article only if they are headings or less than 60 % links.
+    Without such a tag the blocks beside it are taken as well. All text of the article is, unless it is
+    marked as lying outside; blocks that are not of the article only if they are headings or less than 60 % links.
     """
-    found = [n for n in nodes(page or "") if not n.outside]
-    if not found:
-        return ""
-    ratio = fused_ratios(found)
-    own = np.array([max(0, len(n.text) - n.linked) for n in found])
-    content = (ratio >= min(ratio.std(), ratio.max())) & (own > 0)
-    if not content.any():
-        content = own > 0
-    if not content.any():
+    page = Page(html_text or "")
+    at = content(page)
+    if not len(at):
         return ""
-    at = np.flatnonzero(content)
-    base = _shared([found[k].path for k in at])
-    names = [t for t, _ in base]
-    wide = base
-    for anchor in ("main", "article"):
-        if anchor in names:
-            wide = base = base[: names.index(anchor) + 1]
-            break
+    places = [page.nodes[k].at for k in at]
+    base = wide = page.shared(min(places), max(places))
+    top = lambda e: e == 0 or page.tag[e] in ("body", "html")
+    anchor = page.main[base] if page.main[base] >= 0 else page.article[base]
+    if anchor >= 0:
+        base = wide = anchor
     else:  # past the elements around it that hold nothing else
-        held = sum(n.path[: len(base)] == base for n in found)
-        while wide and wide[-1][0] not in ("body", "html") and sum(n.path[: len(wide)] == wide for n in found) == held:
-            wide = wide[:-1]
-    page_wide = not base or base[-1][0] in ("body", "html")  # then the article is what lies between its content, and what is marked as such
+        inside = np.sort([n.at for n in page.nodes if not page.outside[n.at]])
+        held = lambda e: np.searchsorted(inside, page.last[e], "right") - np.searchsorted(inside, e)
+        n = held(base)
+        while not top(wide) and held(wide) == n:
+            wide = page.parent[wide]
+    page_wide = top(base)  # then the article is what lies between its content, and what is marked as such
     out = []
-    for k, n in enumerate(found):
-        if n.path[: len(wide)] != wide:
+    for k, n in enumerate(page.nodes):
+        if not wide <= n.at <= page.last[wide] or page.outside[n.at]:
             continue
-        inside = (at[0] <= k <= at[-1] or any(t in ("article", "main") for t, _ in n.path)) if page_wide else n.path[: len(base)] == base
-        if inside or n.heading or n.linked < 0.6 * len(n.text):
+        mine = at[0] <= k <= at[-1] or page.main[n.at] >= 0 or page.article[n.at] >= 0 if page_wide else base <= n.at <= page.last[base]
+        if mine or page.heading[n.at] or n.linked < 0.6 * len(n.text):
             out.append(n.text)
     return " ".join(out)
 

@@ -264,12 +264,74 @@ def test_main_text_beside_the_text_element():
 
 def test_linked_length():
     """Of links the decoded text counts, as of the block."""
-    from gnomon.llm.html import nodes
+    from gnomon.llm.html import Page
 
-    (n,) = nodes("<p>Some words <a href=/>&amp;&amp;&amp;&nbsp; \n\n &amp;</a></p>")
+    (n,) = Page("<p>Some words <a href=/>&amp;&amp;&amp;&nbsp; \n\n &amp;</a></p>").nodes
     assert (n.text, n.linked) == ("Some words &&& &", 5)
 
 
+def labelled_pages():
+    """(page, its main text): articles of several shapes among menus, adverts and footers, most of them without a telling name."""
+    r = random.Random(8)
+    say = lambda k: " ".join(f"{w}{',' if r.random() < 0.1 else ''}" for w in sentences(r.randrange(10**6), k).replace(".", "").split()) + "."
+    for k in range(60):
+        paragraphs = [say(r.randint(20, 90)) for _ in range(r.randint(3, 9))]
+        title, item, menu = say(6)[:-1], [say(3) for _ in range(3)], [say(1)[:-1] for _ in range(8)]
+        inner = [f"<h1>{title}</h1>", *(f"<p>{p}</p>" for p in paragraphs)]
+        inner.insert(2, "<ul>" + "".join(f"<li>{x}" for x in item) + "</ul>")
+        text = " ".join([title, paragraphs[0], *item, *paragraphs[1:]])
+        bar = "".join(f"<li><a href=/{x}>{x}</a></li>" for x in menu)
+        top = [f"<ul>{bar}</ul>", f"<nav><ul>{bar}</ul></nav>", f"<div><div>{'</div><div>'.join(menu)}</div></div>"][k % 3]
+        hold = [("<article>", "</article>"), ("<div class=c7>", "</div>"), ("<main><div><div>", "</div></div></main>"), ("<table><tr><td>", "</table>")][k % 4]
+        foot = ["<footer>F 2024</footer>", "<div class=b2><span>F 2024</span></div>", "<div><ul>" + bar + "</ul></div>"][k // 2 % 3]
+        ad = f"<div class=x{k}>Buy {menu[0]}</div>"
+        said = f"<section id=comments><p>{say(40)}</p><p>{say(30)}</p></section>" if k % 5 == 0 else ""
+        yield f"<html><body>{top}{ad}{hold[0]}{''.join(inner)}{hold[1]}{said}{foot}</body></html>", text
+
+
+def test_main_text_of_labelled_pages():
+    from collections import Counter
+
+    from gnomon.llm.html import extract
+
+    kept = wanted = both = 0
+    for page, text in labelled_pages():
+        got, want = Counter(extract(page).split()), Counter(text.split())
+        kept, wanted, both = kept + got.total(), wanted + want.total(), both + (got & want).total()
+    assert both / kept > 0.97 and both / wanted > 0.99
+
+
+def test_ratios_decide_what_is_content(monkeypatch):
+    """With ratios that say nothing, the text of many pages is another one."""
+    from gnomon.llm import html
+
+    pages = [p for p, _ in labelled_pages()]
+    right = [html.extract(p) for p in pages]
+    monkeypatch.setattr(html, "fused_ratios", lambda paths, *_: np.ones(len(paths)))
+    assert sum(a != b for a, b in zip(right, map(html.extract, pages), strict=True)) >= len(pages) // 3
+
+
+@pytest.mark.parametrize("page", ["<div>a, b." * 20_000, "<div>" * 20_000 + "<p>one, two.</p>" + "</b></p></div>" * 20_000, "<ul><li>a, b" * 8_000, "<p>a<div>" * 10_000, "<div><p>" * 5_000 + "</table></td>x" * 5_000])
+def test_main_text_takes_linear_time(page):
+    import time
+
+    from gnomon.llm.html import extract
+
+    start = time.process_time()
+    extract(page)
+    assert time.process_time() - start < 1.5
+
+
+def test_main_text_odd_tables(spark):
+    from gnomon.llm.html import main_text
+
+    schema = "page_id long, url string, html string, text string, n_chars string"
+    assert main_text(spark.createDataFrame([], schema)).count() == 0
+    rows = [(None, None, "<p>One, two.</p>", "x", "y"), (3, "u", "<p>One, two.</p>", "x", "y"), (3, "u", "<p>One, two.</p>", "x", "y"), (4, "u", "<p>" + "long, text. " * 100_000 + "</p>", None, None)]
+    got = sorted(((r.page_id or 0), len(r.text), r.n_chars) for r in main_text(spark.createDataFrame(rows, schema)).collect())
+    assert got == [(0, 9, 9), (3, 9, 9), (3, 9, 9), (4, 1_199_999, 1_199_999)]
+
+
 def test_quality_learns_whole_texts(spark):
     """Texts of either class open alike for 9,000 bytes and differ only after that."""
     from gnomon.llm.quality import pieces, score, train
