@@ -9,13 +9,12 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from gnomon.functions import solar
+from gnomon.plans import ingest, pages, schedule
 from gnomon.plans.dialect import duck_sql, spark_sql, with_relations
-from gnomon.sources.model import FRESH_DAYS, REVIEW_STATUS, TEFILLAH, register, relation
+from gnomon.plans.schedule import DAYS_KEY, FRESH, PUBLIC, VISIBLE
+from gnomon.sources.model import REVIEW_STATUS, TEFILLAH, register
 
-FRESH = f"s.review_status = 'approved' AND s.run_status IN ('ok', 'no_change') AND coalesce(s.last_received_at, s.last_run_at) >= @ago({FRESH_DAYS})"
 LIVE = "coalesce(s.review_status = 'approved' AND s.run_status IN ('ok', 'no_change') AND coalesce(s.last_received_at, s.last_run_at) >= @ago(14), false)"
 TEF = ", ".join(f"'{x}'" for x in TEFILLAH)
 REV = ", ".join(f"'{x}'" for x in REVIEW_STATUS)
@@ -23,13 +22,6 @@ HERE_LAT, HERE_LNG = "40.3e0", "-74.1e0"
 # Great-circle miles on a sphere of 3958.8 miles.
 MILES = "round(2e0 * 3958.8e0 * asin(sqrt(pow(sin(radians({b} - {a}) / 2e0), 2) + cos(radians({a})) * cos(radians({b})) * pow(sin(radians({d} - {c}) / 2e0), 2))), 3)"
 DISTANCE = MILES.format(a=HERE_LAT, b="p.lat", c=HERE_LNG, d="p.lng")
-DAYS_KEY = "coalesce(@join(@sorted(@split(nullif(r.days, ''), ',')), ','), '')"
-# The winner of rules that say the same: manual edits, then the source's priority, its last run, and ids.
-WINNER = f"""row_number() OVER (PARTITION BY r.place_id, r.tefillah, r.time_kind, r.clock, r.anchor, r.offset_min, {DAYS_KEY}, r.special_kind, r.valid_from, r.valid_to
-  ORDER BY r.is_manual_edit DESC, coalesce(s.priority, 0) DESC, s.last_run_at DESC NULLS LAST, r.source_id DESC NULLS LAST, r.id DESC)"""
-PUBLIC = f"""public_rule AS (SELECT * FROM (SELECT r.*, coalesce(s.priority, 0) AS source_priority, {WINNER} AS rn
-  FROM rule r LEFT JOIN source s ON s.id = r.source_id WHERE NOT r.is_deleted AND (s.id IS NULL OR s.review_status <> 'rejected')) WHERE rn = 1)"""
-VISIBLE = f"visible AS (SELECT p.* FROM place p WHERE p.status <> 'archived' AND EXISTS (SELECT 1 FROM source s WHERE s.place_id = p.id AND {FRESH}))"
 STATE = f"""source_state AS (SELECT s.place_id, count(*) AS n_sources,
   max(CASE WHEN s.review_status = 'approved' AND s.run_status IN ('ok', 'no_change') THEN coalesce(s.last_received_at, s.last_run_at) END) AS last_fresh_at,
   coalesce(bool_or(s.review_status = 'pending' AND NOT coalesce(s.strategy = 'failed', false)), false) AS has_pending,
@@ -38,12 +30,12 @@ STATE = f"""source_state AS (SELECT s.place_id, count(*) AS n_sources,
   min(CASE WHEN s.review_status <> 'rejected' THEN s.first_broken_at END) AS first_broken_at,
   count(*) FILTER (WHERE s.review_status = 'pending' AND NOT coalesce(s.strategy = 'failed', false)) AS pending_count
   FROM source s GROUP BY s.place_id)"""
-ADMIN = f"""{STATE}, admin AS (SELECT p.id, p.slug, p.status, p.submitted_at, x.last_fresh_at, x.first_broken_at, coalesce(x.n_sources, 0) AS n_sources, coalesce(x.has_approved, false) AS has_approved,
+ADMIN = f"""{STATE}, admin AS (SELECT p.id, p.slug, p.status, p.submitted_at, x.pending_count, x.last_fresh_at, x.first_broken_at, coalesce(x.n_sources, 0) AS n_sources, coalesce(x.has_approved, false) AS has_approved,
   CASE WHEN p.status = 'archived' THEN 'archived' WHEN p.status = 'unsupported' THEN 'unsupported' WHEN coalesce(x.has_pending, false) THEN 'pending_review'
     WHEN coalesce(x.has_broken_run, false) THEN 'broken' WHEN x.n_sources IS NULL THEN 'awaiting_extraction' WHEN NOT x.has_approved AND x.has_rejected THEN 'no_good_source'
     WHEN x.has_approved AND (x.last_fresh_at IS NULL OR x.last_fresh_at < @ago(14)) THEN 'stale' WHEN x.has_approved THEN 'active' ELSE 'no_good_source' END AS state
   FROM place p LEFT JOIN source_state x ON x.place_id = p.id)"""
-INBOX = "('pending_review', 'broken', 'awaiting_extraction', 'no_good_source', 'stale')"
+INBOX = "('pending_review', 'broken', 'awaiting_extraction', 'no_good_source', 'stale', 'unsupported')"
 
 TEXT: dict[str, str] = {}
 Q = TEXT.__setitem__
@@ -72,10 +64,8 @@ Q("stranded_sources", """SELECT p.id AS place_id, s.id AS source_id FROM place p
 Q("inspect_sources", "SELECT s.id, p.slug, s.identifier, s.built_at FROM source s JOIN place p ON p.id = s.place_id WHERE p.slug ILIKE '%99%' OR p.name ILIKE '%99%' OR s.identifier ILIKE '%99%' ORDER BY s.built_at DESC NULLS LAST, s.id LIMIT 5")
 Q("resource_backfill_list", "SELECT id FROM source WHERE @json(config_json, '$.last_extracted_resource') IS NULL AND strategy IN ('pdf_document', 'vision_image') OR identifier <> coalesce(@json(config_json, '$.submitted_url'), identifier)")
 Q("missing_attributes", "SELECT id, lat IS NOT NULL AND timezone IS NULL AS needs_timezone, address IS NOT NULL AND lat IS NULL AND status IN ('active', 'pending_review') AS needs_location, submitted_url IS NOT NULL AND lat IS NULL AS needs_address, match_domain IS NULL AS needs_domain FROM place")
-Q("shared_domain_places", "SELECT id FROM place p WHERE EXISTS (SELECT 1 FROM (VALUES ('gmail.com'), ('yahoo.com'), ('outlook.com'), ('constantcontact.com')) AS d(domain) WHERE d.domain = p.match_domain)")
 Q("refire_cooldown", "SELECT p.id, EXISTS (SELECT 1 FROM source s WHERE s.place_id = p.id AND s.last_run_at > @now() - @minutes(4320)) AS suppressed FROM place p")
 Q("admin_listing", "SELECT id, name, status FROM place WHERE name ILIKE '%1%' AND status = 'active' ORDER BY name, id LIMIT 200")
-Q("discovery_targets", "SELECT name, region, tier FROM (SELECT n_name AS name, CAST(n_regionkey AS INT) AS region, CAST(n_nationkey % 3 AS INT) AS tier FROM nation) WHERE region = 2 AND tier = 1")
 Q("tefillah_chips", f"WITH {PUBLIC} SELECT place_id, tefillah, n, n_all >= 3 AS shown FROM (SELECT place_id, tefillah, count(*) AS n, sum(count(*)) OVER (PARTITION BY place_id) AS n_all FROM public_rule GROUP BY place_id, tefillah)")
 
 # ---- joins ----
@@ -83,27 +73,16 @@ Q("stale_places", f"SELECT p.id FROM place p WHERE p.status = 'active' AND NOT E
 Q("broken_lane", f"""SELECT p.id FROM place p WHERE p.status <> 'archived' AND p.submitted_url IS NOT NULL AND EXISTS (SELECT 1 FROM source a WHERE a.place_id = p.id AND a.review_status = 'approved')
   AND NOT EXISTS (SELECT 1 FROM source s WHERE s.place_id = p.id AND {FRESH}) ORDER BY p.id LIMIT 100""")
 Q("sibling_sources", "SELECT id, place_id, identifier FROM (SELECT *, count(*) OVER (PARTITION BY place_id, identifier) AS n FROM source WHERE review_status <> 'rejected') WHERE n > 1")
-Q("pending_sources", "SELECT s.id, p.slug, s.confidence, CAST(row_number() OVER (ORDER BY s.confidence ASC NULLS LAST, s.built_at ASC NULLS LAST, s.id) AS BIGINT) AS place FROM source s JOIN place p ON p.id = s.place_id WHERE s.review_status = 'pending'")
 Q("rejected_sources", "SELECT s.id, p.slug, s.built_at FROM source s JOIN place p ON p.id = s.place_id WHERE s.review_status = 'rejected'")
 Q("rules_with_source", "SELECT r.id, r.place_id, s.id AS source_id, coalesce(s.priority, 0) AS priority FROM rule r LEFT JOIN source s ON s.id = r.source_id WHERE NOT r.is_deleted AND (s.id IS NULL OR s.review_status <> 'rejected')")
 Q("candidates_with_place", "SELECT c.id, c.host, p.slug FROM candidate c LEFT JOIN place p ON p.id = c.linked_place_id")
 Q("recent_reviews", "SELECT c.id, p.slug, c.reviewed_at FROM candidate c JOIN place p ON p.id = c.linked_place_id WHERE c.reviewed_at > @event_ago(1) ORDER BY c.reviewed_at DESC, c.id LIMIT 20")
-Q("nearby_places", f"""WITH {VISIBLE} SELECT p.id, p.slug, {DISTANCE} AS miles FROM visible p
-  WHERE p.lat BETWEEN {HERE_LAT} - 0.4e0 AND {HERE_LAT} + 0.4e0 AND p.lng BETWEEN {HERE_LNG} - 0.6e0 AND {HERE_LNG} + 0.6e0 AND {DISTANCE} <= 25e0""")
-_PAIR = MILES.format(a="a.lat", b="b.lat", c="a.lng", d="b.lng")
-Q("place_pairs_within", f"""WITH cell AS (SELECT id, lat, lng, CAST(floor(lat * 25) AS INT) AS cy, CAST(floor(lng * 20) AS INT) AS cx FROM place WHERE lat IS NOT NULL),
-  spread AS (SELECT id, lat, lng, cy + dy AS cy, cx + dx AS cx FROM cell CROSS JOIN (VALUES (-1), (0), (1)) AS y(dy) CROSS JOIN (VALUES (-1), (0), (1)) AS x(dx))
-  SELECT a.id AS a_id, b.id AS b_id, {_PAIR} AS miles FROM cell a JOIN spread b ON a.cy = b.cy AND a.cx = b.cx AND a.id < b.id WHERE {_PAIR} <= 1.5e0""")
 Q("top_source", "SELECT place_id, id AS source_id, priority FROM (SELECT *, row_number() OVER (PARTITION BY place_id ORDER BY priority DESC, built_at DESC NULLS LAST, id DESC) AS rn FROM source) WHERE rn = 1")
 Q("last_verified", "WITH v AS (SELECT place_id, max(coalesce(last_received_at, last_run_at)) AS verified_at FROM source WHERE review_status = 'approved' AND run_status IN ('ok', 'no_change') GROUP BY place_id) SELECT p.id, v.verified_at FROM place p LEFT JOIN v ON v.place_id = p.id")
 Q("failed_approvals", """SELECT c.id, CASE WHEN c.linked_place_id IS NULL THEN 'not_linked' WHEN p.id IS NULL THEN 'place_missing' WHEN p.submitted_url IS NULL THEN 'no_url'
   WHEN NOT EXISTS (SELECT 1 FROM source s WHERE s.place_id = p.id) THEN 'no_source' WHEN NOT EXISTS (SELECT 1 FROM source s WHERE s.place_id = p.id AND NOT coalesce(s.strategy = 'failed', false)) THEN 'extraction_failed' ELSE 'ok' END AS failure_reason
   FROM candidate c LEFT JOIN place p ON p.id = c.linked_place_id WHERE c.review_status = 'approved'""")
-Q("duplicate_domain", """WITH host AS (SELECT id, @replace_all(host, '^www\\.', '') AS domain FROM candidate), m AS (SELECT h.id, min(p.id) AS place_id FROM host h JOIN place p ON p.match_domain = h.domain OR concat('tionsh.', p.match_domain) = h.domain GROUP BY h.id)
-  SELECT h.id, h.domain, m.place_id FROM host h LEFT JOIN m ON m.id = h.id""")
 Q("exact_url_duplicates", "SELECT p.id FROM place p WHERE EXISTS (SELECT 1 FROM place o WHERE o.submitted_url = p.submitted_url AND o.id < p.id)")
-Q("report_rules", "SELECT t.id, CASE WHEN p.id IS NOT NULL THEN t.rule_id END AS rule_id FROM report t LEFT JOIN place p ON p.id = t.rule_id AND p.id % 20 = t.place_id")
-Q("place_with_sources", "SELECT p.id, p.slug, count(s.id) AS n, min(s.id) AS first_id, max(s.built_at) AS newest FROM place p LEFT JOIN source s ON s.place_id = p.id GROUP BY p.id, p.slug")
 Q("review_payload", "SELECT s.id, p.slug, r.id AS rule_id, r.tefillah FROM source s JOIN place p ON p.id = s.place_id LEFT JOIN rule r ON r.source_id = s.id AND NOT r.is_deleted")
 Q("open_reports", "SELECT t.id, p.slug, t.created_at FROM report t JOIN place p ON p.id = t.place_id WHERE t.status = 'open' ORDER BY t.created_at DESC, t.id LIMIT 100")
 Q("evening_worklist", """SELECT DISTINCT p.id AS place_id, s.id AS source_id, count(CASE WHEN r.tefillah IN ('mincha', 'maariv') AND r.time_kind = 'fixed' THEN 1 END) OVER (PARTITION BY s.id) AS fixed_evening
@@ -124,14 +103,10 @@ Q("dup_identifiers", "SELECT place_id, identifier, count(*) AS n FROM source WHE
 Q("dup_sanity", "SELECT count(*) AS n_groups FROM (SELECT place_id FROM source WHERE review_status = 'approved' AND run_status = 'ok' GROUP BY place_id HAVING count(*) > 1)")
 Q("strategy_audit", "SELECT count(*) AS total, count(*) FILTER (WHERE strategy = 'html') AS html, count(*) FILTER (WHERE strategy IS NULL) AS missing FROM source WHERE kind = 'website_llm'")
 Q("load_summary", "SELECT count(DISTINCT place_id) AS places, count(*) AS sources, (SELECT count(*) FROM rule) AS rules, (SELECT count(*) FROM rule WHERE is_deleted) AS dropped FROM source")
-Q("daily_spend", """WITH u AS (SELECT id, @json(config_json, '$.usage') AS usage FROM source WHERE created_at >= @ago(400) OR built_at >= @ago(400)),
-  t AS (SELECT CASE WHEN usage LIKE '%haiku%' THEN 'small' ELSE 'large' END AS model, CAST(@extract_group(usage, '"inputTokens":([0-9]+)')[0] AS BIGINT) AS tin, CAST(@extract_group(usage, '"outputTokens":([0-9]+)')[0] AS BIGINT) AS tout FROM u)
-  SELECT model, count(*) AS n, CAST(sum(tin) AS BIGINT) AS input_tokens, CAST(sum(tout) AS BIGINT) AS output_tokens, round(CAST(sum(tin) AS DOUBLE) / 1e6 * CASE model WHEN 'small' THEN 1e0 ELSE 3e0 END + CAST(sum(tout) AS DOUBLE) / 1e6 * CASE model WHEN 'small' THEN 5e0 ELSE 15e0 END, 6) AS dollars FROM t GROUP BY model""")
 Q("live_rules_per_source", "SELECT source_id, count(*) AS n FROM rule WHERE NOT is_deleted AND source_id IS NOT NULL GROUP BY source_id")
 Q("lane_counts", f"WITH {ADMIN} SELECT CASE WHEN has_approved THEN 'broken' ELSE 'new' END AS lane, count(*) AS n FROM admin WHERE state IN {INBOX} GROUP BY 1")
 Q("mean_confidence", "SELECT place_id, round(coalesce(avg(confidence), 0e0), 6) AS mean_confidence FROM source GROUP BY place_id")
 Q("broken_age", "SELECT id, days_broken, CASE WHEN days_broken < 7 THEN 'NEW' ELSE 'CHRONIC' END AS age FROM (SELECT id, CAST(floor((@epoch(@now()) - @epoch(first_broken_at)) / 86400e0) AS BIGINT) AS days_broken FROM source WHERE first_broken_at IS NOT NULL)")
-Q("resolved_places", f"WITH {PUBLIC} SELECT count(DISTINCT place_id) AS n_places, count(*) AS n_rules FROM public_rule WHERE time_kind = 'fixed'")
 Q("discovery_counts", "WITH f AS (SELECT *, row_number() OVER (PARTITION BY host ORDER BY id) AS rn FROM candidate) SELECT coalesce(target, 'total') AS target, count(*) AS results, count(*) FILTER (WHERE rn = 1) AS added, count(*) FILTER (WHERE rn > 1) AS duplicates FROM f WHERE target IS NOT NULL GROUP BY GROUPING SETS ((target), ())")
 
 # ---- windows, order ----
@@ -141,136 +116,68 @@ Q("cross_status_winner", "SELECT id, place_id, identifier, CAST(row_number() OVE
 Q("fixed_evening_counts", "SELECT id, source_id, count(CASE WHEN tefillah IN ('mincha', 'maariv') AND time_kind = 'fixed' THEN 1 END) OVER (PARTITION BY source_id) AS n FROM rule WHERE source_id IS NOT NULL AND NOT is_deleted")
 Q("runs_of_place", "SELECT id, status, started_at FROM run WHERE place_id = 12 ORDER BY started_at DESC, id DESC LIMIT 20")
 Q("pending_candidates", "SELECT id, host, created_at FROM candidate WHERE review_status = 'pending' ORDER BY created_at DESC, id LIMIT 200")
-Q("two_per_place", f"WITH {PUBLIC}, {VISIBLE}, n AS (SELECT r.id, r.place_id, {DISTANCE} AS miles, r.clock FROM public_rule r JOIN visible p ON p.id = r.place_id WHERE p.lat IS NOT NULL AND r.time_kind = 'fixed') SELECT id, place_id, miles, clock, CAST(rn AS BIGINT) AS rn FROM (SELECT *, row_number() OVER (PARTITION BY place_id ORDER BY clock, id) AS rn FROM n) WHERE rn <= 2")
 Q("context_lines", r"SELECT page_id, line_no, line, concat_ws(' | ', lag(line) OVER w, line, lead(line) OVER w) AS context FROM (SELECT o_orderkey % 500 AS page_id, o_orderkey AS line_no, o_orderpriority || ' ' || o_orderstatus AS line FROM orders) WINDOW w AS (PARTITION BY page_id ORDER BY line_no)")
 Q("best_of_key", "SELECT id, place_id, strategy, confidence FROM (SELECT *, row_number() OVER (PARTITION BY place_id, strategy ORDER BY confidence DESC, id) AS rn FROM source) WHERE rn = 1")
-Q("rate_limit_hits", "SELECT event_id, n > 20 AS limited FROM (SELECT event_id, count(*) OVER (PARTITION BY user_id ORDER BY @epoch(ts) RANGE BETWEEN 3600 PRECEDING AND CURRENT ROW) AS n FROM events)")
 
 # ---- state, lanes ----
 Q("admin_state", f"WITH {ADMIN} SELECT id, state, state IN {INBOX} AS inbox FROM admin")
-Q("admin_feed", f"""WITH {ADMIN} SELECT id, slug, state, lane, CAST(row_number() OVER (PARTITION BY lane ORDER BY CASE WHEN lane = 'new' THEN @epoch(submitted_at) ELSE -coalesce(@epoch(coalesce(first_broken_at, last_fresh_at)), 0) END, id) AS BIGINT) AS place
-  FROM (SELECT *, CASE WHEN has_approved THEN 'broken' ELSE 'new' END AS lane FROM admin WHERE state IN {INBOX})""")
+Q("admin_feed", f"""WITH {ADMIN} SELECT id, slug, state, lane FROM (SELECT *, CASE WHEN has_approved THEN 'broken' ELSE 'new' END AS lane FROM admin WHERE state IN {INBOX})
+  ORDER BY lane DESC, CASE WHEN lane = 'new' THEN @epoch(submitted_at) ELSE -coalesce(@epoch(coalesce(first_broken_at, last_fresh_at)), 0) END, id LIMIT 5000""")
+Q("state_labels", f"""WITH {ADMIN} SELECT id, state, CASE state WHEN 'archived' THEN 'Archived' WHEN 'unsupported' THEN 'Try a different source URL' WHEN 'broken' THEN 'Investigate broken extraction' WHEN 'pending_review' THEN CASE WHEN pending_count = 1 THEN 'Review 1 new extraction' ELSE concat('Review ', CAST(pending_count AS VARCHAR(9)), ' new extractions') END
+    WHEN 'no_good_source' THEN 'No good source — triage' WHEN 'awaiting_extraction' THEN 'Awaiting extraction' WHEN 'stale' THEN 'Stale — re-extract (14d+)' ELSE 'Active' END AS label,
+  CASE WHEN state IN ('archived', 'unsupported') THEN 'blocked' WHEN state IN ('broken', 'no_good_source', 'stale') THEN 'broken' WHEN state IN ('pending_review', 'awaiting_extraction') THEN 'pending' ELSE 'ok' END AS tier, state NOT IN ('active', 'archived') AS inbox FROM admin""")
 Q("state_urgency", f"WITH {ADMIN} SELECT state, CASE state WHEN 'pending_review' THEN 0 WHEN 'broken' THEN 1 WHEN 'no_good_source' THEN 2 WHEN 'stale' THEN 3 WHEN 'awaiting_extraction' THEN 4 WHEN 'active' THEN 5 WHEN 'unsupported' THEN 6 ELSE 7 END AS urgency, count(*) AS n FROM admin GROUP BY state")
 Q("digest", f"""WITH {ADMIN}, c AS (SELECT status, count(*) AS n FROM run GROUP BY status), t AS (SELECT coalesce(sum(n), 0) AS total FROM c)
   SELECT CASE WHEN t.total = 0 THEN 'ALERT: no runs' ELSE concat('runs ', CAST(CAST(t.total AS BIGINT) AS VARCHAR(20)), ', broken ', CAST((SELECT count(*) FROM admin WHERE state = 'broken') AS VARCHAR(20))) END AS line, (SELECT count(*) FROM source WHERE first_broken_at >= @ago(7)) >= 5 AS mass_breakage FROM t""")
 
 # ---- time and schedule ----
 Q("local_dow", "SELECT p.id, s.id AS source_id, CAST(@local(s.created_at, coalesce(p.timezone, 'America/New_York')) AS DATE) AS local_date, @dow(CAST(@local(s.created_at, coalesce(p.timezone, 'America/New_York')) AS DATE)) AS dow FROM source s JOIN place p ON p.id = s.place_id")
-_ATUTC = "@at({d}, CAST(substring(r.clock, 1, 2) AS INT), CAST(substring(r.clock, 4, 2) AS INT))"
-_Z = "coalesce(p.timezone, 'America/New_York')"
-# The two-pass rule: correct a guess by the zone's offset at the guess, twice.
-_GUESS1 = "(@epoch({t}) + @epoch({t}) - @epoch(@local({t}, {z})))"
-Q("fixed_clock_utc", f"""WITH x AS (SELECT r.id, {_Z} AS z, {_ATUTC.format(d="DATE '2024-07-07'")} AS wall FROM rule r JOIN place p ON p.id = r.place_id WHERE r.time_kind = 'fixed' AND NOT r.is_deleted),
-  g AS (SELECT id, z, wall, wall + (wall - @local(wall, z)) AS g1 FROM x) SELECT id, g1 + (wall - @local(g1, z)) AS utc FROM g""")
-_DOW = "@dow(DATE '2024-07-08')"
-_SPECIAL = "(r.valid_from IS NULL OR DATE '1998-07-08' >= r.valid_from) AND (r.valid_to IS NULL OR DATE '1998-07-08' <= r.valid_to)"
-FEED_APPLIES = f"CASE WHEN r.special_kind <> 'regular' THEN {_SPECIAL} WHEN coalesce(r.days, '') = '' THEN true ELSE @has(@split(r.days, ','), CAST({_DOW} AS VARCHAR(2))) END"
-PAGE_APPLIES = f"CASE WHEN r.special_kind <> 'regular' THEN {_SPECIAL} WHEN coalesce(r.days, '') = '' THEN false ELSE @has(@split(r.days, ','), CAST({_DOW} AS VARCHAR(2))) END"
-Q("applies_feed_and_page", f"SELECT r.id, {FEED_APPLIES} AS in_feed, {PAGE_APPLIES} AS on_page FROM rule r")
-Q("days_label", """SELECT DISTINCT days, CASE WHEN coalesce(days, '') = '' THEN '—' ELSE CASE @join(@sorted(@split(days, ',')), ',') WHEN '0,1,2,3,4,5,6' THEN 'Daily' WHEN '1,2,3,4,5' THEN 'Mon-Fri' WHEN '1,2,3,4' THEN 'Mon-Thu' WHEN '0,1,2,3,4' THEN 'Sun-Thu'
-  ELSE replace(replace(replace(replace(replace(replace(replace(@join(@sorted(@split(days, ',')), ', '), '0', 'Sun'), '1', 'Mon'), '2', 'Tue'), '3', 'Wed'), '4', 'Thu'), '5', 'Fri'), '6', 'Sat') END END AS label FROM rule""")
-Q("time_label", """SELECT DISTINCT time_kind, clock, anchor, offset_min, CASE WHEN time_kind = 'fixed' THEN concat(CAST((CAST(substring(clock, 1, 2) AS INT) + 11) % 12 + 1 AS VARCHAR(3)), substring(clock, 3, 3), CASE WHEN CAST(substring(clock, 1, 2) AS INT) >= 12 THEN ' PM' ELSE ' AM' END)
-  WHEN offset_min = 0 THEN replace(anchor, '_', ' ') ELSE concat(CAST(abs(offset_min) AS VARCHAR(5)), ' min ', CASE WHEN offset_min < 0 THEN 'before ' ELSE 'after ' END, replace(anchor, '_', ' ')) END AS label FROM rule""")
 Q("clock_label", "SELECT DISTINCT o_orderdate AS at, @time12(@local(o_orderdate, 'America/New_York')) AS label FROM orders")
 Q("distance_label", f"""SELECT id, CASE WHEN miles < 0.1e0 THEN concat(CAST(CAST(floor(miles * 1609.344e0 + 0.5e0) AS BIGINT) AS VARCHAR(9)), ' m') WHEN miles < 10e0 THEN concat(CAST(CAST(floor(miles * 10e0 + 0.5e0) AS BIGINT) / 10 AS VARCHAR(1)), ' mi') ELSE concat(CAST(CAST(floor(miles + 0.5e0) AS BIGINT) AS VARCHAR(9)), ' mi') END AS label
   FROM (SELECT p.id, {DISTANCE} AS miles FROM place p WHERE p.lat IS NOT NULL)""".replace("CAST(CAST(floor(miles * 10e0 + 0.5e0) AS BIGINT) / 10 AS VARCHAR(1))", "CAST(CAST(floor(floor(miles * 10e0 + 0.5e0) / 10e0) AS BIGINT) AS VARCHAR(9)), '.', CAST(CAST(floor(miles * 10e0 + 0.5e0) AS BIGINT) % 10 AS VARCHAR(1))"))
 Q("relative_days", "SELECT id, CASE WHEN hours < 1 THEN 'just now' WHEN hours < 24 THEN concat(CAST(hours AS VARCHAR(9)), 'h ago') WHEN hours < 336 THEN concat(CAST(CAST(floor(hours / 24e0) AS BIGINT) AS VARCHAR(9)), 'd ago') ELSE concat(CAST(CAST(floor(hours / 168e0) AS BIGINT) AS VARCHAR(9)), ' weeks ago') END AS label FROM (SELECT id, CAST(floor((@epoch(@now()) - @epoch(created_at)) / 3600e0) AS BIGINT) AS hours FROM source)")
 Q("freshness_tier", "SELECT id, CASE WHEN days IS NULL THEN 'never' WHEN days < 10 THEN 'fresh' WHEN days < 14 THEN 'warning' ELSE 'stale' END AS tier FROM (SELECT id, CAST(floor((@epoch(@now()) - @epoch(coalesce(last_received_at, last_run_at))) / 86400e0) AS BIGINT) AS days FROM source)")
-Q("radius_clamp", "SELECT DISTINCT l_quantity AS miles, least(greatest(round(l_quantity * 1609.344e0, 6), 50e0), 50000e0) AS metres FROM lineitem")
-_FEED_START = "g1 + (wall - @local(g1, z))"
-NEARBY_FEED = f"""WITH {PUBLIC}, {VISIBLE},
-  near AS (SELECT p.*, {DISTANCE} AS miles FROM visible p WHERE p.lat BETWEEN {HERE_LAT} - 0.4e0 AND {HERE_LAT} + 0.4e0 AND p.lng BETWEEN {HERE_LNG} - 0.6e0 AND {HERE_LNG} + 0.6e0),
-  applies AS (SELECT r.id, r.place_id, r.tefillah, r.priority, p.slug, p.miles, {_Z} AS z, {_ATUTC.format(d="DATE '2024-07-08'")} AS wall FROM public_rule r JOIN near p ON p.id = r.place_id WHERE p.miles <= 25e0 AND r.time_kind = 'fixed' AND {FEED_APPLIES}),
-  guess AS (SELECT *, wall + (wall - @local(wall, z)) AS g1 FROM applies),
-  timed AS (SELECT *, {_FEED_START} AS starts_at FROM guess),
-  open AS (SELECT *, starts_at <= TIMESTAMP '2024-07-08 14:00:00' AS started FROM timed WHERE starts_at BETWEEN TIMESTAMP '2024-07-08 13:30:00' AND TIMESTAMP '2024-07-09 14:00:00')
-  SELECT id, place_id, slug, tefillah, miles, starts_at, started, tefillah IN ('mincha', 'maariv') AS fixed_evening FROM open
-  ORDER BY started, CASE WHEN started THEN -@epoch(starts_at) ELSE @epoch(starts_at) END, miles, priority DESC, id LIMIT 25"""
-Q("nearby_feed", NEARBY_FEED)
-Q("day_schedule", f"WITH {PUBLIC} SELECT r.place_id, r.tefillah, count(*) AS n, min(r.clock) AS first_clock, max(r.clock) AS last_clock FROM public_rule r WHERE r.time_kind = 'fixed' AND {PAGE_APPLIES} GROUP BY r.place_id, r.tefillah")
-Q("recurring_table", f"WITH {PUBLIC} SELECT r.place_id, r.tefillah, count(*) AS n FROM public_rule r WHERE r.special_kind = 'regular' GROUP BY r.place_id, r.tefillah")
 
 # ---- text, urls, pages ----
-_SANITIZED = r"trim(@replace_all(@replace_all(@replace_all(@replace_all(html, '(?is)<(script|style|noscript|svg|template)\b[^>]*>.*?</(script|style|noscript|svg|template)>', ''), '(?s)<!--.*?-->', ''), '(?i)<(link|meta|img|source|input)\b[^>]*>', ''), '[ \t]+', ' '))"
-Q("page_hash", f"SELECT page_id, @sha256(substring({_SANITIZED}, 1, 120000)) AS hash FROM pages")
 Q("page_host", r"SELECT page_id, lower(regexp_extract(url, '^[a-z]+://([^/?#:]+)', 1)) AS host, concat('https://', @replace_all(lower(regexp_extract(url, '^[a-z]+://([^/?#:]+)', 1)), '^www\.', '')) AS website FROM pages")
 Q("page_title", r"SELECT page_id, substring(trim(@replace_all(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1), '\s+', ' ')), 1, 200) AS title FROM pages")
-Q("page_links", "SELECT page_id, link, count(*) AS n FROM (SELECT page_id, @explode(@extract_group(html, '<a href=\"([^\"#]+)\"')) AS link FROM pages) WHERE NOT @matches(link, '^(mailto|tel|javascript):') GROUP BY page_id, link")
-Q("pdf_candidates", "SELECT page_id, link, CASE WHEN @matches(lower(link), 'time|schedule|davening|minyan') THEN 10 ELSE 0 END + CASE WHEN @matches(lower(link), 'week|month') THEN 5 ELSE 0 END - CASE WHEN @matches(lower(link), 'form|donat|flyer') THEN 20 ELSE 0 END AS rank FROM (SELECT page_id, @explode(@extract_group(html, '<a href=\"([^\"]+)\"')) AS link FROM pages)")
-Q("looks_like_schedule", "SELECT page_id, @matches(lower(html), 'mincha|maariv|shacharis|davening|minyan|schedule') AND @size(@extract_all(html, '[0-9]{1,2}:[0-9]{2}')) >= 2 AS looks FROM pages")
-Q("platform_score", "SELECT page_id, CASE WHEN score < 2 THEN 'unknown' ELSE 'custom' END AS platform, least(1e0, score / 5e0) AS confidence FROM (SELECT page_id, CASE WHEN @matches(html, 'cdn\\.|assets\\.') THEN 2 ELSE 0 END + CASE WHEN @matches(html, '(?i)powered by|&middot;') THEN 3 ELSE 0 END + CASE WHEN @matches(url, 'example') THEN 3 ELSE 0 END + CASE WHEN @matches(html, 'generator') THEN 2 ELSE 0 END AS score FROM pages)")
-Q("resource_key", r"SELECT page_id, @replace_all(@replace_all(@replace_all(@replace_all(url, '#.*$', ''), '([?&])(utm_[a-z]+|ref|fbclid|gclid|v|t|ts|cb)=[^&]*', '\1'), '([?&])&+', '\1'), '[?&]+$', '') AS resource FROM pages".replace("'\\1'", "@group1()"))
-Q("url_normal", r"SELECT page_id, @replace_all(@replace_all(url, '[?#].*$', ''), '/+$', '') AS url FROM pages")
-Q("slug", "SELECT id, substring(@replace_all(@replace_all(lower(name), '[^a-z0-9]+', '-'), '^-|-$', ''), 1, 100) AS slug FROM place")
 Q("name_from_title", r"SELECT page_id, trim(@replace_all(@replace_all(@split(regexp_extract(html, '<title>([^<]*)', 1), '|')[0], '(?i)^welcome to ', ''), '(?i)\s+-\s+home.*$', '')) AS name FROM pages".replace("@split(regexp_extract(html, '<title>([^<]*)', 1), '|')[0]", "regexp_extract(html, '<title>([^<|•·–—]*)', 1)"))
-Q("unique_slugs", "SELECT id, base, CASE WHEN rn = 1 THEN base ELSE concat(base, '-', CAST(least(rn, 99) AS VARCHAR(3))) END AS slug FROM (SELECT id, base, CAST(row_number() OVER (PARTITION BY base ORDER BY id) AS BIGINT) AS rn FROM (SELECT id, concat('place-', CAST(id % 40 AS VARCHAR(9))) AS base FROM place))")
-Q("registrable_domain", r"SELECT id, submitted_url, CASE WHEN @matches(host, '\.(co|org|ac)\.(uk|il)$') THEN regexp_extract(host, '([^.]+\.[^.]+\.[^.]+)$', 1) ELSE regexp_extract(host, '([^.]+\.[^.]+)$', 1) END AS domain FROM (SELECT id, submitted_url, lower(regexp_extract(submitted_url, '^[a-z]+://([^/:?#]+)', 1)) AS host FROM place)")
-Q("website_normal", r"SELECT id, CASE WHEN host = '' OR match_domain IN ('gmail.com', 'yahoo.com') THEN NULL ELSE concat('https://', host) END AS website FROM (SELECT id, match_domain, lower(regexp_extract(coalesce(submitted_url, ''), '^[a-z]+://([^/:?#]+)', 1)) AS host FROM place)")
 _BODY = "concat('Hello ', CAST(page_id AS VARCHAR(9)), ' From: Jo <jo@site', CAST(page_id % 300 AS VARCHAR(9)), '.org> see https://track.example.com/c and ', url, ' now')"
-Q("website_in_email", rf"SELECT page_id, min(site) AS website FROM (SELECT page_id, @explode(@extract_all({_BODY}, 'https?://[^\s>]+')) AS site FROM pages) WHERE NOT @matches(site, '//(track|click|email|links)\.') AND NOT @matches(lower(site), '\.(png|jpe?g|gif|pdf)$') GROUP BY page_id")
-Q("original_sender", rf"SELECT page_id, regexp_extract({_BODY}, 'From:[^<]*<([^>]+)>', 1) AS sender FROM pages")
 Q("email_identifier", "SELECT id, CASE WHEN match_domain = 'gmail.com' THEN concat('gabbai@gmail.com::', coalesce(nullif(regexp_extract(coalesce(submitted_url, ''), '//(?:www\\.)?([^/]+)', 1), ''), concat('unknown-', substring(@sha256(slug), 1, 12)))) ELSE concat('gabbai@', coalesce(match_domain, 'nowhere.org')) END AS identifier FROM place")
 Q("ip_hash", "SELECT id, CASE WHEN reporter IS NULL THEN NULL ELSE @sha256(concat('pepper:10.0.0.', CAST(reporter AS VARCHAR(9)))) END AS hash FROM report")
-Q("private_hosts", r"SELECT host, @matches(host, '^(10\.|127\.|0\.|169\.254\.|192\.168\.|172\.(1[6-9]|2[0-9]|3[01])\.|100\.(6[4-9]|[7-9][0-9]|1[01][0-9]|12[0-7])\.|22[4-9]\.|2[3-5][0-9]\.)') AS refused FROM (SELECT DISTINCT concat(CAST(event_id % 256 AS VARCHAR(3)), '.', CAST(event_id % 199 AS VARCHAR(3)), '.0.', CAST(user_id % 200 AS VARCHAR(3))) AS host FROM events)")
-Q("guardrail", """SELECT source_id, prev, now, confidence, confidence < 0.6e0 OR (prev >= 3 AND now < 0.5e0 * prev) OR now = 0 AS is_broken,
-  CASE WHEN NOT (confidence < 0.6e0 OR (prev >= 3 AND now < 0.5e0 * prev) OR now = 0) THEN NULL ELSE coalesce(nullif(concat_ws('; ', CASE WHEN confidence < 0.6e0 THEN 'low confidence' END, CASE WHEN prev >= 3 AND now < 0.5e0 * prev THEN 'rule count dropped' END, CASE WHEN now = 0 AND prev > 0 THEN '0 rules' END), ''), 'broken (unknown reason)') END AS reason
-  FROM (SELECT s.id AS source_id, s.confidence, count(r.id) AS prev, count(CASE WHEN r.is_manual_edit OR r.tefillah = 'mincha' THEN 1 END) AS now FROM source s LEFT JOIN rule r ON r.source_id = s.id GROUP BY s.id, s.confidence)""")
-Q("escalation", "SELECT a.id, CASE WHEN a.confidence >= 0.4e0 THEN 'cheap' WHEN a.id % 4 = 0 AND a.confidence < 0.2e0 THEN 'cheap' WHEN b.confidence > a.confidence THEN 'strong' ELSE 'cheap' END AS winner FROM source a JOIN source b ON b.id = a.id + 1")
-Q("cascade_winner", "SELECT place_id, id, strategy, confidence FROM (SELECT *, row_number() OVER (PARTITION BY place_id ORDER BY CASE strategy WHEN 'html' THEN 0 WHEN 'js_rendered' THEN 1 WHEN 'vision_image' THEN 2 WHEN 'pdf_document' THEN 3 ELSE 4 END, id) AS rn FROM source WHERE strategy <> 'failed' AND confidence >= 0.4e0) WHERE rn = 1")
 Q("url_fallback", "SELECT place_id, id, confidence FROM (SELECT *, row_number() OVER (PARTITION BY place_id ORDER BY CASE WHEN pos = 1 AND confidence >= 0.4e0 THEN 0 WHEN confidence >= 0.6e0 THEN 1 ELSE 2 END, CASE WHEN (pos = 1 AND confidence >= 0.4e0) OR confidence >= 0.6e0 THEN pos ELSE 0 END, confidence DESC, pos) AS rn FROM (SELECT *, row_number() OVER (PARTITION BY place_id ORDER BY id) AS pos FROM source)) WHERE rn = 1")
-Q("mime_kind", "SELECT DISTINCT identifier, strategy, CASE WHEN strategy = 'pdf_document' THEN 'application/pdf' WHEN strategy = 'vision_image' THEN 'image/png' ELSE 'text/html' END AS mime FROM source")
-Q("failure_summary", "SELECT place_id, substring(@join(@sorted(list_of), ' | '), 1, 240) AS summary FROM (SELECT place_id, @collect(concat(coalesce(strategy, 'html'), ' ', run_status)) AS list_of FROM source WHERE run_status IN ('broken', 'error') GROUP BY place_id)")
-Q("address_choice", "SELECT place_id, id FROM (SELECT *, row_number() OVER (PARTITION BY place_id ORDER BY priority, id) AS rn FROM source WHERE confidence >= 0.55e0) WHERE rn = 1")
 Q("edit_validation", f"SELECT r.id, r.tefillah IN ({TEF}) AND (r.time_kind <> 'fixed' OR @matches(r.clock, '^[0-9]{{1,2}}:[0-9]{{2}}$')) AND (coalesce(r.days, '') = '' OR @matches(r.days, '^[0-6](,[0-6])*$')) AS valid, nullif(r.days, '') AS days FROM rule r")
 Q("email_body_hash", f"SELECT page_id, @sha256(substring({_BODY}, 1, 30000)) AS hash FROM pages")
 Q("hostname_tokens", r"""SELECT page_id, token FROM (SELECT page_id, @explode(@split(@replace_all(@replace_all(host, '\.[^.]*$', ''), '[._]', '-'), '-')) AS token
   FROM (SELECT page_id, @replace_all(lower(regexp_extract(url, '^[a-z]+://([^/?#:]+)', 1)), '^www\.', '') AS host FROM pages)) WHERE @len(token) > 3""")
 Q("identifier_label", r"""SELECT id, identifier, CASE WHEN @matches(identifier, '^.+@') THEN @replace_all(identifier, '@[^@]*$', '') WHEN @matches(identifier, '^[a-z]+://') THEN regexp_extract(identifier, '^[a-z]+://(www\.)?([^/?#:]+)', 2) ELSE identifier END AS label
   FROM (SELECT id, CASE WHEN id % 3 = 0 THEN concat('gabbai', CAST(id AS VARCHAR(9)), '@', coalesce(match_domain, 'example.org')) ELSE coalesce(submitted_url, name) END AS identifier FROM place)""")
-# What names a picture of a schedule, what never is one, and how much each counts.
-_IMAGE_NEVER = "(logo|icon|favicon|sprite|pixel|tracking|avatar|profile)"
-_IMAGE_WANTED = "(schedule|davening|daven|minyan|bulletin|times|zmanim|tefilla)"
-# The test pages hold no pictures; these stand for them.
-_PICTURES = """concat(html, '<img src="/files/', CAST(page_id AS VARCHAR(9)), '-times.jpg" alt="week"><img src="/logo.png"><img class="hero" src="/a.jpg"><img alt="schedule" src="/b', CAST(page_id % 3 AS VARCHAR(9)), '.gif"><img src="/c.webp">')"""
-Q("image_candidates", rf"""WITH tag AS (SELECT page_id, url, lower(attrs) AS attrs, regexp_extract(attrs, 'src="([^"]+)"', 1) AS src FROM (SELECT page_id, url, @explode(@extract_group({_PICTURES}, '<img ([^>]*)>')) AS attrs FROM pages)),
-  ranked AS (SELECT DISTINCT page_id, src, CASE WHEN @matches(attrs, '{_IMAGE_WANTED}') THEN 20 ELSE 0 END + CASE WHEN @matches(lower(src), '[.](jpg|jpeg|png|webp)([?]|$)') THEN 2 ELSE 0 END - CASE WHEN @matches(attrs, '(banner|hero|cover|background)') THEN 5 ELSE 0 END AS score
-    FROM tag WHERE src <> '' AND NOT @matches(src, '^data:') AND NOT @matches(lower(src), '{_IMAGE_NEVER}'))
-  SELECT page_id, src, score FROM (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY score DESC, src) AS rn FROM ranked WHERE score > 0) WHERE rn <= 3""")
 # Messages of failures that are worth another try.
-_TRANSIENT = r"(^|[^0-9a-z])429([^0-9a-z]|$)|(^|[^0-9a-z])5[0-9][0-9]([^0-9a-z]|$)|rate[_ -]?limit|overloaded|too many requests|etimedout|econnreset|econnrefused|enotfound|eai_again|socket hang up|timed? ?out|fetch failed"
-Q("transient_failure", f"""SELECT place_id, bool_or(NOT (status = 'skipped' AND @matches(message, 'budget|kill switch|disabled')) AND (coalesce(http, 0) = 429 OR coalesce(http, 0) >= 500 OR @matches(message, '{_TRANSIENT}'))) AS transient
+_TRANSIENT = r"(?i)(\b429\b|\b5\d\d\b|rate[_\s-]?limit|overloaded|too many requests|ETIMEDOUT|ECONNRESET|ECONNREFUSED|ENOTFOUND|EAI_AGAIN|socket hang up|timed?\s?out|fetch failed)"
+Q("transient_failure", rf"""SELECT place_id, bool_or(NOT (status = 'skipped' AND @matches(message, 'budget|kill switch|disabled')) AND (coalesce(http, 0) = 429 OR coalesce(http, 0) >= 500 OR @matches(message, '{_TRANSIENT}'))) AS transient
   FROM (SELECT place_id, CASE WHEN id % 7 = 0 THEN 'skipped' ELSE 'fetch_failed' END AS status, CASE id % 6 WHEN 0 THEN 'budget reached, fetch failed' WHEN 1 THEN 'socket hang up' WHEN 2 THEN 'status 503 from host' WHEN 3 THEN 'no rules on page 5031' ELSE '' END AS message,
     CASE WHEN id % 50 = 4 THEN 429 WHEN id % 5 = 0 THEN 404 END AS http FROM source WHERE run_status IN ('broken', 'error')) GROUP BY place_id""")
 Q("mass_breakage", "SELECT count(*) AS n_new, count(*) >= 5 AS mass FROM source WHERE run_status = 'broken' AND first_broken_at >= @ago(7)")
 
 # ---- ingestion: change detection and transitions, as new versions of rows ----
-Q("change_detection", "SELECT s.id, @json(s.config_json, '$.page_content_hash') = concat('h', CAST(s.place_id % 50 AS VARCHAR(9))) AND s.run_status IN ('ok', 'no_change') AS unchanged FROM source s WHERE s.run_status IS NOT NULL")
 Q("skipped_runs", "SELECT s.id FROM source s JOIN place p ON p.id = s.place_id WHERE s.strategy = 'failed' OR p.status = 'unsupported'")
-Q("superseded", "SELECT old_id, new_id FROM (SELECT id AS old_id, max(id) OVER (PARTITION BY place_id, identifier) AS new_id, review_status FROM source) WHERE review_status <> 'rejected' AND old_id < new_id")
-Q("broken_run_version", "SELECT id, 'broken' AS run_status, coalesce(first_broken_at, @now()) AS first_broken_at, review_status FROM source WHERE confidence < 0.6e0")
-Q("ok_run_version", "SELECT s.id, 'ok' AS run_status, 'approved' AS review_status, count(CASE WHEN NOT r.is_manual_edit AND NOT r.is_deleted THEN 1 END) AS rules_removed, count(CASE WHEN r.is_manual_edit AND NOT r.is_deleted THEN 1 END) AS rules_kept FROM source s LEFT JOIN rule r ON r.source_id = s.id WHERE s.confidence >= 0.6e0 GROUP BY s.id")
 Q("no_change_version", "SELECT id, @now() AS last_run_at, first_broken_at FROM source WHERE run_status = 'no_change'")
-Q("submit_routing", """SELECT p.id, CASE WHEN p.submitted_url IS NULL THEN 'invalid' WHEN d.first_id < p.id THEN 'duplicate_url' WHEN m.n > 1 THEN 'attach_domain' ELSE 'create' END AS outcome
-  FROM place p LEFT JOIN (SELECT submitted_url, min(id) AS first_id FROM place GROUP BY submitted_url) d ON d.submitted_url = p.submitted_url LEFT JOIN (SELECT match_domain, count(*) AS n FROM place GROUP BY match_domain) m ON m.match_domain = p.match_domain""")
-Q("candidate_approval", "SELECT c.id, CASE WHEN c.review_status <> 'pending' THEN 'refused' WHEN c.website IS NULL THEN 'no_url' WHEN c.linked_place_id IS NOT NULL THEN 'duplicate' ELSE 'create' END AS outcome FROM candidate c")
 Q("reactivation", f"SELECT p.id, 'active' AS status FROM place p WHERE p.status IN ('pending_review', 'unsupported', 'broken') AND EXISTS (SELECT 1 FROM source s WHERE s.place_id = p.id AND {FRESH})")
-Q("review_transitions", f"SELECT s.id, CASE WHEN s.review_status = 'pending' AND coalesce(s.strategy, 'html') <> 'failed' THEN 'approved' WHEN s.review_status = 'pending' THEN 'rejected' ELSE s.review_status END AS review_status, CAST(@ordinal(s.review_status, {REV}) AS BIGINT) AS before_rank FROM source s")
 Q("backfilled", "SELECT id, coalesce(address, 'unknown') AS address, CASE WHEN name LIKE '%.%' OR name = '' THEN slug ELSE name END AS name FROM place")
 Q("config_without_hash", r"""SELECT id, @replace_all(config_json, ',"page_content_hash":"[^"]*"', '') AS config_json FROM source""")
-Q("cost_gate", "SELECT budget, spent, NOT (budget > 0 AND spent >= budget) AS allowed FROM (SELECT DISTINCT CAST(l_linenumber * 10 - 20 AS DOUBLE) AS budget, l_quantity AS spent FROM lineitem)")
 Q("fan_out", "SELECT p.id AS place_id, s.id AS source_id, 'weekly' AS reason FROM place p JOIN source s ON s.place_id = p.id WHERE p.status <> 'archived' AND s.review_status = 'approved'")
 Q("insert_or_ignore", "SELECT host, min(id) AS id, count(*) - 1 AS duplicates FROM candidate c WHERE NOT EXISTS (SELECT 1 FROM place p WHERE p.match_domain = c.host) GROUP BY host")
-Q("legacy_transform", """SELECT l_orderkey, l_linenumber, CASE l_linenumber WHEN 1 THEN 'shacharis' WHEN 2 THEN 'mincha' WHEN 3 THEN 'maariv' WHEN 4 THEN 'selichos' ELSE 'other' END AS tefillah, CASE l_shipmode_rule WHEN 0 THEN '0,1,2,3,4,5,6' WHEN 1 THEN '1,2,3,4,5' ELSE '6' END AS days, CASE WHEN enabled THEN 'active' ELSE 'archived' END AS status
-  FROM (SELECT l_orderkey, l_linenumber, l_partkey % 3 AS l_shipmode_rule, l_partkey % 5 > 0 AS enabled FROM lineitem WHERE l_linenumber < 7)""")
 Q("enum_narrowing", "SELECT id, CASE WHEN status = 'unsupported' THEN 'archived' ELSE status END AS status FROM place")
 Q("strategy_backfill", "SELECT id, coalesce(strategy, CASE WHEN kind IN ('website_llm', 'shulcloud_website') THEN 'html' END) AS strategy FROM source")
-Q("sitemap", f"WITH {VISIBLE} SELECT '/' AS path, 'daily' AS frequency, 1e0 AS priority UNION ALL SELECT '/find', 'weekly', 0.5e0 UNION ALL SELECT concat('/place/', slug), 'daily', 0.8e0 FROM visible")
+
+TEXT |= schedule.TEXT | pages.TEXT | ingest.TEXT
 
 # Calls with a different spelling that only these texts use.
 _EXTRA = {"group1": ("'$1'", "'\\1'"), "collect": ("collect_list", "list")}
 
 
-def _with_extras(text: str, k: int) -> str:
+def with_extras(text: str, k: int = 0) -> str:
+    """The text with these calls spelled for Spark (0) or DuckDB (1)."""
     for name, spelled in _EXTRA.items():
         text = text.replace(f"@{name}()", spelled[k]).replace(f"@{name}(", f"{spelled[k]}(")
     return text
@@ -279,27 +186,17 @@ def _with_extras(text: str, k: int) -> str:
 def run(name: str) -> Callable[[SparkSession, str], DataFrame]:
     def build(spark: SparkSession, sf_dir: str) -> DataFrame:
         register(spark, sf_dir)
-        text = _with_extras(TEXT[name], 0)
+        text = with_extras(TEXT[name])
         return spark.sql(spark_sql(with_relations(text)))
 
     return build
 
 
-def sun_times(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every named sun time of every located place on one day, each null where the sun does not get there."""
-    register(spark, sf_dir)
-    day = F.to_date(F.lit("2024-07-08"))
-    located = relation(spark, "place").filter("lat is not null")
-    return located.select("id", *(solar.anchor(name, day, F.col("lat"), F.col("lng")).alias(name) for name in (*solar.ANCHORS, *solar.SHARES)))
-
-
-QUERIES = {name: run(name) for name in TEXT} | {"sun_times": sun_times}
+QUERIES = {name: run(name) for name in TEXT}
 
 
 def oracle(name: str) -> str:
-    text = _with_extras(TEXT[name], 1)
-    if name == "daily_spend":
-        text = text.replace("[0] AS", "[1] AS")  # lists start at 1 there
+    text = with_extras(TEXT[name], 1)
     return duck_sql(with_relations(text))
 
 

@@ -14,6 +14,9 @@ SPARK: dict[str, Callable[..., str]] = {
     "event_now": lambda: f"TIMESTAMP '{EVENT_NOW}'",
     "minutes": lambda n: f"make_dt_interval(0, 0, CAST({n} AS INT), 0)",
     "days": lambda n: f"make_dt_interval(CAST({n} AS INT), 0, 0, 0)",
+    "seconds": lambda n: f"make_dt_interval(0, 0, 0, {n})",
+    "doy": lambda d: f"dayofyear({d})",
+    "months": lambda n: f"make_ym_interval(0, CAST({n} AS INT))",
     "epoch": lambda t: f"CAST(unix_timestamp({t}) AS BIGINT)",
     "local": lambda t, z: f"from_utc_timestamp({t}, {z})",
     "utc": lambda t, z: f"to_utc_timestamp({t}, {z})",
@@ -35,12 +38,24 @@ SPARK: dict[str, Callable[..., str]] = {
     "time12": lambda t: f"date_format({t}, 'h:mm a')",
     "ordinal": lambda x, names: f"array_position(array({names}), {x})",
     "range": lambda a, b: f"sequence({a}, {b})",
+    "list": lambda *x: f"array({', '.join(x)})",
+    "get": lambda a, k: f"element_at({a}, CAST({k} AS INT))",
+    "upto": lambda n: f"CASE WHEN {n} > 0 THEN sequence(1, CAST({n} AS INT)) ELSE array() END",
+    "strip": lambda s: f"regexp_replace({s}, '^\\s+|\\s+$', '')",
+    "first": lambda: "'$1'",
+    "filter": lambda a, x, c: f"filter({a}, {x} -> {c})",
+    "sum_of": lambda a: f"aggregate({a}, CAST(0 AS BIGINT), (t, x) -> t + CAST(x AS BIGINT))",
+    "fixed2": lambda x: f"format_string('%.2f', {x})",
+    "collect_pairs": lambda k, v: f"collect_list(struct({k} AS k, {v} AS v))",
+    "sorted_pairs": lambda a: f"transform(array_sort({a}), x -> x.v)",
 }
 DUCK: dict[str, Callable[..., str]] = SPARK | {
     "ago": lambda n: f"(TIMESTAMP '{AS_OF}' - to_days(CAST({n} AS INT)))",
     "event_ago": lambda n: f"(TIMESTAMP '{EVENT_NOW}' - to_days(CAST({n} AS INT)))",
     "minutes": lambda n: f"to_minutes(CAST({n} AS INT))",
     "days": lambda n: f"to_days(CAST({n} AS INT))",
+    "seconds": lambda n: f"to_seconds({n})",
+    "months": lambda n: f"to_months(CAST({n} AS INT))",
     "epoch": lambda t: f"CAST(floor(epoch({t})) AS BIGINT)",
     "local": lambda t, z: f"timezone({z}, timezone('UTC', {t}))",
     "utc": lambda t, z: f"timezone('UTC', timezone({z}, {t}))",
@@ -61,6 +76,16 @@ DUCK: dict[str, Callable[..., str]] = SPARK | {
     "time12": lambda t: f"strftime({t}, '%-I:%M %p')",
     "ordinal": lambda x, names: f"list_position([{names}], {x})",
     "range": lambda a, b: f"generate_series({a}, {b})",
+    "list": lambda *x: f"[{', '.join(x)}]",
+    "get": lambda a, k: f"list_extract({a}, {k})",
+    "upto": lambda n: f"range(1, CAST({n} AS BIGINT) + 1)",
+    "strip": lambda s: f"regexp_replace({s}, '^\\s+|\\s+$', '', 'g')",
+    "first": lambda: "'\\1'",
+    "filter": lambda a, x, c: f"list_filter({a}, lambda {x}: {c})",
+    "sum_of": lambda a: f"list_sum(list_transform({a}, lambda x: CAST(x AS BIGINT)))",
+    "fixed2": lambda x: f"printf('%.2f', {x})",
+    "collect_pairs": lambda k, v: f"list(struct_pack(k := {k}, v := {v}))",
+    "sorted_pairs": lambda a: f"list_transform(list_sort({a}), lambda x: x.v)",
 }
 _CALL = re.compile(r"@([a-z_0-9]+)\(")
 

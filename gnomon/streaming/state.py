@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQueryListener
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 DAY, HOUR = 86400, 3600
@@ -22,14 +23,18 @@ def _accept(times: list[float], last: float | None, window: int) -> tuple[list[b
     return out, last
 
 
-def dedupe_reports(reports: DataFrame, window: int = DAY) -> DataFrame:
+def dedupe_reports(reports: DataFrame, window: int = DAY, late: str = "1 hour") -> DataFrame:
     """Adds kept: a reporter's reports on a place within a day of a kept one are not kept.
 
-    Reports without a reporter are always kept. Works on a stream (state: the last kept time of
-    each pair, dropped a window after it) or on a batch. Expects id, place_id, reporter, created_at.
+    Reports without a reporter are always kept. Works on a stream (state: the last kept time of each
+    pair, dropped once the watermark is a window past it; reports later than ``late`` are dropped) or
+    on a batch. Expects id, place_id, reporter, created_at.
     """
     key = F.when(F.col("reporter").isNull(), F.concat(F.lit("-"), F.col("id").cast("string"))).otherwise(F.concat_ws("/", "place_id", "reporter"))
+    if reports.isStreaming:
+        reports = reports.withWatermark("created_at", late)
     keyed = reports.select("id", "place_id", "created_at", key.alias("key"))
+    timeout = GroupStateTimeout.EventTimeTimeout if reports.isStreaming else GroupStateTimeout.NoTimeout
 
     def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
@@ -39,10 +44,11 @@ def dedupe_reports(reports: DataFrame, window: int = DAY) -> DataFrame:
         last = state.get[0] if state.exists else None
         df["kept"], last = _accept([t.timestamp() for t in df["created_at"]], last, window)
         state.update((last,))
-        state.setTimeoutDuration(window * 1000)
+        if timeout == GroupStateTimeout.EventTimeTimeout:
+            state.setTimeoutTimestamp(max(int((last + window) * 1000), state.getCurrentWatermarkMs() + 1))
         yield df[["id", "place_id", "created_at", "kept"]]
 
-    return keyed.groupBy("key").applyInPandasWithState(run, "id int, place_id int, created_at timestamp, kept boolean", "last double", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    return keyed.groupBy("key").applyInPandasWithState(run, "id int, place_id int, created_at timestamp, kept boolean", "last double", "append", timeout)
 
 
 def run_counts(runs: DataFrame, late: str = "1 hour") -> DataFrame:
@@ -56,3 +62,24 @@ def rate_limited(requests: DataFrame, limit: int, seconds: int = HOUR) -> DataFr
 
     w = Window.partitionBy("key").orderBy(F.unix_timestamp("at")).rangeBetween(-seconds, 0)
     return requests.withColumn("limited", F.count("*").over(w) > limit)
+
+
+class FailureLog(StreamingQueryListener):
+    """Hands the failures of streams that have ended for good to ``report(name, message)``."""
+
+    def __init__(self, report: Callable[[str, str], None]):
+        self.report, self.names = report, {}
+
+    def onQueryStarted(self, event) -> None:
+        self.names[event.id] = event.name or str(event.id)
+
+    def onQueryProgress(self, event) -> None:
+        pass
+
+    def onQueryIdle(self, event) -> None:
+        pass
+
+    def onQueryTerminated(self, event) -> None:
+        name = self.names.pop(event.id, str(event.id))
+        if event.exception:
+            self.report(name, event.exception)

@@ -76,11 +76,14 @@ def test_freshness(spark, received, run, want):
 
 def test_sun_and_distance(spark):
     from gnomon.functions import geo, solar
+    from gnomon.plans.dialect import spark_sql
 
-    day, lat, lng = F.lit(dt.date(2024, 6, 20)), F.lit(40.71), F.lit(-74.01)
-    row = spark.range(1).select(solar.anchor("hanetz", day, lat, lng).alias("up"), solar.anchor("shkia", day, lat, lng).alias("down"), solar.anchor("shkia", day, F.lit(80.0), lng).alias("none"), geo.haversine_miles(lat, lng, F.lit(40.71), F.lit(-75.01)).alias("miles"), geo.distance_label(F.lit(1.25)).alias("label")).first()
+    lat, lng = F.lit(40.71), F.lit(-74.01)
+    text = f"WITH at AS (SELECT CAST(lat AS DOUBLE) AS lat, CAST(-74.01 AS DOUBLE) AS lng FROM VALUES (40.71), (80) AS v(lat)), {solar.sun_ctes('at', chr(68) + 'ATE ' + repr('2024-06-20'))} SELECT {solar.instant('netz')} AS up, {solar.instant('shkia')} AS down FROM sun ORDER BY lat"
+    sun, none = spark.sql(spark_sql(text)).collect()
+    row = spark.range(1).select(geo.haversine_miles(lat, lng, F.lit(40.71), F.lit(-75.01)).alias("miles"), geo.distance_label(F.lit(1.25)).alias("label")).first()
     minutes = lambda t: t.hour * 60 + t.minute
-    assert abs(minutes(row.up) - (9 * 60 + 25)) <= 2 and abs(minutes(row.down) - 31) <= 2 and row.none is None
+    assert abs(minutes(sun.up) - (9 * 60 + 25)) <= 2 and abs(minutes(sun.down) - 31) <= 2 and none.down is None
     assert abs(row.miles - 52.4) < 0.2 and row.label == "1.3 mi"
 
 
@@ -118,4 +121,4 @@ def test_sun_times(spark):
     from gnomon.plans import catalog
 
     row = catalog.QUERIES["sun_times"](spark, SF).first()
-    assert row.alos < row.misheyakir < row.hanetz < row.sof_zman_shma < row.chatzos < row.mincha_gedola < row.plag_hamincha < row.shkia < row.tzeis < row.tzeis_72
+    assert row.alos < row.misheyakir < row.netz < row.sof_zman_shma_mga < row.sof_zman_shma_gra < row.sof_zman_tefillah_gra < row.chatzos < row.mincha_gedolah < row.plag_mincha < row.candle_lighting < row.shkia < row.tzeis_42 < row.havdalah < row.tzeis_72
