@@ -2,9 +2,10 @@
 
 decode() reads any lossless (VP8L) still image: prefix codes in groups, back-
 references, colour cache, and the predictor, cross-colour, subtract-green and
-palette transforms, and returns the pixels. encode() writes pixels as literals of
-four complete 8-bit prefix codes, a stream that can be written and read with whole
-arrays; decode() takes that way whenever a stream's codes allow it.
+palette transforms, and returns the pixels. store() and load() are for whole tables:
+``webp_batch`` writes and reads many images in step, with a transform, back-references
+and prefix codes of each image's own. encode() writes one image of any size plainly, as
+literals of four complete 8-bit codes.
 """
 
 from __future__ import annotations
@@ -19,10 +20,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gnomon.llm.common import documents, table, utf8
+from gnomon.llm import webp_batch
+from gnomon.llm.common import documents, release, slices, table, utf8
 
 ROW = 576  # bytes of payload in a row of pixels: 144 pixels of red, green, blue, alpha
 LIMIT = 16384  # largest side of an image
+HEIGHT = 16  # rows of pixels in an image of a payload: long texts are many images, which are read in step
+AT_ONCE = 500  # images that are written or read in step
+GROUP = 2_000_000  # bytes of texts that are stored together
 _REVERSED = np.array([int(f"{i:08b}"[::-1], 2) for i in range(256)], np.uint8)
 
 # Fixed values of the format: the order in which lengths of code lengths are stored,
@@ -395,20 +400,40 @@ def encode(pixels: np.ndarray) -> bytes:
     return b"RIFF" + struct.pack("<I", 12 + len(chunk) + len(pad)) + b"WEBPVP8L" + struct.pack("<I", len(chunk)) + chunk + pad
 
 
-def store(payload: bytes) -> bytes:
-    """A payload of whole rows -> WebP files of at most the format's height, one after the other."""
-    px = np.frombuffer(payload, np.uint8).reshape(-1, ROW // 4, 4)
-    return b"".join(encode(px[s : s + LIMIT]) for s in range(0, len(px), LIMIT))
-
-
-def load(media: bytes) -> np.ndarray:
-    """The pixels of files that lie one after the other."""
-    out, at = [], 0
-    while at < len(media):
-        n = 8 + struct.unpack_from("<I", media, at + 4)[0]
-        out.append(decode(media[at : at + n]))
-        at += n
-    return np.concatenate(out)
+def store(payloads: list[np.ndarray]) -> list[bytes]:
+    """Payloads of whole rows of pixels -> WebP files of HEIGHT rows at most, those of a payload one after the other."""
+    images, owner = [], []
+    for k, payload in enumerate(payloads):
+        px = payload.reshape(-1, ROW // 4, 4)
+        images += [px[s : s + HEIGHT] for s in range(0, len(px), HEIGHT)]
+        owner += [k] * -(-len(px) // HEIGHT)
+    files: list[list[bytes]] = [[] for _ in payloads]
+    for s in range(0, len(images), AT_ONCE):
+        for k, f in zip(owner[s:], webp_batch.encode_many(images[s : s + AT_ONCE]), strict=False):
+            files[k].append(f)
+    return [b"".join(f) for f in files]
+
+
+def load(media: list[bytes]) -> list[np.ndarray]:
+    """The pixels of media as ``store`` writes them; files of another writer are read one by one."""
+    files, owner = [], []
+    for k, m in enumerate(media):
+        at = 0
+        while at < len(m):
+            n = 8 + struct.unpack_from("<I", m, at + 4)[0]
+            files.append(m[at : at + n])
+            owner.append(k)
+            at += n
+    parts: list[list[np.ndarray]] = [[] for _ in media]
+    for s in range(0, len(files), AT_ONCE):
+        some = files[s : s + AT_ONCE]
+        try:
+            images = webp_batch.decode_many(some)
+        except webp_batch.NotOurs:
+            images = [decode(f) for f in some]
+        for k, px in zip(owner[s:], images, strict=False):
+            parts[k].append(px)
+    return [np.concatenate(p) for p in parts]
 
 
 def features(px: np.ndarray) -> str:
@@ -433,20 +458,22 @@ def media(docs: DataFrame, with_media: bool = False) -> DataFrame:
     types = [pa.int64()] * 3 + [pa.string()] + [pa.int64()] * 2 + [pa.string()] * 2 + [pa.binary()] * with_media
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         for batch in batches:
             data, offsets, _ = utf8(batch.column("text"))
-            ids, rows = batch.column("doc_id").to_pylist(), []
-            held = 0
-            for k, doc in enumerate(ids):
-                n = int(offsets[k + 1] - offsets[k])
-                stored = store(data[offsets[k] : offsets[k + 1]].tobytes() + b"\xff" * (max(1, -(-n // ROW)) * ROW - n))
-                px = load(stored)
-                back = px.tobytes()
-                rows.append((doc, n, len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-32:]), len(stored), hashlib.sha256(stored).hexdigest(), features(px), *([stored] if with_media else [])))
-                held += len(stored) if with_media else 300
-                if held > 8_000_000 or k == len(ids) - 1:
-                    yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), types, strict=True)], names=names)
-                    rows, held = [], 0
+            ids = batch.column("doc_id").to_pylist()
+            for a, b in slices(offsets, GROUP):
+                sizes = np.diff(offsets[a : b + 1]).tolist()
+                payloads = []
+                for k, n in enumerate(sizes, a):
+                    payload = np.full(max(1, -(-n // ROW)) * ROW, 255, np.uint8)
+                    payload[:n] = data[offsets[k] : offsets[k + 1]]
+                    payloads.append(payload)
+                stored, rows = store(payloads), []
+                for doc, n, m, px in zip(ids[a:b], sizes, stored, load(stored), strict=True):
+                    back = px.tobytes()
+                    rows.append((doc, n, len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-32:]), len(m), hashlib.sha256(m).hexdigest(), features(px), *([m] if with_media else [])))
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), types, strict=True)], names=names)
 
     source = documents(docs).withColumn("doc_id", F.col("doc_id").cast("long"))
     return source.mapInArrow(run, _SCHEMA + ", media binary" * with_media)
