@@ -59,9 +59,11 @@ def materialise(df: DataFrame, codec: str = "zstd") -> DataFrame:
 
 
 def discard(*tables: DataFrame) -> None:
-    """Remove tables that ``materialise`` wrote, once nothing will read them again."""
+    """Remove tables that ``materialise`` wrote, once nothing will read them again, and let go of the shuffles behind them."""
     for t in tables:
         t.written_to.getFileSystem(t.sparkSession._jsc.hadoopConfiguration()).delete(t.written_to, True)
+    if tables:
+        tables[0].sparkSession._jvm.System.gc()  # the engine removes shuffle files once the driver's garbage is collected
 
 
 def release() -> None:

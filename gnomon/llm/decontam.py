@@ -207,13 +207,14 @@ def contamination(docs: DataFrame, items: DataFrame, size: int = 13, share: int
             owners.append(np.full(len(w), number[name]))
         want = [(np.concatenate(rows), np.concatenate(owners)) for rows, owners in by_size.values()]
         found.append(_search(index, [x for x in want if len(x[0])], names, share))
-    if len(found) == 1:
-        return found[0].drop("row", "items")
     whole = found[0]
     for more in found[1:]:
         whole = whole.unionByName(more)
-    # a document's row is its place in the index, which was written once
-    return whole.groupBy("row").applyInArrow(_joined(share), _FOUND).drop("row", "items")
+    if len(found) > 1:  # a document's row is its place in the index, which was written once
+        whole = whole.groupBy("row").applyInArrow(_joined(share), _FOUND)
+    out = whole.drop("row", "items")
+    out.index = index  # for a caller to discard once the result is taken
+    return out
 
 
 _FOUND = "row string, doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, hits binary, items array<string>"

@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gnomon.llm.common import U64, documents, materialise, mix, packed, release, slices, table, utf8
+from gnomon.llm.common import U64, discard, documents, materialise, mix, packed, release, slices, table, utf8
 from gnomon.llm.graph import components
 
 BITS = 64
@@ -209,7 +209,9 @@ def simhash_groups(docs: DataFrame, shingle: int = 3, radius: int = 3) -> DataFr
     """
     marked = materialise(fingerprints(docs, shingle))
     nodes = marked.groupBy("fp").agg(F.min("doc_id").alias("low"))
-    roots = materialise(components(fingerprint_links(nodes.select("fp"), radius)))
+    found = components(fingerprint_links(nodes.select("fp"), radius))
+    roots = materialise(found)
+    discard(found.table)
     held = nodes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     lowest = held.groupBy("root").agg(F.min("low").alias("component_id"))
     each = held.join(lowest, "root").select("fp", "component_id")
@@ -246,8 +248,8 @@ def _sketches(shingle: int, keys: int, similarity: float):
                 sets.append(packed(short))
                 ident.append(xxhash.xxh3_128_digest(packed(h)))
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id").cast(pa.int64()), pa.array(ident, pa.binary()), pa.array(np.array(fp, U64).view(np.int64)), _lists(low), _lists(first), pa.array(odd, pa.binary()), pa.array(sets, pa.binary())],
-                names=["doc_id", "ident", "fp", "low", "first", "odd", "grams"],
+                [batch.column("doc_id").cast(pa.int64()), batch.column("text_key"), pa.array(ident, pa.binary()), pa.array(np.array(fp, U64).view(np.int64)), _lists(low), _lists(first), pa.array(odd, pa.binary()), pa.array(sets, pa.binary())],
+                names=["doc_id", "text_key", "ident", "fp", "low", "first", "odd", "grams"],
             )
 
     return run
@@ -484,23 +486,30 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8,
     0.8) that any similar pair shares one, and in each key all rows that are in different groups still,
     and that sizes, places of the key and parities of the sets do not rule out for certain, are compared by their whole sets. Nothing is dropped.
 
-    Output: doc_id, component_id (the group's smallest doc_id). Texts without words form no group:
-    each is its own. Null texts count as empty, repeated doc_ids and null doc_ids keep a row each.
+    Output: doc_id, text_key (a hash of the text: a row is told by both), component_id (the group's
+    smallest doc_id) and kept, true for one document of each group, that of the smallest doc_id (and
+    text_key, where rows with different texts share it). Texts without words form no group, nor do
+    rows with a null doc_id: each is its own and is kept. Null texts count as empty, repeated doc_ids
+    keep a row each.
     """
-    marked = materialise(documents(docs).mapInArrow(_sketches(shingle, keys, similarity), "doc_id long, ident binary, fp long, low array<long>, first array<long>, odd binary, grams binary"))
-    first = F.min(F.struct("doc_id", "fp", "low", F.octet_length("grams").alias("bytes"))).alias("x")  # all but doc_id are equal
-    nodes = marked.filter("size(low) > 0 and doc_id is not null").groupBy("ident").agg(first).select("ident", F.col("x.doc_id").alias("node"), "x.fp", "x.low", "x.bytes")
+    source = documents(docs).withColumn("text_key", F.xxhash64("text"))
+    schema = "doc_id long, text_key long, ident binary, fp long, low array<long>, first array<long>, odd binary, grams binary"
+    marked = materialise(source.mapInArrow(_sketches(shingle, keys, similarity), schema))
+    each = marked.withColumn("node", F.xxhash64("ident"))  # a node is a set of shingles, whatever doc_ids its rows have
+    some = F.min(F.struct("fp", "low", F.octet_length("grams").alias("bytes"))).alias("x")  # all are equal
+    nodes = each.filter("size(low) > 0 and doc_id is not null").groupBy("node").agg(some, F.min(F.struct("doc_id", "text_key")).alias("best")).select("node", "best", "x.*")
     nodes = materialise(nodes)
     keyed = nodes.select("node", "fp", "bytes", F.col("node").alias("lab"), F.explode("low").alias("key"))
     dealt = materialise(_parts(keyed, tile, tile_bytes).withColumn("part", F.pmod(F.xxhash64("node", F.lit(7)), F.col("parts"))))
-    sets = marked.select(F.col("doc_id").alias("node"), "grams").dropDuplicates(["node"])
+    sets = each.select("node", "grams").dropDuplicates(["node"])
 
     def search(rows: DataFrame) -> DataFrame:
         whole = rows.select("key", "part", "fp", "node", "lab").join(sets, "node")
-        return whole.repartition("key", "part").sortWithinPartitions("key", "part").select("key", "part", "fp", "lab", "grams").mapInArrow(_similar(radius, similarity), "a long, b long")
+        return materialise(whole.repartition("key", "part").sortWithinPartitions("key", "part").select("key", "part", "fp", "lab", "grams").mapInArrow(_similar(radius, similarity), "a long, b long"))
 
-    links = materialise(search(dealt))
-    roots = materialise(components(links))
+    written = [search(dealt)]
+    links = written[0]
+    roots = components(links)
     hot = dealt.filter("parts > 1").drop("part", "parts")
     n = hot.count()
     while n:
@@ -510,23 +519,35 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8,
         if 2 * n > before:
             break
         again = materialise(_parts(heads, tile, tile_bytes).withColumn("part", F.pmod(F.xxhash64("node", F.lit(8)), F.col("parts"))))
-        links = links.union(materialise(search(again)))
-        roots = materialise(components(links))
-        if again.filter("parts > 1").isEmpty():
+        written.append(search(again))
+        links, old = links.union(written[-1]), roots
+        roots = components(links)
+        last = again.filter("parts > 1").isEmpty()
+        discard(again, old.table)
+        if last:
             break
+    discard(dealt)
     labs = named(nodes.select("node"), roots)
-    ahead = marked.select(F.col("doc_id").alias("node"), "first", F.octet_length("grams").alias("bytes")).join(labs, "node")
+    ahead = each.select("node", "first", F.octet_length("grams").alias("bytes")).dropDuplicates(["node"]).join(labs, "node")
     ahead = ahead.select("node", "lab", "bytes", F.posexplode("first").alias("pos", "key"))
-    shared = ahead.repartition("key").sortWithinPartitions("key", "bytes").mapInArrow(_hopeful(similarity), "key long, node long, lab long, bytes int")
-    odd = marked.select(F.col("doc_id").alias("node"), "odd").dropDuplicates(["node"])
-    near = across(materialise(shared), tile, tile_bytes // 4).select("key", "part", "node", "lab", "bytes").join(odd, "node")
+    shared = materialise(ahead.repartition("key").sortWithinPartitions("key", "bytes").mapInArrow(_hopeful(similarity), "key long, node long, lab long, bytes int"))
+    odd = each.select("node", "odd").dropDuplicates(["node"])
+    near = across(shared, tile, tile_bytes // 4).select("key", "part", "node", "lab", "bytes").join(odd, "node")
     near = near.repartition("key", "part").sortWithinPartitions("key", "part", "bytes").select("key", "part", "node", "lab", "bytes", "odd")
-    met = materialise(near.mapInArrow(_alike(similarity), "key long, part long, node long, lab long")).join(sets, "node")
-    met = met.repartition("key", "part").sortWithinPartitions("key", "part", "lab").select("key", "part", "lab", "grams")
-    roots = components(links.union(materialise(met.mapInArrow(_exact(similarity), "a long, b long"))))
-    roots = roots.withColumnRenamed("root", "component_id")
-    held = nodes.join(roots, "node", "left").select("ident", F.coalesce("component_id", "node").alias("component_id"))
-    return marked.select("doc_id", "ident", (F.size("low") > 0).alias("has")).join(held, "ident", "left").select("doc_id", F.when(F.col("has"), F.coalesce("component_id", "doc_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    close = materialise(near.mapInArrow(_alike(similarity), "key long, part long, node long, lab long"))
+    discard(shared)
+    met = close.join(sets, "node").repartition("key", "part").sortWithinPartitions("key", "part", "lab").select("key", "part", "lab", "grams")
+    written.append(materialise(met.mapInArrow(_exact(similarity), "a long, b long")))
+    discard(close, roots.table)
+    roots = components(links.union(written[-1]))
+    held = nodes.join(roots, "node", "left").select("node", "best", F.coalesce("root", "node").alias("root"))
+    best = held.groupBy("root").agg(F.min("best").alias("first"))
+    group = held.join(best, "root").select("node", "first")
+    grouped = F.col("first").isNotNull() & F.col("doc_id").isNotNull()
+    out = each.select("doc_id", "text_key", "node").join(group, "node", "left").select("doc_id", "text_key", F.when(grouped, F.col("first.doc_id")).otherwise(F.col("doc_id")).alias("component_id"), (~grouped | (F.struct("doc_id", "text_key") == F.col("first"))).alias("kept"))
+    out = materialise(out)
+    discard(marked, nodes, roots.table, *written)
+    return out
 
 
 def named(rows: DataFrame, roots: DataFrame) -> DataFrame:

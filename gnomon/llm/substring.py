@@ -21,6 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -35,8 +36,8 @@ _CHUNK_SCHEMA = "chunk_id long, n long, ids binary, ends binary, nulls binary, t
 _CHUNK_TYPES = [pa.int64() if c.endswith("long") else pa.binary() for c in _CHUNK_SCHEMA.split(", ")]
 _ASK_SCHEMA = "bucket int, chunk_id long, h1 binary, h2 binary, low binary, many binary"
 _REPLY_SCHEMA = "bucket int, chunk_id long, n int, alive binary, earlier binary, n_alive long"
-_DOC_SCHEMA = "chunk_id long, k int, doc_id long, n_words long, n_removed long, kept_sha256 string, kept string, state binary"
-_DOC_KINDS = [pa.int64(), pa.int32()] + [pa.int64()] * 3 + [pa.string()] * 2 + [pa.binary()]
+_DOC_SCHEMA = "chunk_id long, k int, doc_id long, n_words long, n_removed long, kept_sha256 string, kept string, text_key long, state binary"
+_DOC_KINDS = [pa.int64(), pa.int32()] + [pa.int64()] * 3 + [pa.string()] * 2 + [pa.int64(), pa.binary()]
 
 
 _NO_ID = -(1 << 63)  # stands for a null doc_id while numbers are packed
@@ -261,7 +262,7 @@ def _texts(lengths: list[int], with_text: bool, grow: bool):
                 gone = cover(at[hit], n, len(c.start))
                 removed = np.add.reduceat(np.append(gone, False).astype(np.int64), c.first[:-1]) * (c.counts > 0)
                 null = np.frombuffer(row["nulls"], bool)
-                sha, kept = [], []
+                sha, kept, key = [], [], []
                 blob = c.data.tobytes()
                 for k in range(len(c.ids)):
                     parts = blob[c.offsets[k] : c.offsets[k + 1]].split()
@@ -273,16 +274,21 @@ def _texts(lengths: list[int], with_text: bool, grow: bool):
                     if not removed[k]:
                         text = blob[c.offsets[k] : c.offsets[k + 1]]
                     kept.append(text.decode("utf-8", "replace") if with_text and not null[k] else None)
+                    key.append(_signed(xxhash.xxh64_intdigest(blob[c.offsets[k] : c.offsets[k + 1]], 42)) if with_text and not null[k] else 42)
                 for s in range(0, len(c.ids), 2000):
                     e = min(s + 2000, len(c.ids))
-                    yield _doc_rows([c.id] * (e - s), range(s, e), c.ids[s:e], c.counts[s:e].astype(np.int64), removed[s:e], sha[s:e], kept[s:e], [None] * (e - s))
+                    yield _doc_rows([c.id] * (e - s), range(s, e), c.ids[s:e], c.counts[s:e].astype(np.int64), removed[s:e], sha[s:e], kept[s:e], key[s:e], [None] * (e - s))
                 if grow and alive.any():
                     found = _grown(c.ids, np.arange(len(c.ids)), c.counts, c.h, at[alive], n)
-                    yield _doc_rows([c.id], [None], [None], [None], [None], [None], [None], [_squeezed(**found, best=_best({}, found))])
+                    yield _doc_rows([c.id], [None], [None], [None], [None], [None], [None], [None], [_squeezed(**found, best=_best({}, found))])
 
     return run
 
 
+def _signed(h: int) -> int:
+    return h - (1 << 64) if h >> 63 else h
+
+
 def _doc_rows(*columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, _DOC_KINDS, strict=True)], names=[x.split()[0] for x in _DOC_SCHEMA.split(", ")])
 
@@ -347,7 +353,7 @@ def substring_dedup(docs: DataFrame, min_words: int = 13, grow: bool = False, wi
     Input: any DataFrame with ``doc_id`` (integer) and ``text``; further columns are ignored.
     Output: doc_id, n_words, n_removed, kept_sha256 (of the kept words joined by one space);
     with ``with_text`` kept (the kept words joined by one space, or the text itself if nothing is
-    removed; null for a null text); with ``grow`` longest: windows that repeat in another document
+    removed; null for a null text) and text_key (``xxhash64`` of the text, as the engine has it); with ``grow`` longest: windows that repeat in another document
     are extended to twice their length, again and again until no candidate survives, and the longest
     length of ``min_words`` * 2**k at which the document still has one is returned, 0 if it has none.
 
@@ -383,7 +389,7 @@ def substring_dedup(docs: DataFrame, min_words: int = 13, grow: bool = False, wi
         best = got.filter("bucket < 0").select("chunk_id", "alive").mapInArrow(_longest, "chunk_id long, k int, longest long")
         out = found.filter("state is null").join(best, ["chunk_id", "k"], "left").withColumn("longest", F.coalesce("longest", F.lit(0)).cast("long"))
     out = out.withColumn("doc_id", F.when(F.col("doc_id") != _NO_ID, F.col("doc_id")))
-    return out.select("doc_id", "n_words", "n_removed", "kept_sha256", *(["longest"] if grow else []), *(["kept"] if with_text else []))
+    return out.select("doc_id", "n_words", "n_removed", "kept_sha256", *(["longest"] if grow else []), *(["kept", "text_key"] if with_text else []))
 
 
 _LEVELS = [13 << k for k in range(12)]  # lengths that the SQL goes through: documents of the tables it is for have fewer than 2 * 13 * 2**11 words

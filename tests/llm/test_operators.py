@@ -10,6 +10,7 @@ import zlib
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
@@ -388,6 +389,51 @@ def test_pipeline_stages(spark):
     assert c[51].text.endswith(passage) and not c[52].text.endswith(passage) and c[52].n_chars == len(c[52].text) and c[1].text == body(1)
 
 
+def test_stages_with_repeated_ids_and_clashing_names(spark):
+    """Each row keeps its own columns; of rows alike in doc_id and text one stays; names of the stages' own do not clash."""
+    import corpus_pipeline as p
+
+    words = [f"w{a}{b}" for a in "abcdefghij" for b in "klmnopqrst"]
+    a, b, c = (sentences(k, 120, words) for k in (301, 302, 303))
+    rows = [(1, a, "x1"), (1, b, "x2"), (2, b + " more", "x3"), (1, a, "x1"), (3, a + " end", "x4"), (3, c, "x5"), (None, a, "x6"), (4, None, "x7")]
+    docs = frame(spark, rows, "doc_id long, text string, kept string").select("*", F.lit(1).alias("text_key"), F.lit(2).alias("found_id"), F.lit(3).alias("node"), F.lit(4).alias("_kept"), F.lit(5).alias("_id"), F.lit("en").alias("LANG"))
+    near = p.near_duplicate(spark, docs, "")
+    assert near.columns == docs.columns
+    assert sorted((r.doc_id or 0, r.kept) for r in near.collect()) == [(0, "x6"), (1, "x1"), (1, "x2"), (3, "x5"), (4, "x7")]
+    cut = p.substring(spark, docs, "")
+    assert cut.columns == docs.columns
+    got = sorted((r.doc_id or 0, r.kept, r.text or "") for r in cut.collect())
+    assert got == [(0, "x6", a), (1, "x2", b), (2, "x3", "more"), (3, "x4", "end"), (3, "x5", c), (4, "x7", "")]
+
+
+def test_whole_pipeline_against_brute_force(spark, tmp_path):
+    """``run`` over a small table: what each stage has to drop is gone, the rest is packed whole."""
+    import corpus_pipeline as p
+    import tokenizers
+
+    from gnomon.llm.packing import default_path
+
+    words = [f"w{a}{b}" for a in "abcdefghij" for b in "klmnopqrst"]
+    body = lambda k: sentences(k, 100, words)
+    passage, item = sentences(900, 60, words), sentences(901, 40, words)
+    rows = [(k, body(k), "en", "s", 1) for k in range(40)] + [(50, body(3) + " tail", "en", "s", 1), (51, body(60) + " " + passage, "en", "s", 1), (52, body(61) + " " + passage, "en", "s", 1), (53, "12 34", "en", "s", 1), (54, None, None, "s", 1), (55, body(62) + " " + item, "en", "s", 1)]
+    frame(spark, rows, SCHEMA).write.parquet(str(tmp_path / "documents.parquet"))
+    frame(spark, [(1, item)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    want = {k: body(k) for k in range(40)} | {51: body(60) + " " + passage, 52: body(61)}
+    encoder = tokenizers.Tokenizer.from_file(default_path())
+    pieces: dict[int, list] = {}
+    for r in p.run(spark, str(tmp_path)).collect():
+        pieces.setdefault(r.doc_id, []).append((r.start, r.length, r.doc_tokens))
+    assert pieces.keys() == want.keys()
+    for k, text in want.items():
+        n = len(encoder.encode(text, add_special_tokens=False).ids) + 1
+        at = 0
+        for start, length, whole in sorted(pieces[k]):
+            assert start == at and whole == n
+            at += length
+        assert at == n
+
+
 def test_language_stage_keeps_short_texts(spark):
     """A letter, or a word that the sample did not hold, is too little to reject a text; pages of unknown n-grams go."""
     import corpus_pipeline as p
