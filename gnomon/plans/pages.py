@@ -35,7 +35,7 @@ def domains(rows: str, host: str) -> str:
 
 
 # Host of an e-mail address (after its last @), of an address with a scheme, or the text itself.
-HOST_OF = "CASE WHEN @matches(trim(lower({t})), '^.+@.') THEN regexp_extract(trim(lower({t})), '@([^@]*)$', 1) WHEN {t} LIKE '%://%' THEN " + HOST.format(u="trim({t})") + " ELSE @replace_all(trim(lower({t})), '[/:?#].*$', '') END"
+HOST_OF = "CASE WHEN @matches(trim(lower({t})), '^.+@.') THEN @replace_all(regexp_extract(trim(lower({t})), '@([^@]*)$', 1), '[/:?#].*$', '') WHEN {t} LIKE '%://%' THEN " + HOST.format(u="trim({t})") + " ELSE @replace_all(trim(lower({t})), '[/:?#].*$', '') END"
 _WEB = "CASE WHEN @matches(trim({t}), '^(?i)https?://') THEN trim({t}) ELSE concat('https://', trim({t})) END"
 
 # ---- e-mail ----
