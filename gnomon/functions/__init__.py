@@ -1 +1 @@
-"""Column functions: geography, time, solar position, text. All stay in the JVM."""
+"""Sun times as SQL, and what a model returned."""

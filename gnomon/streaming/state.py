@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQueryListener
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-DAY, HOUR = 86400, 3600
+DAY = 86400
 
 
 def _accept(times: list[float], last: float | None, window: int) -> tuple[list[bool], float | None]:
@@ -56,14 +56,6 @@ def run_counts(runs: DataFrame, late: str = "1 hour") -> DataFrame:
     return runs.withWatermark("started_at", late).groupBy(F.window("started_at", "1 hour"), "status").agg(F.count("*").alias("n"))
 
 
-def rate_limited(requests: DataFrame, limit: int, seconds: int = HOUR) -> DataFrame:
-    """Adds limited: more than ``limit`` requests of a key in the ``seconds`` up to and with this one (batch)."""
-    from pyspark.sql import Window
-
-    w = Window.partitionBy("key").orderBy(F.unix_timestamp("at")).rangeBetween(-seconds, 0)
-    return requests.withColumn("limited", F.count("*").over(w) > limit)
-
-
 class FailureLog(StreamingQueryListener):
     """Hands the failures of streams that have ended for good to ``report(name, message)``."""
 

@@ -52,39 +52,36 @@ def test_feed_plan_is_native(spark):
     assert "Cartesian" not in plan and "Python" not in plan and "WindowGroupLimit" in plan
 
 
-def test_spring_gap_and_days(spark):
-    from gnomon.functions import times
+def test_spring_gap(spark):
+    """A wall clock in the hour that a spring change skips: the second correction moves it an hour earlier."""
+    from gnomon.plans import schedule
+    from gnomon.plans.dialect import spark_sql
 
-    row = spark.range(1).select(
-        times.wall_to_utc(F.lit("2024-03-10 02:30:00").cast("timestamp"), F.lit("America/New_York")).cast("string").alias("gap"),
-        times.wall_to_utc(F.lit("2024-07-08 19:00:00").cast("timestamp"), F.lit("America/New_York")).cast("string").alias("plain"),
-        times.applies(F.lit("regular"), F.lit(None).cast("array<int>"), F.lit(None).cast("date"), F.lit(None).cast("date"), F.lit(dt.date(2024, 7, 7)), True).alias("feed"),
-        times.applies(F.lit("regular"), F.lit(None).cast("array<int>"), F.lit(None).cast("date"), F.lit(None).cast("date"), F.lit(dt.date(2024, 7, 7)), False).alias("page"),
-        times.weekday(F.lit(dt.date(2024, 7, 7))).alias("sunday"),
-    ).first()
-    assert row.gap == "2024-03-10 06:30:00" and row.plain == "2024-07-08 23:00:00" and row.feed and not row.page and row.sunday == 0
+    spark.createDataFrame([(1, 1, "fixed", "02:30", None, 0, "America/New_York"), (2, 1, "fixed", "19:00", None, 0, "America/New_York")], "id int, place_id int, time_kind string, clock string, anchor string, offset_min int, zone string").createOrReplaceTempView("gap_rule")
+    spark.createDataFrame([(1, 40.7, -74.0)], "id int, lat double, lng double").createOrReplaceTempView("gap_place")
+    text = f"WITH {schedule.timed('gap_rule', 'gap_place', chr(68) + 'ATE ' + repr('2024-03-10'))} SELECT id, CAST(starts_at AS STRING) AS at FROM timed"
+    assert {r.id: r["at"] for r in spark.sql(spark_sql(text)).collect()} == {1: "2024-03-10 06:30:00", 2: "2024-03-10 23:00:00"}
 
 
 @pytest.mark.parametrize(("received", "run", "want"), [(None, 14, True), (None, 15, False), (1, 30, True), (30, 1, False), (None, None, False)])
 def test_freshness(spark, received, run, want):
-    from gnomon.functions import times
+    from gnomon.plans.dialect import spark_sql
+    from gnomon.plans.schedule import FRESH
+    from gnomon.sources.model import AS_OF
 
-    now = dt.datetime(2024, 5, 1)
-    ago = lambda d: F.lit(None if d is None else now - dt.timedelta(days=d)).cast("timestamp")
-    assert spark.range(1).select(times.is_fresh(F.lit("approved"), F.lit("ok"), ago(received), ago(run), F.lit(now)).alias("x")).first().x is want
+    ago = lambda d: None if d is None else dt.datetime.fromisoformat(AS_OF) - dt.timedelta(days=d)
+    spark.createDataFrame([("approved", "ok", ago(received), ago(run))], "review_status string, run_status string, last_received_at timestamp, last_run_at timestamp").createOrReplaceTempView("fresh_source")
+    assert spark.sql(spark_sql(f"SELECT * FROM fresh_source s WHERE {FRESH}")).count() == int(want)
 
 
-def test_sun_and_distance(spark):
-    from gnomon.functions import geo, solar
+def test_sun(spark):
+    from gnomon.functions import solar
     from gnomon.plans.dialect import spark_sql
 
-    lat, lng = F.lit(40.71), F.lit(-74.01)
     text = f"WITH at AS (SELECT CAST(lat AS DOUBLE) AS lat, CAST(-74.01 AS DOUBLE) AS lng FROM VALUES (40.71), (80) AS v(lat)), {solar.sun_ctes('at', chr(68) + 'ATE ' + repr('2024-06-20'))} SELECT {solar.instant('netz')} AS up, {solar.instant('shkia')} AS down FROM sun ORDER BY lat"
     sun, none = spark.sql(spark_sql(text)).collect()
-    row = spark.range(1).select(geo.haversine_miles(lat, lng, F.lit(40.71), F.lit(-75.01)).alias("miles"), geo.distance_label(F.lit(1.25)).alias("label")).first()
     minutes = lambda t: t.hour * 60 + t.minute
     assert abs(minutes(sun.up) - (9 * 60 + 25)) <= 2 and abs(minutes(sun.down) - 31) <= 2 and none.down is None
-    assert abs(row.miles - 52.4) < 0.2 and row.label == "1.3 mi"
 
 
 def test_report_dedupe_on_a_stream(spark, tmp_path):
