@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from datetime import datetime, timedelta
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -75,3 +76,19 @@ class FailureLog(StreamingQueryListener):
         name = self.names.pop(event.id, str(event.id))
         if event.exception:
             self.report(name, event.exception)
+
+
+# When jobs are due, in UTC: weekday (0 is Sunday; None: every day), hour. An outside scheduler starts them with ``availableNow``.
+TRIGGERS = {"weekly_runs": (0, 3), "weekly_digest": (0, 4), "daily_recheck": (None, 5), "change_notes": (None, 5)}
+
+
+def due(since: datetime, until: datetime) -> list[tuple[datetime, str]]:
+    """(when, job) of all triggers after ``since`` and up to ``until``, in order."""
+    out, day = [], since.replace(hour=0, minute=0, second=0, microsecond=0)
+    while day <= until:
+        for job, (weekday, hour) in TRIGGERS.items():
+            at = day + timedelta(hours=hour)
+            if since < at <= until and weekday in (None, (day.weekday() + 1) % 7):
+                out.append((at, job))
+        day += timedelta(days=1)
+    return sorted(out)

@@ -353,3 +353,45 @@ def test_manual_edits(spark):
     edits = spark.createDataFrame([("a", 1, "edit", "09:00", None), ("a", 2, "edit", "08:00", None), ("b", 1, "delete", None, None)], "id string, at int, verb string, clock string, days string")
     got = {r.id: (r.clock, r.days, r.is_deleted, r.is_manual_edit) for r in edit_rules(rules, edits).collect()}
     assert got == {"a": ("08:00", None, False, True), "b": ("11:00", "1,2,3,4,5", True, True), "c": ("12:00", "1,2,3,4,5", False, False)}
+
+
+def test_triggers_and_failures(spark, tmp_path):
+    from gnomon.streaming.state import FailureLog, due
+
+    assert due(dt.datetime(2024, 7, 6, 5), dt.datetime(2024, 7, 7, 4)) == [(dt.datetime(2024, 7, 7, 3), "weekly_runs"), (dt.datetime(2024, 7, 7, 4), "weekly_digest")]
+    told: list = []
+    log = FailureLog(lambda name, message: told.append((name, message)))
+    spark.streams.addListener(log)
+    try:
+        (tmp_path / "in").mkdir()
+        (tmp_path / "in" / "a.json").write_text('{"x": 1}')
+
+        def fail(batch, batch_id):
+            raise ValueError("no such shelf")
+
+        q = spark.readStream.schema("x int").json(str(tmp_path / "in")).writeStream.queryName("shelves").foreachBatch(fail).option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start()
+        with pytest.raises(Exception, match="no such shelf"):
+            q.awaitTermination(60)
+        for _ in range(100):
+            if told:
+                break
+            spark.sparkContext._jvm.Thread.sleep(100)
+    finally:
+        spark.streams.removeListener(log)
+    assert told and told[0][0] == "shelves" and "no such shelf" in told[0][1]
+
+
+def test_stream_folded_into_versions(spark, tmp_path):
+    from gnomon.sources import io
+
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.json").write_text('{"id": 1, "n": 2}\n{"id": 1, "n": 3}\n{"id": 2, "n": 5}')
+    io.publish({"t": spark.createDataFrame([], "id int, n long")}, str(tmp_path / "db"), 0)
+
+    def step(batch, batch_id):
+        return {"t": batch.groupBy("id").agg(F.sum("n").alias("n"))}
+
+    events = spark.readStream.schema("id int, n int").json(str(tmp_path / "in"))
+    for _ in range(2):  # a second run has nothing to do
+        io.apply_stream(events, "id", lambda b, k: step(b, k), str(tmp_path / "db2"), str(tmp_path / "ck")).awaitTermination(60)
+    assert sorted(map(tuple, io.current(spark, str(tmp_path / "db2"), "t").collect())) == [(1, 5), (2, 5)]
