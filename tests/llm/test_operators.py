@@ -202,6 +202,46 @@ def test_contamination(spark, limit):
     assert got == want and sum(w[4] for w in want.values()) > 5
 
 
+def test_contamination_of_odd_tables(spark):
+    """A null item id counts and is not named; ids that repeat are one item; columns with clashing names are left alone."""
+    from gnomon.llm.decontam import contamination
+
+    q = "one two three four five six seven eight nine ten eleven twelve thirteen"
+    items = frame(spark, [(None, q, 1), (7, "short item", 2), (7, "short item", 3), (8, None, 4)], "item_id long, text string, row int")
+    rows = [(1, q + " more"), (1, "a short item"), (None, q), (2, None), (3, "x " * 30_000 + q), (4, "")]
+    docs = frame(spark, rows).select("*", F.lit("z").alias("shard"), F.lit(1).alias("row"), F.lit(2).alias("hits"), F.lit(3).alias("terms_0"))
+    got = sorted((r.doc_id or 0, r.n_words, r.n_hit, r.n_items, r.items_sha256 == hashlib.sha256(b"7").hexdigest(), r.contaminated) for r in contamination(docs, items).collect())
+    assert got == [(0, 13, 13, 1, False, True), (1, 3, 2, 1, True, True), (1, 14, 13, 1, False, True), (2, 0, 0, 0, False, False), (3, 30_013, 13, 1, False, False), (4, 0, 0, 0, False, False)]
+    none = frame(spark, [], "item_id long, text string")
+    assert contamination(frame(spark, []), items).count() == 0 and {r.n_hit for r in contamination(docs, none).collect()} == {0}
+
+
+def test_more_languages_than_a_word_has_bits(spark):
+    from gnomon.llm.langid import identify, train
+
+    r = random.Random(3)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    speech = [["".join(r.choice(letters) for _ in range(r.randint(3, 7))) for _ in range(40)] for _ in range(70)]
+    rows = [(k, " ".join(r.choices(speech[k % 70], k=25)), f"l{k % 70:02d}") for k in range(1400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)
+    filters = train(docs)
+    assert len(filters.languages) == 70 and len(filters.tables) == 2
+    got = {x.doc_id: x.lang_pred for x in identify(docs.drop("lang"), filters).collect()}
+    assert np.mean([got[k] == lang for k, _, lang in rows]) > 0.98
+
+
+def test_conflicting_labels(spark):
+    """Of several labels of a document the lowest counts, whatever their order."""
+    from gnomon.llm.quality import train
+
+    rows = [(k, sentences(k, 60)) for k in range(80)]
+    labels = [(k, k % 2, 0) for k in range(80)]
+    more = [(k, 1, 0) for k in range(0, 80, 2)]
+    docs = frame(spark, rows)
+    a, b = (train(docs, frame(spark, x, "doc_id long, quality int, toxic int")) for x in (labels + more, more[::-1] + labels[::-1]))
+    assert a.pairs == b.pairs == train(docs, frame(spark, labels, "doc_id long, quality int, toxic int")).pairs
+
+
 def test_proximity(spark):
     from gnomon.llm.decontam import proximity
 
