@@ -19,6 +19,9 @@ REMEMBERED = 1_000_000  # pieces
 # vocabularies in use ends one, as long as a text has no other white space.
 _PIECE = re.compile(r" ?[A-Za-zÀ-ÖØ-öø-ÿ]++(?![^\x00-\x7F])|[ \n]*[^ \n]++|[ \n]+")
 _OTHER_SPACE = re.compile(r"[^\S \n]|[\x1c-\x1f\x85]")
+# Bytes that such white space begins with in UTF-8: texts without any of them need no search.
+_MAYBE_SPACE = np.zeros(256, bool)
+_MAYBE_SPACE[[0x09, 0x0B, 0x0C, 0x0D, *range(0x1C, 0x20), 0xC2, 0xE1, 0xE2, 0xE3]] = True
 
 
 class Encoder:
@@ -72,10 +75,13 @@ class Encoder:
         at: list[int] = []
         n = np.zeros(len(texts), np.int64)
         whole: dict[int, list[int]] = {}
+        raw = [t.encode("utf-8", "surrogatepass") if t else b"" for t in texts]
+        found = np.flatnonzero(_MAYBE_SPACE[np.frombuffer(b"".join(raw), np.uint8)])
+        maybe = set(np.searchsorted(np.cumsum([len(x) for x in raw]), found, "right").tolist())
         for k, t in enumerate(texts):
             if not t:
                 continue
-            if _OTHER_SPACE.search(t):
+            if k in maybe and _OTHER_SPACE.search(t):
                 whole[k] = self.tokenizer.encode(t, add_special_tokens=False).ids
                 continue
             before = len(at)
