@@ -14,11 +14,14 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 U64 = np.uint64
+BATCH = 8 << 20  # bytes of a batch that goes to a Python worker; a longer row is a batch alone
 ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 
 def prepare(spark: SparkSession) -> SparkSession:
-    """Let Python workers import this package when it is not installed on their path."""
+    """Let Python workers import this package when it is not installed on their path, and get texts in batches of bounded bytes."""
+    if spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch", None) in (None, "-1", "268435456b", "268435456"):  # not set by the user
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH))
     env = spark.sparkContext.environment
     if ROOT not in env.get("PYTHONPATH", "").split(os.pathsep):
         env["PYTHONPATH"] = os.pathsep.join(x for x in (ROOT, env.get("PYTHONPATH", "")) if x)
@@ -59,11 +62,9 @@ def materialise(df: DataFrame, codec: str = "zstd") -> DataFrame:
 
 
 def discard(*tables: DataFrame) -> None:
-    """Remove tables that ``materialise`` wrote, once nothing will read them again, and let go of the shuffles behind them."""
+    """Remove tables that ``materialise`` wrote, once nothing will read them again."""
     for t in tables:
         t.written_to.getFileSystem(t.sparkSession._jsc.hadoopConfiguration()).delete(t.written_to, True)
-    if tables:
-        tables[0].sparkSession._jvm.System.gc()  # the engine removes shuffle files once the driver's garbage is collected
 
 
 def release() -> None:

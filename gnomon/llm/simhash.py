@@ -494,14 +494,15 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8,
     """
     source = documents(docs).withColumn("text_key", F.xxhash64("text"))
     schema = "doc_id long, text_key long, ident binary, fp long, low array<long>, first array<long>, odd binary, grams binary"
-    marked = materialise(source.mapInArrow(_sketches(shingle, keys, similarity), schema))
-    each = marked.withColumn("node", F.xxhash64("ident"))  # a node is a set of shingles, whatever doc_ids its rows have
-    some = F.min(F.struct("fp", "low", F.octet_length("grams").alias("bytes"))).alias("x")  # all are equal
-    nodes = each.filter("size(low) > 0 and doc_id is not null").groupBy("node").agg(some, F.min(F.struct("doc_id", "text_key")).alias("best")).select("node", "best", "x.*")
+    # rows are numbered as they are written; a set of shingles is a node, told by the first of its rows, whatever doc_ids these have
+    marked = materialise(source.mapInArrow(_sketches(shingle, keys, similarity), schema).withColumn("row", F.monotonically_increasing_id()))
+    some = F.min(F.struct("row", "fp", "low", F.octet_length("grams").alias("bytes"))).alias("x")  # all but row are equal
+    nodes = marked.filter("size(low) > 0 and doc_id is not null").groupBy("ident").agg(some, F.min(F.struct("doc_id", "text_key")).alias("best"))
+    nodes = nodes.select("ident", "best", F.col("x.row").alias("node"), "x.fp", "x.low", "x.bytes")
     nodes = materialise(nodes)
     keyed = nodes.select("node", "fp", "bytes", F.col("node").alias("lab"), F.explode("low").alias("key"))
     dealt = materialise(_parts(keyed, tile, tile_bytes).withColumn("part", F.pmod(F.xxhash64("node", F.lit(7)), F.col("parts"))))
-    sets = each.select("node", "grams").dropDuplicates(["node"])
+    sets = marked.select(F.col("row").alias("node"), "grams")
 
     def search(rows: DataFrame) -> DataFrame:
         whole = rows.select("key", "part", "fp", "node", "lab").join(sets, "node")
@@ -528,10 +529,10 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8,
             break
     discard(dealt)
     labs = named(nodes.select("node"), roots)
-    ahead = each.select("node", "first", F.octet_length("grams").alias("bytes")).dropDuplicates(["node"]).join(labs, "node")
+    ahead = marked.select(F.col("row").alias("node"), "first", F.octet_length("grams").alias("bytes")).join(labs, "node")
     ahead = ahead.select("node", "lab", "bytes", F.posexplode("first").alias("pos", "key"))
     shared = materialise(ahead.repartition("key").sortWithinPartitions("key", "bytes").mapInArrow(_hopeful(similarity), "key long, node long, lab long, bytes int"))
-    odd = each.select("node", "odd").dropDuplicates(["node"])
+    odd = marked.select(F.col("row").alias("node"), "odd")
     near = across(shared, tile, tile_bytes // 4).select("key", "part", "node", "lab", "bytes").join(odd, "node")
     near = near.repartition("key", "part").sortWithinPartitions("key", "part", "bytes").select("key", "part", "node", "lab", "bytes", "odd")
     close = materialise(near.mapInArrow(_alike(similarity), "key long, part long, node long, lab long"))
@@ -540,11 +541,11 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8,
     written.append(materialise(met.mapInArrow(_exact(similarity), "a long, b long")))
     discard(close, roots.table)
     roots = components(links.union(written[-1]))
-    held = nodes.join(roots, "node", "left").select("node", "best", F.coalesce("root", "node").alias("root"))
+    held = nodes.join(roots, "node", "left").select("ident", "best", F.coalesce("root", "node").alias("root"))
     best = held.groupBy("root").agg(F.min("best").alias("first"))
-    group = held.join(best, "root").select("node", "first")
+    group = held.join(best, "root").select("ident", "first")
     grouped = F.col("first").isNotNull() & F.col("doc_id").isNotNull()
-    out = each.select("doc_id", "text_key", "node").join(group, "node", "left").select("doc_id", "text_key", F.when(grouped, F.col("first.doc_id")).otherwise(F.col("doc_id")).alias("component_id"), (~grouped | (F.struct("doc_id", "text_key") == F.col("first"))).alias("kept"))
+    out = marked.select("doc_id", "text_key", "ident").join(group, "ident", "left").select("doc_id", "text_key", F.when(grouped, F.col("first.doc_id")).otherwise(F.col("doc_id")).alias("component_id"), (~grouped | (F.struct("doc_id", "text_key") == F.col("first"))).alias("kept"))
     out = materialise(out)
     discard(marked, nodes, roots.table, *written)
     return out
