@@ -72,7 +72,10 @@ def substring(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop documents that hold passages of the benchmark."""
+    """Drop documents that hold passages of the benchmark.
+
+    Documents are told by doc_id: rows that share one go together, those without one cannot be told apart and stay.
+    """
     found = contamination(docs, table(spark, sf_dir, "benchmark"))
     gone = materialise(found.filter("contaminated").select("doc_id").distinct())
     discard(found.index)
