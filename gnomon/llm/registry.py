@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from gnomon.llm import bitpack, decontam, html, langid, packing, quality, simhash, substring, suffix, webp
+from gnomon.llm import bitpack, decontam, html, langid, packing, pii, quality, simhash, substring, suffix, webp
 
 QUERIES = {
     "op1_substring_dedup": substring.query,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_quality": quality.query,
     "op9_suffix_dedup": suffix.query,
     "op10_media": webp.query,
+    "op11_personal_data": pii.query,
 }
 SQL = {
     "op1_substring_dedup": substring.SQL,
