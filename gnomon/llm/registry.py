@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from gnomon.llm import bitpack, decontam, html, langid, packing, pii, quality, simhash, substring, suffix, webp
+from gnomon.llm import bitpack, decontam, hardneg, html, langid, packing, pii, quality, ranked, simhash, substring, suffix, webp
 
 QUERIES = {
     "op1_substring_dedup": substring.query,
@@ -16,8 +16,12 @@ QUERIES = {
     "op9_suffix_dedup": suffix.query,
     "op10_media": webp.query,
     "op11_personal_data": pii.query,
+    "op12_ranked_search": ranked.query,
+    "op13_hard_negatives": hardneg.query,
 }
 SQL = {
     "op1_substring_dedup": substring.SQL,
     "op7_decontamination": decontam.SQL,
+    "op12_ranked_search": ranked.SQL,
+    "op13_hard_negatives": hardneg.SQL,
 }
