@@ -10,7 +10,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gnomon.plans import ingest, pages, schedule
+from gnomon.plans import fetch, ingest, pages, schedule
 from gnomon.plans.dialect import duck_sql, spark_sql, with_relations
 from gnomon.plans.schedule import DAYS_KEY, FRESH, PUBLIC, VISIBLE
 from gnomon.sources.model import REVIEW_STATUS, TEFILLAH, register
@@ -170,7 +170,7 @@ Q("insert_or_ignore", "SELECT host, min(id) AS id, count(*) - 1 AS duplicates FR
 Q("enum_narrowing", "SELECT id, CASE WHEN status = 'unsupported' THEN 'archived' ELSE status END AS status FROM place")
 Q("strategy_backfill", "SELECT id, coalesce(strategy, CASE WHEN kind IN ('website_llm', 'shulcloud_website') THEN 'html' END) AS strategy FROM source")
 
-TEXT |= schedule.TEXT | pages.TEXT | ingest.TEXT
+TEXT |= schedule.TEXT | pages.TEXT | ingest.TEXT | fetch.TEXT
 
 # Calls with a different spelling that only these texts use.
 _EXTRA = {"group1": ("'$1'", "'\\1'"), "collect": ("collect_list", "list")}
@@ -187,6 +187,8 @@ def run(name: str) -> Callable[[SparkSession, str], DataFrame]:
     def build(spark: SparkSession, sf_dir: str) -> DataFrame:
         register(spark, sf_dir)
         text = with_extras(TEXT[name])
+        if text.startswith("WITH RECURSIVE"):
+            spark.conf.set("spark.sql.cteRecursionRowLimit", "-1")  # rounds are bounded by the statement, rows by the tables
         return spark.sql(spark_sql(with_relations(text)))
 
     return build

@@ -48,6 +48,18 @@ SPARK: dict[str, Callable[..., str]] = {
     "fixed2": lambda x: f"format_string('%.2f', {x})",
     "collect_pairs": lambda k, v: f"collect_list(struct({k} AS k, {v} AS v))",
     "sorted_pairs": lambda a: f"transform(array_sort({a}), x -> x.v)",
+    "transform": lambda a, x, e: f"transform({a}, {x} -> {e})",
+    "struct": lambda *x: f"named_struct({', '.join(f"'{n}', {e}" for n, e in zip(x[::2], x[1::2], strict=True))})",
+    # a walk over a list of structs; the state is a struct of the same fields
+    "walk": lambda a, start, s, x, e: f"aggregate({a}, {start}, ({s}, {x}) -> {e})",
+    "chars": lambda t: f"transform(CASE WHEN length({t}) > 0 THEN sequence(1, length({t})) ELSE array() END, i -> substring({t}, i, 1))",
+    # path segments without . and .., as a stack
+    "folded": lambda a: f"aggregate({a}, CAST(array() AS ARRAY<STRING>), (s, x) -> CASE WHEN x IN ('..', '.') THEN CASE WHEN x = '..' AND size(s) > 0 THEN slice(s, 1, size(s) - 1) ELSE s END ELSE concat(s, array(x)) END)",
+    "last": lambda a: f"element_at({a}, -1)",
+    "rest": lambda a: f"slice({a}, 2, greatest(size({a}) - 1, 0))",
+    "floor_div": lambda a, b: f"(({a}) DIV ({b}))",
+    "max_by": lambda x, y: f"max_by({x}, {y})",
+    "collect_sorted": lambda x: f"array_sort(collect_list({x}))",
 }
 DUCK: dict[str, Callable[..., str]] = SPARK | {
     "ago": lambda n: f"(TIMESTAMP '{AS_OF}' - to_days(CAST({n} AS INT)))",
@@ -86,6 +98,15 @@ DUCK: dict[str, Callable[..., str]] = SPARK | {
     "fixed2": lambda x: f"printf('%.2f', {x})",
     "collect_pairs": lambda k, v: f"list(struct_pack(k := {k}, v := {v}))",
     "sorted_pairs": lambda a: f"list_transform(list_sort({a}), lambda x: x.v)",
+    "transform": lambda a, x, e: f"list_transform({a}, lambda {x}: {e})",
+    "struct": lambda *x: f"struct_pack({', '.join(f"{n} := {e}" for n, e in zip(x[::2], x[1::2], strict=True))})",
+    "walk": lambda a, start, s, x, e: f"list_reduce({a}, lambda {s}, {x}: {e}, {start})",
+    "chars": lambda t: f"list_transform(range(1, length({t}) + 1), lambda i: substring({t}, i, 1))",
+    "folded": lambda a: f"list_reduce(list_transform({a}, lambda y: [y]), lambda s, x: CASE WHEN x[1] IN ('..', '.') THEN CASE WHEN x[1] = '..' AND len(s) > 0 THEN s[1:len(s) - 1] ELSE s END ELSE list_concat(s, x) END, CAST([] AS VARCHAR[]))",
+    "last": lambda a: f"list_extract({a}, -1)",
+    "rest": lambda a: f"({a})[2:]",
+    "floor_div": lambda a, b: f"(({a}) // ({b}))",
+    "collect_sorted": lambda x: f"list_sort(list({x}))",
 }
 _CALL = re.compile(r"@([a-z_0-9]+)\(")
 
@@ -137,7 +158,10 @@ def with_relations(text: str) -> str:
     ctes = ", ".join(f"{n} AS ({RELATIONS[n].strip()})" for n in used)
     if not ctes:
         return text
-    return f"WITH {ctes}, {text.strip()[5:]}" if text.strip().startswith("WITH ") else f"WITH {ctes} {text.strip()}"
+    text = text.strip()
+    if text.startswith("WITH RECURSIVE "):
+        return f"WITH RECURSIVE {ctes}, {text[15:]}"
+    return f"WITH {ctes}, {text[5:]}" if text.startswith("WITH ") else f"WITH {ctes} {text}"
 
 
 def spark_sql(text: str) -> str:

@@ -1,7 +1,8 @@
 """Pages, links, hosts, mail and model output: what is read from text, and what is chosen among it.
 
-Addresses are taken apart by patterns; ``.`` and ``..`` in relative ones are not folded. Tags are found
-by patterns as well, so an element nested in one of its own name ends at the first end tag.
+Addresses are taken apart by patterns and put together as browsers do. Tags are found by patterns as
+well, so an element nested in one of its own name ends at the first end tag; ``functions.markup`` reads
+pages by a parser.
 """
 
 from __future__ import annotations
@@ -17,12 +18,27 @@ PATH = "regexp_extract({u}, '^[a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]+([^?#]*)', 1)"
 
 
 def absolute(href: str, base: str) -> str:
+    """``href`` as found on a page at ``base``: joined, without ``.`` and ``..``, scheme and host in lower case, a default port left out, an empty path as /."""
+    return canonical(_joined(href, base))
+
+
+def _joined(href: str, base: str) -> str:
     origin, path = ORIGIN.format(u=base), PATH.format(u=base)
     folder = f"regexp_extract({path}, '^(.*/)', 1)"
-    return f"""CASE WHEN @matches({href}, '^[a-zA-Z][a-zA-Z0-9+.-]*:') THEN {href} WHEN {href} LIKE '//%' THEN concat(regexp_extract({base}, '^([a-zA-Z][a-zA-Z0-9+.-]*:)', 1), {href}) WHEN {href} LIKE '/%' THEN concat({origin}, {href})
+    same = f"regexp_extract({base}, '^([a-zA-Z][a-zA-Z0-9+.-]*:)', 1)"
+    return f"""CASE WHEN @matches({href}, '^[a-zA-Z][a-zA-Z0-9+.-]*://') THEN {href} WHEN @matches({href}, '^[a-zA-Z][a-zA-Z0-9+.-]*:') THEN CASE WHEN @matches({href}, '^(?i)https?:') AND lower(regexp_extract({href}, '^([a-zA-Z]+:)', 1)) = lower({same}) THEN concat({origin}, coalesce(nullif({folder}, ''), '/'), regexp_extract({href}, '^[^:]*:(.*)$', 1)) ELSE {href} END
+  WHEN {href} LIKE '//%' THEN concat({same}, {href}) WHEN {href} LIKE '/%' THEN concat({origin}, {href}) WHEN {href} = '' THEN regexp_extract({base}, '^([^#]*)', 1) WHEN {href} LIKE '#%' THEN concat(regexp_extract({base}, '^([^#]*)', 1), {href})
   WHEN {href} LIKE '?%' THEN concat({origin}, {path}, {href}) ELSE concat({origin}, coalesce(nullif({folder}, ''), '/'), {href}) END"""
 
 
+def canonical(url: str) -> str:
+    """An address with a scheme and a host in the one form that stands for it; other texts stay as they are."""
+    segments = "@split(regexp_extract(u, '^[^?#]*?//[^/?#]*/?([^?#]*)', 1), '/')"
+    origin = "@replace_all(@replace_all(lower(regexp_extract(u, '^([^?#]*?//[^/?#]*)', 1)), '^(http://.*):80$', @first()), '^(https://.*):443$', @first())"
+    path = f"concat('/', @join(@folded({segments}), '/'), CASE WHEN @size(@folded({segments})) > 0 AND @last({segments}) IN ('.', '..') THEN '/' ELSE '' END)"
+    return f"""@get(@transform(@list({url}), u, CASE WHEN NOT @matches(u, '^[a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]') THEN u ELSE concat({origin}, {path}, regexp_extract(u, '^[^?#]*([?#].*)$', 1)) END), 1)"""
+
+
 def domains(rows: str, host: str) -> str:
     """CTE ``named``: ``rows`` with ``domain``, the registrable one of ``host``: a label and the longest public suffix.
 
@@ -183,27 +199,27 @@ def extract_lines(rows: str) -> str:
 
 
 def fuzzy(rows: str, needle: str) -> str:
-    """CTE ``fuzzy``: ``rows`` (id, name, address) with the score of ``needle``, a lower-case text, as characters in order.
+    """CTE ``fuzzy``: ``rows`` (id, name, address) with the score of ``needle``, an expression for a lower-case text, as characters in order.
 
-    Each character is looked for behind the one before it, so the walk is one expression a character.
+    Each character is looked for behind the one before it, in one walk over the needle's characters of
+    any number. State: place of the last one found (below 0 once one is not), of the first, run of neighbours, sum.
     """
-    quote = lambda t: t.replace("'", "''")
-    out = [f"fz AS (SELECT id, name, address, lower(name) AS low_name, lower(concat(name, ' ', coalesce(address, ''))) AS hay FROM {rows})"]
-    for k, c in enumerate(needle):
-        before = f"p{k - 1}" if k else "0"
-        run = f"CASE WHEN p{k} = {before} + 1 THEN run + 1 ELSE 0 END" if k else "0"
-        found = f"CASE WHEN {before} IS NULL OR instr(substring(hay, {before} + 1), '{quote(c)}') = 0 THEN NULL ELSE {before} + instr(substring(hay, {before} + 1), '{quote(c)}') END"
-        more = f"10 + CASE WHEN {'p%d = %s + 1' % (k, before) if k else 'false'} THEN 10 + 2 * ({run}) ELSE 0 END + CASE WHEN p{k} = 1 OR @matches(substring(hay, p{k} - 1, 1), '\\s') THEN 15 ELSE 0 END"
-        rows_in = "fz" if not k else f"fz{k - 1}"
-        out.append(f"fzp{k} AS (SELECT *, {found} AS p{k} FROM {rows_in})")
-        keep = ", ".join(["id", "name", "address", "low_name", "hay", *[f"p{j}" for j in range(k + 1)]])
-        out.append(f"fz{k} AS (SELECT {keep}, {run} AS run, {more if not k else 'walk + ' + more} AS walk FROM fzp{k})")
-    n, text = len(needle), quote(needle)
-    boost = f"CASE WHEN instr(low_name, '{text}') > 0 THEN 200 + CASE WHEN instr(low_name, '{text}') = 1 THEN 100 ELSE 0 END WHEN instr(hay, '{text}') > 0 THEN 50 ELSE 0 END"
-    score = f"CASE WHEN p{n - 1} IS NULL THEN 0 ELSE CAST(walk - least(p0 - 1, 30) + {boost} AS BIGINT) END"
-    # as a list of one, so that a filter on the score is not pushed down through the walk, where it would repeat each step
-    out.append(f"fuzzy AS (SELECT id, name, address, @explode(@list({score})) AS score FROM fz{n - 1})")
-    return ", ".join(out)
+    found = "s.p + instr(substring(hay, CAST(s.p AS INT) + 1), x.c)"
+    next_ = "instr(substring(hay, CAST(s.p AS INT) + 1), x.c)"
+    near = f"s.p0 > 0 AND {next_} = 1"
+    run = f"CASE WHEN {near} THEN s.run + 1 ELSE 0 END"
+    more = f"10 + CASE WHEN {near} THEN 10 + 2 * (s.run + 1) ELSE 0 END + CASE WHEN {found} = 1 OR @matches(substring(hay, CAST({found} AS INT) - 1, 1), '\\s') THEN 15 ELSE 0 END"
+    big = lambda e: f"CAST({e} AS BIGINT)"
+    state = lambda p, p0, run, walk: f"@struct(p, {big(p)}, p0, {big(p0)}, run, {big(run)}, walk, {big(walk)}, c, x.c)"
+    step = f"CASE WHEN s.p < 0 OR {next_} = 0 THEN {state('-1', 's.p0', '0', '0')} ELSE {state(found, f'CASE WHEN s.p0 = 0 THEN {found} ELSE s.p0 END', run, f's.walk + {more}')} END"
+    chars = f"@transform(@chars({needle}), ch, @struct(p, {big('0')}, p0, {big('0')}, run, {big('0')}, walk, {big('0')}, c, ch))"
+    start = f"@struct(p, {big('0')}, p0, {big('0')}, run, {big('0')}, walk, {big('0')}, c, '')"
+    boost = f"CASE WHEN instr(low_name, {needle}) > 0 THEN 200 + CASE WHEN instr(low_name, {needle}) = 1 THEN 100 ELSE 0 END WHEN instr(hay, {needle}) > 0 THEN 50 ELSE 0 END"
+    score = f"CASE WHEN w.p <= 0 THEN 0 ELSE CAST(w.walk - least(w.p0 - 1, 30) + {boost} AS BIGINT) END"
+    # lists of one keep a filter on the score from being pushed down through the walk, where it would repeat it
+    return f"""fz AS (SELECT id, name, address, lower(name) AS low_name, lower(concat(name, ' ', coalesce(address, ''))) AS hay FROM {rows}),
+  fzw AS (SELECT *, @explode(@list(@walk({chars}, {start}, s, x, {step}))) AS w FROM fz),
+  fuzzy AS (SELECT id, name, address, @explode(@list({score})) AS score FROM fzw)"""
 
 
 PLACE_TYPES = (("synagogue", 0.4), ("place_of_worship", 0.25), ("religious_organization", 0.15))
@@ -256,8 +272,8 @@ TEXT = {
   SELECT page_id, CASE WHEN score < 2 THEN 'unknown' WHEN shulcloud = score THEN 'shulcloud' WHEN shulspace = score THEN 'shulspace' WHEN shulhub = score THEN 'shulhub' ELSE 'wix' END AS platform, CASE WHEN score < 2 THEN 0e0 ELSE least(1e0, score / 5e0) END AS confidence FROM top""",
     "extracted_lines": f"WITH {extract_lines('listing')} SELECT * FROM extracted",
     "extraction_confidence": f"WITH {extract_lines('listing')} SELECT page_id, count(*) AS n, round(avg(confidence), 6) AS mean_confidence FROM extracted GROUP BY page_id",
-    "fuzzy_lookup": f"WITH {VISIBLE}, {fuzzy('(SELECT id, name, address FROM visible)', 'cst 12 ma')} SELECT id, name, score FROM fuzzy WHERE score > 0 ORDER BY score DESC, name, id LIMIT 12",
-    "fuzzy_scores": f"WITH {fuzzy('(SELECT id, name, address FROM place)', 'main 7')} SELECT id, score FROM fuzzy",
+    "fuzzy_lookup": f"WITH {VISIBLE}, {fuzzy('(SELECT id, name, address FROM visible)', "'cst 12 ma'")} SELECT id, name, score FROM fuzzy WHERE score > 0 ORDER BY score DESC, name, id LIMIT 12",
+    "fuzzy_scores": f"WITH {fuzzy('(SELECT id, name, address FROM place)', "'main 7'")} SELECT id, score FROM fuzzy",
     "place_match": f"WITH {PLACE_MATCH} SELECT place_id, name, address, confidence, confidence >= 0.7e0 AS applies FROM (SELECT *, row_number() OVER (PARTITION BY place_id ORDER BY confidence DESC, pos) AS rn FROM judged) WHERE rn = 1",
     "reverse_geocode": f"""WITH part AS (SELECT *, {" OR ".join(f"@has(types, '{x}')" for x in LOCALITY)} AS local, @has(types, 'administrative_area_level_1') AS admin FROM geo_part),
   l AS (SELECT place_id, long_name FROM (SELECT *, row_number() OVER (PARTITION BY place_id ORDER BY result_no, part_no) AS rn FROM part WHERE local) WHERE rn = 1), a AS (SELECT place_id, short_name FROM (SELECT *, row_number() OVER (PARTITION BY place_id ORDER BY result_no, part_no) AS rn FROM part WHERE admin) WHERE rn = 1)

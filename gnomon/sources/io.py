@@ -60,6 +60,20 @@ def image_files(spark: SparkSession, folder: str, most: int = 25_000_000) -> Dat
     return spark.read.format("binaryFile").load(folder).filter(F.col("length") <= most).select("path", "length", "content")
 
 
+def fetched(requests: DataFrame, responses: DataFrame) -> DataFrame:
+    """What the fetch chain makes of recorded responses: see ``gnomon.plans.fetch`` for both tables' columns.
+
+    Repeated addresses count once; one request has one row. Rounds of the recursion are bounded by the redirects that are followed.
+    """
+    from gnomon.plans.fetch import FETCHED
+
+    spark = requests.sparkSession
+    spark.conf.set("spark.sql.cteRecursionRowLimit", "-1")
+    requests.select("url").filter("url IS NOT NULL").distinct().createOrReplaceTempView("request")
+    responses.dropDuplicates(["url", "agent"]).createOrReplaceTempView("response")
+    return spark.sql(spark_sql(f"WITH RECURSIVE {FETCHED} SELECT url, final_url, status, agent, hops, why, ok, is_rendered, body FROM fetched"))
+
+
 def append(rows: DataFrame, path: str) -> None:
     """Insert: rows are added to a table."""
     rows.write.mode("append").parquet(path)

@@ -139,6 +139,15 @@ FROM orders WHERE o_orderkey < 3000""",
     "address_page": """
 SELECT CAST(l_orderkey AS INT) AS place_id, CAST(l_linenumber AS INT) AS pos, concat('https://site.org/', CASE l_partkey % 5 WHEN 0 THEN '' WHEN 1 THEN 'contact' WHEN 2 THEN 'contact-us' WHEN 3 THEN 'about' ELSE 'directions' END) AS url, CASE WHEN l_partkey % 4 > 0 THEN (l_partkey % 100) / 100e0 END AS confidence, CAST(l_partkey AS BIGINT) AS tokens_in, CAST(l_suppkey AS BIGINT) AS tokens_out
 FROM (SELECT l_orderkey, l_linenumber, min(l_partkey) AS l_partkey, min(l_suppkey) AS l_suppkey FROM lineitem GROUP BY l_orderkey, l_linenumber)""",
+    # Chains of redirects: an order's lines one after the other, some in a ring, some to a private host.
+    "response": """
+SELECT concat('https://s', CAST(o AS VARCHAR(20)), '.example.org/p', CAST(k AS VARCHAR(9))) AS url, agent,
+  CASE WHEN agent = 'proxy' THEN CASE WHEN o % 64 < 32 THEN 200 ELSE 502 END WHEN k < n OR o % 13 = 0 THEN 302 WHEN agent = 'own' AND o % 8 IN (1, 2) THEN 403 WHEN agent = 'own' AND o % 8 = 3 THEN 406 WHEN agent = 'browser' AND o % 8 IN (1, 3) THEN 403 WHEN o % 19 = 5 THEN 500 ELSE 200 END AS status,
+  CASE WHEN agent = 'proxy' THEN NULL WHEN k < n AND o % 17 = 0 AND k = 2 THEN 'http://10.0.0.9/x' WHEN k < n THEN concat(CASE k % 4 WHEN 0 THEN '../x/../p' WHEN 1 THEN './p' WHEN 2 THEN concat('HTTPS://S', CAST(o AS VARCHAR(20)), '.example.org:443/p') ELSE '/p' END, CAST(k + 1 AS VARCHAR(9))) WHEN o % 13 = 0 THEN '/p1' END AS location,
+  concat('<p>page ', CAST(o AS VARCHAR(20)), ' by ', agent, '</p>') AS body, CASE WHEN agent = 'own' AND k = 1 AND o % 5 = 0 THEN concat('<p>rendered ', CAST(o AS VARCHAR(20)), '</p>') END AS rendered
+FROM (SELECT o, k, n, agent FROM (SELECT o, CAST(row_number() OVER (PARTITION BY o ORDER BY line) AS INT) AS k, CAST(count(*) OVER (PARTITION BY o) AS INT) AS n FROM (SELECT l_orderkey AS o, l_linenumber AS line FROM lineitem GROUP BY l_orderkey, l_linenumber)) CROSS JOIN (VALUES ('own'), ('browser'), ('proxy')) AS a(agent))
+WHERE CASE WHEN agent = 'proxy' THEN k = 1 AND o % 3 > 0 ELSE k < n OR o % 23 <> 4 END""",
+    "request": "SELECT DISTINCT concat('https://s', CAST(l_orderkey AS VARCHAR(20)), '.example.org/p1') AS url FROM lineitem",
     # A table that users replace by a full list of public suffixes of two and three labels.
     "suffix": "SELECT name FROM (VALUES ('co.uk'), ('org.uk'), ('ac.uk'), ('co.il'), ('org.il'), ('ac.il'), ('com.au'), ('org.au'), ('co.za'), ('org.za'), ('com.br'), ('com.mx'), ('co.nz'), ('org.nz'), ('k12.nj.us'), ('k12.ny.us')) AS v(name)",
     "shared_domain": f"SELECT domain FROM (VALUES {', '.join(f"('{x}')" for x in SHARED_DOMAINS)}) AS v(domain)",
