@@ -58,6 +58,8 @@ SPARK: dict[str, Callable[..., str]] = {
     "last": lambda a: f"element_at({a}, -1)",
     "rest": lambda a: f"slice({a}, 2, greatest(size({a}) - 1, 0))",
     "floor_div": lambda a, b: f"(({a}) DIV ({b}))",
+    "labels": lambda s: f"split({s}, '[.]', -1)",
+    "tail": lambda a, k: f"slice({a}, CAST(size({a}) - ({k}) + 1 AS INT), CAST({k} AS INT))",
     "max_by": lambda x, y: f"max_by({x}, {y})",
     "collect_sorted": lambda x: f"array_sort(collect_list({x}))",
 }
@@ -104,6 +106,8 @@ DUCK: dict[str, Callable[..., str]] = SPARK | {
     "chars": lambda t: f"list_transform(range(1, length({t}) + 1), lambda i: substring({t}, i, 1))",
     "folded": lambda a: f"list_reduce(list_transform({a}, lambda y: [y]), lambda s, x: CASE WHEN x[1] IN ('..', '.') THEN CASE WHEN x[1] = '..' AND len(s) > 0 THEN s[1:len(s) - 1] ELSE s END ELSE list_concat(s, x) END, CAST([] AS VARCHAR[]))",
     "last": lambda a: f"list_extract({a}, -1)",
+    "labels": lambda s: f"string_split({s}, '.')",
+    "tail": lambda a, k: f"({a})[len({a}) - ({k}) + 1:]",
     "rest": lambda a: f"({a})[2:]",
     "floor_div": lambda a, b: f"(({a}) // ({b}))",
     "collect_sorted": lambda x: f"list_sort(list({x}))",

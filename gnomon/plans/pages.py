@@ -42,12 +42,15 @@ def canonical(url: str) -> str:
 def domains(rows: str, host: str) -> str:
     """CTE ``named``: ``rows`` with ``domain``, the registrable one of ``host``: a label and the longest public suffix.
 
-    ``suffix`` has the suffixes of two and three labels; any last label alone is one as well. Null for a
-    suffix itself, a bare label, an address of numbers.
+    ``suffix`` has the rules of a public-suffix list, of any number of labels, with ``*.`` before rules for
+    every label there and ``!`` before exceptions; a last label without a rule is a suffix as well. Each
+    host's tails are looked up once. Null for a suffix itself, a bare label, an address of numbers, an empty label.
     """
-    tail = lambda n: f"regexp_extract({host}, '((?:[^.]+[.]){{{n - 1}}}[^.]+)$', 1)"
-    return f"""named AS (SELECT h.*, CASE WHEN @matches({host}, '^[0-9.]+$') OR {host} LIKE '%:%' THEN NULL WHEN s3.name IS NOT NULL THEN nullif({tail(4)}, '') WHEN s2.name IS NOT NULL THEN nullif({tail(3)}, '') ELSE nullif({tail(2)}, '') END AS domain
-  FROM {rows} h LEFT JOIN suffix s2 ON s2.name = {tail(2)} LEFT JOIN suffix s3 ON s3.name = {tail(3)})"""
+    return f"""labelled AS (SELECT dom_host, labels, @size(labels) AS n, @explode(@upto(@size(labels))) AS k FROM (SELECT dom_host, @labels(dom_host) AS labels FROM (SELECT DISTINCT lower({host}) AS dom_host FROM {rows} h) WHERE dom_host IS NOT NULL AND NOT @matches(dom_host, '^[0-9.]+$|:|^[.]|[.][.]|[.]$|^$'))),
+  tail AS (SELECT dom_host, labels, n, k, @join(@tail(labels, k), '.') AS tail FROM labelled),
+  suffix_rule AS (SELECT DISTINCT CASE WHEN name LIKE '!%' THEN substring(name, 2) WHEN name LIKE '*.%' THEN substring(name, 3) ELSE name END AS base, CASE WHEN name LIKE '!%' THEN 2 WHEN name LIKE '*.%' THEN 1 ELSE 0 END AS kind FROM suffix),
+  public_part AS (SELECT t.dom_host, t.labels, t.n, coalesce(max(CASE WHEN r.kind = 2 THEN t.k - 1 END), max(CASE WHEN r.kind = 0 THEN t.k WHEN r.kind = 1 AND t.n > t.k THEN t.k + 1 END), 1) AS public FROM tail t LEFT JOIN suffix_rule r ON r.base = t.tail GROUP BY t.dom_host, t.labels, t.n),
+  named AS (SELECT h.*, CASE WHEN d.n > d.public THEN @join(@tail(d.labels, d.public + 1), '.') END AS domain FROM {rows} h LEFT JOIN public_part d ON d.dom_host = lower({host}))"""
 
 
 # Host of an e-mail address (after its last @), of an address with a scheme, or the text itself.
@@ -288,7 +291,7 @@ TEXT = {
   h AS (SELECT p.id, 1 AS turn, {HOST_OF.format(t='p.submitted_url')} AS host FROM place p WHERE p.submitted_url IS NOT NULL UNION ALL SELECT p.id, 2, {HOST_OF.format(t="(CASE WHEN m.identifier LIKE '%::%' THEN split_part(m.identifier, '::', 2) ELSE m.identifier END)")} FROM place p JOIN mailed m ON m.place_id = p.id), {domains('h', 'h.host')},
   ok AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY turn) AS rn FROM named n WHERE domain IS NOT NULL AND (turn = 1 OR NOT EXISTS (SELECT 1 FROM shared_domain d WHERE d.domain = n.domain)))
   SELECT p.id, o.domain AS match_domain, CASE o.turn WHEN 1 THEN 'submitted_url' WHEN 2 THEN 'email_data_source' END AS source FROM place p LEFT JOIN ok o ON o.id = p.id AND o.rn = 1""",
-    "duplicate_domain": """WITH host AS (SELECT id, @replace_all(host, '^www\\.', '') AS host FROM candidate), tails AS (SELECT id, host AS domain FROM host UNION SELECT id, regexp_extract(host, '([^.]+[.][^.]+)$', 1) FROM host),
+    "duplicate_domain": f"""WITH host AS (SELECT id, @replace_all(host, '^www\\.', '') AS host FROM candidate), {domains('host', 'h.host')}, tails AS (SELECT id, host AS domain FROM host UNION SELECT id, domain FROM named WHERE domain IS NOT NULL),
   m AS (SELECT t.id, min(p.id) AS place_id FROM tails t JOIN place p ON p.match_domain = t.domain GROUP BY t.id) SELECT h.id, h.host, m.place_id FROM host h LEFT JOIN m ON m.id = h.id""",
     "private_hosts": f"SELECT ip, {private_address('ip')} AS refused, {blocked_host('ip')} AS blocked FROM ip_address",
     "local_names": f"SELECT DISTINCT host, @matches(lower(host), '{LOCAL_HOST}') AS refused, {blocked_host('host')} AS blocked FROM (SELECT CASE page_id % 5 WHEN 0 THEN 'localhost' WHEN 1 THEN 'a.Internal' WHEN 2 THEN 'fda.gov' WHEN 3 THEN '[fd00::1]' ELSE {HOST.format(u='url')} END AS host FROM pages)",

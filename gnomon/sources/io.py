@@ -60,6 +60,13 @@ def image_files(spark: SparkSession, folder: str, most: int = 25_000_000) -> Dat
     return spark.read.format("binaryFile").load(folder).filter(F.col("length") <= most).select("path", "length", "content")
 
 
+def suffixes(spark: SparkSession, path: str) -> DataFrame:
+    """name: the rules of a public-suffix list, a file with a rule a line and // before comments; made the table ``suffix`` that domains are read by."""
+    rules = spark.read.text(path).select(F.lower(F.regexp_extract("value", r"^\s*(\S*)", 1)).alias("name")).filter("name <> '' and not startswith(name, '//')").distinct()
+    rules.createOrReplaceTempView("suffix")
+    return rules
+
+
 def fetched(requests: DataFrame, responses: DataFrame) -> DataFrame:
     """What the fetch chain makes of recorded responses: see ``gnomon.plans.fetch`` for both tables' columns.
 

@@ -95,7 +95,7 @@ FROM pages""",
     # What the tables above do not hold: pages, mail, results and the like that have the cases of their rules.
     "root": """
 SELECT CAST(c_custkey AS INT) AS id, CASE c_custkey % 8 WHEN 0 THEN concat('https://www.site', CAST(c_custkey % 300 AS VARCHAR(9)), '.org/') WHEN 1 THEN concat('https://www.site', CAST(c_custkey % 300 AS VARCHAR(9)), '.org') WHEN 2 THEN 'not an address'
-  WHEN 3 THEN concat('http://a.site', CAST(c_custkey % 300 AS VARCHAR(9)), '.co.uk/times?x=1') WHEN 4 THEN concat('gabbai@mail.site', CAST(c_custkey % 300 AS VARCHAR(9)), '.k12.nj.us') WHEN 5 THEN 'www.Facebook.com' WHEN 6 THEN NULL ELSE 'co.uk' END AS submitted_url FROM customer""",
+  WHEN 3 THEN concat('http://a.site', CAST(c_custkey % 300 AS VARCHAR(9)), '.co.uk/times?x=1') WHEN 4 THEN concat('gabbai@mail.site', CAST(c_custkey % 300 AS VARCHAR(9)), '.k12.nj.us') WHEN 5 THEN 'www.Facebook.com' WHEN 6 THEN NULL ELSE CASE c_custkey % 5 WHEN 0 THEN 'co.uk' WHEN 1 THEN concat('a.b.site', CAST(c_custkey % 300 AS VARCHAR(9)), '.c.kobe.jp') WHEN 2 THEN 'www.city.kobe.jp' WHEN 3 THEN concat('x.site', CAST(c_custkey % 300 AS VARCHAR(9)), '.ck') ELSE 'www.www.ck' END END AS submitted_url FROM customer""",
     "site": """
 SELECT CAST(page_id AS INT) AS page_id, CASE page_id % 6 WHEN 0 THEN concat('https://www.site', CAST(page_id % 300 AS VARCHAR(9)), '.org/') WHEN 1 THEN concat('https://www.site', CAST((page_id - 1) % 300 AS VARCHAR(9)), '.org/davening-times')
     WHEN 2 THEN concat('https://cdn.site.org/poster', CAST(page_id % 9 AS VARCHAR(9)), '.png?v=', CAST(page_id AS VARCHAR(9)), '&t=20240', CAST(page_id % 3 AS VARCHAR(9)), '&cachebust=1&h=0123456789abcdefABCD') ELSE url END AS url,
@@ -148,8 +148,8 @@ SELECT concat('https://s', CAST(o AS VARCHAR(20)), '.example.org/p', CAST(k AS V
 FROM (SELECT o, k, n, agent FROM (SELECT o, CAST(row_number() OVER (PARTITION BY o ORDER BY line) AS INT) AS k, CAST(count(*) OVER (PARTITION BY o) AS INT) AS n FROM (SELECT l_orderkey AS o, l_linenumber AS line FROM lineitem GROUP BY l_orderkey, l_linenumber)) CROSS JOIN (VALUES ('own'), ('browser'), ('proxy')) AS a(agent))
 WHERE CASE WHEN agent = 'proxy' THEN k = 1 AND o % 3 > 0 ELSE k < n OR o % 23 <> 4 END""",
     "request": "SELECT DISTINCT concat('https://s', CAST(l_orderkey AS VARCHAR(20)), '.example.org/p1') AS url FROM lineitem",
-    # A table that users replace by a full list of public suffixes of two and three labels.
-    "suffix": "SELECT name FROM (VALUES ('co.uk'), ('org.uk'), ('ac.uk'), ('co.il'), ('org.il'), ('ac.il'), ('com.au'), ('org.au'), ('co.za'), ('org.za'), ('com.br'), ('com.mx'), ('co.nz'), ('org.nz'), ('k12.nj.us'), ('k12.ny.us')) AS v(name)",
+    # Rules of public suffixes, with their wildcards and exceptions; users put a whole list in their place (``sources.io.suffixes``).
+    "suffix": "SELECT name FROM (VALUES ('com'), ('org'), ('uk.com'), ('*.ck'), ('!www.ck'), ('jp'), ('ac.jp'), ('kyoto.jp'), ('ide.kyoto.jp'), ('*.kobe.jp'), ('!city.kobe.jp'), ('us'), ('ak.us'), ('k12.ak.us'), ('co.uk'), ('org.uk'), ('ac.uk'), ('co.il'), ('org.il'), ('ac.il'), ('com.au'), ('org.au'), ('co.za'), ('org.za'), ('com.br'), ('com.mx'), ('co.nz'), ('org.nz'), ('k12.nj.us'), ('k12.ny.us')) AS v(name)",
     "shared_domain": f"SELECT domain FROM (VALUES {', '.join(f"('{x}')" for x in SHARED_DOMAINS)}) AS v(domain)",
 }
 

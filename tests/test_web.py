@@ -128,3 +128,46 @@ def test_lookup_scores(directory):
     for q in ("beth", "b e", "main", "2 m", "a", "o'neil @now() hall 1 main st", "ah tor", "ahavas torah 3 main st" + "x" * 100):
         want = sorted(((plain_score(q, *p), p[0]) for p in places if plain_score(q, *p) > 0), key=lambda x: (-x[0], x[1]))
         assert [(r.score, r.name) for r in directory.lookup(q).collect()] == want
+
+
+# Rules of the public-suffix list, and its published cases for them.
+SUFFIXES = """// comments and blank lines are no rules
+
+com
+biz
+uk.com
+jp  // all that follows white space is left out
+ac.jp
+kyoto.jp
+ide.kyoto.jp
+*.kobe.jp
+!city.kobe.jp
+*.ck
+!www.ck
+us
+ak.us
+k12.ak.us
+cn
+com.cn
+公司.cn
+中国
+"""
+SUFFIX_CASES = {
+    "COM": None, "example.COM": "example.com", "WwW.example.COM": "example.com", ".com": None, ".example": None, ".example.com": None, "example": None, "example.example": "example.example", "b.example.example": "example.example",
+    "a.b.example.example": "example.example", "biz": None, "domain.biz": "domain.biz", "b.domain.biz": "domain.biz", "a.b.domain.biz": "domain.biz", "com": None, "example.com": "example.com", "b.example.com": "example.com", "a.b.example.com": "example.com",
+    "uk.com": None, "example.uk.com": "example.uk.com", "b.example.uk.com": "example.uk.com", "a.b.example.uk.com": "example.uk.com", "test.ac": "test.ac", "jp": None, "test.jp": "test.jp", "www.test.jp": "test.jp", "ac.jp": None,
+    "test.ac.jp": "test.ac.jp", "www.test.ac.jp": "test.ac.jp", "kyoto.jp": None, "test.kyoto.jp": "test.kyoto.jp", "ide.kyoto.jp": None, "b.ide.kyoto.jp": "b.ide.kyoto.jp", "a.b.ide.kyoto.jp": "b.ide.kyoto.jp", "c.kobe.jp": None,
+    "b.c.kobe.jp": "b.c.kobe.jp", "a.b.c.kobe.jp": "b.c.kobe.jp", "city.kobe.jp": "city.kobe.jp", "www.city.kobe.jp": "city.kobe.jp", "ck": None, "test.ck": None, "b.test.ck": "b.test.ck", "a.b.test.ck": "b.test.ck", "www.ck": "www.ck",
+    "www.www.ck": "www.ck", "us": None, "test.us": "test.us", "www.test.us": "test.us", "ak.us": None, "test.ak.us": "test.ak.us", "www.test.ak.us": "test.ak.us", "k12.ak.us": None, "test.k12.ak.us": "test.k12.ak.us",
+    "www.test.k12.ak.us": "test.k12.ak.us", "食狮.com.cn": "食狮.com.cn", "食狮.公司.cn": "食狮.公司.cn", "www.食狮.公司.cn": "食狮.公司.cn", "shishi.公司.cn": "shishi.公司.cn", "公司.cn": None, "食狮.中国": "食狮.中国", "中国": None,
+    "10.0.0.1": None, "a..com": None, "::1": None, "": None,
+}
+
+
+def test_public_suffixes(spark, tmp_path):
+    (tmp_path / "list.dat").write_text(SUFFIXES, encoding="utf-8")
+    assert io.suffixes(spark, str(tmp_path / "list.dat")).count() == 18
+    spark.createDataFrame([(h,) for h in [*SUFFIX_CASES, *SUFFIX_CASES, None]], "host string").createOrReplaceTempView("hosts")
+    got = spark.sql(spark_sql(f"WITH {pages.domains('hosts', 'h.host')} SELECT host, domain FROM named")).collect()
+    assert len(got) == 2 * len(SUFFIX_CASES) + 1 and {r.host: r.domain for r in got} == {**SUFFIX_CASES, None: None}
+    spark.catalog.dropTempView("suffix")
