@@ -8,6 +8,7 @@ from __future__ import annotations
 import math
 
 from gnomon.functions import solar
+from gnomon.plans import zones
 from gnomon.sources.model import FRESH_DAYS
 
 FRESH = f"s.review_status = 'approved' AND s.run_status IN ('ok', 'no_change') AND coalesce(s.last_received_at, s.last_run_at) >= @ago({FRESH_DAYS})"
@@ -171,11 +172,6 @@ TEXT = {
     "place_pairs_within": f"""WITH cell AS (SELECT id, lat, lng, CAST(floor(lat * 25) AS INT) AS cy, CAST(floor(lng * 20) AS INT) AS cx FROM place WHERE lat IS NOT NULL),
   spread AS (SELECT id, lat, lng, cy + dy AS cy, cx + dx AS cx FROM cell CROSS JOIN (VALUES (-1), (0), (1)) AS y(dy) CROSS JOIN (VALUES (-1), (0), (1)) AS x(dx))
   SELECT a_id, b_id, metres FROM {metres("(SELECT a.id AS a_id, b.id AS b_id, a.lat AS lat1, a.lng AS lng1, b.lat AS lat2, b.lng AS lng2 FROM cell a JOIN spread b ON a.cy = b.cy AND a.cx = b.cx AND a.id < b.id)", "lat1", "lng1", "lat2", "lng2")} WHERE metres <= 2400e0""",
-    # A zone's outline as edges; a point with an odd number of edges to its east is inside; the first zone wins.
-    "zone_of_point": f"""WITH edge AS (SELECT * FROM (VALUES (1, 'America/Chicago', 39.0e0, -74.6e0, 42.0e0, -74.6e0), (1, 'America/Chicago', 42.0e0, -74.6e0, 42.0e0, -74.2e0), (1, 'America/Chicago', 42.0e0, -74.2e0, 39.0e0, -74.2e0), (1, 'America/Chicago', 39.0e0, -74.2e0, 39.0e0, -74.6e0),
-    (2, 'America/Toronto', 40.5e0, -74.4e0, 43.0e0, -73.9e0), (2, 'America/Toronto', 43.0e0, -73.9e0, 40.5e0, -73.6e0), (2, 'America/Toronto', 40.5e0, -73.6e0, 40.5e0, -74.4e0)) AS e(rank, zone, y1, x1, y2, x2)),
-  inside AS (SELECT p.id, e.rank, e.zone FROM place p JOIN edge e ON (e.y1 > p.lat) <> (e.y2 > p.lat) AND p.lng < (e.x2 - e.x1) * (p.lat - e.y1) / (e.y2 - e.y1) + e.x1 GROUP BY p.id, e.rank, e.zone HAVING count(*) % 2 = 1),
-  first AS (SELECT id, zone FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY rank) AS rn FROM inside) WHERE rn = 1)
-  SELECT p.id, coalesce(f.zone, '{DEFAULT_ZONE}') AS zone FROM place p LEFT JOIN first f ON f.id = p.id""",
     "resolved_places": f"WITH {PUBLIC}, {_LOCATED.format(where='true')}, {timed('located', 'sites', DAY)} SELECT count(DISTINCT place_id) AS n_places, count(*) AS n_rules FROM timed WHERE starts_at IS NOT NULL",
 }
+TEXT |= zones.text(DEFAULT_ZONE)

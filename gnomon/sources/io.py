@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -60,6 +60,22 @@ def image_files(spark: SparkSession, folder: str, most: int = 25_000_000) -> Dat
     return spark.read.format("binaryFile").load(folder).filter(F.col("length") <= most).select("path", "length", "content")
 
 
+def outlines(spark: SparkSession, path: str, name: str = "tzid") -> DataFrame:
+    """rank, zone, ring, xs, ys: a row a ring of the polygons of a GeoJSON file, in the file's order; ``name`` is the property that names a zone.
+
+    The file is one collection of features, or has a feature a line. Other geometries are left out.
+    """
+    feature = "struct<properties:map<string,string>,geometry:struct<type:string,coordinates:string>>"
+    lines = spark.read.schema(f"type string, features array<{feature}>, properties map<string,string>, geometry struct<type:string,coordinates:string>").json(path, multiLine=not path.endswith(("l", "seq")))
+    each = lines.select(F.monotonically_increasing_id().alias("line"), F.posexplode(F.coalesce("features", F.array(F.struct("properties", "geometry").cast(feature)))).alias("pos", "f"))
+    kind, raw = F.col("f.geometry.type"), F.col("f.geometry.coordinates")
+    one, many = "array<array<array<double>>>", "array<array<array<array<double>>>>"
+    parts = F.when(kind == "Polygon", F.from_json(raw, one)).when(kind == "MultiPolygon", F.flatten(F.from_json(raw, many)))
+    zone = F.col("f.properties")[name]
+    ranked = each.filter(kind.isin("Polygon", "MultiPolygon")).select("line", "pos", zone.alias("zone"), parts.alias("parts")).withColumn("rank", F.dense_rank().over(Window.orderBy("line", "pos")))  # one row a zone: few
+    return ranked.select("rank", "zone", F.posexplode("parts").alias("ring", "ps")).select("rank", "zone", "ring", F.transform("ps", lambda p: p[0]).alias("xs"), F.transform("ps", lambda p: p[1]).alias("ys"))
+
+
 def suffixes(spark: SparkSession, path: str) -> DataFrame:
     """name: the rules of a public-suffix list, a file with a rule a line and // before comments; made the table ``suffix`` that domains are read by."""
     rules = spark.read.text(path).select(F.lower(F.regexp_extract("value", r"^\s*(\S*)", 1)).alias("name")).filter("name <> '' and not startswith(name, '//')").distinct()

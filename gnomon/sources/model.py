@@ -139,6 +139,11 @@ FROM orders WHERE o_orderkey < 3000""",
     "address_page": """
 SELECT CAST(l_orderkey AS INT) AS place_id, CAST(l_linenumber AS INT) AS pos, concat('https://site.org/', CASE l_partkey % 5 WHEN 0 THEN '' WHEN 1 THEN 'contact' WHEN 2 THEN 'contact-us' WHEN 3 THEN 'about' ELSE 'directions' END) AS url, CASE WHEN l_partkey % 4 > 0 THEN (l_partkey % 100) / 100e0 END AS confidence, CAST(l_partkey AS BIGINT) AS tokens_in, CAST(l_suppkey AS BIGINT) AS tokens_out
 FROM (SELECT l_orderkey, l_linenumber, min(l_partkey) AS l_partkey, min(l_suppkey) AS l_suppkey FROM lineitem GROUP BY l_orderkey, l_linenumber)""",
+    # Outlines of zones, a row a ring: eight-cornered stars, some with a hole and a part of their own.
+    "outline": """
+SELECT rank, zone, ring, @list(x + r * 1.0e0, x + r * 0.4e0, x, x - r * 0.3e0, x - r, x - r * 0.45e0, x + r * 0.1e0, x + r * 0.5e0) AS xs, @list(y, y + r * 0.3e0, y + r, y + r * 0.35e0, y - r * 0.1e0, y - r * 0.4e0, y - r * 0.95e0, y - r * 0.3e0) AS ys
+FROM (SELECT CAST(n_nationkey AS INT) + 1 AS rank, concat('Zone/', n_name) AS zone, ring, -74.5e0 + (n_nationkey * 37 % 100) / 100e0 + shift * 0.3e0 AS x, 40e0 + (n_nationkey * 61 % 100) / 100e0 AS y, (0.0803e0 + n_nationkey % 5 * 0.0611e0) * scale AS r
+  FROM nation CROSS JOIN (VALUES (1, 1e0, 0e0), (2, 0.37e0, 0e0), (3, 0.53e0, 1e0)) AS v(ring, scale, shift) WHERE ring = 1 OR n_nationkey % 3 = 0 AND ring = 2 OR n_nationkey % 4 = 1 AND ring = 3)""",
     # Chains of redirects: an order's lines one after the other, some in a ring, some to a private host.
     "response": """
 SELECT concat('https://s', CAST(o AS VARCHAR(20)), '.example.org/p', CAST(k AS VARCHAR(9))) AS url, agent,
