@@ -21,7 +21,7 @@ from gnomon.llm.graph import components
 
 BITS = 64
 TILE = 4096  # fingerprints of one key that are compared in one task
-TILE_BYTES = 64_000_000  # bytes of shingle sets of one key that are compared in one task
+TILE_BYTES = 32_000_000  # bytes of shingle sets of one key that are compared in one task
 LOOK = 64  # rows of a key, in order of size, that each is held against before its set is read
 PAIRS = 1 << 20  # shared shingles, and cells of counts, that are held at once
 _ALL = U64(0xFFFFFFFFFFFFFFFF)
@@ -237,24 +237,35 @@ def _sketches(shingle: int, keys: int, similarity: float):
         release()
         for batch in batches:
             data, offsets, _ = utf8(batch.column("text"))
-            fp, low, sets, ident, first, odd = [], [], [], [], [], []
+            fp, low, sets, ident, tail, odd = [], [], [], [], [], []
             for a, b in zip(offsets, offsets[1:], strict=False):
                 h = np.unique(mix(shingle_hashes(data[a:b].tobytes(), shingle)))
                 fp.append(majority(h))
                 low.append(h[:keys].view(np.int64))
-                first.append(h[: prefix_length(len(h), similarity)].view(np.int64))
+                tail.append(packed(h[: prefix_length(len(h), similarity)].astype(np.uint32)))  # with the first of the set these are whole again
                 odd.append(parity(h))
-                short = np.unique((h >> U64(32)).astype(np.uint32))
-                sets.append(packed(short))
+                sets.append(packed((h >> U64(32)).astype(np.uint32)))
                 ident.append(xxhash.xxh3_128_digest(packed(h)))
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id").cast(pa.int64()), batch.column("text_key"), pa.array(ident, pa.binary()), pa.array(np.array(fp, U64).view(np.int64)), _lists(low), _lists(first), pa.array(odd, pa.binary()), pa.array(sets, pa.binary())],
-                names=["doc_id", "text_key", "ident", "fp", "low", "first", "odd", "grams"],
+                [batch.column("doc_id").cast(pa.int64()), batch.column("text_key"), pa.array(ident, pa.binary()), pa.array(np.array(fp, U64).view(np.int64)), _lists(low), pa.array(tail, pa.binary()), pa.array(odd, pa.binary()), pa.array(sets, pa.binary())],
+                names=["doc_id", "text_key", "ident", "fp", "low", "tail", "odd", "grams"],
             )
 
     return run
 
 
+def _first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(row, grams, tail) -> (node, bytes, first): the smallest hashes of a set, all 64 bits of them."""
+    release()
+    for batch in batches:
+        high, low = utf8(batch.column("grams")), utf8(batch.column("tail"))
+        first = []
+        for a, c, d in zip(high[1][:-1], low[1], low[1][1:], strict=False):
+            some = high[0][a : a + d - c].view(np.uint32).astype(U64) << U64(32)
+            first.append((some | low[0][c:d].view(np.uint32).astype(U64)).view(np.int64))
+        yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(np.diff(high[1]).astype(np.int32)), _lists(first)], names=["node", "bytes", "first"])
+
+
 def _lists(found: list[np.ndarray]) -> pa.Array:
     ends = np.cumsum([0, *map(len, found)]).astype(np.int32)
     return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.empty(0, np.int64), *found])))
@@ -341,8 +352,7 @@ def hopeful(key: np.ndarray, lab: np.ndarray, n: np.ndarray, place: np.ndarray,
     """Which rows may be similar to one of another ``lab`` that has the key as their first in common; in order of (key, n).
 
     Sizes must fit, and what either set has from its ``place`` on must be enough. Rows are kept where not
-    all of their key is at hand, or more than LOOK of it would have to be looked at. The slack is for
-    hashes that differ in 64 bits and not in 32.
+    all of their key is at hand, or more than LOOK of it would have to be looked at.
     """
     at = np.arange(len(key))
     end = run_ends(key, key, key)
@@ -484,7 +494,10 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8,
     with those of other parts, as long as that leaves far fewer rows. The second search is exact and
     uses no fingerprint: documents are keyed by so many smallest hashes (a fifth of the set and one, at
     0.8) that any similar pair shares one, and in each key all rows that are in different groups still,
-    and that sizes, places of the key and parities of the sets do not rule out for certain, are compared by their whole sets. Nothing is dropped.
+    and that sizes, places of the key and parities of the sets do not rule out for certain, are compared by their whole sets. Nothing is dropped. Sets hold 32 bits of each shingle's 64-bit
+    hash, with repeats: shingles whose 32 bits are equal never lower a count of common shingles, so no link is
+    lost; a pair just below the similarity can pass if one text holds two such shingles (of texts of 10,000
+    shingles one in 90 does) and the other one of them.
 
     Output: doc_id, text_key (a hash of the text: a row is told by both), component_id (the group's
     smallest doc_id) and kept, true for one document of each group, that of the smallest doc_id (and
@@ -493,7 +506,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8,
     keep a row each.
     """
     source = documents(docs).withColumn("text_key", F.xxhash64("text"))
-    schema = "doc_id long, text_key long, ident binary, fp long, low array<long>, first array<long>, odd binary, grams binary"
+    schema = "doc_id long, text_key long, ident binary, fp long, low array<long>, tail binary, odd binary, grams binary"
     # rows are numbered as they are written; a set of shingles is a node, told by the first of its rows, whatever doc_ids these have
     marked = materialise(source.mapInArrow(_sketches(shingle, keys, similarity), schema).withColumn("row", F.monotonically_increasing_id()))
     some = F.min(F.struct("row", "fp", "low", F.octet_length("grams").alias("bytes"))).alias("x")  # all but row are equal
@@ -529,7 +542,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8,
             break
     discard(dealt)
     labs = named(nodes.select("node"), roots)
-    ahead = marked.select(F.col("row").alias("node"), "first", F.octet_length("grams").alias("bytes")).join(labs, "node")
+    ahead = marked.select("row", "grams", "tail").mapInArrow(_first, "node long, bytes int, first array<long>").join(labs, "node")
     ahead = ahead.select("node", "lab", "bytes", F.posexplode("first").alias("pos", "key"))
     shared = materialise(ahead.repartition("key").sortWithinPartitions("key", "bytes").mapInArrow(_hopeful(similarity), "key long, node long, lab long, bytes int"))
     odd = marked.select(F.col("row").alias("node"), "odd")

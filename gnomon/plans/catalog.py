@@ -10,6 +10,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from gnomon.functions import markup
 from gnomon.plans import fetch, ingest, pages, schedule
 from gnomon.plans.dialect import duck_sql, spark_sql, with_relations
 from gnomon.plans.schedule import DAYS_KEY, FRESH, PUBLIC, VISIBLE
@@ -194,7 +195,7 @@ def run(name: str) -> Callable[[SparkSession, str], DataFrame]:
     return build
 
 
-QUERIES = {name: run(name) for name in TEXT}
+QUERIES = {name: run(name) for name in TEXT} | markup.QUERIES
 
 
 def oracle(name: str) -> str:

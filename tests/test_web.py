@@ -171,3 +171,37 @@ def test_public_suffixes(spark, tmp_path):
     got = spark.sql(spark_sql(f"WITH {pages.domains('hosts', 'h.host')} SELECT host, domain FROM named")).collect()
     assert len(got) == 2 * len(SUFFIX_CASES) + 1 and {r.host: r.domain for r in got} == {**SUFFIX_CASES, None: None}
     spark.catalog.dropTempView("suffix")
+
+
+PAGE = """<!doctype html><html><head><title>A &amp; B
+ | Home</title><style>a > b { content: "<a href='x'>no</a>" }</style><body>
+<!-- <a href="/hidden">no</a> --><H1 class=x>Times <i>of</i> day</H1>
+<a href="/one?a=1&amp;b=2" title="a > b">First <b>bold</b><span><span>in</span>ner</span></a><a href='two'>Un<i>closed
+<a href=three>Third</a><A HREF="/four"></A><a name="x">no href</a><a href="mailto:a@b.c">mail</a><a href="#top">top</a>
+<div><div><a href="https://other.org/">else</a></div><a href="/five">Five &#65;&eacute;</a></div>
+<svg><svg><a href="/six">six</a></svg><title>not the title</title></svg><template><p>no <template>t</template> no</p></template>
+<script>document.write("<a href='/js'>no</a>")</script><noscript>enable <a href="/seven">Seven</a></noscript>
+<img src="/a.png" alt="x > y" id=i class="c d"><img alt="none"><p>one<p>two<br>three</p><a href="/one?a=1&b=2">again</a><textarea><a href="/t">typed</a></textarea>
+<p title="never closed>tail <a href="/eight">Eight"""
+
+
+def test_pages_by_a_parser(spark):
+    from gnomon.functions import markup
+
+    rows = [(1, "https://S.org:443/dir/page", PAGE), (2, "https://s.org", "plain &lt;text&gt; only"), (3, "https://s.org", ""), (4, "https://s.org", None), (5, "https://s.org", "<a href=/x>" * 3 + "<svg>" * 1000 + "x" * 1_000_000 + "</svg>" * 1000 + "<b>end")]
+    pages_ = spark.createDataFrame(rows, "page_id int, url string, html string")
+    got = {}
+    for r in markup.parts(pages_).collect():
+        got.setdefault((r.page_id, r.kind), []).append((r.ref, r.text))
+    assert got[1, "title"] == [(None, "A & B | Home")]
+    assert got[1, "heading"] == [("1", "Times of day")]
+    assert got[1, "image"] == [("/a.png", "x > y i c d"), ("", "none")]
+    assert got[1, "link"][:4] == [("/one?a=1&b=2", "First boldinner"), ("two", "Unclosed"), ("three", "Third"), ("/four", "")]
+    assert ("/hidden", "no") not in got[1, "link"] and not [x for x in got[1, "link"] if x[0] in ("x", "/js", "/t")]
+    text = got[1, "text"][0][1]
+    assert "one two three" in text and "Five Aé" in text and "enable" not in text and "document" not in text and "not the title" not in text
+    assert got[2, "text"] == [(None, "plain <text> only")] and (3, "text") not in got and (4, "text") not in got
+    assert got[5, "text"] == [(None, "end")] and len(got[5, "link"]) == 3
+    links = [(r.href, r.text) for r in markup.links(pages_).filter("page_id = 1").orderBy("nth").collect()]
+    assert links[:4] == [("https://s.org/one?a=1&b=2", "First boldinner"), ("https://s.org/dir/two", "Unclosed"), ("https://s.org/dir/three", "Third"), ("https://s.org/five", "Five Aé")]
+    assert markup.links(pages_, 2).filter("page_id = 1").count() == 2
