@@ -128,6 +128,10 @@ Q("state_labels", f"""WITH {ADMIN} SELECT id, state, CASE state WHEN 'archived'
     WHEN 'no_good_source' THEN 'No good source — triage' WHEN 'awaiting_extraction' THEN 'Awaiting extraction' WHEN 'stale' THEN 'Stale — re-extract (14d+)' ELSE 'Active' END AS label,
   CASE WHEN state IN ('archived', 'unsupported') THEN 'blocked' WHEN state IN ('broken', 'no_good_source', 'stale') THEN 'broken' WHEN state IN ('pending_review', 'awaiting_extraction') THEN 'pending' ELSE 'ok' END AS tier, state NOT IN ('active', 'archived') AS inbox FROM admin""")
 Q("state_urgency", f"WITH {ADMIN} SELECT state, CASE state WHEN 'pending_review' THEN 0 WHEN 'broken' THEN 1 WHEN 'no_good_source' THEN 2 WHEN 'stale' THEN 3 WHEN 'awaiting_extraction' THEN 4 WHEN 'active' THEN 5 WHEN 'unsupported' THEN 6 ELSE 7 END AS urgency, count(*) AS n FROM admin GROUP BY state")
+# The digest's lines: runs by status, sources broken within a week, those broken for longer.
+Q("digest_lines", """WITH broken AS (SELECT s.id, coalesce(s.strategy, '—') AS strategy, p.name, p.slug, CAST(floor((@epoch(@now()) - @epoch(s.first_broken_at)) / 86400e0) AS BIGINT) AS days FROM source s JOIN place p ON p.id = s.place_id WHERE s.run_status = 'broken' AND s.first_broken_at IS NOT NULL)
+  SELECT 1 AS section, status AS about, concat(status, ': ', CAST(count(*) AS VARCHAR(20))) AS line FROM run GROUP BY status
+  UNION ALL SELECT CASE WHEN days < 7 THEN 2 ELSE 3 END, CAST(id AS VARCHAR(20)), concat('[', strategy, '] ', name, CASE WHEN days < 7 THEN ' (broken ' ELSE ' (' END, CAST(days AS VARCHAR(9)), 'd) /admin/', slug) FROM broken""")
 Q("digest", f"""WITH {ADMIN}, c AS (SELECT status, count(*) AS n FROM run GROUP BY status), t AS (SELECT coalesce(sum(n), 0) AS total FROM c)
   SELECT CASE WHEN t.total = 0 THEN 'ALERT: no runs' ELSE concat('runs ', CAST(CAST(t.total AS BIGINT) AS VARCHAR(20)), ', broken ', CAST((SELECT count(*) FROM admin WHERE state = 'broken') AS VARCHAR(20))) END AS line, (SELECT count(*) FROM source WHERE first_broken_at >= @ago(7)) >= 5 AS mass_breakage FROM t""")
 

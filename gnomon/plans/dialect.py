@@ -44,7 +44,7 @@ SPARK: dict[str, Callable[..., str]] = {
     "strip": lambda s: f"regexp_replace({s}, '^\\s+|\\s+$', '')",
     "first": lambda: "'$1'",
     "filter": lambda a, x, c: f"filter({a}, {x} -> {c})",
-    "sum_of": lambda a: f"aggregate({a}, CAST(0 AS BIGINT), (t, x) -> t + CAST(x AS BIGINT))",
+    "sum_of": lambda a: f"aggregate({a}, CAST(0 AS DOUBLE), (t, x) -> t + CAST(x AS DOUBLE))",
     "fixed2": lambda x: f"format_string('%.2f', {x})",
     "collect_pairs": lambda k, v: f"collect_list(struct({k} AS k, {v} AS v))",
     "sorted_pairs": lambda a: f"transform(array_sort({a}), x -> x.v)",
@@ -96,7 +96,7 @@ DUCK: dict[str, Callable[..., str]] = SPARK | {
     "strip": lambda s: f"regexp_replace({s}, '^\\s+|\\s+$', '', 'g')",
     "first": lambda: "'\\1'",
     "filter": lambda a, x, c: f"list_filter({a}, lambda {x}: {c})",
-    "sum_of": lambda a: f"list_sum(list_transform({a}, lambda x: CAST(x AS BIGINT)))",
+    "sum_of": lambda a: f"list_sum(list_transform({a}, lambda x: CAST(x AS DOUBLE)))",
     "fixed2": lambda x: f"printf('%.2f', {x})",
     "collect_pairs": lambda k, v: f"list(struct_pack(k := {k}, v := {v}))",
     "sorted_pairs": lambda a: f"list_transform(list_sort({a}), lambda x: x.v)",

@@ -311,14 +311,14 @@ TEXT = {
   FROM attempt WHERE preferred IS NULL OR strategy = preferred) a WHERE won IS NULL OR pos <= won GROUP BY a.source_id""",
     "guardrail": f"SELECT source_id, prev, now, confidence, {GUARD} AS is_broken, {GUARD_REASON} AS reason FROM run_result",
     "escalation": """SELECT id, CASE WHEN cheap >= 0.4e0 THEN 'cheap' WHEN cheap_rules = 0 AND cheap < 0.2e0 THEN 'cheap' WHEN strong > cheap THEN 'strong' ELSE 'cheap' END AS winner, NOT (cheap >= 0.4e0 OR (cheap_rules = 0 AND cheap < 0.2e0)) AS escalated
-  FROM (SELECT id, confidence AS cheap, id % 4 AS cheap_rules, (id * 37 % 100) / 100e0 AS strong FROM source)""",
+  FROM (SELECT source_id AS id, cheap, cheap_rules, strong FROM model_result)""",
     "commit_buckets": r"""SELECT id, CASE WHEN @matches(lower(subject), '^feat(\(|:)') THEN 'features' WHEN @matches(lower(subject), '^fix(\(|:)') THEN 'fixes' ELSE 'notes' END AS bucket, trim(@replace_all(subject, '^(?i)[a-z]+(\([^)]+\))?:\s*', '')) AS item FROM change""",
-    "next_version": r"""SELECT concat('v', CAST(coalesce(max(CASE WHEN rn = 1 THEN CAST(regexp_extract(line, '^##\s+v(\d+)', 1) AS INT) END), 0) + 1 AS VARCHAR(9))) AS version FROM (SELECT line, row_number() OVER (ORDER BY line_no) AS rn FROM notes WHERE @matches(line, '^##\s+v\d+\s*[—-]\s*\S'))""",
-    "changelog": r"""WITH marked AS (SELECT line_no, line, CASE WHEN @matches(line, '(?i)^##\s+v\d+\s*[—-]\s*.+$') THEN 1 ELSE 0 END AS opens, CASE WHEN @matches(line, '^###\s+.+$') THEN 1 ELSE 0 END AS heads FROM notes),
-  version AS (SELECT *, sum(opens) OVER (ORDER BY line_no) AS v FROM marked), section AS (SELECT *, sum(heads) OVER (PARTITION BY v ORDER BY line_no) AS sec FROM version WHERE v > 0),
-  kind AS (SELECT *, CASE WHEN opens = 0 AND heads = 0 AND sec > 0 AND @matches(line, '^\s*[-*]\s+.+$') THEN 1 ELSE 0 END AS bullets FROM section), bullet AS (SELECT *, sum(bullets) OVER (PARTITION BY v, sec ORDER BY line_no) AS b FROM kind),
-  named AS (SELECT *, max(CASE WHEN opens = 1 THEN lower(regexp_extract(line, '(?i)(v\d+)', 1)) END) OVER (PARTITION BY v) AS version, max(CASE WHEN opens = 1 THEN trim(regexp_extract(line, '(?i)^##\s+v\d+\s*[—-]\s*(.+)$', 1)) END) OVER (PARTITION BY v) AS day, max(CASE WHEN heads = 1 THEN trim(regexp_extract(line, '^###\s+(.+)$', 1)) END) OVER (PARTITION BY v, sec) AS heading FROM bullet)
-  SELECT version, day, heading, CAST(b AS BIGINT) AS bullet, @join(@sorted_pairs(@collect_pairs(CAST(line_no AS INT), CASE WHEN bullets = 1 THEN trim(regexp_extract(line, '^\s*[-*]\s+(.+)$', 1)) ELSE trim(line) END)), '|') AS text FROM named WHERE sec > 0 AND b > 0 AND (bullets = 1 OR @matches(line, '^\s+\S')) GROUP BY version, day, heading, b""",
+    "next_version": r"""SELECT file, concat('v', CAST(max(CASE WHEN rn = 1 THEN CAST(regexp_extract(line, '^##\s+v(\d+)', 1) AS INT) END) + 1 AS VARCHAR(9))) AS version FROM (SELECT file, line, row_number() OVER (PARTITION BY file ORDER BY line_no) AS rn FROM notes WHERE @matches(line, '^##\s+v\d+\s*[—-]\s*\S')) GROUP BY file""",
+    "changelog": r"""WITH marked AS (SELECT file, line_no, line, CASE WHEN @matches(line, '(?i)^##\s+v\d+\s*[—-]\s*.+$') THEN 1 ELSE 0 END AS opens, CASE WHEN @matches(line, '^###\s+.+$') THEN 1 ELSE 0 END AS heads FROM notes),
+  version AS (SELECT *, sum(opens) OVER (PARTITION BY file ORDER BY line_no) AS v FROM marked), section AS (SELECT *, sum(heads) OVER (PARTITION BY file, v ORDER BY line_no) AS sec FROM version WHERE v > 0),
+  kind AS (SELECT *, CASE WHEN opens = 0 AND heads = 0 AND sec > 0 AND @matches(line, '^\s*[-*]\s+.+$') THEN 1 ELSE 0 END AS bullets FROM section), bullet AS (SELECT *, sum(bullets) OVER (PARTITION BY file, v, sec ORDER BY line_no) AS b FROM kind),
+  named AS (SELECT *, max(CASE WHEN opens = 1 THEN lower(regexp_extract(line, '(?i)(v\d+)', 1)) END) OVER (PARTITION BY file, v) AS version, max(CASE WHEN opens = 1 THEN trim(regexp_extract(line, '(?i)^##\s+v\d+\s*[—-]\s*(.+)$', 1)) END) OVER (PARTITION BY file, v) AS day, max(CASE WHEN heads = 1 THEN trim(regexp_extract(line, '^###\s+(.+)$', 1)) END) OVER (PARTITION BY file, v, sec) AS heading FROM bullet)
+  SELECT file, version, day, heading, CAST(b AS BIGINT) AS bullet, @join(@sorted_pairs(@collect_pairs(CAST(line_no AS INT), CASE WHEN bullets = 1 THEN trim(regexp_extract(line, '^\s*[-*]\s+(.+)$', 1)) ELSE trim(line) END)), '|') AS text FROM named WHERE sec > 0 AND b > 0 AND (bullets = 1 OR @matches(line, '^\s+\S')) GROUP BY file, v, sec, version, day, heading, b""",
     "address_choice": """WITH once AS (SELECT *, row_number() OVER (PARTITION BY place_id, url ORDER BY pos) AS again FROM address_page), first AS (SELECT *, row_number() OVER (PARTITION BY place_id ORDER BY CASE WHEN confidence >= 0.55e0 THEN 0 ELSE 1 END, pos) AS rn FROM once WHERE again = 1)
   SELECT place_id, CASE WHEN confidence >= 0.55e0 THEN url END AS url, CASE WHEN confidence >= 0.55e0 THEN 'found' WHEN confidence IS NULL THEN 'failed' ELSE 'low confidence' END AS outcome FROM first WHERE rn = 1""",
     "address_totals": """SELECT outcome, count(*) AS n, CAST(sum(tokens_in) AS BIGINT) AS tokens_in, CAST(sum(tokens_out) AS BIGINT) AS tokens_out, round(CAST(sum(tokens_in) AS DOUBLE) / 1e6 + CAST(sum(tokens_out) AS DOUBLE) * 5e0 / 1e6, 6) AS dollars

@@ -28,11 +28,11 @@ def candidate_urls(spark: SparkSession, path: str) -> DataFrame:
 
 
 def notes(spark: SparkSession, path: str) -> DataFrame:
-    """(line_no, line) of a file of change notes; no rows where there is no file."""
+    """(file, line_no, line) of files of change notes, each read whole; no rows where there is none."""
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
     if not where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where):
-        return spark.createDataFrame([], "line_no int, line string")
-    return spark.read.text(path, wholetext=True).select(F.posexplode(F.split("value", "\n"))).select(F.col("pos").alias("line_no"), F.col("col").alias("line"))
+        return spark.createDataFrame([], "file string, line_no int, line string")
+    return spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), F.posexplode(F.split("value", "\n"))).select("file", F.col("pos").alias("line_no"), F.col("col").alias("line"))
 
 
 def changelog(spark: SparkSession, path: str) -> DataFrame:

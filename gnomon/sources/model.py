@@ -113,7 +113,7 @@ SELECT CAST(o_orderkey % 400 AS INT) AS page_id, CAST(o_orderkey AS INT) AS line
     "attempt": """
 SELECT CAST(l_orderkey AS INT) AS source_id, CAST(l_linenumber AS INT) AS pos, CASE l_linenumber WHEN 1 THEN 'html' WHEN 2 THEN 'js_rendered' WHEN 3 THEN 'vision_image' ELSE 'pdf_document' END AS strategy, CASE WHEN l_partkey % 3 = 0 THEN 'extracted' WHEN l_partkey % 3 = 1 THEN 'fetch_failed' ELSE 'skipped' END AS status,
   CASE WHEN l_partkey % 3 = 0 THEN CAST(l_partkey % 5 AS INT) ELSE 0 END AS rules, CASE WHEN l_partkey % 3 = 0 AND l_partkey % 12 > 0 THEN (l_suppkey % 100) / 100e0 END AS confidence, CASE l_partkey % 6 WHEN 1 THEN concat('status 503', chr(10), 'from host') WHEN 2 THEN '' WHEN 4 THEN lpad('x', 120, 'long ') END AS message,
-  CASE WHEN l_orderkey % 4 = 0 THEN 'vision_image' END AS preferred FROM (SELECT l_orderkey, l_linenumber, min(l_partkey) AS l_partkey, min(l_suppkey) AS l_suppkey FROM lineitem WHERE l_linenumber <= 4 GROUP BY l_orderkey, l_linenumber)""",
+  CASE WHEN l_orderkey % 4 = 0 THEN 'vision_image' END AS preferred FROM (SELECT l_orderkey, l_linenumber, min(l_partkey) AS l_partkey, min(l_suppkey) AS l_suppkey FROM lineitem GROUP BY l_orderkey, l_linenumber)""",
     "legacy": """
 SELECT CAST(l_orderkey * 10 + l_linenumber AS BIGINT) AS id, CASE l_partkey % 8 WHEN 0 THEN 'shacharis' WHEN 1 THEN 'mincha' WHEN 2 THEN 'maariv' WHEN 3 THEN 'selichos' WHEN 4 THEN 'other' WHEN 5 THEN 'candles' WHEN 6 THEN 'havdalah' ELSE 'kiddush' END AS service,
   CASE l_suppkey % 11 WHEN 0 THEN 'sunday' WHEN 1 THEN 'monday' WHEN 2 THEN 'tuesday' WHEN 3 THEN 'wednesday' WHEN 4 THEN 'thursday' WHEN 5 THEN 'friday' WHEN 6 THEN 'shabbos' WHEN 7 THEN 'weekday' WHEN 8 THEN 'rosh_chodesh' WHEN 9 THEN 'yom_tov' ELSE 'specific_date' END AS day_rule,
@@ -121,6 +121,11 @@ SELECT CAST(l_orderkey * 10 + l_linenumber AS BIGINT) AS id, CASE l_partkey % 8
   CASE WHEN l_partkey % 4 > 0 THEN CAST(l_partkey % 40 - 20 AS INT) END AS offset_min, CASE WHEN l_partkey % 9 > 0 THEN '07:30' END AS old_clock FROM (SELECT l_orderkey, l_linenumber, min(l_partkey) AS l_partkey, min(l_suppkey) AS l_suppkey FROM lineitem GROUP BY l_orderkey, l_linenumber)""",
     "run_result": """
 SELECT CAST(o_orderkey AS INT) AS source_id, CAST(o_orderkey % 7 AS BIGINT) AS prev, CAST(o_custkey % 6 AS BIGINT) AS now, (CAST(floor(o_totalprice) AS BIGINT) % 100) / 100e0 AS confidence FROM orders""",
+    "page_state": "SELECT CAST(o_orderkey AS INT) AS source_id, concat('h', CAST(o_custkey % 50 AS VARCHAR(9))) AS hash FROM orders",
+    "model_result": "SELECT CAST(o_orderkey AS INT) AS source_id, (CAST(floor(o_totalprice * 100e0 + 0.5e0) AS BIGINT) % 100) / 100e0 AS cheap, CAST(o_orderkey % 4 AS INT) AS cheap_rules, (CAST(floor(o_totalprice) AS BIGINT) % 100) / 100e0 AS strong FROM orders",
+    "rule_report": "SELECT id AS id, CASE WHEN priority = 1 THEN place_id + 1 ELSE place_id END AS place_id, CASE WHEN tefillah = 'other' THEN NULL WHEN offset_min = 0 THEN 'no such rule' ELSE id END AS rule_id FROM rule",
+    "target": "SELECT CAST(s_suppkey AS INT) AS id, s_name AS name, CAST(s_nationkey % 5 AS INT) AS region, CAST(s_suppkey % 3 AS INT) AS tier FROM supplier",
+    "target_filter": "SELECT CAST(n_nationkey AS INT) AS id, CASE WHEN n_nationkey % 4 > 0 THEN CAST(n_regionkey AS INT) END AS region, CASE WHEN n_nationkey % 3 > 0 THEN CAST(n_nationkey % 4 AS INT) END AS tier, CASE WHEN n_nationkey % 7 = 6 THEN 'no such name' ELSE 'all' END AS name FROM nation",
     "geo_part": """
 SELECT CAST(l_orderkey % 900 AS INT) AS place_id, CAST(l_orderkey AS INT) AS result_no, CAST(l_linenumber AS INT) AS part_no, @list(CASE l_partkey % 5 WHEN 0 THEN 'locality' WHEN 1 THEN 'administrative_area_level_1' WHEN 2 THEN 'route' WHEN 3 THEN 'postal_town' ELSE 'country' END, 'political') AS types,
   concat('Town ', CAST(l_partkey AS VARCHAR(9))) AS long_name, concat('T', CAST(l_partkey % 50 AS VARCHAR(9))) AS short_name FROM (SELECT l_orderkey, l_linenumber, min(l_partkey) AS l_partkey FROM lineitem GROUP BY l_orderkey, l_linenumber)""",
@@ -134,8 +139,8 @@ SELECT DISTINCT CASE event_id % 6 WHEN 0 THEN concat('::FFFF:', CAST(event_id %
     "change": """
 SELECT CAST(o_orderkey AS INT) AS id, concat(CASE o_orderkey % 5 WHEN 0 THEN 'feat: ' WHEN 1 THEN 'Fix(feed): ' WHEN 2 THEN 'chore(x): ' WHEN 3 THEN 'feature: ' ELSE '' END, lower(o_orderpriority), ' work') AS subject FROM orders""",
     "notes": """
-SELECT CAST(o_orderkey AS INT) AS line_no, CASE WHEN o_orderkey < 20 THEN 'About these notes' WHEN o_orderkey % 100 = 20 THEN concat('## v', CAST(400 - floor(o_orderkey / 100) AS INT), ' — 2024-01-01') WHEN o_orderkey % 20 = 4 THEN '### Fixes & more ' WHEN o_orderkey % 20 = 12 THEN '### Features' WHEN o_orderkey % 5 = 3 THEN '' WHEN o_orderkey % 3 = 0 THEN concat('- ', o_orderpriority) WHEN o_orderkey % 3 = 1 THEN '   goes on' ELSE 'plain words' END AS line
-FROM orders WHERE o_orderkey < 3000""",
+SELECT concat('notes-', CAST(o_custkey AS VARCHAR(20))) AS file, CAST(o_orderkey AS INT) AS line_no, CASE WHEN o_orderkey % 10 = 3 THEN concat('## v', CAST(o_orderkey % 400 AS INT), ' — 2024-01-01') WHEN o_orderkey % 10 = 4 THEN '### Fixes & more ' WHEN o_orderkey % 10 = 6 THEN '### Features' WHEN o_orderkey % 11 = 3 THEN '' WHEN o_orderkey % 3 = 0 THEN concat('- ', o_orderpriority) WHEN o_orderkey % 3 = 1 THEN '   goes on' ELSE 'plain words' END AS line
+FROM orders""",
     "address_page": """
 SELECT CAST(l_orderkey AS INT) AS place_id, CAST(l_linenumber AS INT) AS pos, concat('https://site.org/', CASE l_partkey % 5 WHEN 0 THEN '' WHEN 1 THEN 'contact' WHEN 2 THEN 'contact-us' WHEN 3 THEN 'about' ELSE 'directions' END) AS url, CASE WHEN l_partkey % 4 > 0 THEN (l_partkey % 100) / 100e0 END AS confidence, CAST(l_partkey AS BIGINT) AS tokens_in, CAST(l_suppkey AS BIGINT) AS tokens_out
 FROM (SELECT l_orderkey, l_linenumber, min(l_partkey) AS l_partkey, min(l_suppkey) AS l_suppkey FROM lineitem GROUP BY l_orderkey, l_linenumber)""",

@@ -156,7 +156,7 @@ def fuzzy_score(needle, name, address):
 @pytest.mark.parametrize("needle", ["agdh sth", "beth", "main", "o'b", "zz", "h", "south  1"])
 def test_fuzzy_scores(spark, needle):
     rows = [(1, "Agudath South", None), (2, "Beth Israel", "1 Main St"), (3, "O'Brien Beth", "South 1 Main"), (4, "Hashkamah at the Beth Medrash", ""), (5, "Mainly South", "  1")]
-    got = ask(spark, f"WITH {pages.fuzzy('some_place', needle)} SELECT id, score FROM fuzzy", some_place=("id int, name string, address string", rows))
+    got = ask(spark, f"WITH {pages.fuzzy('some_place', chr(39) + needle.replace(chr(39), chr(39) * 2) + chr(39))} SELECT id, score FROM fuzzy", some_place=("id int, name string, address string", rows))
     assert {r.id: r.score for r in got} == {i: fuzzy_score(needle, n, a) for i, n, a in rows}
 
 
