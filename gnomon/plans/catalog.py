@@ -10,7 +10,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gnomon.functions import markup
+from gnomon.functions import markup, model_output
 from gnomon.plans import fetch, ingest, pages, schedule
 from gnomon.plans.dialect import duck_sql, spark_sql, with_relations
 from gnomon.plans.schedule import DAYS_KEY, FRESH, PUBLIC, VISIBLE
@@ -199,7 +199,7 @@ def run(name: str) -> Callable[[SparkSession, str], DataFrame]:
     return build
 
 
-QUERIES = {name: run(name) for name in TEXT} | markup.QUERIES
+QUERIES = {name: run(name) for name in TEXT} | markup.QUERIES | model_output.QUERIES
 
 
 def oracle(name: str) -> str:
@@ -207,4 +207,4 @@ def oracle(name: str) -> str:
     return duck_sql(with_relations(text))
 
 
-ORACLE = {name: oracle(name) for name in TEXT}
+ORACLE = {name: oracle(name) for name in TEXT} | model_output.ORACLE

@@ -7,6 +7,7 @@ pages by a parser.
 
 from __future__ import annotations
 
+import sys
 import unicodedata
 
 from gnomon.plans.schedule import VISIBLE
@@ -110,7 +111,7 @@ for _t in ("script", "style", "noscript", "svg", "template"):
 SANITIZED = rf"@replace_all({SANITIZED}, '(?s)<!--.*?-->', '')"
 for _t in ("link", "meta", "img", "source", "input"):
     SANITIZED = rf"@replace_all({SANITIZED}, '(?i)<{_t}\b[^>]*/?>', '')"
-SANITIZED = r"@strip(@replace_all(@replace_all(@replace_all(" + SANITIZED + r", '[ \t]+', ' '), '\n{3,}', '\n\n'), '(\s*\n\s*){2,}', '\n\n'))".replace(r"'\n\n'", "concat(chr(10), chr(10))")
+SANITIZED = r"@strip(@replace_all(@replace_all(@replace_all(" + SANITIZED + r", '[ \t]+', ' '), '\n{3,}', '\n\n'), '[^\S\n]*\n[^\S\n]*\n\s*', '\n\n'))".replace(r"'\n\n'", "concat(chr(10), chr(10))")
 VISIBLE_TEXT = r"@replace_all(@replace_all(@replace_all(html, '(?is)<script.*?</script>', ''), '(?is)<style.*?</style>', ''), '(?s)<[^>]+>', ' ')"
 LOOKS = f"@matches({VISIBLE_TEXT}, '{SCHEDULE_WORD}') AND @size(@extract_all({VISIBLE_TEXT}, '{CLOCK}')) >= 2"
 
@@ -144,15 +145,29 @@ def resource_key(url: str) -> str:
     return f"concat({ORIGIN.format(u=url)}, coalesce(nullif({PATH.format(u=url)}, ''), '/'), CASE WHEN @size({kept}) = 0 THEN '' ELSE concat('?', @join({kept}, '&')) END)"
 
 
+def _plain() -> tuple[dict[str, str], dict[str, str]]:
+    """Letters and digits of all scripts whose compatibility decomposition, without marks, is one ASCII letter or digit; and ligatures and the like of more."""
+    one, more = {}, {}
+    for k in range(0x80, sys.maxunicode + 1):
+        c = chr(k)
+        if unicodedata.decomposition(c):
+            d = "".join(x for x in unicodedata.normalize("NFKD", c) if not 0x300 <= ord(x) <= 0x36F)
+            if d.isascii() and d.isalnum():
+                (one if len(d) == 1 else more)[c] = d
+    return one, {c: d for c, d in more.items() if unicodedata.category(c).startswith("L")}
+
+
 def fold(text: str) -> str:
-    """Letters without their marks: what compatibility decomposition leaves of Latin letters, as one table."""
-    pairs = [(chr(k), unicodedata.normalize("NFKD", chr(k))) for k in (*range(0xC0, 0x250), *range(0x1E00, 0x1F00))]
-    pairs = [(c, d[0]) for c, d in pairs if d[0] != c and d[0].isascii() and all(unicodedata.combining(x) for x in d[1:])]
-    return f"translate({text}, '{''.join(c for c, _ in pairs)}', '{''.join(d for _, d in pairs)}')"
+    """Text without marks, its letters and digits as what compatibility decomposition leaves of them in ASCII; put in lower case before, not after."""
+    one, more = _plain()
+    text = f"translate({text}, '{''.join(one)}', '{''.join(one.values())}')"
+    for c, d in more.items():
+        text = f"replace({text}, '{c}', '{d}')"
+    return f"@replace_all({text}, '[\u0300-\u036f]', '')"
 
 
 def slug(text: str) -> str:
-    return f"substring(@replace_all(@replace_all(lower({fold(text)}), '[^a-z0-9]+', '-'), '^-+|-+$', ''), 1, 100)"
+    return f"substring(@replace_all(@replace_all({fold(f'lower({text})')}, '[^a-z0-9]+', '-'), '^-+|-+$', ''), 1, 100)"
 
 
 def private_address(ip: str) -> str:
@@ -300,9 +315,10 @@ TEXT = {
   FROM (SELECT header, url, lower(split_part(url, '?', 1)) AS file FROM (SELECT coalesce(CASE page_id % 4 WHEN 0 THEN 'image/JPG; q=1' WHEN 1 THEN 'image/webp' WHEN 2 THEN 'application/octet-stream' END, '') AS header, concat(url, CASE page_id % 3 WHEN 0 THEN '/a.PNG' WHEN 1 THEN '/b.jpeg?x=1' ELSE '/c' END) AS url FROM pages))""",
     "url_normal": rf"SELECT page_id, @replace_all(@replace_all(CASE WHEN @matches(u, '^(?i)https?://') THEN u ELSE concat('https://', u) END, '[?#].*$', ''), '/$', '') AS url FROM (SELECT page_id, CASE WHEN page_id % 3 = 0 THEN @replace_all(url, '^https?://', '') ELSE url END AS u FROM pages)",
     "slug": f"SELECT id, {slug('name')} AS slug FROM (SELECT id, CASE id % 4 WHEN 0 THEN concat(name, ' Bét Ël -- Ñorth') WHEN 1 THEN concat('  ', name, ' ') ELSE name END AS name FROM place)",
-    "unique_slugs": """WITH wanted AS (SELECT id, concat('place-', CAST(id % 40 AS VARCHAR(9))) AS base FROM place WHERE id % 2 = 0), taken AS (SELECT DISTINCT concat('place-', CAST(id % 50 AS VARCHAR(9)), CASE id % 6 WHEN 1 THEN '' WHEN 3 THEN '-2' ELSE '-4' END) AS slug FROM place WHERE id % 2 = 1),
+    "unique_slugs": r"""WITH wanted AS (SELECT id, concat('place-', CAST(id % 40 AS VARCHAR(9))) AS base FROM place WHERE id % 2 = 0), taken AS (SELECT DISTINCT concat('place-', CAST(id % 50 AS VARCHAR(9)), CASE id % 6 WHEN 1 THEN '' WHEN 3 THEN '-2' ELSE '-4' END) AS slug FROM place WHERE id % 2 = 1),
   turn AS (SELECT id, base, row_number() OVER (PARTITION BY base ORDER BY id) AS want FROM wanted),
-  name AS (SELECT b.base, n.n, CASE WHEN n.n = 1 THEN b.base ELSE concat(b.base, '-', CAST(n.n AS VARCHAR(3))) END AS slug FROM (SELECT DISTINCT base FROM wanted) b CROSS JOIN (SELECT @explode(@upto(99)) AS n) n),
+  near AS (SELECT base, count(*) AS n FROM (SELECT slug AS base FROM taken UNION ALL SELECT @replace_all(slug, '-[0-9]+$', '') AS base FROM taken) GROUP BY base),
+  name AS (SELECT base, n, CASE WHEN n = 1 THEN base ELSE concat(base, '-', CAST(n AS VARCHAR(3))) END AS slug FROM (SELECT w.base, @explode(@upto(least(99, w.n + coalesce(t.n, 0)))) AS n FROM (SELECT base, count(*) AS n FROM wanted GROUP BY base) w LEFT JOIN near t ON t.base = w.base)),
   free AS (SELECT *, row_number() OVER (PARTITION BY base ORDER BY n) AS want FROM name f WHERE NOT EXISTS (SELECT 1 FROM taken t WHERE t.slug = f.slug))
   SELECT t.id, t.base, coalesce(f.slug, concat(t.base, '-99')) AS slug FROM turn t LEFT JOIN free f ON f.base = t.base AND f.want = t.want""",
     "failure_summary": f"""SELECT source_id, substring(@join(@sorted_pairs(parts), ' | '), 1, 240) AS summary FROM (SELECT source_id, @collect_pairs(CASE WHEN strategy = preferred THEN 0 ELSE pos END, {_FAILED}) AS parts FROM attempt GROUP BY source_id)""",

@@ -35,8 +35,9 @@ def metres(rows: str, a_lat: str, a_lng: str, b_lat: str, b_lng: str) -> str:
     some centimetres at the distances of a feed, by tens of metres between continents.
     """
     reduced = f"atan({1 - _FLATTENING!r}e0 * tan(radians({{x}})))"
-    return f"""(SELECT *, round(CASE WHEN _h = 0e0 THEN 0e0 WHEN _h < 1e0 THEN {_AXIS}e0 * (_s - {_FLATTENING / 2!r}e0 * ((_s - sin(_s)) * pow(sin((_b1 + _b2) / 2e0) * cos((_b2 - _b1) / 2e0), 2) / (1e0 - _h)
-    + (_s + sin(_s)) * pow(cos((_b1 + _b2) / 2e0) * sin((_b2 - _b1) / 2e0), 2) / _h)) ELSE {_AXIS * math.pi}e0 END, 3) AS metres
+    # a list of one, so that a filter on the distance is not written out in each join and scan below
+    return f"""(SELECT *, @explode(@list(round(CASE WHEN _h = 0e0 THEN 0e0 WHEN _h < 1e0 THEN {_AXIS}e0 * (_s - {_FLATTENING / 2!r}e0 * ((_s - sin(_s)) * pow(sin((_b1 + _b2) / 2e0) * cos((_b2 - _b1) / 2e0), 2) / (1e0 - _h)
+    + (_s + sin(_s)) * pow(cos((_b1 + _b2) / 2e0) * sin((_b2 - _b1) / 2e0), 2) / _h)) ELSE {_AXIS * math.pi}e0 END, 3))) AS metres
   FROM (SELECT *, 2e0 * asin(sqrt(_h)) AS _s FROM (SELECT *, least(1e0, pow(sin((_b2 - _b1) / 2e0), 2) + cos(_b1) * cos(_b2) * pow(sin(radians({b_lng} - {a_lng}) / 2e0), 2)) AS _h
   FROM (SELECT *, {reduced.format(x=a_lat)} AS _b1, {reduced.format(x=b_lat)} AS _b2 FROM {rows}))))"""
 
@@ -55,6 +56,23 @@ def within(lat: float, lng: float, reach: float, rows: str = "visible") -> str:
     return f"near AS (SELECT * FROM {metres(boxed, f'{lat!r}e0', f'{lng!r}e0', 'lat', 'lng')} WHERE metres <= {float(reach)!r}e0)"
 
 
+def pairs_within(rows: str, reach: float) -> str:
+    """CTE ``pair``: (a_id, b_id, metres) of ``rows`` (id, lat, lng) within ``reach`` metres, a_id < b_id; not across the date line.
+
+    Bands of latitude are as high as the reach, cells as wide as it is at the end of the band that is farther from the equator; a row
+    meets the cells that its box touches, and only pairs whose boxes meet have their distance computed.
+    """
+    dy = reach / 110574.0 * 1.01
+    wide = lambda band: f"({dy!r}e0 / greatest(0.01e0, cos(radians(least(89.9e0, greatest(abs({band}), abs({band} + 1)) * {dy!r}e0)))))"
+    floor = lambda x: f"CAST(floor({x}) AS INT)"
+    return f"""boxed AS (SELECT id, lat, lng, {floor(f'lat / {dy!r}e0')} AS band, {dy!r}e0 / greatest(0.01e0, cos(radians(least(89.9e0, abs(lat) + {dy!r}e0)))) AS dx FROM {rows} WHERE lat IS NOT NULL AND lng IS NOT NULL),
+  cell AS (SELECT id, lat, lng, dx, band, {floor(f'lng / {wide("band")}')} AS col FROM boxed),
+  beside AS (SELECT id, lat, lng, dx, @explode(@range(band - 1, band + 1)) AS band FROM boxed),
+  spread AS (SELECT id, lat, lng, band, @explode(@range({floor(f'(lng - dx) / {wide("band")}')}, {floor(f'(lng + dx) / {wide("band")}')})) AS col FROM beside),
+  met AS (SELECT a.id AS a_id, b.id AS b_id, a.lat AS lat1, a.lng AS lng1, b.lat AS lat2, b.lng AS lng2 FROM cell a JOIN spread b ON a.band = b.band AND a.col = b.col AND a.id < b.id AND abs(a.lat - b.lat) <= {dy!r}e0 AND abs(a.lng - b.lng) <= a.dx),
+  pair AS (SELECT a_id, b_id, metres FROM {metres("met", "lat1", "lng1", "lat2", "lng2")} WHERE metres <= {reach!r}e0)"""
+
+
 def special(day: str) -> str:
     return f"(r.valid_from IS NULL OR {day} >= r.valid_from) AND (r.valid_to IS NULL OR {day} <= r.valid_to)"
 
@@ -168,10 +186,9 @@ TEXT = {
     "date_only": f"SELECT t, {DATE_ONLY.format(t='t')} AS day FROM (SELECT DISTINCT CASE WHEN l_linenumber = 7 THEN 'next week' ELSE concat('2024-', lpad(CAST(l_suppkey % 15 AS VARCHAR(2)), 2, '0'), '-', lpad(CAST(l_partkey % 40 AS VARCHAR(2)), 2, '0')) END AS t FROM lineitem)",
     "nearby_places": f"WITH {VISIBLE}, {within(*POINT, radius(25.0))} SELECT id, slug, metres FROM near",
     "radius_clamp": f"SELECT DISTINCT l_quantity AS miles, least(greatest(round(l_quantity * {METRES_PER_MILE}e0, 6), 50e0), 50000e0) AS metres FROM lineitem",
-    # Places in the cells around one another; as many as share a spot, all pairs of these are the answer asked for.
-    "place_pairs_within": f"""WITH cell AS (SELECT id, lat, lng, CAST(floor(lat * 25) AS INT) AS cy, CAST(floor(lng * 20) AS INT) AS cx FROM place WHERE lat IS NOT NULL),
-  spread AS (SELECT id, lat, lng, cy + dy AS cy, cx + dx AS cx FROM cell CROSS JOIN (VALUES (-1), (0), (1)) AS y(dy) CROSS JOIN (VALUES (-1), (0), (1)) AS x(dx))
-  SELECT a_id, b_id, metres FROM {metres("(SELECT a.id AS a_id, b.id AS b_id, a.lat AS lat1, a.lng AS lng1, b.lat AS lat2, b.lng AS lng2 FROM cell a JOIN spread b ON a.cy = b.cy AND a.cx = b.cx AND a.id < b.id)", "lat1", "lng1", "lat2", "lng2")} WHERE metres <= 2400e0""",
+    "place_pairs_within": f"WITH {pairs_within('place', 2400.0)} SELECT a_id, b_id, metres FROM pair",
+    # Many places at one spot are one row of a pair, with their number: no pair of places is written out.
+    "spot_pairs": f"WITH spot AS (SELECT min(id) AS id, lat, lng, count(*) AS n FROM place WHERE lat IS NOT NULL GROUP BY lat, lng), {pairs_within('spot', 2400.0)} SELECT p.a_id, p.b_id, p.metres, a.n * b.n AS pairs FROM pair p JOIN spot a ON a.id = p.a_id JOIN spot b ON b.id = p.b_id UNION ALL SELECT id, id, 0e0, CAST(floor(n * (n - 1) / 2e0) AS BIGINT) FROM spot WHERE n > 1",
     "resolved_places": f"WITH {PUBLIC}, {_LOCATED.format(where='true')}, {timed('located', 'sites', DAY)} SELECT count(DISTINCT place_id) AS n_places, count(*) AS n_rules FROM timed WHERE starts_at IS NOT NULL",
 }
 TEXT |= zones.text(DEFAULT_ZONE)

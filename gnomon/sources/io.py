@@ -50,14 +50,22 @@ def received(raw: DataFrame) -> DataFrame:
     return raw.select(sender.alias("forwarder"), F.trim(F.coalesce("Subject", F.lit(""))).alias("subject"), body.alias("body"), "Headers").filter("forwarder <> '' and body <> ''")
 
 
+def header_rows(messages: DataFrame, key: str) -> DataFrame:
+    """key, name, value: the headers (an array of Name and Value) of messages as rows, names in lower case; of one that repeats the first."""
+    each = messages.select(key, F.posexplode("Headers").alias("pos", "h")).select(key, F.lower(F.trim("h.Name")).alias("name"), "h.Value", "pos").filter("name <> ''")
+    return each.groupBy(key, "name").agg(F.min(F.struct("pos", "Value"))["Value"].alias("value"))
+
+
 def message_stream(spark: SparkSession, folder: str) -> DataFrame:
     """Messages that arrive as JSON files in a folder."""
     return received(spark.readStream.schema(MESSAGE).json(folder))
 
 
 def image_files(spark: SparkSession, folder: str, most: int = 25_000_000) -> DataFrame:
-    """path, length and content of files of at most ``most`` bytes; larger ones are not read."""
-    return spark.read.format("binaryFile").load(folder).filter(F.col("length") <= most).select("path", "length", "content")
+    """path, length, content and why not: files of at most ``most`` bytes; larger ones are not read and have no content but a reason."""
+    files = spark.read.format("binaryFile").load(folder)
+    read = files.filter(F.col("length") <= most).select("path", "length", "content", F.lit(None).cast("string").alias("reason"))
+    return read.unionByName(files.filter(F.col("length") > most).select("path", "length", F.lit(None).cast("binary").alias("content"), F.lit(f"larger than {most} bytes").alias("reason")))
 
 
 def outlines(spark: SparkSession, path: str, name: str = "tzid") -> DataFrame:
@@ -102,12 +110,50 @@ def append(rows: DataFrame, path: str) -> None:
     rows.write.mode("append").parquet(path)
 
 
-def update_by_key(table: DataFrame, changes: DataFrame, key: str) -> DataFrame:
-    """Update: a table's next version, with the columns that ``changes`` has set for its keys; other keys are left out of it."""
-    names = [c for c in changes.columns if c != key]
-    marked = changes.select(key, F.lit(True).alias("_hit"), *(F.col(c).alias(f"_{c}") for c in names))
+def newest(changes: DataFrame, key: str, order: str | None = None) -> DataFrame:
+    """One row a key: the one with the largest ``order`` and, where that ties or is not named, the largest by all columns. Null keys are left out."""
+    rest = [c for c in changes.columns if c != key]
+    by = [F.col(order)] if order else []
+    row = F.max(F.struct(*(x.alias(f"o{k}") for k, x in enumerate(by)), F.struct(*rest).alias("r")))["r"] if rest else F.lit(None)
+    return changes.filter(F.col(key).isNotNull()).groupBy(key).agg(row.alias("r")).select(key, *(F.col("r")[c].alias(c) for c in rest))
+
+
+def update_by_key(table: DataFrame, changes: DataFrame, key: str, order: str | None = None) -> DataFrame:
+    """Update: a table's next version, with the columns that ``changes`` has set for its keys; other keys are left out of it.
+
+    Of a key's changes the one with the largest ``order`` counts (see ``newest``), so no row is doubled.
+    """
+    names = [c for c in changes.columns if c != key and c in table.columns]
+    fresh = next(f"change{k}" for k in range(len(table.columns) + 1) if f"change{k}" not in table.columns)
+    marked = newest(changes.select(key, *names, *([order] if order and order not in (key, *names) else [])), key, order).select(key, F.struct(F.lit(True).alias("hit"), *names).alias(fresh))
     joined = table.join(marked, key, "left")
-    return joined.select(*(F.when(F.col("_hit"), F.col(f"_{c}")).otherwise(F.col(c)).alias(c) if c in names else F.col(c) for c in table.columns))
+    return joined.select(*(F.when(F.col(fresh)["hit"], F.col(fresh)[c]).otherwise(F.col(c)).alias(c) if c in names else F.col(c) for c in table.columns))
+
+
+BUCKETS = 256  # folders of a keyed table, by hash of the key
+
+
+def keyed(rows: DataFrame, path: str, key: str, buckets: int = BUCKETS) -> None:
+    """Write a table that ``upsert`` changes: a folder for each of ``buckets`` hashes of its key."""
+    rows.withColumn("bucket", F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int")).repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(path)
+
+
+def upsert(changes: DataFrame, path: str, key: str, order: str | None = None, buckets: int = BUCKETS) -> None:
+    """Change rows of a keyed table in place and add those of new keys: only buckets that hold changed keys are read and written.
+
+    New keys have null in columns that ``changes`` lacks. Of a key's changes the one with the largest ``order`` counts
+    (see ``newest``). A job that fails leaves the buckets as they were, and one that is run again gives the same table.
+    """
+    spark = changes.sparkSession
+    latest = newest(changes, key, order).withColumn("bucket", F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int"))
+    hit = [r["bucket"] for r in latest.select("bucket").distinct().collect()]  # at most ``buckets`` numbers
+    if not hit:
+        return
+    old = spark.read.parquet(path).filter(F.col("bucket").isin(hit))
+    new = latest.join(old.select(key), key, "left_anti")
+    added = new.select(*(F.col(c).cast(old.schema[c].dataType).alias(c) if c in new.columns else F.lit(None).cast(old.schema[c].dataType).alias(c) for c in old.columns))
+    out = update_by_key(old, latest.drop("bucket"), key).unionByName(added)
+    out.repartition("bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path)
 
 
 def publish(tables: dict[str, DataFrame], root: str, version: int) -> str:

@@ -123,6 +123,12 @@ SELECT CAST(l_orderkey * 10 + l_linenumber AS BIGINT) AS id, CASE l_partkey % 8
 SELECT CAST(o_orderkey AS INT) AS source_id, CAST(o_orderkey % 7 AS BIGINT) AS prev, CAST(o_custkey % 6 AS BIGINT) AS now, (CAST(floor(o_totalprice) AS BIGINT) % 100) / 100e0 AS confidence FROM orders""",
     "page_state": "SELECT CAST(o_orderkey AS INT) AS source_id, concat('h', CAST(o_custkey % 50 AS VARCHAR(9))) AS hash FROM orders",
     "model_result": "SELECT CAST(o_orderkey AS INT) AS source_id, (CAST(floor(o_totalprice * 100e0 + 0.5e0) AS BIGINT) % 100) / 100e0 AS cheap, CAST(o_orderkey % 4 AS INT) AS cheap_rules, (CAST(floor(o_totalprice) AS BIGINT) % 100) / 100e0 AS strong FROM orders",
+    # A model's answers: in fences, within words, bare; without an object, with NaN, out of range, as a list. A second rule has a clock that is none.
+    "model_text": """
+SELECT id, concat(CASE id % 8 WHEN 0 THEN concat('```json', chr(10)) WHEN 1 THEN 'Here it is: ' WHEN 7 THEN '[' ELSE '' END, CASE WHEN id % 8 = 3 THEN 'no {object' ELSE concat('{"confidence": ', CASE id % 8 WHEN 4 THEN 'NaN' WHEN 5 THEN '1.5' ELSE concat('0.', lpad(CAST(id % 100 AS VARCHAR(2)), 2, '0')) END, ', "reasoning": "a \\"}\\" b", "rules": [', rules, ']}') END,
+  CASE id % 8 WHEN 0 THEN concat(chr(10), '```') WHEN 1 THEN ' and {"more": 1}' WHEN 7 THEN ']' ELSE '' END) AS text
+FROM (SELECT CAST(o_orderkey AS BIGINT) AS id, CASE o_custkey % 3 WHEN 0 THEN '' WHEN 1 THEN '{"tefillah": "mincha", "time": {"kind": "zmanim", "anchor": "shkia", "offsetMin": -15}, "daysOfWeek": [0, 6]}'
+  ELSE '{"tefillah": "mincha", "time": {"kind": "fixed", "clock": "7:30"}}, {"tefillah": "maariv", "time": {"kind": "fixed", "clock": "late"}}' END AS rules FROM orders)""",
     "rule_report": "SELECT id AS id, CASE WHEN priority = 1 THEN place_id + 1 ELSE place_id END AS place_id, CASE WHEN tefillah = 'other' THEN NULL WHEN offset_min = 0 THEN 'no such rule' ELSE id END AS rule_id FROM rule",
     "target": "SELECT CAST(s_suppkey AS INT) AS id, s_name AS name, CAST(s_nationkey % 5 AS INT) AS region, CAST(s_suppkey % 3 AS INT) AS tier FROM supplier",
     "target_filter": "SELECT CAST(n_nationkey AS INT) AS id, CASE WHEN n_nationkey % 4 > 0 THEN CAST(n_regionkey AS INT) END AS region, CASE WHEN n_nationkey % 3 > 0 THEN CAST(n_nationkey % 4 AS INT) END AS tier, CASE WHEN n_nationkey % 7 = 6 THEN 'no such name' ELSE 'all' END AS name FROM nation",

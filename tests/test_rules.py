@@ -229,9 +229,9 @@ def test_sources_and_sinks(spark, tmp_path):
 
 
 def test_model_output(spark):
-    from gnomon.functions.model_output import balanced, extractions
+    from gnomon.functions.model_output import extractions, object_in
 
-    assert balanced('```json\n{"a": "}"}\n```') == '{"a": "}"}' and balanced('Sure: {"a": {"b": "\\"}"}} and {"c": 1}') == '{"a": {"b": "\\"}"}}' and balanced("no object") == "no object"
+    assert object_in('```json\n{"a": "}"}\n```') == '{"a": "}"}' and object_in('Sure: {"a": {"b": "\\"}"}} and {"c": 1}') == '{"a": {"b": "\\"}"}}' and object_in("no object") == "no object"
     rule = '{"tefillah": "mincha", "time": {"kind": "fixed", "clock": "18:15"}, "daysOfWeek": [0, 6]}'
     good = f'Here: {{"confidence": 0.9, "reasoning": "r", "rules": [{rule}]}} bye'
     cases = [
