@@ -13,16 +13,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gnomon.llm.common import U64, documents, mix, powers, release, table, utf8
+from gnomon.llm.common import U64, discard, documents, materialise, mix, powers, release, table, utf8
 
 GRAM = 4  # letters and word bounds in an n-gram
-SLOTS = 1 << 20  # slots of a table, of 8 bytes at most; there is a table for each 64 languages
+SLOTS = 1 << 20  # slots of a table, of 8 bytes at most, at least; there is a table for each 64 languages
+FILL = 16  # slots for each n-gram of the language that has most
 HASHES = 2
 ROWS = 3000  # documents a language, at most in expectation, that filters are fitted on
-GRAMS = 40_000  # most frequent n-grams of a language that its filter takes in
 
 _LETTER = np.array([chr(i).isalpha() if not 0xD800 <= i < 0xE000 else False for i in range(1 << 16)])
 
@@ -54,31 +54,38 @@ def grams(texts: list[str], n: int = GRAM) -> tuple[np.ndarray, np.ndarray]:
     return mix(h[ok]), np.maximum(size, 0)
 
 
-def slots(h: np.ndarray, k: int) -> np.ndarray:
-    return (h >> U64(21 * k)).astype(np.int64) & (SLOTS - 1)
+def slots(h: np.ndarray, k: int, size: int = SLOTS) -> np.ndarray:
+    """Places of the k-th hash in a table of ``size`` slots, a power of two."""
+    return (h >> U64(max(21, size.bit_length() - 1) * k)).astype(np.int64) & (size - 1)
+
+
+def room(grams: int) -> int:
+    """Slots of a table for filters of so many n-grams: their share of ones stays below an eighth."""
+    return max(SLOTS, 1 << (FILL * max(1, grams) - 1).bit_length())
 
 
 class Filters:
     """languages, the bit-sliced tables (one for each 64 languages) and each filter's chance of a false positive."""
 
-    def __init__(self, found: dict[str, np.ndarray]):
-        self.languages = sorted(found)
-        width = min(64, len(found))
+    def __init__(self, languages: list[str], size: int, places: tuple[np.ndarray, np.ndarray, np.ndarray]):
+        """``places``: number of the table, slot and set of languages, each slot once."""
+        self.languages, self.size = languages, size
+        width = min(64, len(languages))
         self.kind = next(t for t in (np.uint8, np.uint16, np.uint32, U64) if width <= 8 * np.dtype(t).itemsize)
-        self.tables = [np.zeros(SLOTS, self.kind) for _ in range(0, len(found), 64)]
-        for bit, name in enumerate(self.languages):
-            for k in range(HASHES):
-                np.bitwise_or.at(self.tables[bit // 64], slots(found[name], k), self.kind(1 << bit % 64))
-        self.chance = np.array([self._bit(self.tables[bit // 64], bit).mean() ** HASHES for bit in range(len(found))])
+        self.tables = [np.zeros(size, self.kind) for _ in range(0, len(languages), 64)]
+        part, slot, mask = places
+        for k, t in enumerate(self.tables):
+            t[slot[part == k]] = mask[part == k].astype(self.kind)
+        self.chance = np.array([self._bit(self.tables[bit // 64], bit).mean() ** HASHES for bit in range(len(languages))])
 
     def _bit(self, sets: np.ndarray, bit: int) -> np.ndarray:
         return (sets >> self.kind(bit % 64)) & self.kind(1)
 
     def hits(self, h: np.ndarray, table: np.ndarray) -> np.ndarray:
         """The set of a table's languages, as bits, that may contain each n-gram."""
-        out = table[slots(h, 0)]
+        out = table[slots(h, 0, self.size)]
         for k in range(1, HASHES):
-            out &= table[slots(h, k)]
+            out &= table[slots(h, k, self.size)]
         return out
 
     def counts(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -99,33 +106,37 @@ def fold(df: DataFrame) -> DataFrame:
     return df.withColumn("held_out", F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0, F.lit(False)))
 
 
-def train(docs: DataFrame, rows: int = ROWS, top: int = GRAMS) -> Filters:
+def train(docs: DataFrame, rows: int = ROWS) -> Filters:
     """Fit filters on a sample of about ``rows`` training documents a language, chosen by a hash of doc_id.
 
-    Only text and non-null lang of documents that are not held out are used. A filter takes in the ``top``
-    most frequent n-grams of its language's sample, ties by hash; this bounds the model, whatever the corpus.
+    Only text and non-null lang of documents that are not held out are used. A filter takes in every n-gram of its
+    language's sample, and tables have room for the language with most; only the tables' slots come to the driver.
     """
     learn = fold(documents(docs, "lang")).filter("not held_out and lang is not null and text is not null")
     n = {r["lang"]: r["count"] for r in learn.groupBy("lang").count().collect()}
     if not n:
-        return Filters({"und": np.empty(0, U64)})
+        return Filters(["und"], SLOTS, (np.empty(0, np.int64),) * 3)
     share = F.create_map(*[x for k, v in n.items() for x in (F.lit(k), F.lit(min(1.0, rows / v)))])
     picked = learn.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < share[F.col("lang")] * (1 << 20)).select("lang", "text")
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             lang = batch.column("lang").to_pylist()
             text = batch.column("text").to_pylist()
             for name in sorted(set(lang)):
-                h, c = np.unique(grams([t for t, x in zip(text, lang, strict=True) if x == name])[0], return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array([name] * len(h), pa.string()), pa.array(h.view(np.int64)), pa.array(c)], names=["lang", "h", "c"])
+                h = np.unique(grams([t for t, x in zip(text, lang, strict=True) if x == name])[0])
+                yield pa.RecordBatch.from_arrays([pa.array([name] * len(h), pa.string()), pa.array(h.view(np.int64))], names=["lang", "h"])
 
-    counted = picked.mapInArrow(count, "lang string, h long, c long").groupBy("lang", "h").agg(F.sum("c").alias("c"))
-    best = counted.withColumn("rn", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("c"), "h"))).filter(F.col("rn") <= top)
-    got = best.select("lang", "h").toPandas()  # ``top`` rows a language
-    found = {name: np.empty(0, U64) for name in n}
-    found |= {name: h.to_numpy(np.int64).view(U64) for name, h in got.groupby("lang")["h"]}
-    return Filters(found)
+    found = materialise(picked.mapInArrow(each, "lang string, h long").distinct())
+    size = room(max((r["count"] for r in found.groupBy("lang").count().collect()), default=0))
+    languages = sorted(n)
+    number = F.create_map(*[x for k, name in enumerate(languages) for x in (F.lit(name), F.lit(k))])[F.col("lang")]
+    shift = max(21, size.bit_length() - 1)
+    slot = F.explode(F.array(*(F.shiftrightunsigned("h", shift * k).bitwiseAND(F.lit(size - 1)) for k in range(HASHES))))
+    bit = found.withColumn("number", number).select((F.col("number") / 64).cast("int").cast("long").alias("part"), F.expr("shiftleft(1L, number % 64)").alias("mask"), slot.alias("slot"))
+    got = bit.groupBy("part", "slot").agg(F.bit_or("mask").alias("mask")).toArrow()  # a row a slot at most
+    discard(found)
+    return Filters(languages, size, tuple(got.column(c).to_numpy() for c in ("part", "slot", "mask")))
 
 
 def identify(docs: DataFrame, filters: Filters, *keep: str) -> DataFrame:
@@ -137,7 +148,7 @@ def identify(docs: DataFrame, filters: Filters, *keep: str) -> DataFrame:
     Ties go to the first language in order of name. Repeated and null doc_ids keep a row each, an
     empty table gives no rows.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(pickle.dumps(filters))  # a fixed size: SLOTS times 8 bytes at most for each 64 languages
+    shared = docs.sparkSession.sparkContext.broadcast(pickle.dumps(filters))  # of the size of its tables: 8 bytes a slot at most for each 64 languages
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         release()

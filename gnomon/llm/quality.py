@@ -13,20 +13,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gnomon.llm.common import documents, table, utf8
 from gnomon.llm.langid import fold
 
 ROWS = 3000  # labelled documents a class, in expectation, that dictionaries and calibration see
-SAMPLE_BYTES = 65_536  # of a text longer than this, dictionaries draw on so many bytes, from places all over it
-PIECE = 4096  # bytes of such a text that lie together
+SAMPLE_BYTES = 24_000_000  # of texts of a class that dictionaries are trained on: rows beyond it are not sampled
 DICTIONARIES = ((32_768, 200, 6), (65_536, 50, 8), (110_000, 1000, 8))  # of each pair: bytes, and the segments and grams that are looked for
 LEVEL = 3
-PRIOR = 0.75  # the share of good texts that scores are calibrated for
 
 
 class Model:
@@ -86,24 +83,6 @@ def _sizes(model: bytes):
 _SIZES = "doc_id long, sizes array<long>"
 
 
-def pieces(text: bytes) -> list[bytes]:
-    """A text, or of a long one pieces from hashed places all over it; of equal texts they are equal."""
-    if len(text) <= SAMPLE_BYTES:
-        return [text] if text else []
-    n = SAMPLE_BYTES // PIECE
-    random = np.random.Generator(np.random.PCG64(xxhash.xxh64_intdigest(text, 8)))
-    edge = np.linspace(0, len(text) - PIECE, n + 1).astype(np.int64)  # one place in each of n parts
-    at = edge[:-1] + (random.random(n) * (np.diff(edge) + 1)).astype(np.int64)
-    return [text[a : a + PIECE] for a in at.tolist()]
-
-
-def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        data, offsets, _ = utf8(batch.column("text"))
-        got = [pieces(data[a:b].tobytes()) for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
-        yield pa.RecordBatch.from_arrays([batch.column("quality"), batch.column("chance"), batch.column("doc_id"), pa.array(got, pa.list_(pa.binary()))], names=["quality", "chance", "doc_id", "pieces"])
-
-
 def dictionary(samples: list[bytes], size: int, segment: int, gram: int) -> bytes:
     """A dictionary trained on the samples, each once; of too few samples to train on, the end of their bytes."""
     samples = list(dict.fromkeys(samples))
@@ -115,21 +94,28 @@ def dictionary(samples: list[bytes], size: int, segment: int, gram: int) -> byte
     return b"".join(samples)[-4096:]
 
 
-def train(docs: DataFrame, labels: DataFrame, rows: int = ROWS, prior: float = PRIOR) -> Model:
+def train(docs: DataFrame, labels: DataFrame, rows: int = ROWS, sample_bytes: int = SAMPLE_BYTES, prior: float | None = None) -> Model:
     """Fit on about ``rows`` labelled documents of each class that are not held out, chosen by a hash of doc_id.
 
-    One half trains the dictionaries on whole texts (on pieces from all over those beyond SAMPLE_BYTES,
-    so that the sample is bounded in bytes), the other calibrates, weighted so that a score is
-    the chance of label 1 where ``prior`` of all texts have it. Labels with a null quality are not used; of several labels of one document, the lowest is.
+    One half trains the dictionaries, on whole texts, as many rows as ``sample_bytes`` hold (a longer text is no row of the
+    sample); the other calibrates, weighted so that a score is the chance of label 1 where ``prior`` of
+    all texts have it: by default half-way, in logarithms of odds, between equal classes and the labels, so that
+    the rarer class is not drowned by the other. Labels with a null quality are not used; of several labels of one document, the lowest is.
     """
     known = fold(labels.select("doc_id", "quality")).filter("not held_out and quality is not null and doc_id is not null").groupBy("doc_id").agg(F.min("quality").alias("quality"))
     count = {r["quality"]: r["count"] for r in known.groupBy("quality").count().collect()}
+    if prior is None:
+        odds = ((count.get(1, 0) + 1) / (count.get(0, 0) + 1)) ** 0.5
+        prior = odds / (1 + odds)
     share = F.when(F.col("quality") == 1, min(1.0, rows / max(1, count.get(1, 0)))).otherwise(min(1.0, rows / max(1, count.get(0, 0))))
     chance = F.pmod(F.xxhash64("doc_id", F.lit(8)), F.lit(1 << 20)) / (1 << 20)
     known = known.withColumn("chance", chance / share).filter("chance < 1").select("doc_id", "quality", "chance")
     picked = documents(docs).filter("text is not null").join(F.broadcast(known), "doc_id")  # about 2 * rows rows
-    first = picked.filter("chance < 0.5").select("quality", "chance", "doc_id", "text").mapInArrow(_pieces, f"quality {known.schema['quality'].dataType.simpleString()}, chance double, doc_id {docs.schema['doc_id'].dataType.simpleString()}, pieces array<binary>").orderBy("chance", "doc_id").collect()
-    texts = [[bytes(x) for r in first if (r["quality"] == 1) == good for x in r["pieces"]] for good in (True, False)]
+    size = F.octet_length("text")
+    held = F.sum(size).over(Window.partitionBy("quality").orderBy("chance", "doc_id", F.xxhash64("text")))
+    first = picked.filter("chance < 0.5").filter(size <= sample_bytes).withColumn("held", held).filter(F.col("held") <= sample_bytes).select("quality", "text").toArrow()
+    told = list(zip(first.column("quality").to_pylist(), first.column("text").to_pylist(), strict=True))
+    texts = [[t.encode() for q, t in told if (q == 1) == good and t] for good in (True, False)]
     model = Model([tuple(dictionary(x, *shape) for x in texts) for shape in DICTIONARIES])
     second = picked.filter("chance >= 0.5").select("doc_id", "text").mapInArrow(_sizes(pickle.dumps(model)), _SIZES).join(F.broadcast(known), "doc_id").orderBy("doc_id").toPandas()
     label = (second["quality"] == 1).to_numpy(float)

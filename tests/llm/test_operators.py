@@ -375,7 +375,7 @@ def test_main_text_odd_tables(spark):
 
 def test_quality_learns_whole_texts(spark):
     """Texts of either class open alike for 9,000 bytes and differ only after that."""
-    from gnomon.llm.quality import pieces, score, train
+    from gnomon.llm.quality import score, train
 
     r = random.Random(4)
     word = lambda: "".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(7))
@@ -385,10 +385,37 @@ def test_quality_learns_whole_texts(spark):
     got = {x.doc_id: x.score for x in score(docs, train(docs, labels)).collect()}
     held = [k for k, _ in rows if zlib.crc32(str(k).encode()) % 5 == 0]
     assert np.mean([(got[k] >= 0.5) == (k % 2 == 1) for k in held]) > 0.95
-    text = rows[0][1].encode()
-    assert pieces(text) == [text] and pieces(b"") == []
-    text = b"".join(k.to_bytes(3, "big") for k in range(60_000))
-    assert pieces(text) == pieces(text) and all(x in text for x in pieces(text)) and sum(map(len, pieces(text))) == 65_536 and max(text.index(x) for x in pieces(text)) > 150_000
+    # the sample is of whole rows: with room for none of them there is nothing to tell texts by
+    blind = train(docs, labels, sample_bytes=100)
+    assert all(not d for pair in blind.pairs for d in pair) and train(docs, labels).pairs == train(docs, labels).pairs
+
+
+def test_language_filters_hold_every_ngram(spark):
+    """No n-gram of the sample is missing in its filter, tables have room for the language with most, and predictions are those of exact sets."""
+    from gnomon.llm import langid
+
+    r = random.Random(6)
+    letters = {"aa": "abcdefgh", "bb": "efghijkl", "cc": "абвгдежз", "dd": "一二三四五六七八九十"}
+    word = lambda k: "".join(r.choice(letters[k]) for _ in range(r.randrange(2, 8)))
+    vocabulary = {k: [word(k) for _ in range(400)] for k in letters}
+    rows = [(n, " ".join(r.choice(vocabulary[k]) for _ in range(r.randrange(3, 60))), k) for n, k in enumerate(r.choice(list(letters)) for _ in range(600))]
+    rows += [(900, "shared words", "aa"), (901, None, "bb"), (902, "", "cc"), (903, "x" * 1_000_000, "aa"), (904, "abc", None), (1, "abcd", "aa"), (None, "hgfe", "aa")]
+    docs = spark.createDataFrame([(*x, "s", 0.5) for x in rows], "doc_id long, text string, lang string, lang_pred string, score double").repartition(3)
+    filters = langid.train(docs)
+    learn = [x for x in rows if x[2] and x[1] is not None and (x[0] is None or zlib.crc32(str(x[0]).encode()) % 5)]
+    sets = {k: set(langid.grams([t for _, t, lang in learn if lang == k])[0].tolist()) for k in letters}
+    for bit, k in enumerate(filters.languages):
+        h = np.array(sorted(sets[k]), np.uint64)
+        assert (filters._bit(filters.hits(h, filters.tables[0]), bit) == 1).all()
+    assert filters.size == langid.room(max(map(len, sets.values()))) and langid.room(1 << 20) == 1 << 24 and filters.chance.max() < 0.02
+    got = langid.identify(docs, filters).collect()
+    assert len(got) == len(rows)
+    wrong = 0
+    for i, t, _ in rows:
+        hits = {k: sum(h in s for h in langid.grams([t or ""])[0].tolist()) for k, s in sets.items()} if len(t or "") < 9999 else {"aa": 1}
+        best = max(sorted(hits), key=hits.get) if any(map(str.isalpha, t or "")) else "und"
+        wrong += not any(x.doc_id == i and x.lang_pred == best for x in got)
+    assert wrong <= 6  # false positives of the filters, in texts of a few n-grams
 
 
 def test_quality_is_the_difference_of_sizes(spark):
