@@ -8,7 +8,7 @@ page that holds all of them is the article, with the headings and blocks right b
 Ratios tell menus, adverts and footers from an article; they cannot tell what readers or
 a site's operator wrote in whole sentences. So parts that are marked by their tag, role or
 name as comments, notices, forms or asides select nothing, and all marked parts inside the
-article are cut out of it.
+article are cut out of it. On pages that name all their parts these marks decide, not the ratios.
 """
 
 from __future__ import annotations
