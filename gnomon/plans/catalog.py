@@ -15,6 +15,7 @@ from gnomon.plans import fetch, ingest, pages, schedule
 from gnomon.plans.dialect import duck_sql, spark_sql, with_relations
 from gnomon.plans.schedule import DAYS_KEY, FRESH, PUBLIC, VISIBLE
 from gnomon.sources.model import REVIEW_STATUS, TEFILLAH, register
+from gnomon.streaming import limits
 
 LIVE = "coalesce(s.review_status = 'approved' AND s.run_status IN ('ok', 'no_change') AND coalesce(s.last_received_at, s.last_run_at) >= @ago(14), false)"
 TEF = ", ".join(f"'{x}'" for x in TEFILLAH)
@@ -199,7 +200,7 @@ def run(name: str) -> Callable[[SparkSession, str], DataFrame]:
     return build
 
 
-QUERIES = {name: run(name) for name in TEXT} | markup.QUERIES | model_output.QUERIES
+QUERIES = {name: run(name) for name in TEXT} | markup.QUERIES | model_output.QUERIES | limits.QUERIES
 
 
 def oracle(name: str) -> str:
@@ -207,4 +208,4 @@ def oracle(name: str) -> str:
     return duck_sql(with_relations(text))
 
 
-ORACLE = {name: oracle(name) for name in TEXT} | model_output.ORACLE
+ORACLE = {name: oracle(name) for name in TEXT} | model_output.ORACLE | limits.ORACLE

@@ -96,6 +96,9 @@ TEXT = {
     CASE WHEN enabled THEN 'active' ELSE 'archived' END AS status, CASE WHEN platform = 'shulcloud' THEN 'shulcloud_website' ELSE 'manual' END AS kind, CASE WHEN old_kind LIKE 'relative%' THEN 'zmanim' ELSE 'fixed' END AS time_kind, CASE old_kind WHEN 'relative_sunrise' THEN 'netz' WHEN 'relative_sunset' THEN 'shkia' WHEN 'relative_plag' THEN 'plag_mincha' WHEN 'relative_chatzos' THEN 'chatzos' END AS anchor,
     CASE WHEN old_kind LIKE 'relative%' THEN coalesce(offset_min, 0) END AS offset_min, CASE WHEN old_kind NOT LIKE 'relative%' THEN coalesce(old_clock, '00:00') END AS clock FROM legacy)""",
     "rate_limit_hits": "SELECT event_id, kind, CASE WHEN who IS NULL THEN false WHEN kind = 'inbound' THEN n_day > 100 WHEN kind = 'submit' THEN n_hour > 5 WHEN kind = 'link_address' THEN n_hour > 10 WHEN kind = 'link_mail' THEN n_hour > 3 ELSE n_hour > 20 END AS limited FROM (SELECT *, count(*) OVER (PARTITION BY kind, who ORDER BY @epoch(ts) RANGE BETWEEN 3600 PRECEDING AND CURRENT ROW) AS n_hour, count(*) OVER (PARTITION BY kind, who ORDER BY @epoch(ts) RANGE BETWEEN 86400 PRECEDING AND CURRENT ROW) AS n_day FROM (SELECT event_id, ts, CASE event_type WHEN 'view' THEN 'report' WHEN 'click' THEN 'submit' WHEN 'signup' THEN 'link_mail' WHEN 'error' THEN 'inbound' ELSE 'link_address' END AS kind, CASE WHEN event_id % 50 = 0 THEN NULL WHEN event_type = 'error' THEN 'global' ELSE CAST(user_id AS VARCHAR(20)) END AS who FROM events))",
+    # Sources without a run for two days: since when, when that is told, and the run that ends it; the stream of it is ``streaming.limits.silence``.
+    "silent_sources": """WITH gap AS (SELECT source_id, started_at, lead(started_at) OVER (PARTITION BY source_id ORDER BY started_at, id) AS next_at FROM run)
+  SELECT source_id, started_at AS since, started_at + @days(2) AS raised_at, next_at AS cleared_at FROM gap WHERE coalesce(next_at, @event_now()) >= started_at + @days(2)""",
     "report_rules": "SELECT t.id, t.place_id, r.id AS rule_id FROM rule_report t LEFT JOIN (SELECT DISTINCT id, place_id FROM rule) r ON r.id = t.rule_id AND r.place_id = t.place_id",
     "pending_sources": "SELECT s.id, p.slug, s.confidence, s.built_at FROM source s JOIN place p ON p.id = s.place_id WHERE s.review_status = 'pending' ORDER BY s.confidence ASC NULLS LAST, s.built_at ASC NULLS LAST, s.id",
     "place_with_sources": "SELECT p.id, p.slug, count(s.id) AS n, CASE WHEN count(s.id) = 0 THEN NULL ELSE @join(@sorted_pairs(@collect_pairs(s.id, concat(CAST(s.id AS VARCHAR(12)), ' ', s.identifier, ' ', s.review_status))), '; ') END AS sources FROM place p LEFT JOIN source s ON s.place_id = p.id GROUP BY p.id, p.slug",

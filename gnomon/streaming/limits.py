@@ -36,7 +36,7 @@ def rate_limits(requests: DataFrame, limits: dict[str, tuple[int, int]] = LIMITS
     free = F.col("who").isNull() | (F.col("who") == "") | F.element_at(size, F.col("kind")).isNull()
     asked = requests.select("id", "kind", "who", "ts")
     if not requests.isStreaming:
-        out = asked.withColumn("at", F.unix_micros("ts")).withColumn("limited", F.lit(False))
+        out = asked.withColumn("at", F.unix_micros(F.col("ts").cast("timestamp"))).withColumn("limited", F.lit(False))
         spans = sorted({s for _, s in limits.values()})
         for s in spans:
             same = Window.partitionBy("kind", "who", "at")
@@ -150,3 +150,19 @@ def _used(spark: SparkSession, used: str, key: str, batch_id: int) -> DataFrame
     top = spark._jvm.org.apache.hadoop.fs.Path(f"{used}/batch=*/_SUCCESS")
     found = top.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(top)
     return spark.read.option("basePath", used).parquet(*(x.getPath().getParent().toString() for x in found)).filter(F.col("batch") != batch_id).select(key) if found else None
+
+
+_ASKED = """SELECT CAST(event_id AS INT) AS id, CASE event_type WHEN 'view' THEN 'report' WHEN 'click' THEN 'submit' WHEN 'signup' THEN 'link_mail' WHEN 'error' THEN 'inbound' ELSE 'link_address' END AS kind,
+  CASE WHEN event_id % 50 = 0 THEN NULL WHEN event_type = 'error' THEN 'global' ELSE CAST(user_id AS VARCHAR(20)) END AS who, ts FROM events"""
+
+
+def _asked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from gnomon.sources.model import register
+
+    register(spark, sf_dir)
+    return rate_limits(spark.sql(_ASKED))
+
+
+QUERIES = {"rate_limit_verdicts": _asked}
+_SPAN = "count(*) OVER (PARTITION BY kind, who ORDER BY epoch_us(ts) RANGE BETWEEN {0}000000 PRECEDING AND CURRENT ROW) - count(*) OVER (PARTITION BY kind, who, ts) + row_number() OVER (PARTITION BY kind, who, ts ORDER BY id)"
+ORACLE = {"rate_limit_verdicts": f"SELECT id, kind, who, ts, coalesce(who, '') <> '' AND CASE kind {' '.join(f"WHEN '{k}' THEN {_SPAN.format(s)} > {n}" for k, (n, s) in LIMITS.items())} END AS limited FROM ({_ASKED})"}
