@@ -106,11 +106,11 @@ class Chunk:
         """Where phrases start: at each anchor and at each text's start."""
         return np.union1d(self.marks, self.offsets[self.docs])
 
-    def runs(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(symbols of all phrases with 0 behind each text, place of each phrase in it, hash of each phrase's run).
+    def runs(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(symbols of all phrases with 0 behind each text, place of each phrase in it, phrases of each phrase's run, two hashes of the run).
 
         A phrase's run are the phrases from it on that take in every window starting in it, or as many
-        as its text still has; equal hashes are equal phrases in equal order.
+        as its text still has.
         """
         start = self.cuts()
         owner = np.searchsorted(self.offsets, start, "right") - 1
@@ -120,33 +120,43 @@ class Chunk:
         doc_last = np.flatnonzero(last)
         own_last = doc_last[np.searchsorted(doc_last, np.arange(len(start)))]
         stop = np.minimum(np.searchsorted(end, end - 1 + self.size), own_last)
-        phrase = self.hash(start, end, 2)
-        h = mix(spans(prefix(phrase), np.arange(len(start)), stop + 1) + (stop + 1 - np.arange(len(start))).astype(U64))
+        phrase, size = self.hash(start, end, 2), stop + 1 - np.arange(len(start))
+        h = mix(spans(prefix(phrase), np.arange(len(start)), stop + 1) + size.astype(U64))
+        other = mix(spans(prefix(mix(self.data.astype(U64) + U64(77))), start, end))
+        x = mix(spans(prefix(other), np.arange(len(start)), stop + 1)) >> U64(32)
         place = np.arange(len(start)) + np.concatenate([[0], np.cumsum(last)[:-1]])
         text = np.zeros(len(start) + int(last.sum()), np.int64)
         text[place] = np.unique(phrase, return_inverse=True)[1] + 1
-        return text, place, h
+        return text, place, size, h, x
 
-    def repeats(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(class of each phrase, hash of each class, whether it has several phrases), classes in order of hash.
+    def repeats(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(class of each phrase, two hashes of each class, whether it has several phrases), classes in order of hash.
 
-        Suffixes that start with the same run of phrases are neighbours in the suffix array: a class
-        is a stretch of it, and begins where a suffix's run differs from its neighbour's.
+        Suffixes that start with the same run of phrases are neighbours in the suffix array: a class is a stretch
+        of it, and begins where the prefix that a suffix shares with its neighbour, symbol by symbol, is shorter than
+        their runs. What repeats inside a chunk is known from this alone; hashes name classes to other chunks.
         """
-        text, place, h = self.runs()
+        text, place, size, h, x = self.runs()
         back = np.full(len(text), -1)
         back[place] = np.arange(len(place))
         order = back[suffix_array(text)]
         order = order[order >= 0]
+        a, b = order[:-1], order[1:]
+        alike = np.flatnonzero(size[a] == size[b])
+        for k in range(int(size.max(initial=0))):
+            i, j = a[alike], b[alike]
+            alike = alike[(size[i] <= k) | (text[np.minimum(place[i] + k, len(text) - 1)] == text[np.minimum(place[j] + k, len(text) - 1)])]
+            if not len(alike):
+                break
         new = np.ones(len(order), bool)
-        new[1:] = h[order[1:]] != h[order[:-1]]
-        found = h[order[new]]
+        new[alike + 1] = False
+        found, more = h[order[new]], x[order[new]]
         rank = np.empty(len(found), np.int32)
-        by = np.argsort(found)
+        by = np.lexsort((more, found))
         rank[by] = np.arange(len(found))
         classes = np.empty(len(order), np.int32)
         classes[order] = rank[np.cumsum(new) - 1]
-        return classes, found[by], np.bincount(classes) > 1
+        return classes, found[by], more[by], np.bincount(classes) > 1
 
     def questions(self, level: int) -> list[tuple[np.ndarray, ...]]:
         """[(window or anchor places, start, end, salt)] of the strings a level asks for."""
@@ -175,7 +185,7 @@ class Book:
             return
         if kind == 0:  # runs of phrases
             if not hasattr(c, "classes"):
-                c.classes, self.h, self.many = c.repeats()
+                c.classes, self.h, self.x, self.many = c.repeats()
             self.group, self.place = c.classes, np.arange(len(c.classes))
             return
         place, start, end, salt = c.questions(level)[kind - 1]
@@ -282,7 +292,8 @@ def _answer(group: pa.Table) -> pa.Table:
     many, need = (np.concatenate([np.unpackbits(np.frombuffer(r[k], np.uint8), count=n) for r, n in zip(rows, size, strict=True)]).astype(bool) for k in ("many", "need"))
     order, new = sorted_by(h, x)
     at0, which = np.flatnonzero(new), np.cumsum(new) - 1
-    twice = (np.diff(np.append(at0, len(order))) > 1) | np.logical_or.reduceat(many[order], at0)
+    source = np.repeat(np.arange(len(rows)), size)[order]  # a chunk has one row here, and knows itself what it has several times
+    twice = (np.minimum.reduceat(source, at0) != np.maximum.reduceat(source, at0)) | np.logical_or.reduceat(many[order], at0)
     wanted = np.logical_or.reduceat(need[order], at0)
     again, needed = np.empty(len(order), bool), np.empty(len(order), bool)
     again[order], needed[order] = twice[which], wanted[which]
