@@ -41,7 +41,7 @@ SPARK: dict[str, Callable[..., str]] = {
     "list": lambda *x: f"array({', '.join(x)})",
     "get": lambda a, k: f"element_at({a}, CAST({k} AS INT))",
     "upto": lambda n: f"CASE WHEN {n} > 0 THEN sequence(1, CAST({n} AS INT)) ELSE array() END",
-    "strip": lambda s: f"regexp_replace({s}, '^\\s+|\\s+$', '')",
+    "strip": lambda s: f"trim(BOTH concat(' ', chr(9), chr(10), chr(11), chr(12), chr(13)) FROM {s})",
     "first": lambda: "'$1'",
     "filter": lambda a, x, c: f"filter({a}, {x} -> {c})",
     "sum_of": lambda a: f"aggregate({a}, CAST(0 AS DOUBLE), (t, x) -> t + CAST(x AS DOUBLE))",
@@ -93,7 +93,7 @@ DUCK: dict[str, Callable[..., str]] = SPARK | {
     "list": lambda *x: f"[{', '.join(x)}]",
     "get": lambda a, k: f"list_extract({a}, {k})",
     "upto": lambda n: f"range(1, CAST({n} AS BIGINT) + 1)",
-    "strip": lambda s: f"regexp_replace({s}, '^\\s+|\\s+$', '', 'g')",
+    "strip": lambda s: f"trim({s}, concat(' ', chr(9), chr(10), chr(11), chr(12), chr(13)))",
     "first": lambda: "'\\1'",
     "filter": lambda a, x, c: f"list_filter({a}, lambda {x}: {c})",
     "sum_of": lambda a: f"list_sum(list_transform({a}, lambda x: CAST(x AS DOUBLE)))",

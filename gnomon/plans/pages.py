@@ -105,13 +105,22 @@ TIME_FIXED = r"(?i)\b(\d{1,2}):(\d{2})\s*(a\.?m\.?|p\.?m\.?)\b"
 TIME_RELATIVE = r"(?i)\b(\d{1,3})\s*(?:minutes?|mins?|min)\s*(before|after|prior to|past)\s*(sunset|sunrise|netz|shkia|shkiah|plag|chatzos|chatzot)\b"
 SCHEDULE_HINT = r"(?i)\bschedule|times?|minyan|davening\b"
 
-SANITIZED = "html"
-for _t in ("script", "style", "noscript", "svg", "template"):
-    SANITIZED = rf"@replace_all({SANITIZED}, '(?is)<{_t}\b[^>]*>.*?</{_t}\s*>', '')"
-SANITIZED = rf"@replace_all({SANITIZED}, '(?s)<!--.*?-->', '')"
-for _t in ("link", "meta", "img", "source", "input"):
-    SANITIZED = rf"@replace_all({SANITIZED}, '(?i)<{_t}\b[^>]*/?>', '')"
-SANITIZED = r"@strip(@replace_all(@replace_all(@replace_all(" + SANITIZED + r", '[ \t]+', ' '), '\n{3,}', '\n\n'), '[^\S\n]*\n[^\S\n]*\n\s*', '\n\n'))".replace(r"'\n\n'", "concat(chr(10), chr(10))")
+# Elements that are cut with their bodies, then comments, then tags without bodies, one kind after the other.
+CUT = [(f"<{t}", rf"(?is)<{t}\b[^>]*>.*?</{t}\s*>") for t in ("script", "style", "noscript", "svg", "template")] + [("<!--", "(?s)<!--.*?-->")] + [(f"<{t}", rf"(?i)<{t}\b[^>]*/?>") for t in ("link", "meta", "img", "source", "input")]
+
+
+def sanitized(rows: str) -> str:
+    """A subquery: (page_id, html) of ``rows`` without what is cut, and without needless white space.
+
+    Patterns are run only over pages that have the kind they cut, which a plain search tells.
+    """
+    out = f"(SELECT page_id, html, lower(html) AS low FROM {rows})"
+    for mark, pattern in CUT:
+        out = f"(SELECT page_id, low, CASE WHEN instr(low, '{mark}') > 0 THEN @replace_all(html, '{pattern}', '') ELSE html END AS html FROM {out})"
+    out = f"(SELECT page_id, CASE WHEN instr(low, chr(9)) > 0 THEN translate(html, chr(9), ' ') ELSE html END AS html FROM {out})"
+    return rf"(SELECT page_id, @strip(@replace_all(@replace_all(html, '  +', ' '), '[^\S\n]*\n[^\S\n]*\n\s*', concat(chr(10), chr(10)))) AS html FROM {out})"
+
+
 VISIBLE_TEXT = r"@replace_all(@replace_all(@replace_all(html, '(?is)<script.*?</script>', ''), '(?is)<style.*?</style>', ''), '(?s)<[^>]+>', ' ')"
 LOOKS = f"@matches({VISIBLE_TEXT}, '{SCHEDULE_WORD}') AND @size(@extract_all({VISIBLE_TEXT}, '{CLOCK}')) >= 2"
 
@@ -262,7 +271,7 @@ _BODY_LINKS = listed("mail", "id, body", r"""@extract_all(body, '(?i)https?://[^
 _LOW = "lower(html)"
 
 TEXT = {
-    "page_hash": f"SELECT page_id, @sha256(substring({SANITIZED}, 1, 120000)) AS hash FROM site",
+    "page_hash": f"SELECT page_id, @sha256(substring(html, 1, 120000)) AS hash FROM {sanitized('site')}",
     "page_links": f"WITH {links()} SELECT page_id, href, text, nth FROM shown",
     "looks_like_schedule": f"SELECT page_id, {LOOKS} AS looks FROM site",
     "schedule_url": f"""WITH {links()}, home AS (SELECT id, submitted_url AS url, CASE WHEN {HOST.format(u="coalesce(submitted_url, '')")} = '' THEN '' ELSE {ORIGIN.format(u='submitted_url')} END AS origin FROM root),
