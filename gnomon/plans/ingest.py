@@ -23,7 +23,7 @@ def spent(day: str) -> str:
     """CTE ``spend``: of each source created or built from ``day`` on, its tokens at any depth and their price."""
     tin, tout = (_TOKENS.format(name=n) for n in ("inputTokens", "outputTokens"))
     return f"""used AS (SELECT id, lower(coalesce(@json(config_json, '$.model'), '')) LIKE '%haiku%' AS small, @json(config_json, '$.usage') AS usage FROM source WHERE created_at >= {day} OR built_at >= {day}),
-  told AS (SELECT id, small, {tin} AS tin, {tout} AS tout FROM used),
+  told AS (SELECT id, small, t.tin AS tin, t.tout AS tout FROM (SELECT id, small, @explode(@list(@struct(tin, {tin}, tout, {tout}))) AS t FROM used)),
   spend AS (SELECT id, CASE WHEN small THEN 'small' ELSE 'large' END AS model, tin, tout, CASE WHEN small THEN {_DOLLARS.format(*PRICES[0])} ELSE {_DOLLARS.format(*PRICES[1])} END AS dollars FROM told WHERE tin > 0 OR tout > 0)"""
 
 

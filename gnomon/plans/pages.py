@@ -137,7 +137,7 @@ def attribute(name: str) -> str:
 def links(rows: str = "site") -> str:
     """CTE ``link``: of each page its links within the site that have a text, each once, in order, 200 at most."""
     return rf"""link AS (SELECT page_id, url, href, text, CAST(row_number() OVER (PARTITION BY page_id ORDER BY k) AS BIGINT) AS nth FROM (SELECT *, row_number() OVER (PARTITION BY page_id, href ORDER BY k) AS again FROM
-  (SELECT page_id, url, k, text, {absolute('raw', 'url')} AS href FROM (SELECT page_id, url, k, trim({attribute('href')}) AS raw, trim(@replace_all(@replace_all(tag, '(?s)<[^>]*>', ''), '\s+', ' ')) AS text FROM {listed(rows, 'page_id, url', r"@extract_all(html, '(?is)<a\b[^>]*>.*?</a\s*>')")})
+  (SELECT page_id, url, k, text, @explode(@list({absolute('raw', 'url')})) AS href FROM (SELECT page_id, url, k, trim({attribute('href')}) AS raw, trim(@replace_all(@replace_all(tag, '(?s)<[^>]*>', ''), '\s+', ' ')) AS text FROM {listed(rows, 'page_id, url', r"@extract_all(html, '(?is)<a\b[^>]*>.*?</a\s*>')")})
     WHERE raw <> '' AND NOT @matches(raw, '^(#|mailto:|tel:|javascript:)')) WHERE {ORIGIN.format(u='href')} = {ORIGIN.format(u='url')}) WHERE again = 1 AND text <> ''),
   shown AS (SELECT * FROM link WHERE nth <= 200)"""
 
