@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ctypes
+import gc
 import os
 import uuid
 from collections.abc import Iterator
@@ -67,6 +68,12 @@ def discard(*tables: DataFrame) -> None:
         t.written_to.getFileSystem(t.sparkSession._jsc.hadoopConfiguration()).delete(t.written_to, True)
 
 
+def sweep(spark: SparkSession) -> None:
+    """Let shuffle files of jobs that are over go now: the engine removes them once the driver's garbage is collected, which may be much later."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def release() -> None:
     """Give memory that earlier tasks of this worker freed back to the system."""
     pa.default_memory_pool().release_unused()

@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gnomon.llm.common import U64, discard, documents, materialise, mix, packed, release, slices, table, utf8
+from gnomon.llm.common import U64, discard, documents, materialise, mix, packed, release, slices, sweep, table, utf8
 from gnomon.llm.graph import components
 
 BITS = 64
@@ -521,7 +521,10 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8,
         whole = rows.select("key", "part", "fp", "node", "lab").join(sets, "node")
         return materialise(whole.repartition("key", "part").sortWithinPartitions("key", "part").select("key", "part", "fp", "lab", "grams").mapInArrow(_similar(radius, similarity), "a long, b long"))
 
+    spark = docs.sparkSession
+    sweep(spark)
     written = [search(dealt)]
+    sweep(spark)
     links = written[0]
     roots = components(links)
     hot = dealt.filter("parts > 1").drop("part", "parts")
@@ -545,14 +548,17 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8,
     ahead = marked.select("row", "grams", "tail").mapInArrow(_first, "node long, bytes int, first array<long>").join(labs, "node")
     ahead = ahead.select("node", "lab", "bytes", F.posexplode("first").alias("pos", "key"))
     shared = materialise(ahead.repartition("key").sortWithinPartitions("key", "bytes").mapInArrow(_hopeful(similarity), "key long, node long, lab long, bytes int"))
+    sweep(spark)
     odd = marked.select(F.col("row").alias("node"), "odd")
     near = across(shared, tile, tile_bytes // 4).select("key", "part", "node", "lab", "bytes").join(odd, "node")
     near = near.repartition("key", "part").sortWithinPartitions("key", "part", "bytes").select("key", "part", "node", "lab", "bytes", "odd")
     close = materialise(near.mapInArrow(_alike(similarity), "key long, part long, node long, lab long"))
     discard(shared)
+    sweep(spark)
     met = close.join(sets, "node").repartition("key", "part").sortWithinPartitions("key", "part", "lab").select("key", "part", "lab", "grams")
     written.append(materialise(met.mapInArrow(_exact(similarity), "a long, b long")))
     discard(close, roots.table)
+    sweep(spark)
     roots = components(links.union(written[-1]))
     held = nodes.join(roots, "node", "left").select("ident", "best", F.coalesce("root", "node").alias("root"))
     best = held.groupBy("root").agg(F.min("best").alias("first"))
