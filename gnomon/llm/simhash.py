@@ -22,6 +22,7 @@ from gnomon.llm.graph import components
 BITS = 64
 TILE = 4096  # fingerprints of one key that are compared in one task
 TILE_BYTES = 32_000_000  # bytes of shingle sets of one key that are compared in one task
+ROUNDS = 3  # in which keys of the first search are taken, so that a third of the sets' copies is on disk at once
 LOOK = 64  # rows of a key, in order of size, that each is held against before its set is read
 PAIRS = 1 << 20  # shared shingles, and cells of counts, that are held at once
 _ALL = U64(0xFFFFFFFFFFFFFFFF)
@@ -523,9 +524,13 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8,
 
     spark = docs.sparkSession
     sweep(spark)
-    written = [search(dealt)]
-    sweep(spark)
+    written = []
+    for turn in range(ROUNDS):
+        written.append(search(dealt.filter(F.pmod(F.xxhash64("key", F.lit(11)), F.lit(ROUNDS)) == turn)))
+        sweep(spark)
     links = written[0]
+    for more in written[1:]:
+        links = links.union(more)
     roots = components(links)
     hot = dealt.filter("parts > 1").drop("part", "parts")
     n = hot.count()
