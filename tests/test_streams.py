@@ -103,3 +103,16 @@ def test_tokens_are_used_once(spark, tmp_path):
     assert sorted((r.token, r.n) for r in spark.read.parquet(folders[1]).collect()) == [("t1", 1), ("t2", 3), ("t3", 5)]
     # a batch tried again finds what other batches have used, not its own tokens
     assert sorted(r.token for r in limits._used(spark, folders[0], "token", 0).collect()) == ["t3"]
+
+
+def test_rate_limits_look_back_no_further_than_the_limit(spark, monkeypatch):
+    """Busy callers' time is dealt into stretches: no group grows with a caller, and no row reads its whole span again."""
+    rows = [*requests(3, 900), *((1000 + k, "inbound", "a", None) for k in range(20)), (2000, "submit", "a", T0 - dt.timedelta(days=20000)), (2001, "submit", "a", T0 - dt.timedelta(days=20000, seconds=3600))]
+    frame = spark.createDataFrame(rows, REQUEST)
+    whole = {r.id: r.limited for r in limits.rate_limits(frame, KINDS).collect()}
+    monkeypatch.setattr(limits, "BUSY", 5)
+    dealt = limits.rate_limits(frame, KINDS)
+    assert {r.id: r.limited for r in dealt.collect()} == whole and len(whole) == len(rows)
+    assert {i: x for i, x in whole.items() if i < 1000 or i >= 2000} == plain([r for r in rows if r[3]], KINDS)
+    assert [whole[1000 + k] for k in range(20)] == [k >= 8 for k in range(20)]  # without an instant: equals, in order of id
+    assert "RangeFrame" not in dealt._jdf.queryExecution().executedPlan().toString()
