@@ -116,3 +116,14 @@ def test_rate_limits_look_back_no_further_than_the_limit(spark, monkeypatch):
     assert {i: x for i, x in whole.items() if i < 1000 or i >= 2000} == plain([r for r in rows if r[3]], KINDS)
     assert [whole[1000 + k] for k in range(20)] == [k >= 8 for k in range(20)]  # without an instant: equals, in order of id
     assert "RangeFrame" not in dealt._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("busy", [2, 1 << 16])
+def test_equal_requests_count_together(spark, monkeypatch, busy):
+    monkeypatch.setattr(limits, "BUSY", busy)
+    r = random.Random(4)
+    rows = [(k, kind, r.choice("ab"), r.choice([None, *range(-30, 60)])) for k, kind in enumerate(["x", "y"] * 150)]
+    sizes = {"x": (4, 10), "y": (7, 3)}
+    got = {x.id: x.limited for x in limits.beyond(spark.createDataFrame(rows, "id int, kind string, who string, at long"), F.col("at"), sizes).collect()}
+    near = lambda a, b, s: a is b is None or None not in (a, b) and 0 <= b - a <= s
+    assert got == {i: sum(k == kind and w == who and near(t, at, sizes[kind][1]) for _, k, w, t in rows) > sizes[kind][0] for i, kind, who, at in rows} and 20 < sum(got.values()) < 280
