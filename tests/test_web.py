@@ -205,3 +205,20 @@ def test_pages_by_a_parser(spark):
     links = [(r.href, r.text) for r in markup.links(pages_).filter("page_id = 1").orderBy("nth").collect()]
     assert links[:4] == [("https://s.org/one?a=1&b=2", "First boldinner"), ("https://s.org/dir/two", "Unclosed"), ("https://s.org/dir/three", "Third"), ("https://s.org/five", "Five Aé")]
     assert markup.links(pages_, 2).filter("page_id = 1").count() == 2
+
+
+def test_fetch_chain_reads_responses_once(spark):
+    """No recursion: responses are made once and read back, whatever it takes to make them; locations that lead to another host, private ones in the middle."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def made(batches):
+        for b in batches:
+            seen.add(len(b))
+            yield b
+
+    rows = [("https://a.org/1", "own", 302, "//B.org:443/x/../y", None, None), ("https://b.org/y", "own", 301, "http://10.1.2.3/", None, None), ("http://10.1.2.3/", "own", 302, "https://a.org/2", None, None), ("https://a.org/2", "own", 200, None, "two", None), ("https://c.org/", "own", 302, "", None, "drawn")]
+    answers = spark.createDataFrame(rows, "url string, agent string, status int, location string, body string, rendered string")
+    found = io.fetched(spark.createDataFrame([("https://a.org/1",), ("https://c.org/",), (None,)], "url string"), answers.mapInPandas(made, answers.schema))
+    got = {r.url: (r.final_url, r.status, r.hops, r.why, r.is_rendered, r.body) for r in found.collect()}
+    assert got == {"https://a.org/1": ("http://10.1.2.3/", None, 2, "blocked host", False, ""), "https://c.org/": ("https://c.org/", 310, 5, "too many redirects", True, "drawn")}
+    assert seen.value == len(rows)
