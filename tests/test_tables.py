@@ -86,3 +86,15 @@ def test_pairs_within(spark):
     got = spark.sql(spark_sql(with_extras(f"WITH {schedule.pairs_within('some_place', 2400.0)} SELECT a_id, b_id FROM pair"))).collect()
     every = spark.sql(spark_sql(f"SELECT a_id, b_id FROM {schedule.metres('(SELECT a.id AS a_id, b.id AS b_id, a.lat AS lat1, a.lng AS lng1, b.lat AS lat2, b.lng AS lng2 FROM some_place a JOIN some_place b ON a.id < b.id)', 'lat1', 'lng1', 'lat2', 'lng2')} WHERE metres <= 2400e0")).collect()
     assert sorted(map(tuple, got)) == sorted(map(tuple, every)) and len(every) > 100
+
+
+def test_places_meet_by_spots(spark, monkeypatch):
+    """Places of one spot meet in chunks, and distances are told once for two spots; repeated ids and places without a point as in SQL."""
+    rows = [(k, 40.0 + k % 7 / 100, -74.0 + k % 5 / 100) for k in range(300)] + [(7, 40.0, -74.0), (None, 40.0, -74.0), (900, None, -74.0), (901, 0.0, -0.0), (902, -0.0, 0.0)]
+    frame = spark.createDataFrame(rows, "id int, lat double, lng double")
+    frame.createOrReplaceTempView("met_place")
+    want = sorted(map(tuple, spark.sql(spark_sql(f"WITH {schedule.pairs_within('met_place', 2400.0)} SELECT a_id, b_id, metres FROM pair")).collect()))
+    monkeypatch.setattr(schedule, "CHUNK", 3)
+    found = schedule.place_pairs(frame, 2400.0)
+    assert sorted(map(tuple, found.collect())) == want and len(want) > 2000
+    assert "ATAN" not in found.filter("a_id > 0")._jdf.queryExecution().optimizedPlan().toString().split("explode(a_ids")[0].upper()
