@@ -509,18 +509,18 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8,
     source = documents(docs).withColumn("text_key", F.xxhash64("text"))
     schema = "doc_id long, text_key long, ident binary, fp long, low array<long>, tail binary, odd binary, grams binary"
     # rows are numbered as they are written; a set of shingles is a node, told by the first of its rows, whatever doc_ids these have
-    marked = materialise(source.mapInArrow(_sketches(shingle, keys, similarity), schema).withColumn("row", F.monotonically_increasing_id()))
+    marked = materialise(source.mapInArrow(_sketches(shingle, keys, similarity), schema).withColumn("row", F.monotonically_increasing_id()), clear=True)
     some = F.min(F.struct("row", "fp", "low", F.octet_length("grams").alias("bytes"))).alias("x")  # all but row are equal
     nodes = marked.filter("size(low) > 0 and doc_id is not null").groupBy("ident").agg(some, F.min(F.struct("doc_id", "text_key")).alias("best"))
     nodes = nodes.select("ident", "best", F.col("x.row").alias("node"), "x.fp", "x.low", "x.bytes")
-    nodes = materialise(nodes)
+    nodes = materialise(nodes, clear=True)
     keyed = nodes.select("node", "fp", "bytes", F.col("node").alias("lab"), F.explode("low").alias("key"))
-    dealt = materialise(_parts(keyed, tile, tile_bytes).withColumn("part", F.pmod(F.xxhash64("node", F.lit(7)), F.col("parts"))))
+    dealt = materialise(_parts(keyed, tile, tile_bytes).withColumn("part", F.pmod(F.xxhash64("node", F.lit(7)), F.col("parts"))), clear=True)
     sets = marked.select(F.col("row").alias("node"), "grams")
 
     def search(rows: DataFrame) -> DataFrame:
         whole = rows.select("key", "part", "fp", "node", "lab").join(sets, "node")
-        return materialise(whole.repartition("key", "part").sortWithinPartitions("key", "part").select("key", "part", "fp", "lab", "grams").mapInArrow(_similar(radius, similarity), "a long, b long"))
+        return materialise(whole.repartition("key", "part").sortWithinPartitions("key", "part").select("key", "part", "fp", "lab", "grams").mapInArrow(_similar(radius, similarity), "a long, b long"), clear=True)
 
     spark = docs.sparkSession
     sweep(spark)
@@ -540,7 +540,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8,
         before, n = n, heads.count()
         if 2 * n > before:
             break
-        again = materialise(_parts(heads, tile, tile_bytes).withColumn("part", F.pmod(F.xxhash64("node", F.lit(8)), F.col("parts"))))
+        again = materialise(_parts(heads, tile, tile_bytes).withColumn("part", F.pmod(F.xxhash64("node", F.lit(8)), F.col("parts"))), clear=True)
         written.append(search(again))
         links, old = links.union(written[-1]), roots
         roots = components(links)
@@ -552,16 +552,16 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8,
     labs = named(nodes.select("node"), roots)
     ahead = marked.select("row", "grams", "tail").mapInArrow(_first, "node long, bytes int, first array<long>").join(labs, "node")
     ahead = ahead.select("node", "lab", "bytes", F.posexplode("first").alias("pos", "key"))
-    shared = materialise(ahead.repartition("key").sortWithinPartitions("key", "bytes").mapInArrow(_hopeful(similarity), "key long, node long, lab long, bytes int"))
+    shared = materialise(ahead.repartition("key").sortWithinPartitions("key", "bytes").mapInArrow(_hopeful(similarity), "key long, node long, lab long, bytes int"), clear=True)
     sweep(spark)
     odd = marked.select(F.col("row").alias("node"), "odd")
     near = across(shared, tile, tile_bytes // 4).select("key", "part", "node", "lab", "bytes").join(odd, "node")
     near = near.repartition("key", "part").sortWithinPartitions("key", "part", "bytes").select("key", "part", "node", "lab", "bytes", "odd")
-    close = materialise(near.mapInArrow(_alike(similarity), "key long, part long, node long, lab long"))
+    close = materialise(near.mapInArrow(_alike(similarity), "key long, part long, node long, lab long"), clear=True)
     discard(shared)
     sweep(spark)
     met = close.join(sets, "node").repartition("key", "part").sortWithinPartitions("key", "part", "lab").select("key", "part", "lab", "grams")
-    written.append(materialise(met.mapInArrow(_exact(similarity), "a long, b long")))
+    written.append(materialise(met.mapInArrow(_exact(similarity), "a long, b long"), clear=True))
     discard(close, roots.table)
     sweep(spark)
     roots = components(links.union(written[-1]))
@@ -570,7 +570,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8,
     group = held.join(best, "root").select("ident", "first")
     grouped = F.col("first").isNotNull() & F.col("doc_id").isNotNull()
     out = marked.select("doc_id", "text_key", "ident").join(group, "ident", "left").select("doc_id", "text_key", F.when(grouped, F.col("first.doc_id")).otherwise(F.col("doc_id")).alias("component_id"), (~grouped | (F.struct("doc_id", "text_key") == F.col("first"))).alias("kept"))
-    out = materialise(out)
+    out = materialise(out, clear=True)
     discard(marked, nodes, roots.table, *written)
     return out
 

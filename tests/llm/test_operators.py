@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import hashlib
+import os
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -541,6 +543,33 @@ def test_near_duplicates_of_one_key(spark):
         assert {i: got[i] for i in root} == root and got[904] == 904 and len(got) == len(rows + ODD)
 
 
+def test_near_duplicates_leave_no_shuffle_files(spark, monkeypatch):
+    """The copies of the sets that a step sends are gone before the next: else disk holds those of two steps at once."""
+    from gnomon.llm import simhash
+    from gnomon.sources.io import CLEAR
+
+    folders = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString()
+    files = lambda: {f for top in folders for _, _, names in os.walk(top) for f in names if f.startswith("shuffle_") and f.endswith(".data")}
+    write, left = simhash.materialise, []
+
+    def watched(df, *args, **options):
+        before = files()
+        out = write(df, *args, **options)
+        end = time.time() + 5  # files go in the background
+        while files() - before and time.time() < end:
+            time.sleep(0.1)
+        left.append(len(files() - before))
+        return out
+
+    monkeypatch.setattr(simhash, "materialise", watched)
+    words = [f"w{k}" for k in range(4000)]
+    rows = [(2 * k + n, sentences(k, 60, words) + " end" * n) for k in range(50) for n in (0, 1)]
+    was = spark.conf.get(CLEAR)
+    got = {x.doc_id: x.component_id for x in simhash.near_duplicates(frame(spark, rows)).collect()}
+    assert got == {i: i // 2 * 2 for i, _ in rows}
+    assert len(left) >= 9 and not any(left) and spark.conf.get(CLEAR) == was
+
+
 def test_near_duplicates_of_few_words(spark):
     """Short texts, most of them with one word added (similarity just 0.8): every link that brute force finds, no other."""
     from gnomon.llm.simhash import near_duplicates
