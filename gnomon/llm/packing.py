@@ -125,7 +125,7 @@ def pack(docs: DataFrame, path: str | None = None, size: int = 1024, end_id: int
     path = path or default_path()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        release()
+        release(path)
         part = TaskContext.get().partitionId()
         p, enc = Packer(size, windows, part << 36), encoder(path)
         for batch in batches:

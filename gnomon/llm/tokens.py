@@ -12,6 +12,8 @@ import re
 
 import numpy as np
 
+from gnomon.llm.common import kept
+
 REMEMBERED = 1_000_000  # pieces
 
 # A run of Latin letters with at most one space before it that no other letter follows, or else all up
@@ -103,14 +105,9 @@ class Encoder:
         return out, count
 
 
-_encoders: dict[str, Encoder] = {}
-
-
 def encoder(path: str) -> Encoder:
-    """This process's encoder for a file; workers that are used again keep what they remember."""
-    if path not in _encoders:
-        _encoders[path] = Encoder(path)
-    return _encoders[path]
+    """This process's encoder for a file; a worker keeps it, with what it remembers, until a task of another kind begins."""
+    return kept(path, lambda: Encoder(path))
 
 
 def text_runs(texts: list[str | None], limit: int = 1_000_000):

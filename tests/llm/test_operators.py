@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import gc
 import hashlib
 import os
 import random
 import re
 import time
+import tracemalloc
+import weakref
 import zlib
 
 import numpy as np
@@ -181,6 +184,49 @@ def test_pieces_are_whole_encodings():
         assert all(flat[edge[k] : edge[k + 1]].tolist() == t.encode(x or "", add_special_tokens=False).ids for k, x in enumerate(texts))
 
 
+def test_workers_let_pieces_go():
+    from gnomon.llm import packing
+    from gnomon.llm.common import release
+    from gnomon.llm.tokens import encoder
+
+    path = packing.default_path()
+    held = weakref.ref(encoder(path))
+    held().ids(["some pieces of a text"])
+    release()  # as tasks of other operators begin
+    gc.collect()
+    assert held() is None
+    one = encoder(path)
+    release(path)  # as its own do
+    assert encoder(path) is one
+
+
+def test_word_hashes_in_bounded_memory(monkeypatch):
+    from gnomon.llm import common
+
+    def hashed(text):
+        data = np.frombuffer(text, np.uint8)
+        start, end, _ = common.words(data, np.array([0, len(data)]))
+        tracemalloc.start()
+        got = common.word_hashes(data, start, end)
+        most = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        return got, most
+
+    text = (sentences(3, 5000) + " " + "long" * 3000 + "\n").encode() * 60
+    common._powers.clear()
+    whole, most = hashed(text)
+    assert len(text) > 2_000_000 and most < 12 * len(text), most
+    same: dict = {}
+    for w, h in zip(text.split(), whole.tolist(), strict=True):
+        assert same.setdefault(w, h) == h
+    assert len(set(same.values())) == len(same)
+    for piece in (1, 7, 100, 1 << 30):
+        monkeypatch.setattr(common, "PIECE", piece)
+        part = text[: 1 + text.index(b"\n")]
+        assert (hashed(part)[0] == whole[: len(part.split())]).all()
+    assert not len(hashed(b"")[0]) and not len(hashed(b" ")[0])
+
+
 @pytest.mark.parametrize("limit", [10_000_000, 2000])
 def test_contamination(spark, limit):
     from gnomon.llm.decontam import contamination
